@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language
+from . import bpe, decontaminate, jaccard, language, media
 
 #: Where the public tokenizer's file lies; another place can be named in the session.
 VOCABULARY_CONF = "groundwork.vocabulary"
@@ -51,6 +51,15 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, vocabulary(spark)).select("doc_id", "bpe.*")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = media.with_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.digests(media.read_media(docs)).drop("text", "media", "read")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -60,6 +69,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_bpe": op4_bpe,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op9_media": op9_media,
     "op10_decontaminate": op10_decontaminate,
 }
 
