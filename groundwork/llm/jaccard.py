@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
+from .store import written
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -215,7 +216,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """id_col, n_shingles, component_id for each row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("d"), F.col(text).alias("t"))
-    named = rows.select("d", _classes(F.col("t")).alias("c"), F.xxhash64("t").alias("h")).select("d", "h", "c.n", "c.cls").checkpoint()
+    named = written(rows.select("d", _classes(F.col("t")).alias("c"), F.xxhash64("t").alias("h")).select("d", "h", "c.n", "c.cls"), "classes")
     real = named.filter("n > 0 and d is not null")
     classes = real.groupBy("cls", "n").agg(F.min("d").alias("rep"), F.min(F.struct("d", "h")).alias("of"))
     links = _links(spark, rows.filter("d is not null"), classes, named.count())
@@ -232,7 +233,7 @@ def _links(spark: SparkSession, rows: DataFrame, classes: DataFrame, n_docs: int
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(common_shingles(rows, n_docs))
     posts = rows.select("t").mapInArrow(_poster(shared, buckets), _POSTS)
-    lists = posts.groupBy("bucket").applyInArrow(_lists, _LISTS).checkpoint()
+    lists = written(posts.groupBy("bucket").applyInArrow(_lists, _LISTS), "lists")
     stars = lists.filter("cls <> pivot").filter(possible("n", "pivot_n", "place", "pivot_place"))
     pairs = stars.groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.first("pivot_n").alias("n"), F.first("n").alias("m")).checkpoint()
     sets = _sets_of(rows, classes, pairs)
@@ -258,7 +259,7 @@ def _sets_of(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     of = classes.join(wanted, "cls", "left_semi").select("cls", F.col("of.d").alias("d"), F.col("of.h").alias("h"))
     text = rows.withColumn("h", F.xxhash64("t")).join(of, ["d", "h"]).groupBy("cls", "d", "h").agg(F.first("t").alias("t"))
-    return text.select("cls", _sets(F.col("t")).alias("s")).checkpoint()
+    return written(text.select("cls", _sets(F.col("t")).alias("s")), "sets")
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, media, substrings
+from . import bpe, decontaminate, html, jaccard, language, media, substrings, warc
+from .store import ready
 
 #: Where the public tokenizer's file lies; another place can be named in the session.
 VOCABULARY_CONF = "groundwork.vocabulary"
@@ -26,16 +27,10 @@ def vocabulary(spark: SparkSession) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that's unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", "") or "/tmp/groundwork-checkpoints"
-
-
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
     learnt = docs.filter("not held_out")
@@ -51,6 +46,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, vocabulary(spark)).select("doc_id", "bpe.*")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -59,6 +59,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "main.*")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = media.with_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return media.digests(media.read_media(docs)).drop("text", "media", "read")
@@ -73,8 +77,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_bpe": op4_bpe,
+    "op5_warc": op5_warc,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_html": op8_html,
     "op9_media": op9_media,
     "op10_decontaminate": op10_decontaminate,
 }

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .store import written
 
 LENGTH = 50
 GRAM = 20
@@ -313,7 +314,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     shared = shared.groupBy("d", "h").agg(F.flatten(F.collect_list("triggers")).alias("w"))  # bounded by the text's own length
     phrases = real.join(shared, ["d", "h"]).select("d", "h", "t", "w").mapInArrow(_send_phrases(buckets), _PHRASES)
     ranges = phrases.groupBy("bucket").applyInArrow(_covered, _RANGES)
-    ranges = ranges.groupBy("d", "h").agg(F.flatten(F.collect_list("ranges")).alias("r")).checkpoint()
+    ranges = written(ranges.groupBy("d", "h").agg(F.flatten(F.collect_list("ranges")).alias("r")), "ranges")
     cut = F.arrow_udf(_cutter, "struct<n_bytes: long, n_removed: long, n_spans: long, kept: binary, kept_sha256: string>")
     out = rows.join(ranges, ["d", "h"], "left").select("d", cut("t", "r").alias("c"))
     return out.select(F.col("d").alias(id_col), "c.*")
