@@ -13,7 +13,7 @@ triggers at equal places. The dictionary is the set of distinct phrases; the par
    (suffix array, neighbours with that common prefix in one run); each run's least text covers it in later ones.
 4. Covered ranges go back to their texts, which are cut there.
 
-Only packed arrays are shuffled, in buckets that follow spark.sql.shuffle.partitions, and texts go once to step 2 (if they have any
+Only packed arrays are shuffled, in buckets that follow spark.sql.shuffle.partitions, and texts go, compressed, once to step 2 (if they have any
 shared trigger) and once to step 4. Defined results: a null text is empty; rows without id lose nothing and cover nothing;
 rows of the same id never cover each other; texts under LENGTH bytes stay whole.
 """
@@ -25,6 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,16 +79,31 @@ def _bucket_cuts(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Small numbers as 16 bits each if they fit; the reader tells by the length."""
-    return x.astype(np.uint16 if not len(x) or x.max() < 65536 else np.uint32).tobytes()
+    """Small numbers as 16 bits each if they fit, compressed; the reader tells by the length."""
+    return zstandard.ZstdCompressor(level=1).compress(x.astype(np.uint16 if not len(x) or x.max() < 65536 else np.uint32).tobytes())
 
 
 def _large(b: bytes, n: int) -> np.ndarray:
+    b = zstandard.ZstdDecompressor().decompress(b)
     return np.frombuffer(b, np.uint16 if len(b) == 2 * n else np.uint32).astype(np.int64)
 
 
-_TRIGGERS = "bucket int, trigger binary, owner binary, d binary, h binary"
-_SHARED = "d long, h long, triggers array<long>"
+@K.udf("binary")
+def _packed(texts: pa.Array) -> pa.Array:
+    """Texts compressed for the way through a shuffle."""
+    pack = zstandard.ZstdCompressor(level=3)
+    return pa.array([pack.compress(x.as_buffer()) if x.is_valid else None for x in texts], pa.binary())
+
+
+def _unpacked(column: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor()
+    return pa.array([unpack.decompress(x.as_buffer()) if x.is_valid else b"" for x in column], pa.large_binary())
+
+
+#: Bits of a trigger's hash that tell it from others of its bucket.
+_KEY = np.uint64(24)
+_TRIGGERS = "bucket int, n int, trigger binary, owner binary, d binary, h binary"
+_SHARED = "d long, h long, triggers array<int>"
 
 
 def _send_triggers(buckets: int):
@@ -102,11 +119,12 @@ def _send_triggers(buckets: int):
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 some = order[cuts[b] : cuts[b + 1]]
                 who, which = np.unique(owner[some], return_inverse=True)
-                rows.append((b, (key[some] >> np.uint64(32)).astype(np.uint32).tobytes(), _small(which), ids[who].tobytes(), hs[who].tobytes()))
+                own = (key[some] >> (np.uint64(64) - _KEY)).astype(np.int64)  # in order, so the steps between them are small
+                rows.append((b, len(own), _small(np.diff(own, prepend=0)), _small(which), ids[who].tobytes(), hs[who].tobytes()))
             for x in (d, h, triggers, sizes):
                 x.clear()
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "trigger", "owner", "d", "h"])
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["bucket", "n", "trigger", "owner", "d", "h"])
 
         for batch in batches:
             ids, hs = _rows_of(batch)
@@ -130,13 +148,12 @@ def _send_triggers(buckets: int):
 
 
 def _shared_triggers(table: pa.Table) -> pa.Table:
-    """The triggers of a bucket that lie in texts of more than one id, for each text. Only the upper half of a hash is
+    """The triggers of a bucket that lie in texts of more than one id, for each text. Only the first _KEY bits of a hash are
     compared here, so a text may get a few too many; they only cost work."""
     d, h, key, owner, base = [], [], [], [], 0
-    for t, o, x, y in zip(*(table[c].to_pylist() for c in ("trigger", "owner", "d", "h")), strict=True):
-        t = np.frombuffer(t, np.uint32)
-        key.append(t)
-        owner.append(_large(o, len(t)) + base)
+    for n, t, o, x, y in zip(*(table[c].to_pylist() for c in ("n", "trigger", "owner", "d", "h")), strict=True):
+        key.append(np.cumsum(_large(t, n)))
+        owner.append(_large(o, n) + base)
         d.append(np.frombuffer(x, np.int64))
         h.append(np.frombuffer(y, np.int64))
         base += len(d[-1])
@@ -149,11 +166,11 @@ def _shared_triggers(table: pa.Table) -> pa.Table:
     some = order[shared]
     some = some[np.argsort(owner[some], kind="stable")]
     who, at = np.unique(owner[some], return_index=True)
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(some)].astype(np.int32)), pa.array(key[some].astype(np.int64)))
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(some)].astype(np.int32)), pa.array(key[some].astype(np.int32)))
     return pa.table({"d": d[who], "h": h[who], "triggers": lists})
 
 
-_PHRASES = "bucket int, trigger binary, phrase binary, strings binary, bytes binary, which binary, owner binary, at binary, d binary, h binary"
+_PHRASES = "bucket int, n int, trigger binary, strings binary, bytes binary, which binary, owner binary, at binary, d binary, h binary"
 _RANGES = "d long, h long, ranges array<int>"
 
 
@@ -174,24 +191,25 @@ def _send_phrases(buckets: int):
                 _, one, which = np.unique(phrase[some], return_index=True, return_inverse=True)
                 one = some[one]
                 who, mine = np.unique(owner[some], return_inverse=True)
-                rows.append((b, trigger[one].tobytes(), phrase[one].tobytes(), _small(strings[one]), K.gather(data, place[one], strings[one] + LENGTH - 1).tobytes(), _small(which), _small(mine), at[some].astype(np.uint32).tobytes(), ids[who].tobytes(), hs[who].tobytes()))
+                text = zstandard.ZstdCompressor(level=3).compress(K.gather(data, place[one], strings[one] + LENGTH - 1).tobytes())
+                rows.append((b, len(some), (trigger[one] >> np.uint64(32)).astype(np.uint32).tobytes(), _small(strings[one]), text, _small(which), _small(mine), _small(at[some]), ids[who].tobytes(), hs[who].tobytes()))
             for x in (d, h, parts):
                 x.clear()
             cols = list(zip(*rows, strict=True)) or [()] * 10
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], "bucket trigger phrase strings bytes which owner at d h".split())
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], "bucket n trigger strings bytes which owner at d h".split())
 
         for batch in batches:
             ids, hs = _rows_of(batch)
             wanted = batch.column(3)
-            for lo, hi, data, offsets in K.blocks(batch.column(2)):
+            for lo, hi, data, offsets in K.blocks(_unpacked(batch.column(2))):
                 start, strings, trigger, hashes = parse(data, offsets)
                 cut = np.searchsorted(start, offsets)
                 row = np.repeat(np.arange(hi - lo), np.diff(cut))
-                # one search for all rows: the row above the upper half of the trigger's hash
+                # one search for all rows: the row above the first bits of the trigger's hash
                 want = wanted.slice(lo, hi - lo)
                 lists = want.flatten().to_numpy().astype(np.uint64)
                 of = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.array(pa.compute.list_value_length(want)))
-                kept = np.isin((row.astype(np.uint64) << np.uint64(32)) | (trigger >> np.uint64(32)), (of << np.uint64(32)) | lists)
+                kept = np.isin((row.astype(np.uint64) << _KEY) | (trigger >> (np.uint64(64) - _KEY)), (of << _KEY) | lists)
                 start, strings, trigger, row = start[kept], strings[kept], trigger[kept], row[kept]
                 if not len(start):
                     continue
@@ -235,9 +253,12 @@ def sorted_runs(data: np.ndarray, suffixes: np.ndarray, length: int = LENGTH) ->
 def _covered(table: pa.Table) -> pa.Table:
     """Ranges of a bucket's phrases that texts of smaller ids have too."""
     parts, d, h, phrases, texts = [], [], [], 0, 0
-    for trigger, phrase, strings, data, which, owner, at, x, y in zip(*(table[c].to_pylist() for c in "trigger phrase strings bytes which owner at d h".split()), strict=True):
-        trigger, phrase, at = np.frombuffer(trigger, np.uint64), np.frombuffer(phrase, np.uint64), np.frombuffer(at, np.uint32)
-        parts.append((trigger, phrase, _large(strings, len(phrase)), np.frombuffer(data, np.uint8), _large(which, len(at)) + phrases, _large(owner, len(at)) + texts, at.astype(np.int64)))
+    for n, trigger, strings, data, which, owner, at, x, y in zip(*(table[c].to_pylist() for c in "n trigger strings bytes which owner at d h".split()), strict=True):
+        trigger, data = np.frombuffer(trigger, np.uint32), np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+        strings = _large(strings, len(trigger))
+        ends = np.cumsum(strings + LENGTH - 1)
+        phrase = K.Hashes(data).spans(ends - strings - LENGTH + 1, ends)
+        parts.append((trigger, phrase, strings, data, _large(which, n) + phrases, _large(owner, n) + texts, _large(at, n)))
         d.append(np.frombuffer(x, np.int64))
         h.append(np.frombuffer(y, np.int64))
         phrases, texts = phrases + len(phrase), texts + len(d[-1])
@@ -287,8 +308,7 @@ def _covered(table: pa.Table) -> pa.Table:
 def _cutter(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for text, ranges in batches:
         out = []
-        for x, r in zip(text.to_pylist(), ranges.to_pylist(), strict=True):
-            raw = (x or "").encode()
+        for raw, r in zip(_unpacked(text).to_pylist(), ranges.to_pylist(), strict=True):
             removed = spans = 0
             kept = [raw]
             if r:
@@ -312,9 +332,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     triggers = real.mapInArrow(_send_triggers(buckets), _TRIGGERS)
     shared = triggers.groupBy("bucket").applyInArrow(_shared_triggers, _SHARED)
     shared = shared.groupBy("d", "h").agg(F.flatten(F.collect_list("triggers")).alias("w"))  # bounded by the text's own length
-    phrases = real.join(shared, ["d", "h"]).select("d", "h", "t", "w").mapInArrow(_send_phrases(buckets), _PHRASES)
+    packed = rows.select("d", "h", _packed(F.col("t")).alias("t"))
+    phrases = packed.join(shared, ["d", "h"]).select("d", "h", "t", "w").mapInArrow(_send_phrases(buckets), _PHRASES)
     ranges = phrases.groupBy("bucket").applyInArrow(_covered, _RANGES)
     ranges = written(ranges.groupBy("d", "h").agg(F.flatten(F.collect_list("ranges")).alias("r")), "ranges")
     cut = F.arrow_udf(_cutter, "struct<n_bytes: long, n_removed: long, n_spans: long, kept: binary, kept_sha256: string>")
-    out = rows.join(ranges, ["d", "h"], "left").select("d", cut("t", "r").alias("c"))
+    out = packed.join(ranges, ["d", "h"], "left").select("d", cut("t", "r").alias("c"))
     return out.select(F.col("d").alias(id_col), "c.*")
