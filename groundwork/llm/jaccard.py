@@ -1,8 +1,8 @@
 """Exact set-similarity self-join on word shingles with set-relation skipping, and its connected components.
 
 1. A text's set is hashed; texts with equal sets form a class, and all further work is on classes.
-2. Shingles that are common in some part of the corpus are put last in a global order (their list is bounded by its
-   support threshold); the others are ordered by hash. Two classes that link share a shingle among the first
+2. A sketch of COUNTERS counters tells roughly how many texts have a shingle; its levels, then hashes, give a global
+   order from rare to frequent (any one order is exact). Two classes that link share a shingle among the first
    n - ceil(0.75 n) + 1 of each, so Python tasks post only those, packed by bucket of the shingle.
 3. A task of a bucket builds the index lists, blocked by set size and position. Lists of one class are
    dropped. In each other list every class is compared with one pivot only (blocks that size or position rule out
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,11 @@ from .store import written
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: A shingle is common if this share of the texts of a part (PART shingles) have it.
-COMMON = 1 / 256
+#: Counters of the sketch of text frequencies, and of a row of it.
+COUNTERS = 1 << 22
+CHUNK = 1 << 16
+_COUNTER = np.uint64(64 - 22)
+#: Postings that a task holds before it hands them on.
 PART = 1_000_000
 _TOKEN_BITS = np.uint64(32)
 
@@ -72,7 +76,7 @@ def _classes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 @K.udf("binary")
 def _sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in batches:
-        yield pa.array([s.tobytes() for _, _, data, offsets in K.blocks(column) for s in sets_of(data, offsets)], pa.binary())
+        yield pa.array([s.tobytes() for _, _, data, offsets in K.blocks(K.unpacked(column)) for s in sets_of(data, offsets)], pa.binary())
 
 
 @K.udf("long")
@@ -88,41 +92,46 @@ def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-    size = 0
-
-    def part() -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
-        some = n >= max(3, COMMON * len(held))
-        return pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some].astype(np.int64)), pa.array(np.full(int(some.sum()), len(held), np.int64))], ["token", "n", "texts"])
-
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts have a shingle of each counter, as rows of CHUNK counters."""
+    counts = np.zeros(COUNTERS, dtype=np.int64)
     for batch in batches:
         for _, _, data, offsets in K.blocks(batch.column(0)):
-            for s in sets_of(data, offsets):
-                held.append(s)
-                size += len(s)
-            if size > PART:
-                yield part()
-                held.clear()
-                size = 0
-    yield part()
+            found = [s >> _COUNTER for s in sets_of(data, offsets)]
+            at, n = np.unique(np.concatenate(found), return_counts=True)
+            counts[at] += n
+    yield _chunks({i: counts[i * CHUNK : (i + 1) * CHUNK] for i in range(COUNTERS // CHUNK)})
 
 
-def common_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """Shingles that hold in about COMMON of the texts, sorted by hash.
+def _chunks(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    pack = zstandard.ZstdCompressor(level=1)
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack.compress(x.astype(np.int64).tobytes()) for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
-    Any shingle in that share of all texts is over the threshold in one part at least. The texts together have at most
-    (mean set size) / COMMON * 4 shingles with a quarter of that count, which bounds the list.
-    """
-    found = docs.select("t").mapInArrow(_common, "token long, n long, texts long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = found.filter(F.col("n") >= max(3, COMMON * n_docs / 4)).select("token").toArrow()["token"].to_numpy()
-    return np.sort(rows.view(np.uint64))
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack, sums = zstandard.ZstdDecompressor(), {}
+    for batch in batches:
+        for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(unpack.decompress(counts), np.int64)
+            sums[chunk] = sums[chunk] + x if chunk in sums else x
+    yield _chunks(sums)
+
+
+def frequency_levels(docs: DataFrame) -> np.ndarray:
+    """For each counter the level (half powers of two) of the number of texts; COUNTERS bytes whatever the corpus."""
+    kind = "chunk int, counts binary"
+    parts = docs.select("t").mapInArrow(_sketch, kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+    parts = parts.repartition("chunk", "salt").select("chunk", "counts").mapInArrow(_added, kind)
+    whole = parts.repartition("chunk").mapInArrow(_added, kind)
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    for row in whole.toLocalIterator():
+        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), np.int64)
+    return (2 * np.log2(out + 1)).astype(np.uint8)
 
 
 def _poster(shared, buckets: int):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
+        levels = shared.value
         seen: dict[int, int] = {}
         tokens, owner, place, size, names, sizes = [], [], [], 0, [], []
 
@@ -154,9 +163,9 @@ def _poster(shared, buckets: int):
                     if not len(s) or key in seen:
                         continue
                     seen[key] = 1
-                    last = np.isin(s, common) if len(common) else np.zeros(len(s), bool)
                     prefix = len(s) - (PERCENT * len(s) + 99) // 100 + 1
-                    first = np.concatenate([s[~last][:prefix], s[last]])[:prefix]
+                    order = (levels[s >> _COUNTER].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                    first = s[np.argsort(order, kind="stable")[:prefix]]
                     tokens.append(first)
                     place.append(np.minimum(np.arange(len(first)), 65535).astype(np.uint16))
                     names.append(key)
@@ -219,7 +228,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     named = written(rows.select("d", _classes(F.col("t")).alias("c"), F.xxhash64("t").alias("h")).select("d", "h", "c.n", "c.cls"), "classes")
     real = named.filter("n > 0 and d is not null")
     classes = real.groupBy("cls", "n").agg(F.min("d").alias("rep"), F.min(F.struct("d", "h")).alias("of"))
-    links = _links(spark, rows.filter("d is not null"), classes, named.count())
+    links = _links(spark, rows.filter("d is not null"), classes)
     found = components(links)
     of_class = classes.select("cls", "n", "rep").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -228,15 +237,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     return out.select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component_id", "d")).alias("component_id"))
 
 
-def _links(spark: SparkSession, rows: DataFrame, classes: DataFrame, n_docs: int) -> DataFrame:
+def _links(spark: SparkSession, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: links between classes, enough to connect every component."""
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = spark.sparkContext.broadcast(common_shingles(rows, n_docs))
+    shared = spark.sparkContext.broadcast(frequency_levels(rows))
     posts = rows.select("t").mapInArrow(_poster(shared, buckets), _POSTS)
     lists = written(posts.groupBy("bucket").applyInArrow(_lists, _LISTS), "lists")
     stars = lists.filter("cls <> pivot").filter(possible("n", "pivot_n", "place", "pivot_place"))
     pairs = stars.groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.first("pivot_n").alias("n"), F.first("n").alias("m")).checkpoint()
-    sets = _sets_of(rows, classes, pairs)
+    sets = _sets_of(rows, classes, lists)
     done = _verified(pairs, sets).checkpoint()
     links = done.filter("linked").select("a", "b")
 
@@ -250,15 +259,16 @@ def _links(spark: SparkSession, rows: DataFrame, classes: DataFrame, n_docs: int
     rest = left.select("part", "token", "cls", "n", "place", "component", F.coalesce("far", F.lit(float("nan"))).alias("far"))
     more = rest.groupBy("part").applyInArrow(_across, "a long, b long, n long, m long").distinct()
     more = more.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").checkpoint()
-    again = _verified(more, _sets_of(rows, classes, more))
+    again = _verified(more, sets)
     return links.unionByName(again.filter("linked").select("a", "b"))
 
 
-def _sets_of(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """cls, s: the sets of the classes that are in pairs, each from one text."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+def _sets_of(rows: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
+    """cls, s: the sets of the classes that are in lists, each from one text."""
+    wanted = lists.select("cls").distinct()
     of = classes.join(wanted, "cls", "left_semi").select("cls", F.col("of.d").alias("d"), F.col("of.h").alias("h"))
-    text = rows.withColumn("h", F.xxhash64("t")).join(of, ["d", "h"]).groupBy("cls", "d", "h").agg(F.first("t").alias("t"))
+    packed = rows.select("d", F.xxhash64("t").alias("h"), K.packed(F.col("t")).alias("t"))
+    text = packed.join(of, ["d", "h"]).groupBy("cls", "d", "h").agg(F.first("t").alias("t"))
     return written(text.select("cls", _sets(F.col("t")).alias("s")), "sets")
 
 

@@ -13,6 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 BLOCK_BYTES = 1 << 18
 #: The code points of white space.
@@ -194,3 +195,15 @@ def udf(ddl: str):
         return apply
 
     return wrap
+
+
+@udf("binary")
+def packed(texts: pa.Array) -> pa.Array:
+    """Texts compressed for the way through a shuffle."""
+    pack = zstandard.ZstdCompressor(level=3)
+    return pa.array([pack.compress(x.as_buffer()) if x.is_valid else None for x in texts], pa.binary())
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor()
+    return pa.array([unpack.decompress(x.as_buffer()) if x.is_valid else b"" for x in column], pa.large_binary())

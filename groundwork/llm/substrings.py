@@ -88,18 +88,6 @@ def _large(b: bytes, n: int) -> np.ndarray:
     return np.frombuffer(b, np.uint16 if len(b) == 2 * n else np.uint32).astype(np.int64)
 
 
-@K.udf("binary")
-def _packed(texts: pa.Array) -> pa.Array:
-    """Texts compressed for the way through a shuffle."""
-    pack = zstandard.ZstdCompressor(level=3)
-    return pa.array([pack.compress(x.as_buffer()) if x.is_valid else None for x in texts], pa.binary())
-
-
-def _unpacked(column: pa.Array) -> pa.Array:
-    unpack = zstandard.ZstdDecompressor()
-    return pa.array([unpack.decompress(x.as_buffer()) if x.is_valid else b"" for x in column], pa.large_binary())
-
-
 #: Bits of a trigger's hash that tell it from others of its bucket.
 _KEY = np.uint64(24)
 _TRIGGERS = "bucket int, n int, trigger binary, owner binary, d binary, h binary"
@@ -201,7 +189,7 @@ def _send_phrases(buckets: int):
         for batch in batches:
             ids, hs = _rows_of(batch)
             wanted = batch.column(3)
-            for lo, hi, data, offsets in K.blocks(_unpacked(batch.column(2))):
+            for lo, hi, data, offsets in K.blocks(K.unpacked(batch.column(2))):
                 start, strings, trigger, hashes = parse(data, offsets)
                 cut = np.searchsorted(start, offsets)
                 row = np.repeat(np.arange(hi - lo), np.diff(cut))
@@ -308,7 +296,7 @@ def _covered(table: pa.Table) -> pa.Table:
 def _cutter(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for text, ranges in batches:
         out = []
-        for raw, r in zip(_unpacked(text).to_pylist(), ranges.to_pylist(), strict=True):
+        for raw, r in zip(K.unpacked(text).to_pylist(), ranges.to_pylist(), strict=True):
             removed = spans = 0
             kept = [raw]
             if r:
@@ -332,7 +320,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     triggers = real.mapInArrow(_send_triggers(buckets), _TRIGGERS)
     shared = triggers.groupBy("bucket").applyInArrow(_shared_triggers, _SHARED)
     shared = shared.groupBy("d", "h").agg(F.flatten(F.collect_list("triggers")).alias("w"))  # bounded by the text's own length
-    packed = rows.select("d", "h", _packed(F.col("t")).alias("t"))
+    packed = rows.select("d", "h", K.packed(F.col("t")).alias("t"))
     phrases = packed.join(shared, ["d", "h"]).select("d", "h", "t", "w").mapInArrow(_send_phrases(buckets), _PHRASES)
     ranges = phrases.groupBy("bucket").applyInArrow(_covered, _RANGES)
     ranges = written(ranges.groupBy("d", "h").agg(F.flatten(F.collect_list("ranges")).alias("r")), "ranges")
