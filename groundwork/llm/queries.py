@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, jaccard, language, media, substrings, warc
+from . import bpe, decontaminate, html, jaccard, language, media, pii, substrings, toxicity, warc
 from .store import ready
 
 #: Where the public tokenizer's file lies; another place can be named in the session.
@@ -31,6 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs).select("doc_id", "pii.*")
+
+
+def learn_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame):
+    """A classifier of the labelled documents that learning may see."""
+    return toxicity.fit(docs, labels.filter(~language.held_out(F.col("doc_id"))))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn_toxicity(spark, docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
     learnt = docs.filter("not held_out")
@@ -75,6 +92,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
