@@ -3,7 +3,7 @@
 Payload digests are computed column-wise; headers (digest, id, length) are shuffled by digest, the record of the largest id in each
 group of equal payloads is the response, and the others join to it as revisits. Records are built as column
 expressions and written as archive files by Spark's text writer, whose line separator is the blank lines that end a
-WARC record; the payload of a revisit is not written. Archives are read as files of a bounded number of records.
+WARC record; the payload of a revisit is not written. Archives are compressed files of a bounded number of records, and read as such.
 
 Defined results: a null payload is empty; payloads under min_bytes are all responses; among repeated rows of the largest id one
 is the response and the others revisit it; a null id is smaller than any id, and is no id when read back; control signs and spaces in a URL are
@@ -13,6 +13,7 @@ percent-encoded; a null URL is written as urn:none; a damaged record is left out
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import unquote
@@ -94,7 +95,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: st
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    both.select(F.concat(head, block).alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", per_file).text(path)
+    both.select(F.concat(head, block).alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -141,7 +142,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 rows = []
-                for head, block in records(data.as_py()):
+                for head, block in records(gzip.decompress(data.as_py())):
                     rows.append(_parsed(head, block))
                     if len(rows) == 256:
                         yield pa.RecordBatch.from_pylist(rows, kind)
