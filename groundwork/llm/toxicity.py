@@ -224,8 +224,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     seen = few.mapInArrow(_counts(None, True), kind).groupBy("f").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT)
     wanted = np.sort(seen.select("f").toArrow()["f"].to_numpy().view(np.uint64))  # at most a SUPPORT-th of the sample's features
     counted = rows.mapInArrow(_counts(spark.sparkContext.broadcast(wanted), False), kind).groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    a, b, rest, others = F.col("pos") + 0.5, F.col("n") - F.col("pos") + 0.5, F.lit(float(pos)) - F.col("pos") + 0.5, F.lit(float(n - pos)) - F.col("n") + F.col("pos") + 0.5
-    clear = F.abs(F.log(a * others / (b * rest))) / F.sqrt(1 / a + 1 / b + 1 / rest + 1 / others)
+    # likelihood ratio of the two shares against one: clear for frequent and for one-sided features alike
+    a, size, base = F.col("pos").cast("double"), F.col("n").cast("double"), pos / n
+    part = lambda x, of, p: F.when(x > 0, x * F.ln(x / (of * p))).otherwise(0.0)
+    b, c, d = size - a, F.lit(float(pos)) - a, F.lit(float(n - pos)) - size + a
+    rest = F.lit(float(n)) - size
+    clear = part(a, size, base) + part(b, size, 1 - base) + part(c, rest, base) + part(d, rest, 1 - base)
     best = counted.select("f", clear.alias("z")).orderBy(F.desc("z"), "f").limit(features).toArrow()
     keys = np.sort(best["f"].to_numpy().view(np.uint64))
     shared = spark.sparkContext.broadcast(Classifier(keys, np.zeros(len(keys)), 0.0))
