@@ -200,7 +200,7 @@ def udf(ddl: str):
 @udf("binary")
 def packed(texts: pa.Array) -> pa.Array:
     """Texts compressed for the way through a shuffle."""
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=6)
     return pa.array([pack.compress(x.as_buffer()) if x.is_valid else None for x in texts], pa.binary())
 
 

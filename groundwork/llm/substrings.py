@@ -88,6 +88,15 @@ def _large(b: bytes, n: int) -> np.ndarray:
     return np.frombuffer(b, np.uint16 if len(b) == 2 * n else np.uint32).astype(np.int64)
 
 
+def _ids(x: np.ndarray) -> bytes:
+    """Numbers as compressed steps: ids mostly rise within a task."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(x, prepend=np.int64(0)).tobytes())
+
+
+def _ids_of(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64))
+
+
 #: Bits of a trigger's hash that tell it from others of its bucket.
 _KEY = np.uint64(24)
 _TRIGGERS = "bucket int, n int, trigger binary, owner binary, d binary, h binary"
@@ -108,7 +117,7 @@ def _send_triggers(buckets: int):
                 some = order[cuts[b] : cuts[b + 1]]
                 who, which = np.unique(owner[some], return_inverse=True)
                 own = (key[some] >> (np.uint64(64) - _KEY)).astype(np.int64)  # in order, so the steps between them are small
-                rows.append((b, len(own), _small(np.diff(own, prepend=0)), _small(which), ids[who].tobytes(), hs[who].tobytes()))
+                rows.append((b, len(own), _small(np.diff(own, prepend=0)), _small(which), _ids(ids[who]), hs[who].astype(np.uint32).tobytes()))
             for x in (d, h, triggers, sizes):
                 x.clear()
             cols = list(zip(*rows, strict=True)) or [()] * 6
@@ -142,8 +151,8 @@ def _shared_triggers(table: pa.Table) -> pa.Table:
     for n, t, o, x, y in zip(*(table[c].to_pylist() for c in ("n", "trigger", "owner", "d", "h")), strict=True):
         key.append(np.cumsum(_large(t, n)))
         owner.append(_large(o, n) + base)
-        d.append(np.frombuffer(x, np.int64))
-        h.append(np.frombuffer(y, np.int64))
+        d.append(_ids_of(x))
+        h.append(np.frombuffer(y, np.uint32).astype(np.int64))
         base += len(d[-1])
     key, owner, d, h = (np.concatenate(x) for x in (key, owner, d, h))
     order = np.argsort(key, kind="stable")
@@ -179,8 +188,8 @@ def _send_phrases(buckets: int):
                 _, one, which = np.unique(phrase[some], return_index=True, return_inverse=True)
                 one = some[one]
                 who, mine = np.unique(owner[some], return_inverse=True)
-                text = zstandard.ZstdCompressor(level=3).compress(K.gather(data, place[one], strings[one] + LENGTH - 1).tobytes())
-                rows.append((b, len(some), (trigger[one] >> np.uint64(32)).astype(np.uint32).tobytes(), _small(strings[one]), text, _small(which), _small(mine), _small(at[some]), ids[who].tobytes(), hs[who].tobytes()))
+                text = zstandard.ZstdCompressor(level=6).compress(K.gather(data, place[one], strings[one] + LENGTH - 1).tobytes())
+                rows.append((b, len(some), (trigger[one] >> np.uint64(32)).astype(np.uint32).tobytes(), _small(strings[one]), text, _small(which), _small(mine), _small(at[some]), _ids(ids[who]), hs[who].astype(np.uint32).tobytes()))
             for x in (d, h, parts):
                 x.clear()
             cols = list(zip(*rows, strict=True)) or [()] * 10
@@ -247,8 +256,8 @@ def _covered(table: pa.Table) -> pa.Table:
         ends = np.cumsum(strings + LENGTH - 1)
         phrase = K.Hashes(data).spans(ends - strings - LENGTH + 1, ends)
         parts.append((trigger, phrase, strings, data, _large(which, n) + phrases, _large(owner, n) + texts, _large(at, n)))
-        d.append(np.frombuffer(x, np.int64))
-        h.append(np.frombuffer(y, np.int64))
+        d.append(_ids_of(x))
+        h.append(np.frombuffer(y, np.uint32).astype(np.int64))
         phrases, texts = phrases + len(phrase), texts + len(d[-1])
     trigger, phrase, strings, data, which, owner, at = (np.concatenate(x) for x in zip(*parts, strict=True))
     d, h = np.concatenate(d), np.concatenate(h)
@@ -315,7 +324,7 @@ def _cutter(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256 for each row."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"), F.col(text).alias("t"))
     real = rows.filter(f"d is not null and octet_length(t) >= {LENGTH}")
     triggers = real.mapInArrow(_send_triggers(buckets), _TRIGGERS)
     shared = triggers.groupBy("bucket").applyInArrow(_shared_triggers, _SHARED)
