@@ -1,7 +1,7 @@
 """Registered queries by family."""
 
-from groundwork.plans import series_queries
+from groundwork.plans import series_queries, structure_queries, text_queries
 
-_FAMILIES = (series_queries,)
+_FAMILIES = (series_queries, text_queries, structure_queries)
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL = {name: sql for family in _FAMILIES for name, sql in family.ORACLE_SQL.items()}
