@@ -2,14 +2,14 @@
 
 1. A text's set is hashed; texts with equal sets form a class, and all further work is on classes.
 2. A sketch of COUNTERS counters tells roughly how many texts have a shingle; its levels, then hashes, give a global
-   order from rare to frequent (any one order is exact). Two classes that link share a shingle among the first
-   n - ceil(0.75 n) + 1 of each, so Python tasks post only those, packed by bucket of the shingle.
-3. A task of a bucket builds the index lists, blocked by set size and position. Lists of one class are
-   dropped. In each other list every class is compared with one pivot only (blocks that size or position rule out
-   are skipped), and the exact overlaps are computed.
+   order from rare to frequent (any one order is exact). Two classes that link share c = common(n) shingles among the first
+   n - ceil(0.75 n) + c of each (n: the smaller size), so Python tasks post only those, packed by bucket of the shingle.
+3. A task of a bucket builds the index lists, blocked by set size and position. Lists of one class are dropped, then
+   classes that are left in too few lists. In each list every class is compared with one pivot only (blocks that size or
+   position rule out are skipped), and the exact overlaps of pairs with enough common lists are computed.
 4. Answers are then derived from the pivot's: classes linked to a pivot are one component and need no comparison
    among themselves; of two classes in different components, the known distances to their pivot bound their distance
-   from below, and pairs which the bound rules out are skipped. What is left is compared exactly.
+   from below, and pairs which the bound rules out are skipped. Pairs with enough common lists are compared exactly.
 
 So no pair is lost, and a group of copies costs a comparison for each member. Defined results: texts without
 words have empty sets and link with nothing; fewer than five words are one shingle; rows without id get their set's size
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -37,6 +37,8 @@ PERCENT = 75
 COUNTERS = 1 << 22
 CHUNK = 1 << 16
 _COUNTER = np.uint64(64 - 22)
+#: For so many shingles of a set its prefix is longer by one, and has one more in common with that of a linked set.
+STEP = 25
 #: Postings that a task holds before it hands them on.
 PART = 1_000_000
 _TOKEN_BITS = np.uint64(32)
@@ -57,6 +59,11 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> Iterat
             yield np.empty(0, np.uint64)
 
 
+def common(n):
+    """Shingles that the prefixes of two linked sets have in common, the smaller set's size being n."""
+    return 1 + n // STEP
+
+
 def _key(s: np.ndarray) -> int:
     """A 63-bit name of a set."""
     return int(K.mix(s).sum(dtype=np.uint64) + np.uint64(len(s)) * np.uint64(0x9E3779B97F4A7C15 & 0xFFFFFFFF)) >> 1
@@ -163,7 +170,7 @@ def _poster(shared, buckets: int):
                     if not len(s) or key in seen:
                         continue
                     seen[key] = 1
-                    prefix = len(s) - (PERCENT * len(s) + 99) // 100 + 1
+                    prefix = min(len(s), len(s) - (PERCENT * len(s) + 99) // 100 + common(len(s)))
                     order = (levels[s >> _COUNTER].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                     first = s[np.argsort(order, kind="stable")[:prefix]]
                     tokens.append(first)
@@ -179,11 +186,19 @@ def _poster(shared, buckets: int):
 
 
 _POSTS = "bucket int, token binary, owner binary, place binary, cls binary, n binary"
-_LISTS = "token long, cls long, n long, place int, pivot long, pivot_n long, pivot_place int"
+_LISTS = "bucket int, token long, cls long, n long, place int"
+_PIVOTS = _LISTS + ", pivot long, pivot_n long, pivot_place int"
+
+
+def _several(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted tokens: the first row of each row's list, and whether the list has more rows."""
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    size = np.diff(np.r_[first, len(token)])
+    return np.repeat(first, size), np.repeat(size > 1, size)
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """The index lists of a bucket that hold more than one class, each with its pivot."""
+    """The index lists of a bucket that hold more than one class."""
     parts = []
     for token, owner, place, cls, n in zip(*(table[c].to_pylist() for c in ("token", "owner", "place", "cls", "n")), strict=True):
         cls, n = np.frombuffer(cls, np.int64), np.frombuffer(n, np.uint32)
@@ -195,13 +210,21 @@ def _lists(table: pa.Table) -> pa.Table:
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
     token, cls, n, place = token[new], cls[new], n[new], place[new]
-    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    size = np.diff(np.r_[first, len(token)])
-    some = np.repeat(size > 1, size)
-    pivot = np.repeat(first, size)[some]  # the smallest name: the same in all lists of a group of copies
+    _, some = _several(token)
     bucket = table["bucket"][0].as_py()
-    cols = [(token[some].astype(np.int64) << 31) + bucket, cls[some], n[some].astype(np.int64), place[some].astype(np.int32), cls[pivot], n[pivot].astype(np.int64), place[pivot].astype(np.int32)]
-    return pa.table(dict(zip(("token", "cls", "n", "place", "pivot", "pivot_n", "pivot_place"), map(pa.array, cols), strict=True)))
+    cols = [np.full(int(some.sum()), bucket, np.int32), (token[some].astype(np.int64) << 31) + bucket, cls[some], n[some].astype(np.int64), place[some].astype(np.int32)]
+    return pa.table(dict(zip(("bucket", "token", "cls", "n", "place"), map(pa.array, cols), strict=True)))
+
+
+def _pivots(table: pa.Table) -> pa.Table:
+    """The lists of a bucket that still hold more than one class, each with the class of the smallest name as its pivot: the
+    same one in all lists of a group of copies."""
+    table = table.sort_by([("token", "ascending"), ("cls", "ascending")])
+    pivot, some = _several(table["token"].to_numpy())
+    kept, of = table.filter(pa.array(some)), table.take(pa.array(pivot[some]))
+    for name, column in (("pivot", "cls"), ("pivot_n", "n"), ("pivot_place", "place")):
+        kept = kept.append_column(name, of[column])
+    return kept
 
 
 def possible(n: str, m: str, i: str, j: str):
@@ -237,14 +260,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     return out.select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component_id", "d")).alias("component_id"))
 
 
+def _enough(n: Column) -> Column:
+    """common() of a column."""
+    return 1 + F.floor(n / STEP)
+
+
 def _links(spark: SparkSession, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: links between classes, enough to connect every component."""
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(frequency_levels(rows))
     posts = rows.select("t").mapInArrow(_poster(shared, buckets), _POSTS)
     lists = written(posts.groupBy("bucket").applyInArrow(_lists, _LISTS), "lists")
+    able = lists.groupBy("cls").agg(F.count("*").alias("k"), F.first("n").alias("n")).filter(F.col("k") >= _enough(F.col("n") * PERCENT / 100))
+    lists = written(lists.join(able.select("cls"), "cls", "left_semi").select("bucket", "token", "cls", "n", "place").groupBy("bucket").applyInArrow(_pivots, _PIVOTS), "pivots")
     stars = lists.filter("cls <> pivot").filter(possible("n", "pivot_n", "place", "pivot_place"))
-    pairs = stars.groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.first("pivot_n").alias("n"), F.first("n").alias("m")).checkpoint()
+    pairs = stars.groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.first("pivot_n").alias("n"), F.first("n").alias("m"), F.count("*").alias("k"))
+    pairs = pairs.filter(F.col("k") >= _enough(F.least("n", "m"))).drop("k").checkpoint()
     sets = _sets_of(rows, classes, lists)
     done = _verified(pairs, sets).checkpoint()
     links = done.filter("linked").select("a", "b")
@@ -255,9 +286,13 @@ def _links(spark: SparkSession, rows: DataFrame, classes: DataFrame) -> DataFram
     mixed = open_lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
     known = done.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), "far")
     left = open_lists.join(mixed, "token", "left_semi").join(known, ["pivot", "cls"], "left").withColumn("far", F.when(F.col("cls") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
-    left = left.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(buckets)))
-    rest = left.select("part", "token", "cls", "n", "place", "component", F.coalesce("far", F.lit(float("nan"))).alias("far"))
-    more = rest.groupBy("part").applyInArrow(_across, "a long, b long, n long, m long").distinct()
+    rest = left.select("bucket", "token", "cls", "n", "place", "component", F.coalesce("far", F.lit(float("nan"))).alias("far"))
+    met = rest.groupBy("bucket").applyInArrow(_across, "a long, b long, n long, m long, k long")
+    more = met.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("k").alias("k"))
+    # behind the prefix that ends first there are no more common shingles than it leaves of its set
+    behind = lambda c: F.greatest(F.ceil(F.col(c) * PERCENT / 100) - _enough(F.col(c)), F.lit(0))
+    need = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT))
+    more = more.filter((F.col("k") >= _enough(F.least("n", "m"))) & (F.col("k") >= need - F.greatest(behind("n"), behind("m")))).drop("k")
     more = more.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").checkpoint()
     again = _verified(more, sets)
     return links.unionByName(again.filter("linked").select("a", "b"))
@@ -273,15 +308,25 @@ def _sets_of(rows: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of one list in different components that size, position and pivot distances leave possible."""
+    """Pairs of classes in different components that size, position and pivot distances leave possible, with the number of
+    lists of a bucket (or of a part of them) where they meet."""
     table = pa.Table.from_batches(batches)
     token, cls, n, place, part, far = (table[c].to_numpy() for c in ("token", "cls", "n", "place", "component", "far"))
     order = np.lexsort((n, token))
     token, cls, n, place, part, far = (x[order] for x in (token, cls, n, place, part, far))
+    names, one, which = np.unique(cls, return_index=True, return_inverse=True)
+    size = n[one]
     first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     limit = 1 - PERCENT / 100 + 1e-9
-    seen: set[tuple[int, int]] = set()
-    out: list[tuple[int, int, int, int]] = []
+    held: list[np.ndarray] = []
+    total = 0
+
+    def flush() -> pa.RecordBatch:
+        keys, k = np.unique(np.concatenate([*held, np.empty(0, np.int64)]), return_counts=True)
+        a, b = keys // len(names), keys % len(names)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (names[a], names[b], size[a], size[b], k)], ["a", "b", "n", "m", "k"])
+
     for lo, hi in zip(first.tolist(), np.r_[first[1:], len(token)].tolist(), strict=True):
         for i in range(lo, hi - 1):
             top = int(np.searchsorted(n[lo:hi], n[i] * 100 // PERCENT, side="right")) + lo  # later blocks are too large
@@ -289,21 +334,10 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = part[j] != part[i]
             ok &= ~(np.abs(far[j] - far[i]) > limit)
             ok &= (place[j] >= 65535) | (place[i] >= 65535) | (np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j]) + 1e-6 >= PERCENT * (n[i] + n[j]) / (100 + PERCENT))
-            for k in j[ok].tolist():
-                a, b, x, y = int(cls[i]), int(cls[k]), int(n[i]), int(n[k])
-                if a > b:
-                    a, b, x, y = b, a, y, x
-                if (a, b) not in seen:
-                    seen.add((a, b))
-                    out.append((a, b, x, y))
-            if len(out) > 50_000:
-                yield _batch(out)
-                out = []
-                if len(seen) > 1_000_000:
-                    seen.clear()
-    yield _batch(out)
-
-
-def _batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "n", "m"])
+            j = which[j[ok]]
+            held.append(np.minimum(j, which[i]) * len(names) + np.maximum(j, which[i]))
+            total += len(j)
+            if total > 2_000_000:
+                yield flush()
+                total = 0
+    yield flush()
