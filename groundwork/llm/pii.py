@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .store import written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -177,8 +178,8 @@ def _graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def discover(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """d (the id as text), h (hash of the text), added: the spans (kind, start, end) that the bootstrap finds, by text."""
     rows = docs.select(F.col(id_col).cast("string").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).filter("t is not null")
-    seen = rows.mapInArrow(_graph, "d string, h long, s int, e int, pattern string, instance string, kind string, seed boolean").checkpoint()
-    edges = seen.groupBy("pattern", "instance", "kind").agg(F.max("seed").alias("seed")).checkpoint()
+    seen = written(rows.mapInArrow(_graph, "d string, h long, s int, e int, pattern string, instance string, kind string, seed boolean"), "mentions")
+    edges = written(seen.groupBy("pattern", "instance", "kind").agg(F.max("seed").alias("seed")), "graph")
     known = edges.filter("seed").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     lexical = edges.filter("pattern <> ''")
     spread = lexical.groupBy("pattern").agg(F.count_distinct("instance").alias("instances")).filter(F.col("instances") >= SUPPORT)
@@ -188,11 +189,12 @@ def discover(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rounds
         against = F.col("known_mass") + UNKNOWN * F.greatest(F.col("instances") - F.col("known"), F.lit(0)) + CAUTION
         good = good.filter(F.col("support") >= SUPPORT).join(all_kinds, "pattern").join(spread, "pattern").withColumn("trust", F.col("mass") / against).filter(F.col("trust") >= ACCEPT)
         found = lexical.filter("not seed").join(good.select("pattern", "kind", "trust"), ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.0000001 - F.col("trust"))))).alias("score"))
-        known = known.unionByName(found.filter(F.col("score") >= ACCEPT)).groupBy("instance", "kind").agg(F.max("score").alias("score")).checkpoint()
+        known = written(known.unionByName(found.filter(F.col("score") >= ACCEPT)).groupBy("instance", "kind").agg(F.max("score").alias("score")), "known")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     best = known.groupBy("instance").agg(F.max_by("kind", F.struct("score", -order)).alias("kind"))
     hits = seen.filter("not seed and pattern = ''").join(best, ["instance", "kind"]).select("d", "h", "kind", "s", "e").distinct()
-    return hits.groupBy("d", "h").agg(F.collect_list(F.struct(F.col("kind"), F.col("s").alias("start"), F.col("e").alias("end"))).alias("added"))  # bounded by the text
+    added = hits.groupBy("d", "h").agg(F.collect_list(F.struct(F.col("kind"), F.col("s").alias("start"), F.col("e").alias("end"))).alias("added"))  # bounded by the text
+    return written(added, "added")  # of a known size: Spark broadcasts it where it's small, and joins by shuffle else
 
 
 def _told(spans: list[tuple[str, int, int]]) -> str:
