@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.functions.rng import uniform_sql
-from groundwork.operators import nulls, predict
+from groundwork.operators import nulls, predict, regimes
 from groundwork.operators import series as S
 
 WINDOW, DRAWS = 8, 16
@@ -64,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "place_observation": lambda spark, sf_dir: _rounded(place(spark, sf_dir), "observed", "rank"),
     "apertures": _apertures,
     "disagreement": _disagreement,
+    "regimes": lambda spark, sf_dir: _rounded(regimes.segments(regimes.regimes(events(spark, sf_dir))), "mean"),
     "baselines": lambda spark, sf_dir: _rounded(_predicted(spark, sf_dir), "v", "mean", "sd"),
     "scores": _scored,
     "ledger_gain": lambda spark, sf_dir: predict.ledger(_predicted(spark, sf_dir), 12).withColumns({"loss": F.round("loss", 4), "gain": F.round("gain", 4)}),
