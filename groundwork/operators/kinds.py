@@ -30,3 +30,12 @@ def adjusted_rand(labels: DataFrame) -> DataFrame:
     sums = cells.agg(F.sum(two("n")).alias("both"), F.sum("n").alias("total")).crossJoin(side("a", "x")).crossJoin(side("b", "y"))  # a row each
     expected = F.col("x") * F.col("y") / two("total")
     return sums.select(F.try_divide(F.col("both") - expected, (F.col("x") + F.col("y")) / 2 - expected).alias("ari"))
+
+
+def weighted_jaccard(weights: DataFrame) -> DataFrame:
+    """a, b, similarity: the lesser over the greater weights of records (id, field, w) with a common field."""
+    total = weights.groupBy("id").agg(F.sum("w").alias("t"))
+    a, b = weights.selectExpr("id a", "field", "w x"), weights.selectExpr("id b", "field", "w y")
+    both = a.join(b, "field").filter("a < b").groupBy("a", "b").agg(F.sum(F.least("x", "y")).alias("low"))
+    sized = both.join(total.selectExpr("id a", "t ta"), "a").join(total.selectExpr("id b", "t tb"), "b")
+    return sized.select("a", "b", (F.col("low") / (F.col("ta") + F.col("tb") - F.col("low"))).alias("similarity"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions.rng import uniform
-from groundwork.operators.series import burstiness
+from groundwork.operators.series import burstiness, irreversibility, permutation_entropy
 
 #: Shares of samples at or over an observation that make a verdict contested.
 LOW, HIGH = 0.1, 0.9
@@ -36,10 +36,13 @@ def shuffled(s: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     return drawn.select("sid", "draw", (F.row_number().over(w) - 1).cast("long").alias("i"), "v")
 
 
-def ground(s: DataFrame, draws: int, window: int, perturbation: str = "shuffle", seed: int = 0) -> DataFrame:
-    """Burstiness of every draw."""
-    made = {"shuffle": shuffled, "resample": resampled}[perturbation](s, draws, seed)
-    return burstiness(made, window, ["sid", "draw"])
+STATISTICS = {"burstiness": burstiness, "permutation_entropy": permutation_entropy, "irreversibility": irreversibility}
+PERTURBATIONS = {"shuffle": shuffled, "resample": resampled}
+
+
+def ground(s: DataFrame, draws: int, window: int, perturbation: str = "shuffle", seed: int = 0, statistic: str = "burstiness") -> DataFrame:
+    """A statistic of every draw."""
+    return STATISTICS[statistic](PERTURBATIONS[perturbation](s, draws, seed), window, ["sid", "draw"])
 
 
 def extreme_ground(s: DataFrame, draws: int, window: int, n: int, direction: str = "above", seed: int = 0) -> DataFrame:
@@ -80,3 +83,13 @@ def disagreement(placed: DataFrame) -> DataFrame:
         ((F.count_if(F.col("gap").isNotNull()) > 0) & (F.count("rank") > 0)).alias("split"),
         (F.max("rank") - F.min("rank")).alias("spread"),
     )
+
+
+def temporality(s: DataFrame, draws: int, window: int, seed: int = 0) -> DataFrame:
+    """sid, temporality: exchangeable if the order of the values is like that of shuffles, else arrowed or reversible by whether
+    the series differs from its reversal more than shuffles do; unstable if it is less ordered than all shuffles."""
+    placed = lambda name, start: difference(STATISTICS[name](s, window), ground(s, draws, window, "shuffle", start, name))
+    order = placed("permutation_entropy", seed).select("sid", F.col("gap").alias("gap"), F.col("re_zero").alias("above"))
+    arrow = placed("irreversibility", seed + draws).select("sid", F.col("re_zero").alias("arrow"))
+    kind = F.when(F.col("gap") == "degenerate_ground", "void").when(F.col("above"), "unstable").when(F.col("gap").isNull(), "exchangeable").when(F.col("arrow"), "arrowed").otherwise("reversible")
+    return order.join(arrow, "sid").select("sid", kind.alias("temporality"))

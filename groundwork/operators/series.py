@@ -43,25 +43,27 @@ def max_deviation(s: DataFrame) -> DataFrame:
     return s.join(middle, "sid").groupBy("sid").agg(F.max(F.abs(F.col("v") - F.col("m"))).alias("stat"))
 
 
-def ordinal_patterns(s: DataFrame, window: int) -> DataFrame:
-    """sid, key, n: how often the values of a window stand in each order; ties keep the order of the places."""
-    w = _by(["sid"])
+def ordinal_patterns(s: DataFrame, window: int, keys: list[str] | None = None) -> DataFrame:
+    """keys, key, n: how often the values of a window stand in each order; ties keep the order of the places."""
+    keys = keys or ["sid"]
+    w = _by(keys)
     pairs = F.array(*(F.struct(F.lead("v", j).over(w).alias("v"), F.lit(j).alias("j")) for j in range(window)))
     full = s.withColumn("last", F.lead("i", window - 1).over(w)).withColumn("p", pairs).filter("last is not null")
     key = F.concat_ws("", F.transform(F.array_sort("p"), lambda x: x["j"].cast("string")))
-    return full.groupBy("sid", key.alias("key")).agg(F.count("*").alias("n"))
+    return full.groupBy(*keys, key.alias("key")).agg(F.count("*").alias("n"))
 
 
-def _licensed_patterns(patterns: DataFrame, window: int) -> DataFrame:
+def _licensed_patterns(patterns: DataFrame, window: int, keys: list[str]) -> DataFrame:
     """Shares of the patterns of series that have at least as many windows as there are orders."""
-    total = Window.partitionBy("sid")
+    total = Window.partitionBy(*keys)
     return patterns.withColumn("total", F.sum("n").over(total)).filter(F.col("total") >= math.factorial(window)).withColumn("p", F.col("n") / F.col("total"))
 
 
-def permutation_entropy(s: DataFrame, window: int) -> DataFrame:
+def permutation_entropy(s: DataFrame, window: int, keys: list[str] | None = None) -> DataFrame:
     """Entropy of the ordinal patterns as a share of its greatest value."""
-    p = _licensed_patterns(ordinal_patterns(s, window), window)
-    return p.groupBy("sid").agg((-F.sum(F.col("p") * F.ln("p")) / math.log(math.factorial(window))).alias("stat"))
+    keys = keys or ["sid"]
+    p = _licensed_patterns(ordinal_patterns(s, window, keys), window, keys)
+    return p.groupBy(*keys).agg((-F.sum(F.col("p") * F.ln("p")) / math.log(math.factorial(window))).alias("stat"))
 
 
 def reversed_key(key: Column, window: int) -> Column:
@@ -69,19 +71,26 @@ def reversed_key(key: Column, window: int) -> Column:
     return F.translate(key, "".join(map(str, range(window))), "".join(map(str, reversed(range(window)))))
 
 
-def irreversibility(s: DataFrame, window: int) -> DataFrame:
+def irreversibility(s: DataFrame, window: int, keys: list[str] | None = None) -> DataFrame:
     """Jensen-Shannon divergence in bits between the patterns and those of the series read backwards."""
-    p = _licensed_patterns(ordinal_patterns(s, window), window).select("sid", "key", "p")
-    q = p.select("sid", reversed_key(F.col("key"), window).alias("key"), F.col("p").alias("q"))
-    both = p.join(q, ["sid", "key"], "full_outer").na.fill(0.0, ["p", "q"]).withColumn("m", (F.col("p") + F.col("q")) / 2)
+    keys = keys or ["sid"]
+    p = _licensed_patterns(ordinal_patterns(s, window, keys), window, keys).select(*keys, "key", "p")
+    q = p.select(*keys, reversed_key(F.col("key"), window).alias("key"), F.col("p").alias("q"))
+    both = p.join(q, [*keys, "key"], "full_outer").na.fill(0.0, ["p", "q"]).withColumn("m", (F.col("p") + F.col("q")) / 2)
     term = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / F.col("m"))).otherwise(0.0)
-    return both.groupBy("sid").agg((0.5 * F.sum(term("p")) + 0.5 * F.sum(term("q"))).alias("stat"))
+    return both.groupBy(*keys).agg((0.5 * F.sum(term("p")) + 0.5 * F.sum(term("q"))).alias("stat"))
+
+
+def coarsen(s: DataFrame, width: int) -> DataFrame:
+    """The series of sliding means, shorter by width - 1."""
+    return sliding_means(s, width).withColumnRenamed("mean", "v")
 
 
-def coarsen(s: DataFrame, size: int) -> DataFrame:
-    """Means of consecutive full blocks as a new series."""
-    block = F.floor(F.col("i") / size)
-    return s.groupBy("sid", block.alias("b")).agg(F.avg("v").alias("v"), F.count("*").alias("n")).filter(F.col("n") == size).select("sid", F.col("b").alias("i"), "v")
+def hop_windows(s: DataFrame, width: int, hop: int) -> DataFrame:
+    """sid, start, n, mean of the windows [start, start + width) for every hop-th start; each value is counted in all of its windows."""
+    first = F.greatest(F.ceil((F.col("i") - width + 1) / hop), F.lit(0))
+    starts = F.transform(F.sequence(first, F.floor(F.col("i") / hop)), lambda k: k * hop)
+    return s.select("sid", "v", F.explode(starts).alias("start")).groupBy("sid", "start").agg(F.count("*").alias("n"), F.avg("v").alias("mean")).filter(F.col("n") == width)
 
 
 def islands(s: DataFrame, above: float) -> DataFrame:

@@ -87,3 +87,33 @@ def budget_fold(ranked: DataFrame, costs: DataFrame, budget: int = 2400, most: i
     w = Window.partitionBy("query").orderBy("rank")
     cost = F.ceil(F.col("n_chars") / 4)
     return ranked.join(costs.select("doc", cost.alias("cost")), "doc").withColumn("spent", F.sum("cost").over(w)).filter((F.col("spent") <= budget) & (F.col("rank") <= most)).select("query", "doc", "rank", "spent")
+
+
+def frequency_bands(t: DataFrame, floor: int, ceiling: int) -> DataFrame:
+    """form, n, band: rare under the floor, function over the ceiling, content between."""
+    band = F.when(F.col("n") < floor, "rare").when(F.col("n") > ceiling, "function").otherwise("content")
+    return frequencies(t).withColumn("band", band)
+
+
+def first_recurrence(t: DataFrame) -> DataFrame:
+    """doc, form, first, again: the earliest place of each text where a form comes for the second time."""
+    w = Window.partitionBy("doc", "form").orderBy("pos")
+    seconds = t.withColumn("k", F.row_number().over(w)).withColumn("first", F.first("pos").over(w)).filter("k = 2")
+    return seconds.groupBy("doc").agg(F.min(F.struct("pos", "form", "first")).alias("r")).select("doc", "r.form", "r.first", F.col("r.pos").alias("again"))
+
+
+def continuations(t: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """context, form, n, p: how often a form follows another in its text, smoothed over all forms."""
+    w = Window.partitionBy("doc").orderBy("pos")
+    pairs = t.withColumn("context", F.lag("form").over(w)).filter("context is not null").groupBy("context", "form").agg(F.count("*").alias("n"))
+    size = t.agg(F.count_distinct("form").alias("forms"))  # one row
+    total = pairs.groupBy("context").agg(F.sum("n").alias("total"))
+    return pairs.join(total, "context").crossJoin(F.broadcast(size)).select("context", "form", "n", ((F.col("n") + alpha) / (F.col("total") + alpha * F.col("forms"))).alias("p"))
+
+
+def sequence_loss(t: DataFrame, belief: DataFrame, unseen: float) -> DataFrame:
+    """doc, n, loss: the summed negative log of each form's share after the one before it; unseen pairs take a share of their own."""
+    w = Window.partitionBy("doc").orderBy("pos")
+    steps = t.withColumn("context", F.lag("form").over(w)).filter("context is not null")
+    said = steps.join(belief.select("context", "form", "p"), ["context", "form"], "left")
+    return said.groupBy("doc").agg(F.count("*").alias("n"), F.sum(-F.ln(F.coalesce("p", F.lit(unseen)))).alias("loss"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwork.operators import agreement, components, kinds, log, reason
 from groundwork.operators import graph as G
-from groundwork.operators import kinds, log, reason
 
 GAMMA, CURSOR, READS = 0.95, 5000, ["click", "view"]
 
@@ -67,6 +67,21 @@ def _at_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reason.at_risk(p, p.select("id", (F.col("id") - 1).alias("on")))
 
 
+def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that one customer gave in one month, as chains."""
+    from pyspark.sql import Window
+
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or "/tmp/groundwork-checkpoints")
+    w = Window.partitionBy("o_custkey", F.date_format("o_orderdate", "yyyy-MM")).orderBy("o_orderkey")
+    links = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.lag("o_orderkey").over(w).alias("b")).filter("b is not null")
+    return components.components(links)
+
+
+def _brand_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("id"), F.col("p_type").alias("field")).agg(F.count("*").alias("w"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "decayed_edges": lambda spark, sf_dir: _weight(_edges(spark, sf_dir)),
     "node_weights": lambda spark, sf_dir: _weight(G.node_weights(_edges(spark, sf_dir))),
@@ -79,6 +94,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prevalence": lambda spark, sf_dir: kinds.prevalence(_attributes(spark, sf_dir)).withColumn("share", F.round("share", 9)),
     "profile_pairs": lambda spark, sf_dir: kinds.profile_pairs(_attributes(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 9)),
     "adjusted_rand": lambda spark, sf_dir: kinds.adjusted_rand(_read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("a"), F.col("c_nationkey").alias("b"))).withColumn("ari", F.round("ari", 9)),
+    "weighted_jaccard": lambda spark, sf_dir: kinds.weighted_jaccard(_brand_weights(spark, sf_dir)).withColumn("similarity", F.round("similarity", 9)),
+    "components": _components,
+    "two_by_two": lambda spark, sf_dir: agreement.two_by_two(_read(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))).withColumns({c: F.round(c, 6) for c in ("agreement", "chi_square", "phi")}),
+    "leading_digits": lambda spark, sf_dir: agreement.leading_digits(_read(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice").withColumn("chi_square", F.round("chi_square", 4)),
+    "correlations": lambda spark, sf_dir: agreement.correlations(_read(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice", "l_discount").withColumns({c: F.round(c, 6) for c in ("pearson", "partial")}),
     "as_of": lambda spark, sf_dir: log.as_of(_log(spark, sf_dir), CURSOR),
     "lens_view": lambda spark, sf_dir: log.lens(_log(spark, sf_dir), READS, CURSOR),
     "discarded_types": lambda spark, sf_dir: log.discarded_types(_log(spark, sf_dir), READS, CURSOR),
@@ -120,6 +140,17 @@ SELECT c.a, c.b, round(k / (x.n + y.n - k), 9) AS jaccard, CASE WHEN k = y.n AND
     "adjusted_rand": """WITH c AS (SELECT c_mktsegment AS a, c_nationkey AS b, count(*) AS n FROM customer GROUP BY ALL),
 s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS k, (SELECT sum(n) FROM c) AS t, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY a)) AS x, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY b)) AS y)
 SELECT round((k - x * y / (t * (t - 1) / 2)) / ((x + y) / 2 - x * y / (t * (t - 1) / 2)), 9) AS ari FROM s""",
+    "weighted_jaccard": """WITH w AS (SELECT p_brand AS id, p_type AS field, count(*) AS w FROM part GROUP BY ALL), t AS (SELECT id, sum(w) AS t FROM w GROUP BY id),
+c AS (SELECT x.id AS a, y.id AS b, sum(least(x.w, y.w)) AS low FROM w x JOIN w y USING (field) WHERE x.id < y.id GROUP BY ALL)
+SELECT a, b, round(low / (x.t + y.t - low), 9) AS similarity FROM c JOIN t x ON x.id = a JOIN t y ON y.id = b""",
+    "components": "SELECT o_orderkey AS node, component FROM (SELECT o_orderkey, min(o_orderkey) OVER w AS component, count(*) OVER w AS k FROM orders WINDOW w AS (PARTITION BY o_custkey, strftime(o_orderdate, '%Y-%m'))) WHERE k > 1",
+    "two_by_two": """WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1)::DOUBLE AS p, count(*) FILTER (quality = 1 AND toxic <> 1)::DOUBLE AS q, count(*) FILTER (quality <> 1 AND toxic = 1)::DOUBLE AS r, count(*) FILTER (quality <> 1 AND toxic <> 1)::DOUBLE AS s FROM labels),
+d AS (SELECT *, p + q + r + s AS n, (p * s - q * r) / sqrt((p + q) * (r + s) * (p + r) * (q + s)) AS phi FROM c)
+SELECT n::BIGINT AS n, round((p + s) / n, 6) AS agreement, round(n * phi * phi, 6) AS chi_square, round(phi, 6) AS phi FROM d""",
+    "leading_digits": """WITH d AS (SELECT o_orderpriority, CAST(substring(CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR), 1, 1) AS INT) AS digit, count(*) AS k FROM orders WHERE o_totalprice >= 1 GROUP BY ALL)
+SELECT o_orderpriority, sum(k) AS n, round(sum(k * k / log10(1 + 1 / digit)) / sum(k) - sum(k), 4) AS chi_square FROM d GROUP BY o_orderpriority""",
+    "correlations": """WITH r AS (SELECT l_returnflag, corr(l_quantity, l_extendedprice) AS xy, corr(l_quantity, l_discount) AS xz, corr(l_extendedprice, l_discount) AS yz FROM lineitem GROUP BY l_returnflag)
+SELECT l_returnflag, round(xy, 6) AS pearson, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS partial FROM r""",
     "as_of": f"WITH {_LOG} SELECT * FROM g WHERE tick < {CURSOR}",
     "lens_view": f"WITH {_LOG} SELECT * FROM g WHERE tick < {CURSOR} AND type IN ('click', 'view')",
     "discarded_types": f"WITH {_LOG} SELECT type, count(*) AS n FROM g WHERE tick < {CURSOR} AND type NOT IN ('click', 'view') GROUP BY type",
