@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .components import components
+from groundwork.operators.components import components
 from .store import written
 
 WORDS = 5
