@@ -5,11 +5,11 @@
    order from rare to frequent (any one order is exact). Two classes that link share c = common(n) shingles among the first
    n - ceil(0.75 n) + c of each (n: the smaller size), so Python tasks post only those, packed by bucket of the shingle.
 3. A task of a bucket builds the index lists, blocked by set size and position. Lists of one class are dropped, then
-   classes that are left in too few lists. In each list every class is compared with one pivot only (blocks that size or
-   position rule out are skipped), and the exact overlaps of pairs with enough common lists are computed.
+   classes that are left in too few lists. In each list every class is compared with PIVOTS pivots only (blocks that size
+   or position rule out are skipped), and the exact overlaps are computed.
 4. Answers are then derived from the pivot's: classes linked to a pivot are one component and need no comparison
    among themselves; of two classes in different components, the known distances to their pivot bound their distance
-   from below, and pairs which the bound rules out are skipped. Pairs with enough common lists are compared exactly.
+   from below, and pairs which the bound rules out are skipped. What is left is compared exactly.
 
 So no pair is lost, and a group of copies costs a comparison for each member. Defined results: texts without
 words have empty sets and link with nothing; fewer than five words are one shingle; rows without id get their set's size
@@ -18,6 +18,7 @@ and no component and link nothing; repeated ids and rows are separate texts of t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ CHUNK = 1 << 16
 _COUNTER = np.uint64(64 - 22)
 #: For so many shingles of a set its prefix is longer by one, and has one more in common with that of a linked set.
 STEP = 25
+#: Classes of a list that all others are compared with first.
+PIVOTS = 6
 #: Postings that a task holds before it hands them on.
 PART = 1_000_000
 _TOKEN_BITS = np.uint64(32)
@@ -86,19 +89,6 @@ def _sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([s.tobytes() for _, _, data, offsets in K.blocks(K.unpacked(column)) for s in sets_of(data, offsets)], pa.binary())
 
 
-@K.udf("long")
-def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        if len(x) > len(y):
-            x, y = y, x
-        at = np.searchsorted(y, x)
-        at[at == len(y)] = 0
-        out.append(int(np.count_nonzero(y[at] == x)) if len(y) else 0)
-    return pa.array(out, pa.int64())
-
-
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many texts have a shingle of each counter, as rows of CHUNK counters."""
     counts = np.zeros(COUNTERS, dtype=np.int64)
@@ -187,7 +177,7 @@ def _poster(shared, buckets: int):
 
 _POSTS = "bucket int, token binary, owner binary, place binary, cls binary, n binary"
 _LISTS = "bucket int, token long, cls long, n long, place int"
-_PIVOTS = _LISTS + ", pivot long, pivot_n long, pivot_place int"
+_PIVOTS = _LISTS + ", pivot long"
 
 
 def _several(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,27 +211,66 @@ def _pivots(table: pa.Table) -> pa.Table:
     same one in all lists of a group of copies."""
     table = table.sort_by([("token", "ascending"), ("cls", "ascending")])
     pivot, some = _several(table["token"].to_numpy())
-    kept, of = table.filter(pa.array(some)), table.take(pa.array(pivot[some]))
-    for name, column in (("pivot", "cls"), ("pivot_n", "n"), ("pivot_place", "place")):
-        kept = kept.append_column(name, of[column])
-    return kept
-
+    return table.filter(pa.array(some)).append_column("pivot", table["cls"].take(pa.array(pivot[some])))
 
-def possible(n: str, m: str, i: str, j: str):
-    """Whether sets of n and m with a common shingle at places i and j can link, by size and by position.
 
-    A place of 65535 or more is not exact and rules nothing out.
+def _stars(table: pa.Table) -> pa.Table:
+    """Pairs of each class of a list with the list's PIVOTS classes of the smallest names."""
+    table = table.sort_by([("token", "ascending"), ("cls", "ascending")])
+    token, cls, n, place = (table[c].to_numpy() for c in ("token", "cls", "n", "place"))
+    first, _ = _several(token)
+    names, one, which = np.unique(cls, return_index=True, return_inverse=True)
+    at = np.arange(len(token))
+    held = []
+    for k in range(PIVOTS):
+        p = first + k
+        own = np.flatnonzero(at > p)  # later classes of the list
+        p = p[own]
+        ok = possible(n[p], n[own], place[p], place[own])
+        held.append(which[p[ok]] * len(names) + which[own[ok]])
+    keys = np.unique(np.concatenate(held))
+    a, b = keys // len(names), keys % len(names)
+    return pa.table({"a": names[a], "b": names[b], "n": n[one][a].astype(np.int64), "m": n[one][b].astype(np.int64)})
+
+
+def possible(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether a common shingle at places i and j can be the first one of linked sets of n and m.
+
+    Linked sets have o = ceil(0.75 / 1.75 (n + m)) common shingles at least, so the first of them leaves o of either set from
+    its place on. A place of 65535 or more is not exact and always counts.
     """
-    need = f"({PERCENT} * ({n} + {m}) / {100 + PERCENT}.0)"
-    return F.expr(f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m}) and ({i} >= 65535 or {j} >= 65535 or least({n} - {i}, {m} - {j}) + least({i}, {j}) + 1e-6 >= {need})")
+    less, more = np.minimum(n, m), np.maximum(n, m)
+    need = -(-PERCENT * (n + m) // (100 + PERCENT))
+    return (100 * less >= PERCENT * more) & ((i >= 65535) | (i <= n - need)) & ((j >= 65535) | (j <= m - need))
+
+
+def _compared(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """Exact distances of a block's pairs."""
+    of = {c: np.frombuffer(s, np.uint64) for c, s in zip(sets["cls"].to_pylist(), sets["s"].to_pylist(), strict=True)}
+    common = []
+    for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+        x, y = of[a], of[b]
+        if len(x) > len(y):
+            x, y = y, x
+        at = np.searchsorted(y, x)
+        at[at == len(y)] = 0
+        common.append(int(np.count_nonzero(y[at] == x)))
+    o = np.array(common, dtype=np.int64)
+    union = pairs["n"].to_numpy() + pairs["m"].to_numpy() - o
+    return pa.table({"a": pairs["a"], "b": pairs["b"], "far": 1 - o / union, "linked": 100 * o >= PERCENT * union})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, n, m) with both sets, as overlap and distance."""
-    one = sets.select(F.col("cls").alias("b"), F.col("s").alias("y"))
-    two = sets.select(F.col("cls").alias("a"), F.col("s").alias("x"))
-    both = pairs.join(one, "b").join(two, "a").withColumn("o", _overlap(F.col("x"), F.col("y")))
-    return both.select("a", "b", (1 - F.col("o") / (F.col("n") + F.col("m") - F.col("o"))).alias("far"), (100 * F.col("o") >= PERCENT * (F.col("n") + F.col("m") - F.col("o"))).alias("linked"))
+    """a, b, far (distance), linked of pairs (a, b, n, m).
+
+    Classes are dealt into groups, pairs into blocks by the groups of both, so a set goes once to each block that has a pair of
+    it, and never once for each pair.
+    """
+    groups = max(4, math.isqrt(4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
+    placed = pairs.withColumn("block", group("a") * groups + group("b"))
+    needed = placed.select((F.col("block") + 0).alias("of_block"), F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
+    return placed.groupBy("block").cogroup(needed.groupBy("of_block")).applyInArrow(_compared, "a long, b long, far double, linked boolean")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -273,9 +302,7 @@ def _links(spark: SparkSession, rows: DataFrame, classes: DataFrame) -> DataFram
     lists = written(posts.groupBy("bucket").applyInArrow(_lists, _LISTS), "lists")
     able = lists.groupBy("cls").agg(F.count("*").alias("k"), F.first("n").alias("n")).filter(F.col("k") >= _enough(F.col("n") * PERCENT / 100))
     lists = written(lists.join(able.select("cls"), "cls", "left_semi").select("bucket", "token", "cls", "n", "place").groupBy("bucket").applyInArrow(_pivots, _PIVOTS), "pivots")
-    stars = lists.filter("cls <> pivot").filter(possible("n", "pivot_n", "place", "pivot_place"))
-    pairs = stars.groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.first("pivot_n").alias("n"), F.first("n").alias("m"), F.count("*").alias("k"))
-    pairs = pairs.filter(F.col("k") >= _enough(F.least("n", "m"))).drop("k").checkpoint()
+    pairs = lists.groupBy("bucket").applyInArrow(_stars, "a long, b long, n long, m long").distinct().checkpoint()
     sets = _sets_of(rows, classes, lists)
     done = _verified(pairs, sets).checkpoint()
     links = done.filter("linked").select("a", "b")
@@ -287,12 +314,7 @@ def _links(spark: SparkSession, rows: DataFrame, classes: DataFrame) -> DataFram
     known = done.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), "far")
     left = open_lists.join(mixed, "token", "left_semi").join(known, ["pivot", "cls"], "left").withColumn("far", F.when(F.col("cls") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
     rest = left.select("bucket", "token", "cls", "n", "place", "component", F.coalesce("far", F.lit(float("nan"))).alias("far"))
-    met = rest.groupBy("bucket").applyInArrow(_across, "a long, b long, n long, m long, k long")
-    more = met.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("k").alias("k"))
-    # behind the prefix that ends first there are no more common shingles than it leaves of its set
-    behind = lambda c: F.greatest(F.ceil(F.col(c) * PERCENT / 100) - _enough(F.col(c)), F.lit(0))
-    need = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT))
-    more = more.filter((F.col("k") >= _enough(F.least("n", "m"))) & (F.col("k") >= need - F.greatest(behind("n"), behind("m")))).drop("k")
+    more = rest.groupBy("bucket").applyInArrow(_across, "a long, b long, n long, m long").distinct()
     more = more.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").checkpoint()
     again = _verified(more, sets)
     return links.unionByName(again.filter("linked").select("a", "b"))
@@ -308,8 +330,7 @@ def _sets_of(rows: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes in different components that size, position and pivot distances leave possible, with the number of
-    lists of a bucket (or of a part of them) where they meet."""
+    """Pairs of classes of one list in different components that size, position and pivot distances leave possible."""
     table = pa.Table.from_batches(batches)
     token, cls, n, place, part, far = (table[c].to_numpy() for c in ("token", "cls", "n", "place", "component", "far"))
     order = np.lexsort((n, token))
@@ -322,18 +343,21 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = 0
 
     def flush() -> pa.RecordBatch:
-        keys, k = np.unique(np.concatenate([*held, np.empty(0, np.int64)]), return_counts=True)
+        keys = np.unique(np.concatenate([*held, np.empty(0, np.int64)]))
         a, b = keys // len(names), keys % len(names)
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (names[a], names[b], size[a], size[b], k)], ["a", "b", "n", "m", "k"])
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (names[a], names[b], size[a], size[b])], ["a", "b", "n", "m"])
 
     for lo, hi in zip(first.tolist(), np.r_[first[1:], len(token)].tolist(), strict=True):
-        for i in range(lo, hi - 1):
-            top = int(np.searchsorted(n[lo:hi], n[i] * 100 // PERCENT, side="right")) + lo  # later blocks are too large
-            j = np.arange(i + 1, max(i + 1, top))
-            ok = part[j] != part[i]
-            ok &= ~(np.abs(far[j] - far[i]) > limit)
-            ok &= (place[j] >= 65535) | (place[i] >= 65535) | (np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j]) + 1e-6 >= PERCENT * (n[i] + n[j]) / (100 + PERCENT))
+        _, own, times = np.unique(part[lo:hi], return_inverse=True, return_counts=True)
+        other = own != times.argmax()  # pairs inside the largest component are settled, so one side lies outside of it
+        for i in (np.flatnonzero(other) + lo).tolist():
+            low = int(np.searchsorted(n[lo:hi], (n[i] * PERCENT + 99) // 100)) + lo  # blocks before are too small,
+            top = int(np.searchsorted(n[lo:hi], n[i] * 100 // PERCENT, side="right")) + lo  # blocks behind too large
+            j = np.arange(low, top)
+            j = j[(part[j] != part[i]) & (~other[j - lo] | (j > i))]
+            ok = ~(np.abs(far[j] - far[i]) > limit)
+            ok &= possible(n[j], n[i], place[j], place[i])
             j = which[j[ok]]
             held.append(np.minimum(j, which[i]) * len(names) + np.maximum(j, which[i]))
             total += len(j)
