@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +17,9 @@ VOCABULARY_CONF = "groundwork.vocabulary"
 def vocabulary(spark: SparkSession) -> str:
     if path := spark.conf.get(VOCABULARY_CONF, ""):
         return path
-    try:
-        import public_tokenizers
+    import public_tokenizers
 
-        return str(public_tokenizers.path("byte_bpe_50k.json"))
-    except ImportError:
-        return os.path.join("/opt/tokenizers", "byte_bpe_50k.json")
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +101,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_ngram_jaccard": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM words UNION SELECT ways.b, reach.root FROM reach JOIN ways ON reach.doc_id = ways.a
+)
+SELECT words.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id
+FROM words LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.doc_id = words.doc_id GROUP BY words.doc_id
+""",
     "op10_decontaminate": r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
