@@ -266,10 +266,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     Classes are dealt into groups, pairs into blocks by the groups of both, so a set goes once to each block that has a pair of
     it, and never once for each pair.
     """
-    groups = max(4, math.isqrt(4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    groups = max(2, math.isqrt(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
     placed = pairs.withColumn("block", group("a") * groups + group("b"))
-    needed = placed.select((F.col("block") + 0).alias("of_block"), F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
+    block = (F.col("block") + 0).alias("of_block")
+    needed = placed.select(block, F.col("a").alias("cls")).unionByName(placed.select(block, F.col("b").alias("cls"))).distinct().join(sets, "cls")
     return placed.groupBy("block").cogroup(needed.groupBy("of_block")).applyInArrow(_compared, "a long, b long, far double, linked boolean")
 
 
