@@ -2,11 +2,11 @@
 
 Texts are lower-cased and cut into runs of letters; each run is read as a padded character sequence. Python tasks
 count the five-grams of their rows per language; Spark adds them up, derives the lower orders' continuation counts,
-discounts and interpolated probabilities with grouping and joins, and the finished model - one sorted hash array for
-each order, with a column of log probabilities for each language - is broadcast.
-
-Five-grams below SHARE of their language's five-grams are left to the lower orders. That rule is the same at every
-size, and it bounds the model: no language has more than 1 / SHARE of them, nor more lower-order grams.
+discounts and interpolated probabilities with grouping and joins. Every counted gram stays in the model, which stays in
+tables and grows with the text: to score texts, the probabilities of the five-grams that occur in them are joined together
+from order to order, and broadcast - sorted hashes with a column of log probabilities for each language - in blocks of at
+most BLOCK_CELLS numbers on average, by gram hash. What an executor holds is so bounded whatever the model's size: a usual
+model is one block; a larger one takes a pass over the texts for each block, and the passes' sums are added by text.
 
 A text gets the language of the lowest cross-entropy per character. It is marked as rejected if that entropy exceeds
 what CUT of the calibration rows of the language have. Defined results: a null text, or one without letters, is `und`
@@ -16,8 +16,10 @@ repeated rows pass through.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,12 @@ from . import kernels as K
 from .store import written
 
 ORDER = 5
-SHARE = 1e-6
 CUT = 0.999
 #: Distinct five-grams a task holds before it hands on what it has counted.
 FLUSH = 400_000
 CACHE = 500_000
+#: Numbers of four bytes in one broadcast; a gram takes one for each language and two for its hash.
+BLOCK_CELLS = 1 << 24
 _BEGIN, _END = 2, 3
 _SHARPNESS = 12.0
 
@@ -93,7 +96,40 @@ def gram_counts(labelled: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def statistics(counts: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The five-grams of texts, without most of the repetitions."""
+    words: set[int] = set()
+    grams: set[int] = set()
+    for batch in batches:
+        out: list[str] = []
+        for _, _, data, offsets in K.blocks(batch.column(0)):
+            codes, starts, ends, _ = K.letter_words(data, offsets)
+            if not len(starts):
+                continue
+            keys, first = np.unique(K.Hashes(codes).spans(starts, ends), return_index=True)
+            first = first[[k not in words for k in keys.tolist()]]
+            if not len(first):
+                continue
+            words = set() if len(words) > CACHE else words
+            words.update(keys.tolist())
+            text, at = padded(codes, starts[first], ends[first])
+            size = ends[first] - starts[first] + 1
+            begin = np.arange(int(size.sum())) + np.repeat(at - (np.cumsum(size) - size), size)
+            keys, where = np.unique(K.Hashes(text).grams(ORDER)[begin], return_index=True)
+            where = where[[k not in grams for k in keys.tolist()]]
+            grams = set() if len(grams) > FLUSH else grams
+            grams.update(keys.tolist())
+            said = text[begin[where][:, None] + np.arange(ORDER)].tobytes().decode("utf-32-le")
+            out += [said[i : i + ORDER] for i in range(0, len(said), ORDER)]
+        yield pa.RecordBatch.from_arrays([K.strings(out)], ["gram"])
+
+
+def grams_of(df: DataFrame, text: str) -> DataFrame:
+    """gram: the distinct five-grams of all texts."""
+    return df.select(F.col(text).alias("t")).filter("t is not null").mapInArrow(_needed, "gram string").distinct()
+
+
+def statistics(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two tables of interpolated Kneser-Ney: k, lang, gram, own (discounted share of its context) and
     k, lang, h, bow (what the context leaves to the order below).
 
@@ -107,20 +143,30 @@ def statistics(counts: DataFrame, share: float = SHARE) -> tuple[DataFrame, Data
     every = written(every, "orders")
     ones = F.sum(F.when(F.col("n") == 1, 1).otherwise(0))
     twos = F.sum(F.when(F.col("n") == 2, 1).otherwise(0))
-    discount = every.groupBy("lang", "k").agg(F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.coalesce(F.try_divide(ones, ones + 2 * twos), F.lit(0.5)))).alias("d"), F.sum("n").alias("total"))
+    discount = every.groupBy("lang", "k").agg(F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.coalesce(F.try_divide(ones, ones + 2 * twos), F.lit(0.5)))).alias("d"))
     every = every.join(F.broadcast(discount), ["lang", "k"]).withColumn("h", F.expr("substring(gram, 1, k - 1)"))  # a row for each language and order
-    context = every.groupBy("lang", "k", "h").agg(F.sum("n").alias("c"), F.count("*").alias("types"), F.first("d").alias("d"), F.max("n").alias("most"), F.first("total").alias("total"))
-    kept = every.filter(f"k < {ORDER} or n >= {share} * total").join(context.select("lang", "k", "h", "c"), ["lang", "k", "h"])
-    used = context.filter(f"k < {ORDER} or most >= {share} * total")
-    return kept.select("k", "lang", "gram", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("c")).alias("own")), used.select("k", "lang", "h", (F.col("d") * F.col("types") / F.col("c")).alias("bow"))
+    context = every.groupBy("lang", "k", "h").agg(F.sum("n").alias("c"), F.count("*").alias("types"), F.first("d").alias("d"))
+    grams = every.join(context.select("lang", "k", "h", "c"), ["lang", "k", "h"])
+    return grams.select("k", "lang", "gram", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("c")).alias("own")), context.select("k", "lang", "h", (F.col("d") * F.col("types") / F.col("c")).alias("bow"))
 
 
 def _hash(grams: list[str], k: int) -> np.ndarray:
-    return K.Hashes(np.frombuffer("".join(grams).encode("utf-32-le"), dtype=np.uint32)).grams(k)[::k] if grams else np.empty(0, np.uint64)
+    """Hashes of texts of k characters, in pieces, as Hashes keeps tables of the size of what it reads."""
+    some = K.BLOCK_BYTES // k
+    pieces = (np.frombuffer("".join(grams[i : i + some]).encode("utf-32-le"), dtype=np.uint32) for i in range(0, len(grams), some))
+    return np.concatenate([np.empty(0, np.uint64), *(K.Hashes(x).grams(k)[::k] for x in pieces)])
+
+
+def _find(keys: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(hashed), np.int64), np.zeros(len(hashed), bool)
+    at = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
+    return at, keys[at] == hashed
 
 
 class Model:
-    """For each order the sorted hashes of all languages' grams with a column of log probabilities a language."""
+    """A whole model in one place, to look at small ones: for each order the sorted hashes of all languages' grams with a
+    column of log probabilities a language."""
 
     def __init__(self, grams: pa.Table, contexts: pa.Table):
         self.langs = pa.compute.unique(grams["lang"]).sort().to_pylist() if len(grams) else []
@@ -148,22 +194,15 @@ class Model:
             out[which, pa.compute.index_in(table["lang"].combine_chunks(), pa.array(self.langs, pa.string())).to_numpy()] = table[value].to_numpy()
         return keys, text[first], out
 
-    @staticmethod
-    def _find(keys: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(hashed), np.int64), np.zeros(len(hashed), bool)
-        at = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
-        return at, keys[at] == hashed
-
     def _weight(self, k: int, text: np.ndarray) -> np.ndarray:
-        at, found = self._find(self.contexts[k], K.Hashes(np.ascontiguousarray(text).ravel()).grams(k - 1)[:: k - 1])
+        at, found = _find(self.contexts[k], K.Hashes(np.ascontiguousarray(text).ravel()).grams(k - 1)[:: k - 1])
         return np.where(found[:, None], self.weights[k][at] if len(self.weights[k]) else 0, 0).astype(np.float32)
 
     def _look(self, k: int, text: np.ndarray) -> np.ndarray:
         """Log probabilities of rows of k characters."""
         if not len(text):
             return np.empty((0, len(self.langs)), np.float32)
-        at, found = self._find(self.keys[k], K.Hashes(np.ascontiguousarray(text).ravel()).grams(k)[::k])
+        at, found = _find(self.keys[k], K.Hashes(np.ascontiguousarray(text).ravel()).grams(k)[::k])
         out = np.empty((len(text), len(self.langs)), dtype=np.float32)
         out[found] = self.logs[k][at[found]]
         gone = ~found
@@ -172,30 +211,83 @@ class Model:
             out[gone] = self.floor if k == 1 else self._look(k - 1, rest[:, 1:]) + self._weight(k, rest[:, :-1])
         return out
 
+
+class Trained:
+    """A model of all counted grams in tables: own (k, gram, own) and left (k, h, bow) have a number for each of langs."""
+
+    def __init__(self, grams: DataFrame, contexts: DataFrame):
+        self.grams, self.contexts = written(grams, "grams"), written(contexts, "contexts")
+        self.langs = sorted(r.lang for r in self.grams.filter("k = 1").select("lang").distinct().collect())
+        if self.langs:
+            self.own = written(self._wide(self.grams, "gram", "own", 0.0), "own")
+            self.left = written(self._wide(self.contexts, "h", "bow", 1.0), "left")
+
+    @cached_property
+    def value(self) -> Model:
+        return Model(self.grams.toArrow(), self.contexts.toArrow())
+
+    def _wide(self, table: DataFrame, key: str, value: str, fill: float) -> DataFrame:
+        by_lang = F.map_from_entries(F.collect_list(F.struct("lang", value)))  # one entry for each language at most
+        each = F.transform(F.array(*map(F.lit, self.langs)), lambda x: F.coalesce(F.try_element_at("by_lang", x), F.lit(fill)))
+        return table.groupBy("k", key).agg(by_lang.alias("by_lang")).select("k", key, each.alias(value))
+
+    def probabilities(self, needed: DataFrame) -> DataFrame:
+        """gram, p: the probability in each language of the last character of each five-gram after the others."""
+        every = level = written(needed.select("gram", F.lit(ORDER).alias("k")), "needed")
+        for k in range(ORDER - 1, 0, -1):
+            level = level.select(F.substring("gram", 2, k).alias("gram")).distinct().withColumn("k", F.lit(k))
+            every = every.unionByName(level)
+        every = written(every, "needed")
+        letters = self.own.filter("k = 1").count()
+        lower = self.left.filter("k = 1").select(F.transform("bow", lambda x: x / (letters + 1)).alias("below"))
+        out = every.filter("k = 1").select("gram").crossJoin(F.broadcast(lower))  # one row
+        for k in range(1, ORDER + 1):
+            if k > 1:
+                bow = self.left.filter(f"k = {k}").select("h", "bow")
+                out = every.filter(f"k = {k}").select("gram", F.expr("substring(gram, 1, k - 1)").alias("h"), F.expr("substring(gram, 2, k - 1)").alias("rest")).join(out, "rest").join(bow, "h", "left")
+                out = out.select("gram", F.when(F.col("bow").isNull(), F.col("p")).otherwise(F.zip_with("bow", "p", lambda x, y: x * y)).alias("below"))
+            out = out.join(self.own.filter(f"k = {k}").select("gram", "own"), "gram", "left")
+            p = F.when(F.col("own").isNull(), F.col("below")).otherwise(F.zip_with("own", "below", lambda x, y: x + y)).alias("p")
+            out = out.select("gram" if k == ORDER else F.col("gram").alias("rest"), p)
+        return out
+
+
+class Block:
+    """Sorted hashes of five-grams with a column of log probabilities for each language."""
+
+    def __init__(self, table: pa.Table, langs: int):
+        hashed = _hash(table["gram"].to_pylist(), ORDER)
+        self.langs = langs
+        self.keys, first = np.unique(hashed, return_index=True)
+        p = table["p"].combine_chunks().flatten().to_numpy() if len(table) else np.empty(0)
+        self.logs = np.log(p).astype(np.float32).reshape(-1, langs)[first]
+
     def words(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The log probability of each word in each language."""
+        """What the block's grams add to the log probability of each word in each language."""
         text, at = padded(codes, starts, ends)
         size = ends - starts + 1
         first = np.cumsum(size) - size
         begin = np.arange(int(size.sum())) + np.repeat(at - first, size)
-        grams, where = np.unique(K.Hashes(text).grams(ORDER)[begin], return_index=True)
-        logs = self._look(ORDER, text[begin[where][:, None] + np.arange(ORDER)])
-        return np.add.reduceat(logs[np.searchsorted(grams, K.Hashes(text).grams(ORDER)[begin])], first, axis=0)
+        grams, which = np.unique(K.Hashes(text).grams(ORDER)[begin], return_inverse=True)
+        at, found = _find(self.keys, grams)
+        logs = np.zeros((len(grams), self.langs), np.float32)
+        logs[found] = self.logs[at[found]]
+        return np.add.reduceat(logs[which], first, axis=0)
 
 
 class Scorer:
-    """Cross-entropies of texts; keeps the words it has met."""
+    """Log probabilities of texts; keeps the words it has met."""
 
-    def __init__(self, model: Model):
-        self.model, self.place = model, {}
-        self.logs = np.empty((1 << 16, len(model.langs)), np.float32)
+    def __init__(self, block: Block):
+        self.block, self.place = block, {}
+        self.logs = np.empty((1 << 16, block.langs), np.float32)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Characters, and nats a character in each language, of each row."""
+        """Characters, and the block's part of the log probability in each language, of each row."""
         codes, starts, ends, bounds = K.letter_words(data, offsets)
         rows = len(offsets) - 1
         if not len(starts):
-            return np.zeros(rows, np.int64), np.zeros((rows, len(self.model.langs)))
+            return np.zeros(rows, np.int64), np.zeros((rows, self.block.langs))
         keys, where, which = np.unique(K.Hashes(codes).spans(starts, ends), return_index=True, return_inverse=True)
         if len(self.place) + len(keys) > CACHE:
             self.place.clear()
@@ -204,59 +296,77 @@ class Scorer:
             n = len(self.place)
             while n + len(new) > len(self.logs):
                 self.logs = np.vstack([self.logs, np.empty_like(self.logs)])
-            self.logs[n : n + len(new)] = self.model.words(codes, starts[where[new]], ends[where[new]])
+            self.logs[n : n + len(new)] = self.block.words(codes, starts[where[new]], ends[where[new]])
             self.place.update(zip(keys[new].tolist(), range(n, n + len(new)), strict=True))
         logs = self.logs[np.array([self.place[k] for k in keys.tolist()], dtype=np.int64)].astype(np.float64)[which]
         sums = np.vstack([np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0)])
         chars = np.concatenate([[0], np.cumsum(ends - starts + 1)])
-        chars = chars[bounds[1:]] - chars[bounds[:-1]]
-        return chars, -(sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(chars, 1)[:, None]
+        return chars[bounds[1:]] - chars[bounds[:-1]], sums[bounds[1:]] - sums[bounds[:-1]]
 
 
 _scorers: dict[int, Scorer] = {}
 
 
-def _scorer(model: Model) -> Scorer:
-    if id(model) not in _scorers:
+def _scorer(block: Block) -> Scorer:
+    if id(block) not in _scorers:
         _scorers.clear()
-        _scorers[id(model)] = Scorer(model)
-    return _scorers[id(model)]
-
+        _scorers[id(block)] = Scorer(block)
+    return _scorers[id(block)]
 
-def identify(df: DataFrame, model: DataFrame | object, text: str = "text", name: str = "language") -> DataFrame:
-    """df with a struct: lang, score, nats (a character, in that language). model: what train() returns."""
 
+def _summer(shared):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = _scorer(model.value)
-        names = [*scorer.model.langs, "und"]
+        scorer = _scorer(shared.value)
+        kind = pa.struct([("chars", pa.int64()), ("logs", pa.list_(pa.float64()))])
         for column in batches:
-            best, score, nats = [], [], []
-            for _, _, data, offsets in K.blocks(column):
-                chars, h = scorer.score(data, offsets)
-                if not scorer.model.langs:
-                    best, score, nats = best + [0] * len(chars), score + [0.0] * len(chars), nats + [0.0] * len(chars)
-                    continue
-                low = h.argmin(axis=1)
-                least = h[np.arange(len(h)), low]
-                p = 1 / np.exp(-_SHARPNESS * (h - least[:, None])).sum(axis=1)
-                none = chars == 0
-                best += np.where(none, len(names) - 1, low).tolist()
-                score += np.where(none, 0.0, p).tolist()
-                nats += np.where(none, 0.0, least).tolist()
-            yield pa.StructArray.from_arrays([K.strings([names[i] for i in best]), pa.array(score, pa.float64()), pa.array(nats, pa.float64())], ["lang", "score", "nats"])
-
-    return df.withColumn(name, F.arrow_udf(run, "struct<lang: string, score: double, nats: double>")(F.col(text)))
+            found = [scorer.score(data, offsets) for _, _, data, offsets in K.blocks(column)]
+            chars = np.concatenate([np.empty(0, np.int64), *(c for c, _ in found)])
+            logs = np.concatenate([np.empty(0), *(x.ravel() for _, x in found)])
+            ends = np.arange(len(chars) + 1, dtype=np.int32) * scorer.block.langs
+            yield pa.StructArray.from_arrays([pa.array(chars), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(logs))], fields=list(kind))
+
+    return F.arrow_udf(run, "struct<chars: long, logs: array<double>>")
+
+
+def _sums(df: DataFrame, model: Trained, text: str, cells: int) -> DataFrame:
+    """df with _sums: characters, and the log probability in each language, of each text."""
+    table = written(model.probabilities(grams_of(df, text)), "probabilities")
+    n, width = max(1, math.ceil(table.count() * (len(model.langs) + 2) / cells)), len(model.langs)
+    parts = None
+    for k in range(n):
+        block = table if n == 1 else table.filter(F.pmod(F.xxhash64("gram"), F.lit(n)) == k)
+        shared = df.sparkSession.sparkContext.broadcast(Block(block.toArrow(), width))
+        if n == 1:
+            return df.withColumn("_sums", _summer(shared)(F.col(text)))
+        part = df.select(F.xxhash64(text).alias("_h"), _summer(shared)(F.col(text)).alias("s")).groupBy("_h").agg(F.first("s").alias("s"))  # equal texts have equal sums
+        part = written(part.select("_h", "s.chars", "s.logs"), "sums")
+        shared.unpersist()
+        parts = part if parts is None else parts.unionByName(part)
+    every = parts.groupBy("_h").agg(F.struct(F.max("chars").alias("chars"), F.array(*(F.sum(F.col("logs")[i]) for i in range(width))).alias("logs")).alias("_sums"))
+    return df.withColumn("_h", F.xxhash64(text)).join(every, "_h", "left").drop("_h")
+
+
+def identify(df: DataFrame, model: Trained, text: str = "text", name: str = "language", cells: int = BLOCK_CELLS) -> DataFrame:
+    """df with a struct: lang, score, nats (a character, in that language). model: what train() returns."""
+    none = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(0.0).alias("nats"))
+    if not model.langs:
+        return df.withColumn(name, none)
+    chars, logs = F.col("_sums.chars"), F.col("_sums.logs")
+    size, most = F.greatest(chars, F.lit(1)), F.array_max(logs)
+    lang = F.element_at(F.array(*map(F.lit, model.langs)), F.array_position(logs, most).cast("int"))
+    others = F.aggregate(logs, F.lit(0.0), lambda a, x: a + F.exp(_SHARPNESS * (x - most) / size))
+    found = F.struct(lang.alias("lang"), (1 / others).alias("score"), (-most / size).alias("nats"))
+    return _sums(df, model, text, cells).withColumn(name, F.when(chars > 0, found).otherwise(none)).drop("_sums")
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", share: float = SHARE):
-    """A broadcast model of all labelled rows."""
-    grams, contexts = statistics(gram_counts(labelled, text, lang), share)
-    return labelled.sparkSession.sparkContext.broadcast(Model(grams.toArrow(), contexts.toArrow()))
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Trained:
+    """A model of all labelled rows."""
+    return Trained(*statistics(gram_counts(labelled, text, lang)))
 
 
-def entropy_limits(calibration: DataFrame, model, text: str = "text", cut: float = CUT) -> DataFrame:
-    """lang, limit: the entropy that the share `cut` of the calibration rows of a language stay under."""
-    seen = identify(calibration.select(F.col(text).alias("t")), model, "t", "r").select("r.lang", "r.nats").filter("lang <> 'und'")
+def entropy_limits(identified: DataFrame, name: str = "language", cut: float = CUT) -> DataFrame:
+    """lang, limit: the entropy that the share `cut` of the calibration rows, which identify() has seen, of a language stay under."""
+    seen = identified.select(f"{name}.lang", f"{name}.nats").filter("lang <> 'und'")
     return seen.groupBy("lang").agg(F.percentile_approx("nats", cut, 1000).alias("limit"))
 
 

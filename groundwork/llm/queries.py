@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, html, jaccard, language, media, pii, substrings, toxicity, warc
-from .store import ready
+from .store import ready, written
 
 #: Where the public tokenizer's file lies; another place can be named in the session.
 VOCABULARY_CONF = "groundwork.vocabulary"
@@ -48,9 +48,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
     learnt = docs.filter("not held_out")
     model = language.train(learnt)
-    calibration = learnt.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 2)
-    limits = language.entropy_limits(calibration, model)
-    out = language.reject(language.identify(docs.select("doc_id", "held_out", "text"), model), limits)
+    seen = written(language.identify(docs.select("doc_id", "held_out", "text"), model).drop("text"), "identified")
+    calibration = seen.filter(~F.col("held_out") & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 2))
+    out = language.reject(seen, language.entropy_limits(calibration))
     return out.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.nats").alias("nats"), "rejected")
 
 

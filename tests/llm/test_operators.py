@@ -114,6 +114,28 @@ def test_language_probabilities_sum_to_one(spark):
         assert 0.8 < float(np.exp(model._look(5, text)).sum()) <= 1.0001
 
 
+def test_language_keeps_rare_grams(spark):
+    counts = spark.createDataFrame([("x", "abcde", 50_000_000), ("x", "abcdf", 1), ("x", "bcdef", 1), ("y", "abcde", 1)], "lang string, gram string, n long")
+    grams, contexts = (t.collect() for t in language.statistics(counts))
+    assert {(r.lang, r.gram) for r in grams if r.k == 5} == {("x", "abcde"), ("x", "abcdf"), ("x", "bcdef"), ("y", "abcde")}
+    for c in contexts:  # what the grams of a context have and what it leaves add up to one, but for what discounts over 1 would take
+        assert sum(g.own for g in grams if (g.k, g.lang, g.gram[:-1]) == (c.k, c.lang, c.h)) + c.bow == pytest.approx(1)
+
+
+def test_language_blocks_equal_the_whole_model(spark, edges):
+    r = random.Random(5)
+    rows = [(i, " ".join("".join(r.choice("abcdé" if i % 2 else "abxyz") for _ in range(r.randint(1, 8))) for _ in range(r.randint(0, 20))), "en" if i % 2 else "de") for i in range(60)]
+    df = spark.createDataFrame(rows + rows[:5] + [(100, None, None), (101, "", None), (102, "zzzz qéqa", None)], "doc_id long, text string, lang string")
+    model = language.train(df.filter("doc_id < 30"))
+    one = sorted((x.doc_id, *x.language) for x in language.identify(df, model).collect())
+    for cells in (700, 200):
+        for a, b in zip(one, sorted((x.doc_id, *x.language) for x in language.identify(df, model, cells=cells).collect()), strict=True):
+            assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-5)
+    whole = model.value
+    for r in model.probabilities(language.grams_of(df, "text")).collect():
+        assert np.allclose(np.log(r.p), whole._look(5, np.frombuffer(r.gram.encode("utf-32-le"), np.uint32)[None])[0], atol=1e-4)
+
+
 # --- BPE
 
 
