@@ -2,9 +2,10 @@
 
 A page is read once as a sequence of text nodes with their root-to-leaf tag paths. For every path the text length
 and the punctuation of its nodes are added up and divided by the number of nodes; both ratios are laid along the page,
-smoothed over neighbouring nodes, multiplied, and the nodes above the threshold are content. The smallest element
-that holds nearly all of the selected text is the article; its text is given whole, short paragraphs included,
-without what lies in elements that are no article text by their name, role or class.
+smoothed over neighbouring nodes, multiplied, and the nodes above the threshold are content. The article is the
+outermost article or main element around nearly all of the selected text; on pages without one it's the smallest element
+that holds all selected text and the headings before it. Its text is given whole, short paragraphs included, without what
+lies in elements that are no article text by their name, role or class.
 
 Defined results: a null or empty page, or one without text, gives an empty text; other columns, repeated rows and very
 long pages pass through whole.
@@ -29,12 +30,13 @@ from . import kernels as K
 REACH, SIGMA = 2, 1.0
 #: Nodes whose fused ratio is at least this share of the spread of the ratios are content.
 LEVEL = 0.5
-#: Share of the selected text that the article's element holds.
+#: Share of the selected text by which an article or main element is found; what lies in that element is given whole.
 HELD = 0.9
 # Element names by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg select object canvas noembed noframes xmp math".split())
 NOISE = set("nav footer aside form button menu dialog head".split()) | RAW
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "tbody": {"thead", "tbody", "tfoot", "tr", "td", "th"}}
@@ -167,21 +169,32 @@ def content_nodes(elements: list[Element], nodes: list[Node]) -> np.ndarray:
     return out
 
 
+def _up(elements: list[Element], e: int) -> Iterator[int]:
+    """An element and its ancestors."""
+    while e >= 0:
+        yield e
+        e = elements[e].parent
+
+
 def article(elements: list[Element], nodes: list[Node], content: np.ndarray) -> int:
-    """The smallest element that holds HELD of the selected text."""
-    weight = defaultdict(int)
-    total = 0
-    for n, ok in zip(nodes, content, strict=True):
-        if ok:
-            size = len(n.text.strip())
+    """The outermost article or main around HELD of the selected text; else the smallest element that holds all of it and the headings before it."""
+    weight, count = defaultdict(int), defaultdict(int)
+    total = needed = 0
+    first = int(content.argmax())
+    for i, (n, ok) in enumerate(zip(nodes, content, strict=True)):
+        heading = i < first and n.text.strip() and not elements[n.element].noise and any(elements[e].name in HEADINGS for e in _up(elements, n.element))
+        if ok or heading:
+            size = len(n.text.strip()) if ok else 0
             total += size
-            e = n.element
-            while e >= 0:
+            needed += 1
+            for e in _up(elements, n.element):
                 weight[e] += size
-                e = elements[e].parent
-    held = [e for e, w in weight.items() if w >= HELD * total]
-    best = max(held, default=0)  # children come after their parents
-    while elements[best].name in INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "dd", "td"} and elements[best].parent >= 0:
+                count[e] += 1
+    around = [e for e in _up(elements, max((e for e, w in weight.items() if w >= HELD * total), default=0)) if elements[e].name in ("article", "main")]  # children come after their parents
+    if around:
+        return around[-1]
+    best = max((e for e, k in count.items() if k == needed), default=0)
+    while elements[best].name in INLINE | HEADINGS | {"p", "li", "blockquote", "pre", "dd", "td"} and elements[best].parent >= 0:
         best = elements[best].parent
     return best
 

@@ -275,6 +275,24 @@ def test_html(page, want):
     assert html.main_text(page) == want
 
 
+_LONG = "Long paragraph, with commas, and more of it, as texts have. " * 4
+_SAID = _LONG.strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><nav>Menu</nav><article><h1>Title</h1><p>Lede</p><div class=body>{f'<p>{_LONG}</p>' * 30}</div></article><footer>F</footer></body>", ["Title", "Lede", *[_SAID] * 30]),
+        (f"<body><main><h1>Title</h1><article><div>{f'<p>{_LONG}</p>' * 30}</div></article><p>After.</p></main><footer>F</footer></body>", ["Title", *[_SAID] * 30, "After."]),
+        (f"<body><article><section>{f'<p>{_LONG}</p>' * 38}</section><section><h2>Small</h2>{f'<p>{_LONG}</p>' * 2}</section><div class=related>More, here.</div></article></body>", [*[_SAID] * 38, "Small", *[_SAID] * 2]),
+        (f"<body><nav>Menu</nav><div id=page><h1>Title</h1><p>Lede</p><div class=body>{f'<p>{_LONG}</p>' * 30}</div></div><footer>F</footer></body>", ["Title", "Lede", *[_SAID] * 30]),
+        (f"<body><nav>Menu</nav><div id=page><section>{f'<p>{_LONG}</p>' * 38}</section><section>{f'<p>{_LONG}</p>' * 2}</section></div><footer>F</footer></body>", [_SAID] * 40),
+    ],
+)
+def test_html_keeps_the_whole_article(page, want):
+    assert html.main_text(page).split("\n") == want
+
+
 def test_html_on_spark(spark):
     rows = [(1, None), (1, ""), (2, "<article><p>Hello, there.</p></article>"), (3, "<p>" + "word, " * 50_000 + "</p>")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, html string")).select("page_id", "main.*").collect()
