@@ -11,6 +11,12 @@ def as_of(log: DataFrame, cursor: int) -> DataFrame:
     return log.filter(F.col("tick") < cursor)
 
 
+def cursor_at(log: DataFrame, parts: int, of: int) -> int:
+    """The tick at parts / of of the span of the log's ticks; 0 of an empty log."""
+    first, last = log.agg(F.min("tick"), F.max("tick")).first()
+    return 0 if first is None else first + (last - first) * parts // of
+
+
 def lens(log: DataFrame, reads: list[str], cursor: int) -> DataFrame:
     """The types that a lens reads, as of a cursor."""
     return as_of(log, cursor).filter(F.col("type").isin(reads))

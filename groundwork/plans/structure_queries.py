@@ -11,6 +11,8 @@ from groundwork.operators import agreement, components, kinds, log, reason
 from groundwork.operators import graph as G
 
 GAMMA, CURSOR, READS = 0.95, 5000, ["click", "view"]
+#: Place of the cursor in the log, of which it then reads so large a share at every size.
+SHARE = (4, 5)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,22 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").select(F.col("event_id").alias("tick"), F.col("event_type").alias("type"), F.col("user_id").alias("task"), "value")
 
 
+def _at_share(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The log, and a cursor that moves with its size."""
+    entries = _log(spark, sf_dir)
+    return entries, log.cursor_at(entries, *SHARE)
+
+
+def _lens_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, cursor = _at_share(spark, sf_dir)
+    return log.lens(entries, READS, cursor)
+
+
+def _discarded_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, cursor = _at_share(spark, sf_dir)
+    return log.discarded_types(entries, READS, cursor)
+
+
 def _surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrivals = _read(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("tick"), F.col("event_type").alias("form")).agg(F.count("*").alias("n"))
     return G.bayesian_surprise(arrivals).withColumn("bits", F.round("bits", 9))
@@ -102,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "as_of": lambda spark, sf_dir: log.as_of(_log(spark, sf_dir), CURSOR),
     "lens_view": lambda spark, sf_dir: log.lens(_log(spark, sf_dir), READS, CURSOR),
     "discarded_types": lambda spark, sf_dir: log.discarded_types(_log(spark, sf_dir), READS, CURSOR),
+    "as_of_share": lambda spark, sf_dir: log.as_of(*_at_share(spark, sf_dir)),
+    "lens_view_share": _lens_share,
+    "discarded_types_share": _discarded_share,
     "task_projection": lambda spark, sf_dir: log.project_tasks(_log(spark, sf_dir)),
     "working_set": lambda spark, sf_dir: log.working_set(log.project_tasks(_log(spark, sf_dir))),
     "latest_before": lambda spark, sf_dir: log.latest_before(_log(spark, sf_dir), "purchase"),
@@ -114,6 +135,7 @@ _TRIPLES = "t AS (SELECT 's' || l_suppkey AS subject, l_returnflag AS verb, 'b'
 _EDGES = f"{_TRIPLES}, e AS (SELECT subject, verb, object, sum(pow(0.95, (SELECT max(tick) FROM t) - tick)) AS weight FROM t GROUP BY ALL)"
 _STEPS = "s AS (SELECT user_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS id FROM events)"
 _LOG = "g AS (SELECT event_id AS tick, event_type AS type, user_id AS task, value FROM events)"
+_SHARED = f"{_LOG}, u AS (SELECT min(tick) + (max(tick) - min(tick)) * {SHARE[0]} // {SHARE[1]} AS cursor FROM g), v AS (SELECT g.* FROM g, u WHERE tick < cursor)"
 _ATTR = "a AS (SELECT DISTINCT p_brand AS id, p_type || ':' || (p_size % 5) AS field FROM part)"
 _PROP = "p AS (SELECT o_orderkey AS id, o_custkey AS subject, o_orderpriority AS predicate, o_orderstatus AS object, CASE WHEN o_totalprice > 150000 THEN 1 ELSE -1 END AS polarity, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS s FROM orders), m AS (SELECT x.*, y.id AS id_b, y.object AS object_b, y.polarity AS polarity_b, x.s <= y.s + 90 AND y.s <= x.s + 90 AS meet FROM p x JOIN p y USING (subject, predicate) WHERE x.id < y.id)"
 _TASKS = "k AS (SELECT task, arg_max(type, tick) AS last_type, arg_max(value, tick) FILTER (value IS NOT NULL) AS last_value, min(tick) AS first_tick, count(DISTINCT type) AS evidence, count(*) AS entries FROM g GROUP BY task)"
@@ -154,6 +176,9 @@ SELECT l_returnflag, round(xy, 6) AS pearson, round((xy - xz * yz) / sqrt((1 - x
     "as_of": f"WITH {_LOG} SELECT * FROM g WHERE tick < {CURSOR}",
     "lens_view": f"WITH {_LOG} SELECT * FROM g WHERE tick < {CURSOR} AND type IN ('click', 'view')",
     "discarded_types": f"WITH {_LOG} SELECT type, count(*) AS n FROM g WHERE tick < {CURSOR} AND type NOT IN ('click', 'view') GROUP BY type",
+    "as_of_share": f"WITH {_SHARED} SELECT * FROM v",
+    "lens_view_share": f"WITH {_SHARED} SELECT * FROM v WHERE type IN ('click', 'view')",
+    "discarded_types_share": f"WITH {_SHARED} SELECT type, count(*) AS n FROM v WHERE type NOT IN ('click', 'view') GROUP BY type",
     "task_projection": f"WITH {_LOG}, {_TASKS} SELECT * FROM k",
     "working_set": f"WITH {_LOG}, {_TASKS} SELECT * FROM k ORDER BY entries DESC, first_tick LIMIT 7",
     "latest_before": f"WITH {_LOG} SELECT task, tick, max(CASE WHEN type = 'purchase' THEN tick END) OVER (PARTITION BY task ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM g",
