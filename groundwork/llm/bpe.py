@@ -4,7 +4,7 @@ A text is cut into pieces (contractions, letters, digits, other signs, white spa
 bytes. A segment tree holds rank * leaves + position for every adjacent pair, so its root names the leftmost pair
 of lowest rank. Merging it changes three leaves, each repaired up to the root in logarithmic time, until the
 root holds no pair. Short pieces go through the tree in batches, one merge a step in each; long ones alone.
-Pieces are encoded once and kept, up to CACHE pieces a Python worker.
+Pieces are encoded once and kept, up to CACHE pieces a Python worker; a kept piece stands only for the same bytes.
 
 Defined results: null and empty texts have no ids and decode to the empty text; the strings of added tokens in a
 text become those tokens; other columns and repeated rows pass through.
@@ -217,6 +217,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.place: dict[int, int] = {}
+        self.said: dict[int, bytes] = {}
         self.start, self.size, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
         self.used = 0
 
@@ -232,6 +233,24 @@ class Encoder:
         self.used += m
         self.place.update(zip(keys, range(n, n + len(keys)), strict=True))
 
+    def _keys(self, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """np.unique of the pieces' keys. Pieces of one hash are compared with each other and with the kept piece; where
+        they differ, the next free key is theirs."""
+        keys, hashed = K.piece_keys(data, first, end)
+        size = end - first
+        while True:
+            found, where, which = np.unique(keys, return_index=True, return_inverse=True)
+            other = np.zeros(len(keys), dtype=bool)
+            some = np.flatnonzero(hashed)
+            one = where[which[some]]
+            other[some] = (size[some] != size[one]) | K.differ(data, first[some], first[one], np.minimum(size[some], size[one]))
+            for k, i in zip(found.tolist(), where.tolist(), strict=True):
+                if hashed[i] and (kept := self.said.get(k)) is not None and kept != data[first[i] : end[i]].tobytes():
+                    other |= (keys == np.uint64(k)) & hashed
+            if not other.any():
+                return found, where, which
+            keys[other] += np.uint64(1)
+
     def _learn(self, keys: np.ndarray, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
         edges = [0, 1, 2, 3, 5, 9, 17, 33, BATCHED]
         for lo, hi in zip(edges, edges[1:], strict=False):
@@ -267,13 +286,14 @@ class Encoder:
                 kept[lo + 1 : hi] = False
                 end[lo] = b
             first, end = first[kept], end[kept]
-        keys, where, which = np.unique(K.Hashes(data).spans(first, end), return_index=True, return_inverse=True)
+        keys, where, which = self._keys(data, first, end)
         if len(self.place) + len(keys) > CACHE:
             self.clear()
         new = np.array([k not in self.place for k in keys.tolist()], dtype=bool)
         if new.any():
             at = where[new]
             self._learn(keys[new], data, first[at], end[at] - first[at])
+            self.said.update((k, data[a:b].tobytes()) for k, a, b in zip(keys[new].tolist(), first[at].tolist(), end[at].tolist(), strict=True) if b - a > 7)
         place = np.array([self.place[k] for k in keys.tolist()], dtype=np.int64)[which]
         sizes, starts = self.size[place], self.start[place]
         ids = K.gather(self.ids, starts, sizes)

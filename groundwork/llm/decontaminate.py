@@ -54,7 +54,7 @@ class NgramSet:
         flat = [w for words in windows for w in words]
         ends = np.cumsum([len(w) for w in flat])
         starts = np.concatenate([[0], ends[:-1]])
-        hashed = K.rolling(K.Hashes(np.frombuffer(b"".join(flat), dtype=np.uint8)).spans(starts, ends), size)[::size]
+        hashed = K.rolling(K.span_hashes(np.frombuffer(b"".join(flat), dtype=np.uint8), starts, ends), size)[::size]
         by_hash: dict[int, list] = {}
         for h, (words, owners) in zip(hashed.tolist(), windows.items(), strict=True):
             by_hash.setdefault(h, []).append((words, sorted(owners)))
@@ -65,7 +65,7 @@ class NgramSet:
     def scan(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Which words lie in an occurrence, and the items found in each row that has any."""
         hit, items = np.zeros(len(starts), dtype=bool), {}
-        words = K.Hashes(data).spans(starts, ends)
+        words = K.span_hashes(data, starts, ends)
         for size, (keys, bits, by_hash) in self.sizes.items():
             at = K.window_starts(bounds, size)
             hashed = K.rolling(words, size)[at]

@@ -51,7 +51,7 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> Iterat
     """The sorted shingle hashes of each row of a block."""
     data = K.LOWER[data]
     starts, ends, bounds = K.runs(K.NOT_SPACE[data], offsets)
-    each = K.Hashes(data).spans(starts, ends)
+    each = K.span_hashes(data, starts, ends)
     rolled = K.rolling(each, words)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= words:

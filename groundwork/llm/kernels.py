@@ -20,7 +20,6 @@ BLOCK_BYTES = 1 << 18
 SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD = _U(0xD6E8FEB86659FD93)
 
 
@@ -34,40 +33,132 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Prime modulus of the prefix sums, and the two bases (fixed, drawn at random) of its polynomials.
+_PRIME = (1 << 31) - 1
+_M = _U(_PRIME)
+_SHIFT = _U(31)
+_BASES = (1_263_508_417, 726_199_043)
+
 with np.errstate(over="ignore"):
-    _CODES = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
+    _CODES = [mix(np.arange(1, 257, dtype=_U) * _U(_BASE) + _U(k)) >> _U(33) for k in (0, 1 << 40)]
+
+_powers: dict[int, np.ndarray] = {}
 
-_powers: dict[str, np.ndarray] = {}
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, but for a multiple that's left of small size."""
+    return (x & _M) + (x >> _SHIFT)
 
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    if len(_powers.get(name, ())) < n:
-        table = np.full(max(n, BLOCK_BYTES + 1), base, dtype=_U)
-        table[0] = 1
-        _powers[name] = np.cumprod(table)
-    return _powers[name][:n]
+
+def _power(base: int, n: int) -> np.ndarray:
+    """Powers of base modulo the prime."""
+    if len(_powers.get(base, ())) < n:
+        table, step = np.ones(1, dtype=_U), base
+        while len(table) < max(n, BLOCK_BYTES + 1):
+            table = np.concatenate([table, _fold(_fold(table * _U(step)))])
+            step = step * step % _PRIME
+        _powers[base] = table
+    return _powers[base][:n]
 
 
 class Hashes:
-    """Hashes of any byte spans of one block, from prefix sums of a polynomial modulo 2**64."""
+    """Hashes of any byte spans of one block: two polynomials modulo a prime from prefix sums, and the length."""
 
     def __init__(self, data: np.ndarray):
-        """data: bytes, or code points as 32-bit numbers."""
-        n = len(data)
-        self.n = n
-        self._inverse = _power("down", _INVERSE, n + 1)
-        self._sums = np.zeros(n + 1, dtype=_U)
-        codes = _CODES[data] if data.dtype == np.uint8 else mix((data.astype(_U) + _U(1)) * _U(_BASE))
-        np.cumsum(codes * _power("up", _BASE, n + 1)[:n], out=self._sums[1:])
+        self.n = len(data)
+        self._sums = []
+        for codes, base in zip(_CODES, _BASES, strict=True):
+            sums = np.zeros(self.n + 1, dtype=_U)
+            np.cumsum(_fold(codes[data] * _power(base, self.n + 1)[: self.n]), out=sums[1:])
+            self._sums.append(sums)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sums[end] - self._sums[start]) * self._inverse[start] + (end - start).astype(_U) * _WORD)
+        out = (end - start).astype(_U) * _WORD
+        for k, (sums, base) in enumerate(zip(self._sums, _BASES, strict=True)):
+            x = _fold(_fold(_fold(_fold(sums[end] - sums[start])) * _power(pow(base, -1, _PRIME), self.n + 1)[start]))
+            x[x >= _M] -= _M
+            out += x << (_SHIFT * _U(k))
+        return mix(out)
+
+
+#: Spans of more bytes are hashed as polynomials, so that no loop follows the longest of them.
+_LANES = 16
+
+
+def _words_at(data: np.ndarray, step: int = 1) -> np.ndarray:
+    """Eight bytes as a number from every step-th byte, zeros behind the last."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) // step + 1, "<u8", wide.data, strides=(step,))
 
-    def grams(self, k: int) -> np.ndarray:
-        """Of each k bytes, from every start."""
-        if self.n < k:
-            return np.empty(0, dtype=_U)
-        return mix((self._sums[k:] - self._sums[:-k]) * self._inverse[: self.n - k + 1] + _U(k * int(_WORD) % (1 << 64)))
+
+def _bytes_of(data: np.ndarray) -> tuple[np.ndarray, int]:
+    return np.ascontiguousarray(data).view(np.uint8), data.itemsize
+
+
+def _stir(out: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return ((out ^ (out >> _U(32))) + word) * _WORD
+
+
+def grams(data: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of each k bytes or code points from every start."""
+    raw, step = _bytes_of(data)
+    n, size = len(data) - k + 1, k * step
+    if n <= 0:
+        return np.empty(0, dtype=_U)
+    if size < 8:
+        return span_hashes(data, np.arange(n), np.arange(n) + k)
+    out = np.zeros(n, dtype=_U)
+    for at in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
+        out = _stir(out, np.ndarray(n, "<u8", raw.data, at, (step,)))
+    return mix(out + _U(size * _BASE % (1 << 64)))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes or code points, mixed from 8-byte words; of long ones from two polynomials modulo a prime."""
+    raw, step = _bytes_of(data)
+    first, size = np.asarray(start) * step, (np.asarray(end) - start) * step
+    words = _words_at(raw)
+    out = size.astype(_U) * _U(_BASE)
+    some, k = np.flatnonzero((size > 0) & (size <= 8 * _LANES)), 0
+    while len(some):
+        left = np.minimum(size[some] - 8 * k, 8).astype(_U)
+        out[some] = _stir(out[some], words[first[some] + 8 * k] & (~_U(0) >> (_U(64) - left * _U(8))))
+        k += 1
+        some = some[size[some] > 8 * k]
+    out = mix(out)
+    long = np.flatnonzero(size > 8 * _LANES)
+    if len(long):
+        ends = np.cumsum(size[long])
+        out[long] = Hashes(gather(raw, first[long], size[long])).spans(ends - size[long], ends)
+    return out
+
+
+def piece_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of byte spans, and which of them are hashes: spans of up to 7 bytes are their own key, so only others can collide."""
+    size = end - start
+    short = np.minimum(size, 7).astype(_U)
+    keys = (_words_at(data)[start] & ((_U(1) << (short * _U(8))) - _U(1))) | (short << _U(56))
+    hashed = size > 7
+    keys[hashed] = span_hashes(data, start[hashed], end[hashed]) | _U(1 << 63)
+    return keys, hashed
+
+
+def differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of `size` bytes from a and from b differ."""
+    words = _words_at(data)
+    out = np.zeros(len(a), dtype=bool)
+    some, k = np.flatnonzero((a != b) & (size > 0)), 0
+    while len(some):
+        left = np.minimum(size[some] - 8 * k, 8).astype(_U)
+        x = words[a[some] + 8 * k] ^ words[b[some] + 8 * k]
+        out[some] |= (x & (~_U(0) >> (_U(64) - left * _U(8)))) != 0
+        k += 1
+        some = some[(size[some] > 8 * k) & ~out[some]]
+        if k == _LANES:
+            for i in some.tolist():
+                out[i] = data[a[i] : a[i] + size[i]].tobytes() != data[b[i] : b[i] + size[i]].tobytes()
+            break
+    return out
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

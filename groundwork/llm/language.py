@@ -72,11 +72,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 codes, starts, ends, _ = K.letter_words(data, offsets)
                 if not len(starts):
                     continue
-                keys, first, times = np.unique(K.Hashes(codes).spans(starts, ends), return_index=True, return_counts=True)
+                keys, first, times = np.unique(K.span_hashes(codes, starts, ends), return_index=True, return_counts=True)
                 text, at = padded(codes, starts[first], ends[first])
                 size = ends[first] - starts[first] + 1
                 begin = np.arange(int(size.sum())) + np.repeat(at - (np.cumsum(size) - size), size)
-                grams = K.Hashes(text).grams(ORDER)[begin]
+                grams = K.grams(text, ORDER)[begin]
                 each = np.repeat(times, size)
                 keys, where, which = np.unique(grams, return_index=True, return_inverse=True)
                 total = np.bincount(which, weights=each).astype(np.int64)
@@ -106,7 +106,7 @@ def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, starts, ends, _ = K.letter_words(data, offsets)
             if not len(starts):
                 continue
-            keys, first = np.unique(K.Hashes(codes).spans(starts, ends), return_index=True)
+            keys, first = np.unique(K.span_hashes(codes, starts, ends), return_index=True)
             first = first[[k not in words for k in keys.tolist()]]
             if not len(first):
                 continue
@@ -115,7 +115,7 @@ def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, at = padded(codes, starts[first], ends[first])
             size = ends[first] - starts[first] + 1
             begin = np.arange(int(size.sum())) + np.repeat(at - (np.cumsum(size) - size), size)
-            keys, where = np.unique(K.Hashes(text).grams(ORDER)[begin], return_index=True)
+            keys, where = np.unique(K.grams(text, ORDER)[begin], return_index=True)
             where = where[[k not in grams for k in keys.tolist()]]
             grams = set() if len(grams) > FLUSH else grams
             grams.update(keys.tolist())
@@ -151,10 +151,10 @@ def statistics(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _hash(grams: list[str], k: int) -> np.ndarray:
-    """Hashes of texts of k characters, in pieces, as Hashes keeps tables of the size of what it reads."""
+    """Hashes of texts of k characters, in pieces."""
     some = K.BLOCK_BYTES // k
     pieces = (np.frombuffer("".join(grams[i : i + some]).encode("utf-32-le"), dtype=np.uint32) for i in range(0, len(grams), some))
-    return np.concatenate([np.empty(0, np.uint64), *(K.Hashes(x).grams(k)[::k] for x in pieces)])
+    return np.concatenate([np.empty(0, np.uint64), *(K.grams(x, k)[::k] for x in pieces)])
 
 
 def _find(keys: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +187,7 @@ class Model:
         """Sorted hashes of an order's texts, the texts' characters, and the value in each language."""
         table = table.filter(pa.compute.equal(table["k"], k))
         text = np.frombuffer("".join(table[name].to_pylist()).encode("utf-32-le"), dtype=np.uint32).reshape(len(table), size)
-        hashed = K.Hashes(text.ravel()).grams(size)[::size] if size and len(table) else np.zeros(len(table), np.uint64)
+        hashed = K.grams(text.ravel(), size)[::size] if size and len(table) else np.zeros(len(table), np.uint64)
         keys, first, which = np.unique(hashed, return_index=True, return_inverse=True)
         out = np.full((len(keys), len(self.langs)), fill)
         if len(table):
@@ -195,14 +195,14 @@ class Model:
         return keys, text[first], out
 
     def _weight(self, k: int, text: np.ndarray) -> np.ndarray:
-        at, found = _find(self.contexts[k], K.Hashes(np.ascontiguousarray(text).ravel()).grams(k - 1)[:: k - 1])
+        at, found = _find(self.contexts[k], K.grams(np.ascontiguousarray(text).ravel(), k - 1)[:: k - 1])
         return np.where(found[:, None], self.weights[k][at] if len(self.weights[k]) else 0, 0).astype(np.float32)
 
     def _look(self, k: int, text: np.ndarray) -> np.ndarray:
         """Log probabilities of rows of k characters."""
         if not len(text):
             return np.empty((0, len(self.langs)), np.float32)
-        at, found = _find(self.keys[k], K.Hashes(np.ascontiguousarray(text).ravel()).grams(k)[::k])
+        at, found = _find(self.keys[k], K.grams(np.ascontiguousarray(text).ravel(), k)[::k])
         out = np.empty((len(text), len(self.langs)), dtype=np.float32)
         out[found] = self.logs[k][at[found]]
         gone = ~found
@@ -268,7 +268,7 @@ class Block:
         size = ends - starts + 1
         first = np.cumsum(size) - size
         begin = np.arange(int(size.sum())) + np.repeat(at - first, size)
-        grams, which = np.unique(K.Hashes(text).grams(ORDER)[begin], return_inverse=True)
+        grams, which = np.unique(K.grams(text, ORDER)[begin], return_inverse=True)
         at, found = _find(self.keys, grams)
         logs = np.zeros((len(grams), self.langs), np.float32)
         logs[found] = self.logs[at[found]]
@@ -288,7 +288,7 @@ class Scorer:
         rows = len(offsets) - 1
         if not len(starts):
             return np.zeros(rows, np.int64), np.zeros((rows, self.block.langs))
-        keys, where, which = np.unique(K.Hashes(codes).spans(starts, ends), return_index=True, return_inverse=True)
+        keys, where, which = np.unique(K.span_hashes(codes, starts, ends), return_index=True, return_inverse=True)
         if len(self.place) + len(keys) > CACHE:
             self.place.clear()
         new = np.flatnonzero(np.array([k not in self.place for k in keys.tolist()], dtype=bool))

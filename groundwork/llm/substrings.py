@@ -39,14 +39,13 @@ GRAM = 20
 FLUSH = 1_500_000
 
 
-def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, K.Hashes]:
+def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The phrases of a block: first byte, number of LENGTH-byte strings, and hash of the trigger."""
-    hashes = K.Hashes(data)
-    low = hashes.grams(gram)
+    low = K.grams(data, gram)
     n, width = len(data) - length + 1, length - gram + 1
     if n <= 0:
         none = np.empty(0, np.int64)
-        return none, none, np.empty(0, np.uint64), hashes
+        return none, none, np.empty(0, np.uint64)
     least, where, size = low, np.arange(len(low), dtype=np.int32), 1
     while size < width:
         step = min(size, width - size)
@@ -65,7 +64,7 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     start = np.flatnonzero(new)
     stop = inside.copy()
     stop[:-1] &= new[1:] | ~inside[1:]
-    return start, np.flatnonzero(stop) + 1 - start, low[where[start]], hashes
+    return start, np.flatnonzero(stop) + 1 - start, low[where[start]]
 
 
 def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +125,7 @@ def _send_triggers(buckets: int):
         for batch in batches:
             ids, hs = _rows_of(batch)
             for lo, hi, data, offsets in K.blocks(batch.column(2)):
-                start, _, trigger, _ = parse(data, offsets)
+                start, _, trigger = parse(data, offsets)
                 cut = np.searchsorted(start, offsets)
                 for r in range(hi - lo):
                     own = np.unique(trigger[cut[r] : cut[r + 1]])
@@ -199,7 +198,7 @@ def _send_phrases(buckets: int):
             ids, hs = _rows_of(batch)
             wanted = batch.column(3)
             for lo, hi, data, offsets in K.blocks(K.unpacked(batch.column(2))):
-                start, strings, trigger, hashes = parse(data, offsets)
+                start, strings, trigger = parse(data, offsets)
                 cut = np.searchsorted(start, offsets)
                 row = np.repeat(np.arange(hi - lo), np.diff(cut))
                 # one search for all rows: the row above the first bits of the trigger's hash
@@ -215,7 +214,7 @@ def _send_phrases(buckets: int):
                 d.extend(ids[lo:hi])
                 h.extend(hs[lo:hi])
                 packed = K.gather(data, start, size)
-                parts.append((trigger, hashes.spans(start, start + size), strings, start - offsets[row], row + base, np.cumsum(size) - size, packed))
+                parts.append((trigger, K.span_hashes(data, start, start + size), strings, start - offsets[row], row + base, np.cumsum(size) - size, packed))
                 held += len(start)
                 if held > FLUSH // 8:
                     yield flush()
@@ -254,7 +253,7 @@ def _covered(table: pa.Table) -> pa.Table:
         trigger, data = np.frombuffer(trigger, np.uint32), np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
         strings = _large(strings, len(trigger))
         ends = np.cumsum(strings + LENGTH - 1)
-        phrase = K.Hashes(data).spans(ends - strings - LENGTH + 1, ends)
+        phrase = K.span_hashes(data, ends - strings - LENGTH + 1, ends)
         parts.append((trigger, phrase, strings, data, _large(which, n) + phrases, _large(owner, n) + texts, _large(at, n)))
         d.append(_ids_of(x))
         h.append(np.frombuffer(y, np.uint32).astype(np.int64))

@@ -49,13 +49,13 @@ IDENTITY_TERMS = [
 ]
 
 
-def _features(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: K.Hashes) -> tuple[np.ndarray, np.ndarray]:
+def _features(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature hashes of words, and the word each comes from."""
     size = ends - starts
-    out, of = [hashes.spans(starts, ends)], [np.arange(len(starts))]
+    out, of = [K.span_hashes(codes, starts, ends)], [np.arange(len(starts))]
     for k in _PREFIXES:
         long = np.flatnonzero(size >= k)
-        out.append(K.mix(hashes.spans(starts[long], starts[long] + k) + np.uint64(k)))
+        out.append(K.mix(K.span_hashes(codes, starts[long], starts[long] + k) + np.uint64(k)))
         of.append(long)
     return np.concatenate(out), np.concatenate(of)
 
@@ -63,7 +63,7 @@ def _features(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: K
 def _word_features(words: list[str]) -> list[np.ndarray]:
     codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
     ends = np.cumsum([len(w) for w in words])
-    f, of = _features(codes, ends - [len(w) for w in words], ends, K.Hashes(codes))
+    f, of = _features(codes, ends - [len(w) for w in words], ends)
     return [f[of == i] for i in range(len(words))]
 
 
@@ -83,11 +83,11 @@ class Swaps:
 def row_features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of each row the distinct features, and the distinct hashes of whole words."""
     codes, starts, ends, bounds = K.letter_words(data, offsets)
-    f, of = _features(codes, starts, ends, K.Hashes(codes))
+    f, of = _features(codes, starts, ends)
     row = np.searchsorted(bounds, of, side="right") - 1
     order = np.argsort(row, kind="stable")
     f, cut = f[order], np.searchsorted(row[order], np.arange(len(offsets)))
-    words = K.Hashes(codes).spans(starts, ends)
+    words = K.span_hashes(codes, starts, ends)
     for i in range(len(offsets) - 1):
         yield np.unique(f[cut[i] : cut[i + 1]]), words[bounds[i] : bounds[i + 1]]
 
@@ -134,7 +134,7 @@ class Classifier:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         codes, starts, ends, bounds = K.letter_words(data, offsets)
-        f, of = _features(codes, starts, ends, K.Hashes(codes))
+        f, of = _features(codes, starts, ends)
         n = len(self.keys)
         z = np.full(len(offsets) - 1, self.intercept)
         if n and len(f):
