@@ -3,22 +3,23 @@
 1. A text's set is hashed; texts with equal sets form a class, and all further work is on classes.
 2. A sketch of COUNTERS counters tells roughly how many texts have a shingle; its levels, then hashes, give a global
    order from rare to frequent (any one order is exact). Two classes that link share c = common(n) shingles among the first
-   n - ceil(0.75 n) + c of each (n: the smaller size), so Python tasks post only those, packed by bucket of the shingle.
-3. A task of a bucket builds the index lists, blocked by set size and position. Lists of one class are dropped, then
-   classes that are left in too few lists. In each list every class is compared with PIVOTS pivots only (blocks that size
-   or position rule out are skipped), and the exact overlaps are computed.
-4. Answers are then derived from the pivot's: classes linked to a pivot are one component and need no comparison
-   among themselves; of two classes in different components, the known distances to their pivot bound their distance
-   from below, and pairs which the bound rules out are skipped. What is left is compared exactly.
-
-So no pair is lost, and a group of copies costs a comparison for each member. Defined results: texts without
+   n - ceil(0.75 n) + c of each (n: the smaller size), so Python tasks post only those, packed by bucket of the shingle, and
+   classes whose first shingles hardly occur elsewhere are out.
+3. Of the rest, every shingle is counted exactly, in blocks of sets that send their distinct shingles. A class of which under 0.75
+   occurs elsewhere is out. The others' index lists take the first n - ceil(0.75 n) + 1 shingles from rare to frequent, with position and size.
+4. In each list every class is compared with one pivot only, that with the commonest shingles, and only where size and position let the
+   shingle be the first common one (the list's other blocks are skipped). Overlaps are exact.
+5. Answers are derived from the pivot's: classes linked to it are one component and need no comparison among themselves, and the
+   overlaps with the pivot bound that of any two others. Lists left with several components take another pivot; when pivots
+   link no more, the pairs of different components in neighbouring size blocks that no bound rules out are compared.
+
+So no component is lost, and a group of copies costs a comparison for each member and list pivot. Defined results: texts without
 words have empty sets and link with nothing; fewer than five words are one shingle; rows without id get their set's size
 and no component and link nothing; repeated ids and rows are separate texts of the same id.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from groundwork.operators.components import components
-from .store import written
+from .store import dropped, written
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -40,8 +41,12 @@ CHUNK = 1 << 16
 _COUNTER = np.uint64(64 - 22)
 #: For so many shingles of a set its prefix is longer by one, and has one more in common with that of a linked set.
 STEP = 25
-#: Classes of a list that all others are compared with first.
-PIVOTS = 6
+#: Width of a block of sizes, a little over the logarithm of the largest ratio of linked sets.
+WIDTH = 0.2877
+#: Bytes of sets that a Python task of blocks holds.
+HELD = 16_000_000
+#: Keys that are broadcast at most; more are joined by a shuffle.
+BROADCAST = 1_000_000
 #: Postings that a task holds before it hands them on.
 PART = 1_000_000
 _TOKEN_BITS = np.uint64(32)
@@ -130,13 +135,12 @@ def _poster(shared, buckets: int):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         seen: dict[int, int] = {}
-        tokens, owner, place, size, names, sizes = [], [], [], 0, [], []
+        tokens, size, names, sizes = [], 0, [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size
             t = np.concatenate([*tokens, np.empty(0, np.uint64)])
             o = np.repeat(np.arange(len(names), dtype=np.uint32), [len(x) for x in tokens])
-            p = np.concatenate([*place, np.empty(0, np.uint16)])
             bucket = t % np.uint64(buckets)
             order = np.lexsort((t, bucket))
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
@@ -145,13 +149,13 @@ def _poster(shared, buckets: int):
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 some = order[cuts[b] : cuts[b + 1]]
                 who, which = np.unique(o[some], return_inverse=True)
-                rows.append((b, (t[some] >> _TOKEN_BITS).astype(np.uint32).tobytes(), which.astype(np.uint16 if len(who) < 65536 else np.uint32).tobytes(), p[some].tobytes(), cls[who].tobytes(), n[who].tobytes()))
-            for x in (tokens, owner, place, names, sizes):
+                rows.append((b, (t[some] >> _TOKEN_BITS).astype(np.uint32).tobytes(), which.astype(np.uint16 if len(who) < 65536 else np.uint32).tobytes(), cls[who].tobytes(), n[who].tobytes()))
+            for x in (tokens, names, sizes):
                 x.clear()
             seen.clear()
             size = 0
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "token", "owner", "place", "cls", "n"])
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "token", "owner", "cls", "n"])
 
         for batch in batches:
             for _, _, data, offsets in K.blocks(batch.column(0)):
@@ -164,7 +168,6 @@ def _poster(shared, buckets: int):
                     order = (levels[s >> _COUNTER].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                     first = s[np.argsort(order, kind="stable")[:prefix]]
                     tokens.append(first)
-                    place.append(np.minimum(np.arange(len(first)), 65535).astype(np.uint16))
                     names.append(key)
                     sizes.append(len(s))
                     size += len(first)
@@ -175,103 +178,133 @@ def _poster(shared, buckets: int):
     return post
 
 
-_POSTS = "bucket int, token binary, owner binary, place binary, cls binary, n binary"
-_LISTS = "bucket int, token long, cls long, n long, place int"
-_PIVOTS = _LISTS + ", pivot long"
+_POSTS = "bucket int, token binary, owner binary, cls binary, n binary"
 
 
-def _several(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted tokens: the first row of each row's list, and whether the list has more rows."""
-    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    size = np.diff(np.r_[first, len(token)])
-    return np.repeat(first, size), np.repeat(size > 1, size)
-
-
-def _lists(table: pa.Table) -> pa.Table:
-    """The index lists of a bucket that hold more than one class."""
+def _shared(table: pa.Table) -> pa.Table:
+    """For each class of a bucket, how many of its posted shingles another class has posted too."""
     parts = []
-    for token, owner, place, cls, n in zip(*(table[c].to_pylist() for c in ("token", "owner", "place", "cls", "n")), strict=True):
+    for token, owner, cls, n in zip(*(table[c].to_pylist() for c in ("token", "owner", "cls", "n")), strict=True):
         cls, n = np.frombuffer(cls, np.int64), np.frombuffer(n, np.uint32)
         who = np.frombuffer(owner, np.uint16 if len(cls) < 65536 else np.uint32)
-        parts.append((np.frombuffer(token, np.uint32), cls[who], n[who], np.frombuffer(place, np.uint16)))
-    token, cls, n, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.append((np.frombuffer(token, np.uint32), cls[who], n[who]))
+    token, cls, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((cls, token))
-    token, cls, n, place = token[order], cls[order], n[order], place[order]
+    token, cls, n = token[order], cls[order], n[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-    token, cls, n, place = token[new], cls[new], n[new], place[new]
-    _, some = _several(token)
-    bucket = table["bucket"][0].as_py()
-    cols = [np.full(int(some.sum()), bucket, np.int32), (token[some].astype(np.int64) << 31) + bucket, cls[some], n[some].astype(np.int64), place[some].astype(np.int32)]
-    return pa.table(dict(zip(("bucket", "token", "cls", "n", "place"), map(pa.array, cols), strict=True)))
-
-
-def _pivots(table: pa.Table) -> pa.Table:
-    """The lists of a bucket that still hold more than one class, each with the class of the smallest name as its pivot: the
-    same one in all lists of a group of copies."""
-    table = table.sort_by([("token", "ascending"), ("cls", "ascending")])
-    pivot, some = _several(table["token"].to_numpy())
-    return table.filter(pa.array(some)).append_column("pivot", table["cls"].take(pa.array(pivot[some])))
-
-
-def _stars(table: pa.Table) -> pa.Table:
-    """Pairs of each class of a list with the list's PIVOTS classes of the smallest names."""
-    table = table.sort_by([("token", "ascending"), ("cls", "ascending")])
-    token, cls, n, place = (table[c].to_numpy() for c in ("token", "cls", "n", "place"))
-    first, _ = _several(token)
-    names, one, which = np.unique(cls, return_index=True, return_inverse=True)
-    at = np.arange(len(token))
-    held = []
-    for k in range(PIVOTS):
-        p = first + k
-        own = np.flatnonzero(at > p)  # later classes of the list
-        p = p[own]
-        ok = possible(n[p], n[own], place[p], place[own])
-        held.append(which[p[ok]] * len(names) + which[own[ok]])
-    keys = np.unique(np.concatenate(held))
-    a, b = keys // len(names), keys % len(names)
-    return pa.table({"a": names[a], "b": names[b], "n": n[one][a].astype(np.int64), "m": n[one][b].astype(np.int64)})
-
-
-def possible(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether a common shingle at places i and j can be the first one of linked sets of n and m.
+    token, cls, n = token[new], cls[new], n[new]
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    size = np.diff(np.r_[first, len(token)])
+    some = np.repeat(size > 1, size)
+    names, one, k = np.unique(cls[some], return_index=True, return_counts=True)
+    return pa.table({"cls": names, "n": n[some][one].astype(np.int64), "k": k.astype(np.int64)})
 
-    Linked sets have o = ceil(0.75 / 1.75 (n + m)) common shingles at least, so the first of them leaves o of either set from
-    its place on. A place of 65535 or more is not exact and always counts.
+
+def _small(x: np.ndarray, kind) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
+
+
+def _large(b: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+
+
+def _edges(buckets: int) -> np.ndarray:
+    """The least hash of each bucket, and one more."""
+    return np.array([min((1 << 64) * i // buckets, (1 << 64) - 1) for i in range(buckets + 1)], dtype=np.uint64)
+
+
+def _joined(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a block's sets, and how many each has."""
+    return np.frombuffer(b"".join(sets), np.uint64), np.array([len(s) // 8 for s in sets], dtype=np.int64)
+
+
+def _counter(buckets: int):
+    edges = _edges(buckets)
+
+    def send(table: pa.Table) -> pa.Table:
+        """A block's distinct shingles, by bucket, with their numbers of classes."""
+        found, n = np.unique(_joined(table["s"].to_pylist())[0], return_counts=True)
+        cuts = np.searchsorted(found, edges)
+        cuts[-1] = len(found)
+        some = np.flatnonzero(np.diff(cuts))
+        words = [(found[cuts[b] : cuts[b + 1]] >> np.uint64(16)).astype(np.uint32).tobytes() for b in some]
+        times = [_small(n[cuts[b] : cuts[b + 1]], np.uint32) for b in some]
+        return pa.table({"bucket": pa.array(some.astype(np.int32)), "block": pa.array(np.full(len(some), table["block"][0].as_py(), np.int32)), "token": pa.array(words, pa.binary()), "times": pa.array(times, pa.binary())})
+
+    return send
+
+
+def _levels(table: pa.Table) -> pa.Table:
+    """The level (quarter powers of two, 0 for one class) of each shingle that the blocks have sent to a bucket."""
+    tokens = [np.frombuffer(x, np.uint32) for x in table["token"].to_pylist()]
+    times = np.concatenate([_large(x, np.uint32) for x in table["times"].to_pylist()])
+    _, which = np.unique(np.concatenate(tokens), return_inverse=True)
+    level = np.minimum(4 * np.log2(np.bincount(which, weights=times)), 255).astype(np.uint8)[which]
+    cuts = np.cumsum([0, *map(len, tokens)])
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "level": pa.array([_small(level[a:b], np.uint8) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+
+
+_LISTS = "token long, cls long, n long, place int, typ int"
+
+
+def _prefixes(sets: pa.Table, replies: pa.Table) -> pa.Table:
+    """List entries of a block's classes: the first shingles, from rare to frequent, that some other class has.
+
+    typ is the mean level of a class: copies of one text have the more of each other's shingles the closer they are to it.
     """
-    less, more = np.minimum(n, m), np.maximum(n, m)
-    need = -(-PERCENT * (n + m) // (100 + PERCENT))
-    return (100 * less >= PERCENT * more) & ((i >= 65535) | (i <= n - need)) & ((j >= 65535) | (j <= m - need))
+    shingles, sizes = _joined(sets["s"].to_pylist())
+    _, which = np.unique(shingles, return_inverse=True)
+    said = sorted(zip(replies["bucket"].to_pylist(), replies["level"].to_pylist(), strict=True))
+    level = np.concatenate([*(_large(x, np.uint8) for _, x in said), np.empty(0, np.uint8)])[which]
+    ends = np.cumsum(sizes)
+    token, at, place, typ = [], [], [], []
+    for i, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
+        n, x, s = b - a, level[a:b], shingles[a:b]
+        if np.count_nonzero(x) < -(-PERCENT * n // 100):
+            continue
+        first = np.argsort((x.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")[: n - (PERCENT * n + 99) // 100 + 1]
+        kept = np.flatnonzero(x[first])
+        token.append(s[first[kept]].view(np.int64))
+        place.append(kept)
+        at.append(np.full(len(kept), i))
+        typ.append(np.full(len(kept), int(1000 * x.mean())))
+    token, at, place, typ = (np.concatenate([*x, np.empty(0, np.int64)]) for x in (token, at, place, typ))
+    cls = np.array(sets["cls"].to_pylist(), dtype=np.int64)
+    return pa.table({"token": token, "cls": cls[at], "n": sizes[at], "place": place.astype(np.int32), "typ": typ.astype(np.int32)})
 
 
 def _compared(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-    """Exact distances of a block's pairs."""
+    """Exact overlaps of a block's pairs."""
     of = {c: np.frombuffer(s, np.uint64) for c, s in zip(sets["cls"].to_pylist(), sets["s"].to_pylist(), strict=True)}
-    common = []
+    both = []
     for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
         x, y = of[a], of[b]
         if len(x) > len(y):
             x, y = y, x
         at = np.searchsorted(y, x)
         at[at == len(y)] = 0
-        common.append(int(np.count_nonzero(y[at] == x)))
-    o = np.array(common, dtype=np.int64)
-    union = pairs["n"].to_numpy() + pairs["m"].to_numpy() - o
-    return pa.table({"a": pairs["a"], "b": pairs["b"], "far": 1 - o / union, "linked": 100 * o >= PERCENT * union})
+        both.append(int(np.count_nonzero(y[at] == x)))
+    o = np.array(both, dtype=np.int64)
+    n, m = (np.array([len(of[c]) for c in pairs[k].to_pylist()], dtype=np.int64) for k in ("a", "b"))
+    return pa.table({"a": pairs["a"], "b": pairs["b"], "o": o, "linked": 100 * o >= PERCENT * (n + m - o)})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, far (distance), linked of pairs (a, b, n, m).
+    """a, b, o (overlap), linked of pairs (a, b, n, m); a: the pivot, b: its partners.
 
-    Classes are dealt into groups, pairs into blocks by the groups of both, so a set goes once to each block that has a pair of
-    it, and never once for each pair.
+    A pivot's pairs go to one block, or to several if they're many, so a set goes once to each block that has a pair of it.
+    The blocks' number follows the pairs' bytes.
     """
-    groups = max(2, math.isqrt(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
-    placed = pairs.withColumn("block", group("a") * groups + group("b"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(parts, (pairs.agg(F.sum(8 * (F.col("n") + F.col("m")))).first()[0] or 0) // HELD + 1)
+    shares = pairs.groupBy("a").agg(F.ceil(F.sum(8 * F.col("m")) / (HELD // 4)).alias("shares"))
+    placed = pairs.join(shares, "a").withColumn("block", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), "shares")), F.lit(blocks))).select("block", "a", "b").checkpoint()
     block = (F.col("block") + 0).alias("of_block")
-    needed = placed.select(block, F.col("a").alias("cls")).unionByName(placed.select(block, F.col("b").alias("cls"))).distinct().join(sets, "cls")
-    return placed.groupBy("block").cogroup(needed.groupBy("of_block")).applyInArrow(_compared, "a long, b long, far double, linked boolean")
+    needed = placed.select(block, F.col("a").alias("cls")).unionByName(placed.select(block, F.col("b").alias("cls"))).distinct().checkpoint()
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST else needed
+    needed = sets.select("cls", "s").join(needed, "cls")
+    return placed.groupBy("block").cogroup(needed.groupBy("of_block")).applyInArrow(_compared, "a long, b long, o long, linked boolean").checkpoint()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -281,8 +314,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     named = written(rows.select("d", _classes(F.col("t")).alias("c"), F.xxhash64("t").alias("h")).select("d", "h", "c.n", "c.cls"), "classes")
     real = named.filter("n > 0 and d is not null")
     classes = real.groupBy("cls", "n").agg(F.min("d").alias("rep"), F.min(F.struct("d", "h")).alias("of"))
-    links = _links(spark, rows.filter("d is not null"), classes)
-    found = components(links)
+    found = _components(rows.filter("d is not null"), classes)
     of_class = classes.select("cls", "n", "rep").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = of_class.join(least, "component").select("cls", "n", "component_id")
@@ -290,79 +322,114 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     return out.select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component_id", "d")).alias("component_id"))
 
 
-def _enough(n: Column) -> Column:
-    """common() of a column."""
-    return 1 + F.floor(n / STEP)
-
-
-def _links(spark: SparkSession, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: links between classes, enough to connect every component."""
+def _able(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """cls, n of the classes that have enough first shingles in common with others to link with one of them."""
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(frequency_levels(rows))
     posts = rows.select("t").mapInArrow(_poster(shared, buckets), _POSTS)
-    lists = written(posts.groupBy("bucket").applyInArrow(_lists, _LISTS), "lists")
-    able = lists.groupBy("cls").agg(F.count("*").alias("k"), F.first("n").alias("n")).filter(F.col("k") >= _enough(F.col("n") * PERCENT / 100))
-    lists = written(lists.join(able.select("cls"), "cls", "left_semi").select("bucket", "token", "cls", "n", "place").groupBy("bucket").applyInArrow(_pivots, _PIVOTS), "pivots")
-    pairs = lists.groupBy("bucket").applyInArrow(_stars, "a long, b long, n long, m long").distinct().checkpoint()
-    sets = _sets_of(rows, classes, lists)
-    done = _verified(pairs, sets).checkpoint()
-    links = done.filter("linked").select("a", "b")
-
-    # classes that the stars have left in different components of a list
-    parts = components(links).select(F.col("node").alias("cls"), "component")
-    open_lists = lists.join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = open_lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    known = done.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), "far")
-    left = open_lists.join(mixed, "token", "left_semi").join(known, ["pivot", "cls"], "left").withColumn("far", F.when(F.col("cls") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
-    rest = left.select("bucket", "token", "cls", "n", "place", "component", F.coalesce("far", F.lit(float("nan"))).alias("far"))
-    more = rest.groupBy("bucket").applyInArrow(_across, "a long, b long, n long, m long").distinct()
-    more = more.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").checkpoint()
-    again = _verified(more, sets)
-    return links.unionByName(again.filter("linked").select("a", "b"))
-
-
-def _sets_of(rows: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
-    """cls, s: the sets of the classes that are in lists, each from one text."""
-    wanted = lists.select("cls").distinct()
-    of = classes.join(wanted, "cls", "left_semi").select("cls", F.col("of.d").alias("d"), F.col("of.h").alias("h"))
+    found = posts.groupBy("bucket").applyInArrow(_shared, "cls long, n long, k long")
+    enough = 1 + F.floor(F.col("n") * PERCENT / 100 / STEP)
+    return written(found.groupBy("cls").agg(F.sum("k").alias("k"), F.first("n").alias("n")).filter(F.col("k") >= enough).select("cls", "n"), "able")
+
+
+def _components(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, component of the classes that link."""
+    spark = rows.sparkSession
+    able = _able(spark, rows)
+    sets = _sets_of(rows, classes, able)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(parts, 8 * (able.agg(F.sum("n")).first()[0] or 0) // HELD + 1)
+    dealt = sets.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int"))
+    sent = dealt.groupBy("block").applyInArrow(_counter(4 * parts), "bucket int, block int, token binary, times binary")
+    replies = sent.groupBy("bucket").applyInArrow(_levels, "block int, bucket int, level binary")
+    lists = written(dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_prefixes, _LISTS), "lists")
+    found = _rounds(lists, sets)
+    dropped(able, sets, lists)
+    return found
+
+
+def _possible(n: str, m: str, i: str, j: str) -> Column:
+    """Whether a common shingle at places i and j can be the first one of linked sets of n and m.
+
+    Linked sets have o = ceil(0.75 / 1.75 (n + m)) common shingles at least, so the first of them leaves o of either set from
+    its place on.
+    """
+    need = f"ceil({PERCENT} * ({n} + {m}) / {100 + PERCENT})"
+    return F.expr(f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m}) and {i} <= {n} - {need} and {j} <= {m} - {need}")
+
+
+def _derived(n: str, m: str, o: str, q: str) -> Column:
+    """Whether sets of n and m, with overlaps of o and q with one pivot, can link: they have no more in common than the lesser
+    overlap and the lesser rest."""
+    most = f"(least({o}, {q}) + least({n} - {o}, {m} - {q}))"
+    return F.coalesce(F.expr(f"100 * {most} >= {PERCENT} * ({n} + {m} - {most})"), F.lit(True))
+
+
+def _starred(lists: DataFrame) -> DataFrame:
+    """Lists of several components, a row for each class but the pivot: that of the highest typ, then of the largest name."""
+    best = lists.groupBy("token").agg(F.max(F.struct("typ", "cls", "n", "place", "component", "o")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"))
+    best = best.filter("low <> high").select("token", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("cls", "n", "place", "component", "o")))
+    return lists.join(best, "token").filter("cls <> p_cls")
+
+
+def _rounds(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, component. lists: token, cls, n, place, typ."""
+    kept = ["token", "cls", "n", "place", "typ"]
+    lists = lists.withColumn("component", F.col("cls")).withColumn("o", F.lit(None).cast("long"))
+    done = links = None
+    while True:
+        star = written(_starred(lists), "stars")
+        able = star.filter("component <> p_component").filter(_possible("p_n", "n", "p_place", "place")).filter(_derived("p_n", "n", "p_o", "o"))
+        pairs = able.select(F.col("p_cls").alias("a"), F.col("cls").alias("b"), F.col("p_n").alias("n"), F.col("n").alias("m")).distinct()
+        seen = _verified((pairs if done is None else _unknown(pairs, done)).checkpoint(), sets)
+        new = seen.filter("linked").select("a", "b")
+        more = links is None or not new.isEmpty()
+        done = seen if done is None else done.unionByName(seen)
+        links = _joined_components(links, new) if more else links
+        # what a pivot leaves: lists with a class outside of its component, without the pivot
+        apart = _with_components(star.select("p_cls", "cls").distinct(), links, "cls", "component").transform(lambda x: _with_components(x, links, "p_cls", "p_component"))
+        apart = apart.filter("component <> p_component").select("p_cls", "cls")
+        tokens = star.join(apart, ["p_cls", "cls"], "left_semi").select("token").distinct()
+        left = _with_components(star.join(tokens, "token", "left_semi").select(*kept, "p_cls"), links, "cls", "component")
+        left = left.join(seen.select(F.col("a").alias("p_cls"), F.col("b").alias("cls"), "o"), ["p_cls", "cls"], "left")
+        mixed = left.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
+        lists = written(left.join(mixed, "token", "left_semi").select(*kept, "component", "o"), "open")
+        dropped(star)
+        if not more or lists.isEmpty():
+            break
+    new = _verified(_unknown(_across(lists), done).checkpoint(), sets).filter("linked").select("a", "b")
+    dropped(lists)
+    return links if new.isEmpty() else _joined_components(links, new)
+
+
+def _joined_components(links: DataFrame | None, new: DataFrame) -> DataFrame:
+    return components(new if links is None else links.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
+
+
+def _across(lists: DataFrame) -> DataFrame:
+    """Pairs of classes of one list in different components that size, position and the pivot's overlaps leave possible. Lists are cut into
+    blocks by size, so only blocks of the same and the next sizes meet."""
+    band = F.floor(F.log("n") / WIDTH)
+    x, y = (lists.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("cls", "n", "place", "component", "o")), at.alias("band")) for side, at in (("x", F.explode(F.array(band, band + 1))), ("y", band)))
+    both = x.join(y, ["token", "band"]).filter("x_component <> y_component and (x_n < y_n or x_n = y_n and x_cls < y_cls)")
+    both = both.filter(_possible("x_n", "y_n", "x_place", "y_place")).filter(_derived("x_n", "y_n", "x_o", "y_o"))
+    return both.select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"), F.col("x_n").alias("n"), F.col("y_n").alias("m")).distinct()
+
+
+def _unknown(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs that haven't been compared in either direction."""
+    known = done.select("a", "b").unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(known, ["a", "b"], "left_anti")
+
+
+def _with_components(rows: DataFrame, links: DataFrame, cls: str, name: str) -> DataFrame:
+    """The component of a class, itself where it has no link."""
+    return rows.join(links.select(F.col("node").alias(cls), F.col("component").alias(name)), cls, "left").withColumn(name, F.coalesce(name, cls))
+
+
+def _sets_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, s: the sets of the wanted classes, each from one text."""
+    of = classes.join(wanted.select("cls"), "cls", "left_semi").select("cls", F.col("of.d").alias("d"), F.col("of.h").alias("h"))
     packed = rows.select("d", F.xxhash64("t").alias("h"), K.packed(F.col("t")).alias("t"))
     text = packed.join(of, ["d", "h"]).groupBy("cls", "d", "h").agg(F.first("t").alias("t"))
     return written(text.select("cls", _sets(F.col("t")).alias("s")), "sets")
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of one list in different components that size, position and pivot distances leave possible."""
-    table = pa.Table.from_batches(batches)
-    token, cls, n, place, part, far = (table[c].to_numpy() for c in ("token", "cls", "n", "place", "component", "far"))
-    order = np.lexsort((n, token))
-    token, cls, n, place, part, far = (x[order] for x in (token, cls, n, place, part, far))
-    names, one, which = np.unique(cls, return_index=True, return_inverse=True)
-    size = n[one]
-    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    limit = 1 - PERCENT / 100 + 1e-9
-    held: list[np.ndarray] = []
-    total = 0
-
-    def flush() -> pa.RecordBatch:
-        keys = np.unique(np.concatenate([*held, np.empty(0, np.int64)]))
-        a, b = keys // len(names), keys % len(names)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (names[a], names[b], size[a], size[b])], ["a", "b", "n", "m"])
-
-    for lo, hi in zip(first.tolist(), np.r_[first[1:], len(token)].tolist(), strict=True):
-        _, own, times = np.unique(part[lo:hi], return_inverse=True, return_counts=True)
-        other = own != times.argmax()  # pairs inside the largest component are settled, so one side lies outside of it
-        for i in (np.flatnonzero(other) + lo).tolist():
-            low = int(np.searchsorted(n[lo:hi], (n[i] * PERCENT + 99) // 100)) + lo  # blocks before are too small,
-            top = int(np.searchsorted(n[lo:hi], n[i] * 100 // PERCENT, side="right")) + lo  # blocks behind too large
-            j = np.arange(low, top)
-            j = j[(part[j] != part[i]) & (~other[j - lo] | (j > i))]
-            ok = ~(np.abs(far[j] - far[i]) > limit)
-            ok &= possible(n[j], n[i], place[j], place[i])
-            j = which[j[ok]]
-            held.append(np.minimum(j, which[i]) * len(names) + np.maximum(j, which[i]))
-            total += len(j)
-            if total > 2_000_000:
-                yield flush()
-                total = 0
-    yield flush()

@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: WeakKeyDictionary = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder of our own where that's unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", "") or "/tmp/groundwork-checkpoints"
+    """The session's checkpoint folder, or spark.checkpoint.dir. Only a local session may have neither: it gets a folder in /tmp."""
+    if found := spark.sparkContext.getCheckpointDir():
+        return found
+    if found := spark.conf.get("spark.checkpoint.dir", ""):
+        return found
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "/tmp/groundwork-checkpoints"
 
 
 def ready(spark: SparkSession) -> None:
@@ -26,4 +35,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a compressed table in the shared folder: it cuts the lineage, and a lost executor loses nothing of it."""
     spark = df.sparkSession
     df.write.option("compression", "zstd").parquet(path := place(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
