@@ -5,7 +5,8 @@ and the punctuation of its nodes are added up and divided by the number of nodes
 smoothed over neighbouring nodes, multiplied, and the nodes above the threshold are content. The article is the
 outermost article or main element around nearly all of the selected text; on pages without one it's the smallest element
 that holds all selected text and the headings before it. Its text is given whole, short paragraphs included, without what
-lies in elements that are no article text by their name, role or class.
+lies in elements that are no article text by their name, role or class; of names that also stand for parts of a story (DOUBTED) the ratio decides
+inside an article.
 
 Defined results: a null or empty page, or one without text, gives an empty text; other columns, repeated rows and very
 long pages pass through whole.
@@ -44,12 +45,17 @@ SCOPES = set("html body table td th ul ol dl div article section main".split())
 NAMED = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion|s)?|sidebar|side-bar|rail|menu|nav(?:igation|bar)?|breadcrumbs?|footer|foot|masthead|site-header|page-header|topbar|"
     r"comments?|comment-list|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|"
-    r"widget|pagination|pager|tags|toolbar|skip-link|skip|copyright|legal|disclaimer|search)(?:$|[-_\s])",
+    r"widget|pagination|pager|tags|toolbar|skip-link|skip|copyright|legal|disclaimer|search)(?=$|[-_\s])",
     re.IGNORECASE,
 )
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+#: Of these, words that also stand in names of story parts: inside an article they count only as a whole class word.
+WHOLE = set("banner promo promotion promos rail foot share sharing social related recommend recommended recommendations tags skip copyright legal disclaimer search".split())
+#: Of these, words that stories are marked with too, so that the ratio of the element's path decides inside an article.
+DOUBTED = set("copyright legal disclaimer search".split())
+_QUOTE = re.compile(r"=\s*([\"'])")
 _ATTR = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAME = re.compile(r"[^\s/>]+")
 _MARKS = re.compile(r"[.,;:!?…。、，！？؟]")
 _SPACE = re.compile(r"\s+")
 
@@ -60,6 +66,7 @@ class Element:
     parent: int
     noise: bool
     path: str
+    doubt: bool = False
 
 
 @dataclass(slots=True)
@@ -69,15 +76,69 @@ class Node:
     block: int
 
 
-def _is_noise(name: str, attributes: str, inside_article: bool) -> bool:
+def _is_noise(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is no article text, and whether only its ratio can tell."""
     if name in NOISE or name == "header" and not inside_article:
-        return True
+        return True, False
     if name in ("html", "body", "article", "main") or not attributes.strip():
-        return False
+        return False, False
     found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.IGNORECASE):
-        return True
-    return found.get("role", "").lower() in ROLES or bool(NAMED.search(found.get("class", "")) or NAMED.search(found.get("id", "")))
+        return True, False
+    if found.get("role", "").lower() in ROLES:
+        return True, False
+    names = f"{found.get('class', '')} {found.get('id', '')}"
+    said = {x.lower().strip("-_ \t\r\n\f") for x in NAMED.findall(names)}
+    if not inside_article:
+        return bool(said), False
+    said = (said - WHOLE) | (said & WHOLE & set(names.lower().split()))
+    return bool(said - DOUBTED), bool(said)
+
+
+class Tags:
+    """The markup of a page, read once from left to right."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {q: page.rfind(q) for q in "\"'"}
+
+    def _end(self, at: int) -> int:
+        """The place of a tag's closing sign, or -1. A quotation begins only after an equals sign and only where it's closed in front of white space
+        or the tag's end; any other quotation mark is a letter like others."""
+        page, pos = self.page, at
+        end = page.find(">", at)
+        while end >= 0 and (m := _QUOTE.search(page, pos, end)):
+            pos = m.end()
+            close = page.find(m[1], pos) if pos <= self.last[m[1]] else -1
+            if close >= 0 and (page[close + 1 : close + 2].isspace() or page[close + 1 : close + 2] in ("/", ">")):
+                pos = close + 1
+                end = page.find(">", pos) if pos > end else end
+        return end
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """From `at`, the next markup: where it begins and ends, its slash, name and attributes; a name of "" is a comment or the like."""
+        page, n = self.page, len(self.page)
+        while (at := page.find("<", at)) >= 0:
+            sign = page[at + 1 : at + 2]
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, n if end < 0 else end + 3, "", "", ""
+            if page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at)
+                return at, n if end < 0 else end + 3, "", "", ""
+            slash = "/" if sign == "/" else ""
+            first = page[at + 1 + len(slash) : at + 2 + len(slash)]
+            if first.isascii() and first.isalpha():
+                end = self._end(at + 2)
+                if end < 0:
+                    return at, n, "", "", ""
+                inner = page[at + 1 + len(slash) : end]
+                name = _NAME.match(inner)[0]
+                return at, end + 1, slash, name.lower(), inner[len(name) :]
+            if sign in ("!", "?", "/"):
+                end = page.find(">", at)
+                return at, n if end < 0 else end + 1, "", "", ""
+            at += 1
+        return None
 
 
 def parse(page: str) -> tuple[list[Element], list[Node]]:
@@ -96,14 +157,14 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
             block += name not in INLINE
             inside_article -= name in ("article", "main")
 
-    pos = 0
-    while m := _TOKEN.search(page, pos):
-        text(page[at : m.start()])
-        at = pos = m.end()
-        if m[2] is None:
+    tags = Tags(page)
+    while tag := tags.next(at):
+        begin, end, slash, name, attributes = tag
+        text(page[at:begin])
+        at = end
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
+        if slash:
             for depth in range(len(stack) - 1, 0, -1):
                 own = elements[stack[depth]].name
                 if own == name:
@@ -128,24 +189,24 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
             continue
         if name not in INLINE:
             block += 1
-        if name in VOID or m[3].rstrip().endswith("/") and name not in CLOSES_P:
+        if name in VOID or attributes.rstrip().endswith("/") and name not in CLOSES_P:
             continue
         up = elements[stack[-1]]
-        elements.append(Element(name, stack[-1], up.noise or _is_noise(name, m[3], inside_article > 0), f"{up.path}/{name}"))
+        noise, doubt = _is_noise(name, attributes, inside_article > 0)
+        elements.append(Element(name, stack[-1], up.noise or noise, f"{up.path}/{name}", up.doubt or doubt))
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-            at = pos = end.end() if end else len(page)
+            closed = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
+            at = closed.end() if closed else len(page)
             block += 1
             continue
         stack.append(len(elements) - 1)
         inside_article += name in ("article", "main")
-    rest = page[at:]
-    text(rest if not re.match(r"<[a-zA-Z/!]", rest) else "")
+    text(page[at:])
     return elements, nodes
 
 
-def content_nodes(elements: list[Element], nodes: list[Node]) -> np.ndarray:
-    """Which nodes are content by the smoothed, fused ratios of their tag paths."""
+def content_nodes(elements: list[Element], nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
+    """Which nodes are content by the smoothed, fused ratios of their tag paths: without those in doubt by their names, and those in doubt."""
     sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     real = [bool(n.text.strip()) and not elements[n.element].noise for n in nodes]
     for n, ok in zip(nodes, real, strict=True):
@@ -158,7 +219,7 @@ def content_nodes(elements: list[Element], nodes: list[Node]) -> np.ndarray:
     rows = [ratio[elements[n.element].path] if ok else (0.0, 0.0) for n, ok in zip(nodes, real, strict=True)]
     at = np.flatnonzero(real)
     if not len(at):
-        return np.zeros(len(nodes), dtype=bool)
+        return np.zeros(len(nodes), dtype=bool), np.zeros(len(nodes), dtype=bool)
     both = np.array(rows)[at]
     weights = np.exp(-(np.arange(-REACH, REACH + 1) ** 2) / (2 * SIGMA**2))
     weights /= weights.sum()
@@ -166,7 +227,8 @@ def content_nodes(elements: list[Element], nodes: list[Node]) -> np.ndarray:
     fused = smooth[:, 0] * (1 + smooth[:, 1])
     out = np.zeros(len(nodes), dtype=bool)
     out[at] = fused >= LEVEL * fused.std()
-    return out
+    doubt = np.array([elements[n.element].doubt for n in nodes], dtype=bool)
+    return out & ~doubt, out & doubt
 
 
 def _up(elements: list[Element], e: int) -> Iterator[int]:
@@ -203,7 +265,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     elements, nodes = parse(page)
-    content = content_nodes(elements, nodes)
+    content, doubted = content_nodes(elements, nodes)
     if not content.any():
         return ""
     root = article(elements, nodes, content)
@@ -212,8 +274,8 @@ def main_text(page: str | None) -> str:
     for i in range(root + 1, len(elements)):
         inside[i] = inside[elements[i].parent]
     blocks: dict[int, list[str]] = {}
-    for n in nodes:
-        if inside[n.element] and not elements[n.element].noise:
+    for n, told in zip(nodes, doubted, strict=True):
+        if inside[n.element] and not elements[n.element].noise and (told or not elements[n.element].doubt):
             blocks.setdefault(n.block, []).append(n.text)
     lines = (_SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(x for x in lines if x)
