@@ -1,21 +1,24 @@
 """Exact removal of repeated byte strings by prefix-free parsing and suffix arrays of its dictionary.
 
-Parsing: rolling hashes of GRAM bytes are triggers where they're least among those of some LENGTH-byte string. A
+Parsing: hashes of GRAM bytes are triggers where they're least among those of some LENGTH-byte string. A
 phrase holds the LENGTH-byte strings that share a trigger, so neighbouring phrases overlap by LENGTH - 1 bytes, every
 string of LENGTH bytes lies in exactly one phrase, as a phrase suffix's beginning, and equal strings have equal
 triggers at equal places. The dictionary is the set of distinct phrases; the parse tells where they occur.
 
-1. Triggers are packed by bucket of their hash. A bucket's task finds those in more than one text.
-2. The texts that have such triggers are parsed again, and the phrases at them sent to their trigger's bucket: the
-   bytes of a distinct phrase once a task, and every occurrence of the parse.
-3. A bucket's task merges the dictionary and the parse: the least text of each phrase covers the phrase in all
-   later texts. Where one trigger has different phrases, their suffixes are sorted by their first LENGTH bytes
-   (suffix array, neighbours with that common prefix in one run); each run's least text covers it in later ones.
-4. Covered ranges go back to their texts, which are cut there.
-
-Only packed arrays are shuffled, in buckets that follow spark.sql.shuffle.partitions, and texts go, compressed, once to step 2 (if they have any
-shared trigger) and once to step 4. Defined results: a null text is empty; rows without id lose nothing and cover nothing;
-rows of the same id never cover each other; texts under LENGTH bytes stay whole.
+Texts are dealt into blocks; the parse of a block stays with it, and only the dictionary travels.
+
+1. A block sends each of its distinct phrases' hash once, with the least id that has it, to the trigger's bucket.
+2. The bucket merges the dictionary, answers with each phrase's least id, and asks for the bytes of phrases whose trigger
+   other texts have in other phrases.
+3. The suffixes of these are sorted by their first LENGTH bytes (suffix array, neighbours with that common prefix in one
+   run); each run's least id covers it in the others, and the ranges go back to the blocks.
+4. The block's parse applies both answers: a phrase that a smaller id has is covered whole, any other in its ranges.
+
+As no comparison goes beyond LENGTH bytes and a phrase holds all strings of its trigger whole, the dictionary's suffixes alone decide; the
+order of the parse's suffixes, which tells longer ones apart, has no part in the result. A passage that all texts have is sent
+once a block, not once an occurrence. Texts go, compressed, through one shuffle, which all four steps read. Defined results: a
+null text is empty; rows without id lose nothing and cover nothing; rows of the same id never cover each other; texts under LENGTH
+bytes stay whole.
 """
 
 from __future__ import annotations
@@ -25,22 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import written
 
 LENGTH = 50
 GRAM = 20
-#: Triggers or phrases a task holds before it hands them on.
-FLUSH = 1_500_000
+#: Bytes of texts in a block.
+HELD = 16_000_000
 
 
 def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The phrases of a block: first byte, number of LENGTH-byte strings, and hash of the trigger."""
+    """The phrases of a block: first byte, number of LENGTH-byte strings, and hash of the trigger, mixed again as the least hashes crowd."""
     low = K.grams(data, gram)
     n, width = len(data) - length + 1, length - gram + 1
     if n <= 0:
@@ -64,164 +65,139 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     start = np.flatnonzero(new)
     stop = inside.copy()
     stop[:-1] &= new[1:] | ~inside[1:]
-    return start, np.flatnonzero(stop) + 1 - start, low[where[start]]
-
-
-def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column(0).to_numpy(), batch.column(1).to_numpy()
-
-
-def _bucket_cuts(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    bucket = key % np.uint64(buckets)
-    order = np.lexsort((key, bucket))
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-
-
-def _small(x: np.ndarray) -> bytes:
-    """Small numbers as 16 bits each if they fit, compressed; the reader tells by the length."""
-    return zstandard.ZstdCompressor(level=1).compress(x.astype(np.uint16 if not len(x) or x.max() < 65536 else np.uint32).tobytes())
-
-
-def _large(b: bytes, n: int) -> np.ndarray:
-    b = zstandard.ZstdDecompressor().decompress(b)
-    return np.frombuffer(b, np.uint16 if len(b) == 2 * n else np.uint32).astype(np.int64)
-
-
-def _ids(x: np.ndarray) -> bytes:
-    """Numbers as compressed steps: ids mostly rise within a task."""
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(x, prepend=np.int64(0)).tobytes())
-
-
-def _ids_of(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64))
-
-
-#: Bits of a trigger's hash that tell it from others of its bucket.
-_KEY = np.uint64(24)
-_TRIGGERS = "bucket int, n int, trigger binary, owner binary, d binary, h binary"
-_SHARED = "d long, h long, triggers array<int>"
-
-
-def _send_triggers(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, h, triggers, sizes, held = [], [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            key = np.concatenate([*triggers, np.empty(0, np.uint64)])
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            ids, hs = np.array(d, np.int64), np.array(h, np.int64)
-            order, cuts = _bucket_cuts(key, buckets)
-            rows = []
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                some = order[cuts[b] : cuts[b + 1]]
-                who, which = np.unique(owner[some], return_inverse=True)
-                own = (key[some] >> (np.uint64(64) - _KEY)).astype(np.int64)  # in order, so the steps between them are small
-                rows.append((b, len(own), _small(np.diff(own, prepend=0)), _small(which), _ids(ids[who]), hs[who].astype(np.uint32).tobytes()))
-            for x in (d, h, triggers, sizes):
-                x.clear()
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["bucket", "n", "trigger", "owner", "d", "h"])
-
-        for batch in batches:
-            ids, hs = _rows_of(batch)
-            for lo, hi, data, offsets in K.blocks(batch.column(2)):
-                start, _, trigger = parse(data, offsets)
-                cut = np.searchsorted(start, offsets)
-                for r in range(hi - lo):
-                    own = np.unique(trigger[cut[r] : cut[r + 1]])
-                    if len(own):
-                        d.append(ids[lo + r])
-                        h.append(hs[lo + r])
-                        triggers.append(own)
-                        sizes.append(len(own))
-                        held += len(own)
-                if held > FLUSH:
-                    yield flush()
-                    held = 0
-        yield flush()
-
-    return run
-
-
-def _shared_triggers(table: pa.Table) -> pa.Table:
-    """The triggers of a bucket that lie in texts of more than one id, for each text. Only the first _KEY bits of a hash are
-    compared here, so a text may get a few too many; they only cost work."""
-    d, h, key, owner, base = [], [], [], [], 0
-    for n, t, o, x, y in zip(*(table[c].to_pylist() for c in ("n", "trigger", "owner", "d", "h")), strict=True):
-        key.append(np.cumsum(_large(t, n)))
-        owner.append(_large(o, n) + base)
-        d.append(_ids_of(x))
-        h.append(np.frombuffer(y, np.uint32).astype(np.int64))
-        base += len(d[-1])
-    key, owner, d, h = (np.concatenate(x) for x in (key, owner, d, h))
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
-    size = np.diff(np.r_[first, len(key)])
-    own = d[owner[order]]
-    shared = np.repeat(np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first), size)
-    some = order[shared]
-    some = some[np.argsort(owner[some], kind="stable")]
-    who, at = np.unique(owner[some], return_index=True)
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(some)].astype(np.int32)), pa.array(key[some].astype(np.int32)))
-    return pa.table({"d": d[who], "h": h[who], "triggers": lists})
-
-
-_PHRASES = "bucket int, n int, trigger binary, strings binary, bytes binary, which binary, owner binary, at binary, d binary, h binary"
-_RANGES = "d long, h long, ranges array<int>"
-
-
-def _send_phrases(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, h, parts, held = [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            trigger, phrase, strings, at, owner = (np.concatenate([*(p[i] for p in parts), np.empty(0, t)]) for i, t in ((0, np.uint64), (1, np.uint64), (2, np.int64), (3, np.int64), (4, np.int64)))
-            base = np.cumsum([0, *(len(p[6]) for p in parts)])
-            data = np.concatenate([*(p[6] for p in parts), np.empty(0, np.uint8)])
-            place = np.concatenate([*(p[5] + b for p, b in zip(parts, base, strict=False)), np.empty(0, np.int64)])
-            ids, hs = np.array(d, np.int64), np.array(h, np.int64)
-            order, cuts = _bucket_cuts(trigger, buckets)
-            rows = []
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                some = order[cuts[b] : cuts[b + 1]]
-                _, one, which = np.unique(phrase[some], return_index=True, return_inverse=True)
-                one = some[one]
-                who, mine = np.unique(owner[some], return_inverse=True)
-                text = zstandard.ZstdCompressor(level=6).compress(K.gather(data, place[one], strings[one] + LENGTH - 1).tobytes())
-                rows.append((b, len(some), (trigger[one] >> np.uint64(32)).astype(np.uint32).tobytes(), _small(strings[one]), text, _small(which), _small(mine), _small(at[some]), _ids(ids[who]), hs[who].astype(np.uint32).tobytes()))
-            for x in (d, h, parts):
-                x.clear()
-            cols = list(zip(*rows, strict=True)) or [()] * 10
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], "bucket n trigger strings bytes which owner at d h".split())
-
-        for batch in batches:
-            ids, hs = _rows_of(batch)
-            wanted = batch.column(3)
-            for lo, hi, data, offsets in K.blocks(K.unpacked(batch.column(2))):
-                start, strings, trigger = parse(data, offsets)
-                cut = np.searchsorted(start, offsets)
-                row = np.repeat(np.arange(hi - lo), np.diff(cut))
-                # one search for all rows: the row above the first bits of the trigger's hash
-                want = wanted.slice(lo, hi - lo)
-                lists = want.flatten().to_numpy().astype(np.uint64)
-                of = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.array(pa.compute.list_value_length(want)))
-                kept = np.isin((row.astype(np.uint64) << _KEY) | (trigger >> (np.uint64(64) - _KEY)), (of << _KEY) | lists)
-                start, strings, trigger, row = start[kept], strings[kept], trigger[kept], row[kept]
-                if not len(start):
-                    continue
-                size = strings + LENGTH - 1
-                base = len(d)
-                d.extend(ids[lo:hi])
-                h.extend(hs[lo:hi])
-                packed = K.gather(data, start, size)
-                parts.append((trigger, K.span_hashes(data, start, start + size), strings, start - offsets[row], row + base, np.cumsum(size) - size, packed))
-                held += len(start)
-                if held > FLUSH // 8:
-                    yield flush()
-                    held = 0
-        yield flush()
-
-    return run
+    return start, np.flatnonzero(stop) + 1 - start, K.mix(low[where[start]])
+
+
+def _parsed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """The bytes of a block's texts, their offsets, and of each phrase: first byte, strings, trigger, hash, row."""
+    texts, parts, offsets, base = K.unpacked(column), [], [np.zeros(1, np.int64)], 0
+    whole = []
+    for lo, hi, data, at in K.blocks(texts):
+        start, strings, trigger = parse(data, at)
+        row = np.searchsorted(at, start, side="right") - 1 + lo
+        parts.append((start + base, strings, trigger, K.span_hashes(data, start, start + strings + LENGTH - 1), row))
+        whole.append(data)
+        offsets.append(at[1:] + base)
+        base += len(data)
+    kinds = (np.int64, np.int64, np.uint64, np.uint64, np.int64)
+    found = tuple(np.concatenate([*(p[i] for p in parts), np.empty(0, t)]) for i, t in enumerate(kinds))
+    return np.concatenate([*whole, np.empty(0, np.uint8)]), np.concatenate(offsets), found
+
+
+def _distinct(trigger: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The dictionary of a block, by trigger and hash: one occurrence of each phrase, which phrase each occurrence is, and where the order's runs begin."""
+    order = np.lexsort((phrase, trigger))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (trigger[order[1:]] != trigger[order[:-1]]) | (phrase[order[1:]] != phrase[order[:-1]])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which, order
+
+
+def _bucket_cuts(trigger: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets of sorted triggers begin."""
+    edges = np.array([min((1 << 64) * i // buckets, (1 << 64) - 1) for i in range(buckets + 1)], dtype=np.uint64)
+    cuts = np.searchsorted(trigger, edges)
+    cuts[-1] = len(trigger)
+    return cuts
+
+
+def _keys(trigger: np.ndarray, buckets: int) -> np.ndarray:
+    """24 bits below the bucket's, which tell a trigger's hash from most others of its bucket; those that stay alike cost only work."""
+    return ((trigger >> np.uint64(40 - buckets.bit_length())) & np.uint64((1 << 32) - 1)).astype(np.uint32)
+
+
+def _small(x: np.ndarray, kind) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
+
+
+def _large(b: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+
+
+_SENT = "bucket int, block int, n int, trigger binary, phrase binary, least binary"
+#: kind 0: the least id of each phrase (a: steps from the block's own) and whether its bytes are asked for (b); kind 1: numbers of phrases (a), and
+#: phrases and ranges (b).
+_REPLY = "block int, bucket int, kind int, a binary, b binary"
+_ASKED = "bucket int, block int, at binary, strings binary, least binary, bytes binary"
+_CUT = "d long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+
+
+def _least(d: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(out, which, d)
+    return out
+
+
+def _table(rows: list[tuple], ddl: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
+    fields = [(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(fields, cols, strict=True)})
+
+
+def _sender(buckets: int):
+    def send(table: pa.Table) -> pa.Table:
+        """A block's dictionary by bucket."""
+        _, _, (_, _, trigger, phrase, row) = _parsed(table["t"])
+        one, which, _ = _distinct(trigger, phrase)
+        least = _least(table["d"].to_numpy()[row], which, len(one))
+        trigger, phrase = trigger[one], phrase[one]
+        cuts, block = _bucket_cuts(trigger, buckets), table["block"][0].as_py()
+        rows = []
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            x = slice(cuts[b], cuts[b + 1])
+            rows.append((b, block, x.stop - x.start, _small(np.diff(_keys(trigger[x], buckets), prepend=np.uint32(0)), np.uint32), phrase[x].tobytes(), _small(least[x], np.int64)))
+        return _table(rows, _SENT)
+
+    return send
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """For each block's phrases in a bucket, the least id of all, and whether another text has another phrase at the trigger."""
+    n = table["n"].to_numpy()
+    trigger = np.concatenate([np.cumsum(_large(x, np.uint32), dtype=np.uint32) for x in table["trigger"].to_pylist()])
+    phrase = np.concatenate([np.frombuffer(x, np.uint64) for x in table["phrase"].to_pylist()])
+    own = np.concatenate([_large(x, np.int64) for x in table["least"].to_pylist()])
+    one, which, _ = _distinct(trigger, phrase)
+    least = _least(own, which, len(one))
+    first = np.flatnonzero(np.r_[True, np.diff(trigger[one]) != 0])  # of each trigger
+    mixed = np.repeat(np.minimum.reduceat(least, first) < np.maximum.reduceat(least, first), np.diff(np.r_[first, len(one)]))
+    step = own - least[which]
+    ask = mixed[which] & (step == 0)
+    cuts = np.cumsum([0, *n])
+    rows = [(block, bucket, 0, _small(step[a:b], np.int64), _small(ask[a:b], np.uint8)) for block, bucket, a, b in zip(table["block"].to_pylist(), table["bucket"].to_pylist(), cuts[:-1], cuts[1:], strict=True)]
+    return _table(rows, _REPLY)
+
+
+def _answers(replies: pa.Table, kind: int) -> list[tuple[int, bytes, bytes]]:
+    """bucket, a, b in order of the buckets."""
+    rows = zip(*(replies[c].to_pylist() for c in ("kind", "bucket", "a", "b")), strict=True)
+    return sorted(r[1:] for r in rows if r[0] == kind)
+
+
+def _byte_sender(buckets: int):
+    def send(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        """The bytes of the phrases that buckets ask for."""
+        said = _answers(replies, 0)
+        if not said:
+            return _table([], _ASKED)
+        ask = np.concatenate([_large(b, np.uint8) for _, _, b in said])
+        if not ask.any():
+            return _table([], _ASKED)
+        data, _, (start, strings, trigger, phrase, row) = _parsed(texts["t"])
+        one, which, _ = _distinct(trigger, phrase)
+        least = _least(texts["d"].to_numpy()[row], which, len(one))
+        block, cuts, rows = texts["block"][0].as_py(), _bucket_cuts(trigger[one], buckets), []
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            at = np.flatnonzero(ask[cuts[b] : cuts[b + 1]]) + cuts[b]
+            if len(at):
+                x = one[at]
+                text = zstandard.ZstdCompressor(level=3).compress(K.gather(data, start[x], strings[x] + LENGTH - 1).tobytes())
+                rows.append((b, block, _small(at - cuts[b], np.int32), _small(strings[x], np.uint16), _small(least[at], np.int64), text))
+        return _table(rows, _ASKED)
+
+    return send
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -246,92 +222,83 @@ def sorted_runs(data: np.ndarray, suffixes: np.ndarray, length: int = LENGTH) ->
     return order, np.flatnonzero(new)
 
 
-def _covered(table: pa.Table) -> pa.Table:
-    """Ranges of a bucket's phrases that texts of smaller ids have too."""
-    parts, d, h, phrases, texts = [], [], [], 0, 0
-    for n, trigger, strings, data, which, owner, at, x, y in zip(*(table[c].to_pylist() for c in "n trigger strings bytes which owner at d h".split()), strict=True):
-        trigger, data = np.frombuffer(trigger, np.uint32), np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-        strings = _large(strings, len(trigger))
-        ends = np.cumsum(strings + LENGTH - 1)
-        phrase = K.span_hashes(data, ends - strings - LENGTH + 1, ends)
-        parts.append((trigger, phrase, strings, data, _large(which, n) + phrases, _large(owner, n) + texts, _large(at, n)))
-        d.append(_ids_of(x))
-        h.append(np.frombuffer(y, np.uint32).astype(np.int64))
-        phrases, texts = phrases + len(phrase), texts + len(d[-1])
-    trigger, phrase, strings, data, which, owner, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    d, h = np.concatenate(d), np.concatenate(h)
-    place = np.cumsum(strings + LENGTH - 1) - (strings + LENGTH - 1)
-    _, one, same = np.unique(phrase, return_index=True, return_inverse=True)  # the dictionary of the bucket
-    trigger, strings, place, which = trigger[one], strings[one], place[one], same[which]
-    least = np.full(len(one), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, d[owner])
-
-    later = d[owner] > least[which]
-    rows, begin, end = [owner[later]], [at[later]], [at[later] + strings[which[later]] + LENGTH - 1]
-
-    _, group, times = np.unique(trigger, return_inverse=True, return_counts=True)
-    mixed = np.flatnonzero(times[group] > 1)
-    if len(mixed):
-        size = strings[mixed]
-        suffix = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        of = np.repeat(mixed, size)
-        order, first = sorted_runs(data, place[of] + suffix)
-        low = np.repeat(np.minimum.reduceat(least[of[order]], first), np.diff(np.r_[first, len(order)]))
-        hit = np.zeros(len(of), dtype=bool)
-        hit[order] = low < least[of[order]]
-        bounds = np.r_[0, np.cumsum(size)]
-        a, b, _ = K.runs(hit, bounds)
-        owner_of = np.searchsorted(bounds, a, side="right") - 1
-        base = bounds[owner_of]
-        a, b, p = a - base, b - base + LENGTH - 1, mixed[owner_of]
-        # every occurrence of such a phrase in its least text
-        firsts = np.flatnonzero(~later)
-        firsts = firsts[np.argsort(which[firsts], kind="stable")]
-        lo, hi = np.searchsorted(which[firsts], p), np.searchsorted(which[firsts], p, side="right")
-        occ = firsts[K.gather(np.arange(len(firsts)), lo, hi - lo)]
-        times = hi - lo
-        rows.append(owner[occ])
-        begin.append(at[occ] + np.repeat(a, times))
-        end.append(at[occ] + np.repeat(b, times))
-    rows, begin, end = (np.concatenate(x) for x in (rows, begin, end))
-    order = np.lexsort((begin, rows))
-    rows, begin, end = rows[order], begin[order], end[order]
-    who, first = np.unique(rows, return_index=True)
-    flat = np.column_stack([begin, end]).ravel().astype(np.int32)
-    return pa.table({"d": d[who], "h": h[who], "ranges": pa.ListArray.from_arrays(pa.array(np.r_[2 * first, len(flat)].astype(np.int32)), pa.array(flat))})
-
-
-def _cutter(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for text, ranges in batches:
-        out = []
-        for raw, r in zip(K.unpacked(text).to_pylist(), ranges.to_pylist(), strict=True):
-            removed = spans = 0
-            kept = [raw]
-            if r:
-                pairs = np.array(r, dtype=np.int64).reshape(-1, 2)
-                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-                reach = np.maximum.accumulate(pairs[:, 1])
-                new = np.r_[True, pairs[1:, 0] > reach[:-1]]
-                begin, end = pairs[new, 0], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(pairs) - 1]]
-                removed, spans = int((end - begin).sum()), len(begin)
-                kept = [raw[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(raw)], strict=True)]
-            left = b"".join(kept)
-            out.append({"n_bytes": len(raw), "n_removed": removed, "n_spans": spans, "kept": left, "kept_sha256": hashlib.sha256(left).hexdigest()})
-        yield pa.array(out, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())]))
+def _runs(table: pa.Table) -> pa.Table:
+    """Ranges of strings of the asked phrases that phrases of smaller ids have too."""
+    kinds = {"at": np.int32, "strings": np.uint16, "least": np.int64, "bytes": np.uint8}
+    parts = {c: [_large(x, kind) for x in table[c].to_pylist()] for c, kind in kinds.items()}
+    sizes = [len(x) for x in parts["at"]]
+    at, size, least, data = (np.concatenate(parts[c]) for c in ("at", "strings", "least", "bytes"))
+    size = size.astype(np.int64)
+    place = np.cumsum(size + LENGTH - 1) - (size + LENGTH - 1)
+    bounds = np.r_[0, np.cumsum(size)]
+    of = np.repeat(np.arange(len(size)), size)
+    order, first = sorted_runs(data, place[of] + np.arange(len(of)) - bounds[of])
+    low = np.repeat(np.minimum.reduceat(least[of[order]], first), np.diff(np.r_[first, len(order)]))
+    hit = np.zeros(len(of), dtype=bool)
+    hit[order] = low < least[of[order]]
+    a, b, _ = K.runs(hit, bounds)
+    phrase = np.searchsorted(bounds, a, side="right") - 1
+    a, b = a - bounds[phrase], b - bounds[phrase] + LENGTH - 1
+    cuts = np.searchsorted(phrase, np.cumsum([0, *sizes]))
+    rows = [(block, bucket, 1, at[phrase[x:y]].astype(np.int64).tobytes(), np.column_stack([a[x:y], b[x:y]]).astype(np.int64).tobytes()) for block, bucket, x, y in zip(table["block"].to_pylist(), table["bucket"].to_pylist(), cuts[:-1], cuts[1:], strict=True) if y > x]
+    return _table(rows, _REPLY)
+
+
+def _cutter(buckets: int):
+    def cut(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        """The rows of a block without what texts of smaller ids have."""
+        if not len(texts):
+            return _table([], _CUT)
+        data, offsets, (start, strings, trigger, phrase, row) = _parsed(texts["t"])
+        one, which, _ = _distinct(trigger, phrase)
+        d = texts["d"].to_numpy()
+        step = np.concatenate([*(_large(a, np.int64) for _, a, _ in _answers(replies, 0)), np.empty(0, np.int64)])
+        whole = d[row] > (_least(d[row], which, len(one)) - step)[which]
+        begin, end = [start[whole]], [(start + strings + LENGTH - 1)[whole]]
+        cuts = _bucket_cuts(trigger[one], buckets)
+        parts = [(np.frombuffer(a, np.int64) + cuts[k], np.frombuffer(b, np.int64).reshape(-1, 2)) for k, a, b in _answers(replies, 1)]
+        if parts:
+            of, ranges = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            firsts = np.flatnonzero(~whole)
+            firsts = firsts[np.argsort(which[firsts], kind="stable")]
+            lo, hi = np.searchsorted(which[firsts], of), np.searchsorted(which[firsts], of, side="right")
+            occ = firsts[K.gather(np.arange(len(firsts)), lo, hi - lo)]
+            begin.append(start[occ] + np.repeat(ranges[:, 0], hi - lo))
+            end.append(start[occ] + np.repeat(ranges[:, 1], hi - lo))
+        begin, end = np.concatenate(begin), np.concatenate(end)
+        gone = np.zeros(len(data) + 1, np.int32)
+        np.add.at(gone, begin, 1)
+        np.add.at(gone, end, -1)
+        a, b, of_row = K.runs(np.cumsum(gone[:-1]) > 0, offsets)
+        return _rows_cut(data, offsets, d, a, b, of_row)
+
+    return cut
+
+
+def _rows_cut(data: np.ndarray, offsets: np.ndarray, d: np.ndarray, a: np.ndarray, b: np.ndarray, of_row: np.ndarray) -> pa.Table:
+    """a, b: the removed runs of all rows; of_row: the first of each row."""
+    rows, raw = [], data.tobytes()
+    for i in range(len(d)):
+        lo, hi = int(offsets[i]), int(offsets[i + 1])
+        x, y = a[of_row[i] : of_row[i + 1]].tolist(), b[of_row[i] : of_row[i + 1]].tolist()
+        left = b"".join(raw[p:q] for p, q in zip([lo, *y], [*x, hi], strict=True))
+        rows.append((int(d[i]), hi - lo, hi - lo - len(left), len(x), left, hashlib.sha256(left).hexdigest()))
+    return _table(rows, _CUT)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256 for each row."""
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"), F.col(text).alias("t"))
-    real = rows.filter(f"d is not null and octet_length(t) >= {LENGTH}")
-    triggers = real.mapInArrow(_send_triggers(buckets), _TRIGGERS)
-    shared = triggers.groupBy("bucket").applyInArrow(_shared_triggers, _SHARED)
-    shared = shared.groupBy("d", "h").agg(F.flatten(F.collect_list("triggers")).alias("w"))  # bounded by the text's own length
-    packed = rows.select("d", "h", K.packed(F.col("t")).alias("t"))
-    phrases = packed.join(shared, ["d", "h"]).select("d", "h", "t", "w").mapInArrow(_send_phrases(buckets), _PHRASES)
-    ranges = phrases.groupBy("bucket").applyInArrow(_covered, _RANGES)
-    ranges = written(ranges.groupBy("d", "h").agg(F.flatten(F.collect_list("ranges")).alias("r")), "ranges")
-    cut = F.arrow_udf(_cutter, "struct<n_bytes: long, n_removed: long, n_spans: long, kept: binary, kept_sha256: string>")
-    out = packed.join(ranges, ["d", "h"], "left").select("d", cut("t", "r").alias("c"))
-    return out.select(F.col("d").alias(id_col), "c.*")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * parts
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text).alias("t"))
+    able = F.coalesce(F.expr(f"d is not null and octet_length(t) >= {LENGTH}"), F.lit(False))
+    size = rows.filter(able).agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("d", "t"), F.lit(max(parts, size // HELD + 1))).cast("int").alias("block")
+    texts = rows.filter(able).select(block, "d", K.packed(F.col("t")).alias("t"))
+    replies = texts.groupBy("block").applyInArrow(_sender(buckets), _SENT).groupBy("bucket").applyInArrow(_merged, _REPLY)
+    asked = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_byte_sender(buckets), _ASKED)
+    ranges = asked.groupBy("bucket").applyInArrow(_runs, _REPLY)
+    cut = texts.groupBy("block").cogroup(replies.unionByName(ranges).groupBy("block")).applyInArrow(_cutter(buckets), _CUT)
+    bytes_of = F.coalesce(F.encode("t", "utf-8"), F.lit(b""))
+    short = rows.filter(~able).select("d", F.octet_length(bytes_of).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), bytes_of.alias("kept"), F.sha2(bytes_of, 256).alias("kept_sha256"))
+    return cut.unionByName(short).withColumnRenamed("d", id_col)
