@@ -135,7 +135,7 @@ def _poster(shared, buckets: int):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         seen: dict[int, int] = {}
-        tokens, size, names, sizes = [], 0, [], []
+        tokens, size, names = [], 0, []
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size
@@ -144,18 +144,19 @@ def _poster(shared, buckets: int):
             bucket = t % np.uint64(buckets)
             order = np.lexsort((t, bucket))
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            cls, n = np.array(names, dtype=np.int64), np.array(sizes, dtype=np.uint32)
+            cls = np.array(names, dtype=np.int64)
             rows = []
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 some = order[cuts[b] : cuts[b + 1]]
                 who, which = np.unique(o[some], return_inverse=True)
-                rows.append((b, (t[some] >> _TOKEN_BITS).astype(np.uint32).tobytes(), which.astype(np.uint16 if len(who) < 65536 else np.uint32).tobytes(), cls[who].tobytes(), n[who].tobytes()))
-            for x in (tokens, names, sizes):
+                steps = np.diff((t[some] >> _TOKEN_BITS).astype(np.uint32), prepend=np.uint32(0))
+                rows.append((b, _small(steps, np.uint32), _small(which, np.uint16 if len(who) < 65536 else np.uint32), cls[who].tobytes()))
+            for x in (tokens, names):
                 x.clear()
             seen.clear()
             size = 0
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "token", "owner", "cls", "n"])
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "token", "owner", "cls"])
 
         for batch in batches:
             for _, _, data, offsets in K.blocks(batch.column(0)):
@@ -169,36 +170,35 @@ def _poster(shared, buckets: int):
                     first = s[np.argsort(order, kind="stable")[:prefix]]
                     tokens.append(first)
                     names.append(key)
-                    sizes.append(len(s))
                     size += len(first)
                 if size > PART:
                     yield from flush()
         yield from flush()
+        K.trim()
 
     return post
 
 
-_POSTS = "bucket int, token binary, owner binary, cls binary, n binary"
+_POSTS = "bucket int, token binary, owner binary, cls binary"
 
 
 def _shared(table: pa.Table) -> pa.Table:
     """For each class of a bucket, how many of its posted shingles another class has posted too."""
     parts = []
-    for token, owner, cls, n in zip(*(table[c].to_pylist() for c in ("token", "owner", "cls", "n")), strict=True):
-        cls, n = np.frombuffer(cls, np.int64), np.frombuffer(n, np.uint32)
-        who = np.frombuffer(owner, np.uint16 if len(cls) < 65536 else np.uint32)
-        parts.append((np.frombuffer(token, np.uint32), cls[who], n[who]))
-    token, cls, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    for token, owner, cls in zip(*(table[c].to_pylist() for c in ("token", "owner", "cls")), strict=True):
+        cls = np.frombuffer(cls, np.int64)
+        parts.append((np.cumsum(_large(token, np.uint32), dtype=np.uint32), cls[_large(owner, np.uint16 if len(cls) < 65536 else np.uint32)]))
+    token, cls = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((cls, token))
-    token, cls, n = token[order], cls[order], n[order]
+    token, cls = token[order], cls[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-    token, cls, n = token[new], cls[new], n[new]
+    token, cls = token[new], cls[new]
     first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     size = np.diff(np.r_[first, len(token)])
     some = np.repeat(size > 1, size)
-    names, one, k = np.unique(cls[some], return_index=True, return_counts=True)
-    return pa.table({"cls": names, "n": n[some][one].astype(np.int64), "k": k.astype(np.int64)})
+    names, k = np.unique(cls[some], return_counts=True)
+    return pa.table({"cls": names, "k": k.astype(np.int64)})
 
 
 def _small(x: np.ndarray, kind) -> bytes:
@@ -322,20 +322,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     return out.select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component_id", "d")).alias("component_id"))
 
 
-def _able(spark: SparkSession, rows: DataFrame) -> DataFrame:
+def _able(spark: SparkSession, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """cls, n of the classes that have enough first shingles in common with others to link with one of them."""
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(frequency_levels(rows))
     posts = rows.select("t").mapInArrow(_poster(shared, buckets), _POSTS)
-    found = posts.groupBy("bucket").applyInArrow(_shared, "cls long, n long, k long")
+    found = posts.groupBy("bucket").applyInArrow(_shared, "cls long, k long")
     enough = 1 + F.floor(F.col("n") * PERCENT / 100 / STEP)
-    return written(found.groupBy("cls").agg(F.sum("k").alias("k"), F.first("n").alias("n")).filter(F.col("k") >= enough).select("cls", "n"), "able")
+    return written(found.groupBy("cls").agg(F.sum("k").alias("k")).join(classes.select("cls", "n"), "cls").filter(F.col("k") >= enough).select("cls", "n"), "able")
 
 
 def _components(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """node, component of the classes that link."""
     spark = rows.sparkSession
-    able = _able(spark, rows)
+    able = _able(spark, rows, classes)
     sets = _sets_of(rows, classes, able)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(parts, 8 * (able.agg(F.sum("n")).first()[0] or 0) // HELD + 1)

@@ -6,6 +6,7 @@ working memory of a task does not follow the size of an Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -216,6 +217,21 @@ def window_starts(bounds: np.ndarray, size: int) -> np.ndarray:
     return at[at + size <= ends]
 
 
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def trim() -> None:
+    """Gives memory that a task has freed back, as Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    if release := _libc():
+        release(0)
+
+
 def lut(kept: Iterator[int] | range | list[int]) -> np.ndarray:
     table = np.zeros(256, dtype=bool)
     table[list(kept)] = True

@@ -270,7 +270,9 @@ def _cutter(buckets: int):
         np.add.at(gone, begin, 1)
         np.add.at(gone, end, -1)
         a, b, of_row = K.runs(np.cumsum(gone[:-1]) > 0, offsets)
-        return _rows_cut(data, offsets, d, a, b, of_row)
+        out = _rows_cut(data, offsets, d, a, b, of_row)
+        K.trim()
+        return out
 
     return cut
 
