@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-CACHE = 1_000_000
+CACHE = 250_000
 #: Bytes of a piece up to which pieces share a batch of trees.
 BATCHED = 64
 _NONE = np.int32(2**31 - 1)
@@ -333,24 +333,50 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", name: str = "ids"
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            rows = list(_rows(column, shared.value))
-            sizes = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32()))
+            yield _lists(list(_rows(column, shared.value)))
+        K.trim()
 
     return df.withColumn(name, F.arrow_udf(run, "array<int>")(F.col(text)))
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    sizes = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32()))
+
+
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """df with the text of an array<int> column of token ids; bytes that are no UTF-8 become U+FFFD."""
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield K.strings([shared.value.decode(np.array(x or [], dtype=np.int64)).tobytes().decode("utf-8", "replace") for x in column.to_pylist()])
+            sizes = column.value_lengths().fill_null(0).to_numpy()
+            ends, flat = np.cumsum(sizes), column.flatten().to_numpy().astype(np.int64)
+            yield K.strings([shared.value.decode(flat[b - n : b]).tobytes().decode("utf-8", "replace") for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)])
+        K.trim()
 
     return df.withColumn(name, F.arrow_udf(run, "string")(F.col(ids)))
 
 
+def encode_exactly(df: DataFrame, vocabulary: str, text: str = "text", name: str = "bpe") -> DataFrame:
+    """df with a struct: ids, and whether they decode to the text (a null's to the empty one)."""
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _encoder(shared.value)
+        for column in batches:
+            rows, same = [], []
+            for _, _, data, offsets in K.blocks(column):
+                ids, at = encoder.encode(data, offsets)
+                for a, b, lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    rows.append(ids[a:b])
+                    same.append(bool(np.array_equal(shared.value.decode(ids[a:b]), data[lo:hi])))
+            yield pa.StructArray.from_arrays([_lists(rows), pa.array(same, pa.bool_())], ["ids", "exact"])
+        K.trim()
+
+    return df.withColumn(name, F.arrow_udf(run, "struct<ids: array<int>, exact: boolean>")(F.col(text)))
+
+
 def round_trip(df: DataFrame, vocabulary: str, text: str = "text", name: str = "bpe") -> DataFrame:
     """df with a struct: n_tokens, ids_sha256 (little-endian 32-bit ids), decoded_sha256 (of what the ids decode to)."""
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
