@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\s\"'=:,;<>(){}\[\]]+")
+#: Groups of digits, some in brackets, with one space, dot or hyphen between them.
+_GROUPS = re.compile(r"(?<![0-9+(.-])(?:\([0-9]++\)|[0-9]++)(?:(?:[ .-]|(?<=\)))(?:\([0-9]++\)|[0-9]++))++")
 _INTEREST = K.lut([*range(0x30, 0x3A), 0x40])
 _NUMERIC = re.compile(r"[0-9+().-]+")
 
@@ -118,11 +121,32 @@ def fits(token: str) -> list[str]:
     return [k for k, ok in (("ip", token.count(".") == 3 and "+" not in token), ("card", 12 <= digits <= 19 and "+" not in token and "." not in token), ("phone", 7 <= digits <= 15)) if ok]
 
 
-def _patterns(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span, of up to 80 characters on either side; digits read as 0."""
-    word = lambda w: _DIGIT.sub("0", w.lower())
-    before = text[max(0, start - 80) : start].split()[-2:]
-    after = text[end : end + 80].split()[:1]
+def _word(w: str) -> str:
+    """A word of a pattern, digits read as 0; a long one goes by its digest, which is as good to compare."""
+    w = _DIGIT.sub("0", w.lower())
+    return w if len(w) <= 64 else hashlib.sha256(w.encode()).hexdigest()
+
+
+class Words:
+    """The words of a text between white space, found once for all of its spans."""
+
+    def __init__(self, text: str):
+        found = [m.span() for m in re.finditer(r"\S+", text)]
+        self.text, self.starts, self.ends = text, [a for a, _ in found], [b for _, b in found]
+
+    def before(self, at: int) -> list[str]:
+        """The last two words before a place, the second cut where it reaches over it."""
+        last = bisect_left(self.starts, at)
+        return [self.text[self.starts[i] : min(self.ends[i], at)] for i in range(max(0, last - 2), last)]
+
+    def after(self, at: int) -> list[str]:
+        first = bisect_right(self.ends, at)
+        return [self.text[max(self.starts[i], at) : self.ends[i]] for i in range(first, min(first + 1, len(self.ends)))]
+
+
+def _patterns(words: Words, start: int, end: int) -> list[str]:
+    """Lexical patterns around a span."""
+    word, before, after = _word, words.before(start), words.after(end)
     out = []
     if len(before) == 2:
         out.append(f"{word(before[0])} {word(before[1])} _")
@@ -135,14 +159,23 @@ def _candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[i
     spans = sorted((a, b) for _, a, b in base)
     starts = [a for a, _ in spans]
     reach = np.maximum.accumulate([b for _, b in spans]).tolist() if spans else []
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_left(starts, b) - 1
+        return i < 0 or reach[i] <= a
+
     for m in _TOKEN.finditer(text):
         token = m[0].rstrip(".!?")
         if len(token) < 4 or not (kinds := fits(token)):
             continue
         a, b = m.start(), m.start() + len(token)
-        i = int(np.searchsorted(starts, b)) - 1
-        if i < 0 or reach[i] <= a:
+        if free(a, b):
             yield a, b, token, kinds
+    for m in _GROUPS.finditer(text):
+        digits = len(_DIGIT.findall(m[0]))
+        kinds = [k for k, ok in (("card", 12 <= digits <= 19 and "(" not in m[0]), ("phone", 7 <= digits <= 15)) if ok]
+        if kinds and (" " in m[0] or "(" in m[0]) and free(*m.span()):
+            yield *m.span(), m[0], kinds
 
 
 def _interesting(column: pa.Array) -> list[bool]:
@@ -163,11 +196,14 @@ def _graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in np.flatnonzero(_interesting(column)).tolist():
             text = column[i].as_py()
             base = base_spans(text)
-            d, h = ids[i].as_py(), hashes[i].as_py()
+            others = list(_candidates(text, base))
+            if not base and not others:
+                continue
+            d, h, words = ids[i].as_py(), hashes[i].as_py(), Words(text)
             for k, a, b in base:
-                rows += [(d, h, a, b, p, text[a:b], k, True) for p in [*_patterns(text, a, b), ""]]
-            for a, b, token, kinds in _candidates(text, base):
-                rows += [(d, h, a, b, p, token, k, False) for k in kinds for p in [*_patterns(text, a, b), ""]]
+                rows += [(d, h, a, b, p, text[a:b], k, True) for p in [*_patterns(words, a, b), ""]]
+            for a, b, token, kinds in others:
+                rows += [(d, h, a, b, p, token, k, False) for k in kinds for p in [*_patterns(words, a, b), ""]]
             if len(rows) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
                 rows = []
