@@ -92,6 +92,11 @@ def row_features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.nda
         yield np.unique(f[cut[i] : cut[i + 1]]), words[bounds[i] : bounds[i + 1]]
 
 
+def _among(keys: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Which of f are among the sorted keys."""
+    return keys[np.minimum(np.searchsorted(keys, f), len(keys) - 1)] == f if len(keys) else np.zeros(len(f), dtype=bool)
+
+
 def _counts(wanted, positive: bool):
     """Texts of each label that have a feature: of texts of label 1 all features, or of all texts the wanted features."""
 
@@ -112,11 +117,12 @@ def _counts(wanted, positive: bool):
             y = batch.column(1).to_numpy()
             for lo, _, data, offsets in K.blocks(batch.column(0)):
                 for i, (f, _) in enumerate(row_features(data, offsets)):
-                    held.append(f if keep is None else f[np.isin(f, keep)])
+                    held.append(f if keep is None else f[_among(keep, f)])
                     labels.append(int(y[lo + i]))
                 if sum(map(len, held)) > 1_000_000:
                     yield flush()
         yield flush()
+        K.trim()
 
     return run
 
@@ -212,8 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     spark = docs.sparkSession
     own = labels.select(F.col(id_col).alias("d"), F.col(label).cast("int").alias("y")).filter("d is not null and y is not null").groupBy("d").agg(F.max("y").alias("y"))
     sample = own.orderBy(F.xxhash64("d"), "d").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("d"), F.col(text).alias("t")).join(F.broadcast(sample), "d").select("t", "y")
-    rows = written(rows, "labelled")
+    rows = docs.select(F.col(id_col).alias("d"), F.col(text).alias("t")).join(F.broadcast(sample), "d")
+    rows = written(rows.groupBy("d", "y").agg(F.min("t").alias("t")).select("t", "y"), "labelled")  # of rows of one id the least text
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
     n, pos = total["n"], total["pos"]
     if not 0 < pos < n:
@@ -256,5 +262,6 @@ def score(df: DataFrame, model, text: str = "text", name: str = "score") -> Data
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             yield pa.array(np.concatenate([*(model.value.scores(data, offsets) for _, _, data, offsets in K.blocks(column)), np.empty(0)]), pa.float64())
+        K.trim()
 
     return df.withColumn(name, F.arrow_udf(run, "double")(F.col(text)))
