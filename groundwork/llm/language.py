@@ -372,9 +372,9 @@ def entropy_limits(identified: DataFrame, name: str = "language", cut: float = C
 
 def reject(identified: DataFrame, limits: DataFrame, name: str = "language") -> DataFrame:
     """Adds the boolean `rejected` to what identify() has added; limits has a row for each language."""
-    limit = F.broadcast(limits.select(F.col("lang").alias(f"{name}_of"), "limit"))
-    out = identified.join(limit, F.col(f"{name}.lang") == F.col(f"{name}_of"), "left")
-    return out.withColumn("rejected", F.col("limit").isNull() | (F.col(f"{name}.nats") > F.col("limit"))).drop(f"{name}_of", "limit")
+    limit = F.broadcast(limits.select(F.col("lang").alias("_limit_of"), F.col("limit").alias("_limit")))
+    out = identified.join(limit, F.col(f"{name}.lang") == F.col("_limit_of"), "left")
+    return out.withColumn("rejected", F.col("_limit").isNull() | (F.col(f"{name}.nats") > F.col("_limit"))).drop("_limit_of", "_limit")
 
 
 def held_out(doc_id: Column) -> Column:
