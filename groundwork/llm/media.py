@@ -32,7 +32,7 @@ _CONTINUED, _FIRST, _LAST = 1, 2, 4
 _REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 _PAGE = struct.Struct("<4sBBqIIIB")
 _FORMAT = struct.Struct(">8sHHIIBBHI")
-_READ = "struct<payload: binary, n_bytes: long, streams: int, packets: long, bad_pages: long, seconds: double, feature: string>"
+_READ = "struct<payload: binary, n_bytes: long, streams: int, packets: long, bad_pages: long, seconds: double, times: array<double>, feature: string>"
 
 
 def checksum(data: bytes) -> int:
@@ -95,15 +95,20 @@ def mux(streams: list[Stream]) -> bytes:
 
 
 def demux(data: bytes) -> tuple[list[Stream], int]:
-    """The streams of a file in order of their first pages, and the number of damaged pages."""
+    """The streams of a file in order of their first pages, and the number of damaged and missing pages.
+
+    A page that doesn't follow the stream's last one in number ends the packet that was open, and what continues it is left out. A packet
+    has the granule position of its page if it's the last that ends there, and -1 if others of the page come after it.
+    """
     streams: dict[int, Stream] = {}
     partial: dict[int, bytearray] = {}
-    bad, at = 0, data.find(b"OggS")
+    follows: dict[int, int] = {}
+    bad, missing, at = 0, 0, data.find(b"OggS")
     while at >= 0:
         if at + 27 > len(data):
             bad += 1
             break
-        _, version, kind, granule, serial, _, crc, n = _PAGE.unpack_from(data, at)
+        _, version, kind, granule, serial, number, crc, n = _PAGE.unpack_from(data, at)
         lacing = data[at + 27 : at + 27 + n]
         end = at + 27 + n + sum(lacing)
         page = data[at:end]
@@ -112,7 +117,11 @@ def demux(data: bytes) -> tuple[list[Stream], int]:
             at = data.find(b"OggS", at + 4)
             continue
         s = streams.setdefault(serial, Stream(serial))
-        begun = partial.pop(serial, None) if kind & _CONTINUED else None
+        if number != follows.get(serial, number if kind & _FIRST else 0):
+            missing += max(1, number - follows.get(serial, 0))
+            partial.pop(serial, None)
+        follows[serial] = number + 1
+        begun, ended = partial.pop(serial, None) if kind & _CONTINUED else None, len(s.packets)
         skip = bool(kind & _CONTINUED) and begun is None  # its beginning was on a damaged page
         packet, place = begun if begun is not None else bytearray(), at + 27 + n
         for value in lacing:
@@ -120,12 +129,24 @@ def demux(data: bytes) -> tuple[list[Stream], int]:
             place += value
             if value < 255:
                 if not skip:
-                    s.packets.append((bytes(packet), granule))
+                    s.packets.append((bytes(packet), -1))
                 packet, skip = bytearray(), False
+        if len(s.packets) > ended:
+            s.packets[-1] = (s.packets[-1][0], granule)
         if n and lacing[-1] == 255 and not skip:
             partial[serial] = packet
         at = data.find(b"OggS", end)
-    return list(streams.values()), bad
+    return list(streams.values()), max(bad, missing)  # a damaged page is missing from its stream too
+
+
+def ends(packets: list[tuple[bytes, int]]) -> list[int]:
+    """The granule position at the end of each packet of 8-bit samples: its page's, less the packets of the page that come after it."""
+    out, at = [], 0
+    for packet, granule in reversed(packets):
+        at = granule if granule >= 0 else at
+        out.append(at)
+        at -= len(packet)
+    return out[::-1]
 
 
 def pad(payload: bytes, unit: int = UNIT) -> bytes:
@@ -157,11 +178,11 @@ def load(media: bytes) -> dict:
     note = next((s for s in streams if s.packets and s.packets[0][0][:4] == b"NOTE"), None)
     payload = b"".join(p for p, _ in sound.packets[1:]) if sound else b""
     rate = _FORMAT.unpack(sound.packets[0][0])[4] if sound else RATE
-    last = max([0, *(g for _, g in sound.packets[1:])]) if sound else 0
+    times = [g / rate for g in ends(sound.packets[1:])] if sound else []
     return {
         "payload": payload, "n_bytes": struct.unpack("<Q", note.packets[0][0][4:12])[0] if note else len(payload),
         "streams": len(streams), "packets": sum(len(s.packets) for s in streams), "bad_pages": bad,
-        "seconds": last / rate, "feature": features(np.frombuffer(payload, dtype=np.uint8)),
+        "seconds": max([0.0, *times]), "times": times, "feature": features(np.frombuffer(payload, dtype=np.uint8)),
     }
 
 
@@ -176,10 +197,10 @@ def with_media(df: DataFrame, text: str = "text", name: str = "media") -> DataFr
 
 
 def read_media(df: DataFrame, media: str = "media", name: str = "read") -> DataFrame:
-    """df with a struct of what the Ogg files hold: payload, n_bytes, streams, packets, bad_pages, seconds, feature."""
+    """df with a struct of what the Ogg files hold: payload, n_bytes, streams, packets, bad_pages, seconds, times (the end of each packet), feature."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.struct([("payload", pa.binary()), ("n_bytes", pa.int64()), ("streams", pa.int32()), ("packets", pa.int64()), ("bad_pages", pa.int64()), ("seconds", pa.float64()), ("feature", pa.string())])
+        kind = pa.struct([("payload", pa.binary()), ("n_bytes", pa.int64()), ("streams", pa.int32()), ("packets", pa.int64()), ("bad_pages", pa.int64()), ("seconds", pa.float64()), ("times", pa.list_(pa.float64())), ("feature", pa.string())])
         for column in batches:
             yield pa.array([load(x or b"") for x in column.to_pylist()], type=kind)
 
@@ -187,10 +208,11 @@ def read_media(df: DataFrame, media: str = "media", name: str = "read") -> DataF
 
 
 def digests(df: DataFrame, media: str = "media", read: str = "read", unit: int = UNIT) -> DataFrame:
-    """Digests of stored and read bytes, as columns beside the others."""
+    """Digests of stored and read bytes, as columns beside the others; columns of the same names are replaced."""
     payload = F.col(f"{read}.payload")
+    own = "n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature seconds bad_pages".split()
     return df.select(
-        "*",
+        *(c for c in df.columns if c not in own),
         F.col(f"{read}.n_bytes").alias("n_bytes"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.sha2(payload, 256).alias("payload_sha256"),
