@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from groundwork.llm import bpe, decontaminate, jaccard, pii, toxicity
 from groundwork.llm.queries import learn_toxicity, table, vocabulary
-from groundwork.llm.store import written
+from groundwork.llm.store import ready, written
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each component, and all documents without id. Rows of one id count as one document."""
-    table(spark, sf_dir, "documents")
+    ready(spark)
     found = jaccard.jaccard_components(docs)
     removed = found.filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(removed, "doc_id", "left_anti").select(docs.columns)
@@ -37,16 +37,15 @@ def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with identifiers replaced and n_chars counted anew."""
-    table(spark, sf_dir, "documents")
+    ready(spark)
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether the ids decode to the text."""
-    path = vocabulary(spark)
-    out = bpe.decode(bpe.encode(docs, path), path)
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+    out = bpe.encode_exactly(docs, vocabulary(spark), name="_bpe")
+    return out.select("doc_id", "lang", "source", F.size("_bpe.ids").cast("long").alias("n_tokens"), F.col("_bpe.ids").alias("ids"), F.col("_bpe.exact").alias("exact"))
 
 
 STAGES = [
