@@ -5,11 +5,12 @@ A ground has sid, draw, stat. Draws are rows: they are made by joins and windows
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions.rng import uniform
-from groundwork.operators.series import burstiness, irreversibility, permutation_entropy
+from groundwork.operators.series import burstiness, irreversibility, max_deviation, permutation_entropy, window_mean
 
 #: Shares of samples at or over an observation that make a verdict contested.
 LOW, HIGH = 0.1, 0.9
@@ -17,7 +18,7 @@ LOW, HIGH = 0.1, 0.9
 
 def _draws(s: DataFrame, draws: int, seed: int) -> DataFrame:
     if draws < 2:
-        raise ValueError("a ground needs two draws at least")
+        raise Refused("undeclared", "two draws at least")
     each = s.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     return each.withColumn("u", uniform(F.col("draw") + seed, F.col("i")))
 
@@ -36,12 +37,52 @@ def shuffled(s: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     return drawn.select("sid", "draw", (F.row_number().over(w) - 1).cast("long").alias("i"), "v")
 
 
-STATISTICS = {"burstiness": burstiness, "permutation_entropy": permutation_entropy, "irreversibility": irreversibility}
-PERTURBATIONS = {"shuffle": shuffled, "resample": resampled}
+def phased(s: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+    """sid, draw, i, v: each series with the strength of every frequency kept and its phase drawn; series under four values stay as they are."""
+
+    def turn(rows: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        rows = rows.sort_values("i")
+        n, v = len(rows), rows["v"].to_numpy()
+        if n >= 4:
+            spectrum, free = np.fft.rfft(v), (n + 1) // 2  # the mean, and the highest frequency of an even number, have no phase
+            spectrum[1:free] = np.abs(spectrum[1:free]) * np.exp(2j * np.pi * rows["u"].to_numpy()[: free - 1])
+            v = np.fft.irfft(spectrum, n)
+        return rows.assign(v=v)[["sid", "draw", "i", "v"]]
+
+    drawn = _draws(s, draws, seed).select("sid", "draw", "i", "v", "u")
+    kinds = {f.name: f.dataType.simpleString() for f in drawn.schema}
+    return drawn.groupBy("sid", "draw").applyInPandas(turn, f"sid {kinds['sid']}, draw long, i long, v double")  # one draw of one series in memory
+
+
+STATISTICS = {"burstiness": burstiness, "permutation_entropy": permutation_entropy, "irreversibility": irreversibility, "window_mean": window_mean, "max_deviation": max_deviation}
+PERTURBATIONS = {"shuffle": shuffled, "resample": resampled, "phase": phased}
+# The pairs of statistic and perturbation for which the statistic was shown to feel what the perturbation destroys.
+LICENSED = {
+    ("burstiness", "shuffle"), ("window_mean", "shuffle"), ("permutation_entropy", "shuffle"), ("irreversibility", "shuffle"), ("irreversibility", "phase"),
+    ("max_deviation", "resample"), ("max_deviation", "phase"),
+}
+
+
+class Refused(ValueError):
+    """A ground that can't be asked for: kind is undeclared, unknown_spec or unlicensed."""
+
+    def __init__(self, kind: str, what: str):
+        super().__init__(f"{kind}: {what}")
+        self.kind = kind
+
+
+def licensed(statistic: str, perturbation: str) -> bool:
+    return (statistic, perturbation) in LICENSED
 
 
 def ground(s: DataFrame, draws: int, window: int, perturbation: str = "shuffle", seed: int = 0, statistic: str = "burstiness") -> DataFrame:
     """A statistic of every draw."""
+    if window < 2:
+        raise Refused("undeclared", "a window of two places at least")
+    if perturbation not in PERTURBATIONS or statistic not in STATISTICS:
+        raise Refused("unknown_spec", f"{statistic}/{perturbation}")
     return STATISTICS[statistic](PERTURBATIONS[perturbation](s, draws, seed), window, ["sid", "draw"])
 
 
@@ -69,6 +110,46 @@ def difference(observed: DataFrame, g: DataFrame) -> DataFrame:
     return out.select("sid", "observed", F.when(gap.isNull(), F.col("share")).alias("rank"), gap.alias("gap"), (gap.eqNullSafe("exceeds_witness") & (F.col("observed") > F.col("high"))).alias("re_zero"))
 
 
+def typed_difference(s: DataFrame, observed: DataFrame, g: DataFrame, draws: int) -> DataFrame:
+    """For every series: sid, extent, observed, low, high, rank, gap, direction, censored_at.
+
+    gap: unknown_spec where the statistic can't be formed of the series or of a draw, degenerate_ground for one without width, exceeds_witness (with its direction)
+    beyond the samples, else null.
+    """
+    extent = s.groupBy("sid").agg(F.count("*").alias("extent"))
+    seen = observed.select("sid", F.col("stat").alias("observed"))
+    shares = g.join(seen, "sid", "left").groupBy("sid").agg(F.min("stat").alias("low"), F.max("stat").alias("high"), F.count("stat").alias("n"), F.avg(F.when(F.col("stat") >= F.col("observed"), 1.0).otherwise(0.0)).alias("share"))
+    both = extent.join(seen, "sid", "left").join(shares, "sid", "left")
+    formed = F.coalesce((F.col("n") == draws) & F.col("observed").isNotNull(), F.lit(False))
+    direction = F.when(F.col("observed") > F.col("high"), "above").when(F.col("observed") < F.col("low"), "below")
+    gap = F.when(~formed, "unknown_spec").when(F.col("low") == F.col("high"), "degenerate_ground").when(direction.isNotNull(), "exceeds_witness")
+    beyond = gap.eqNullSafe("exceeds_witness")
+    return both.select("sid", "extent", "observed", "low", "high", F.when(gap.isNull(), F.col("share")).alias("rank"), gap.alias("gap"), F.when(beyond, direction).alias("direction"), F.when(beyond, F.lit(1.0 / draws)).alias("censored_at"))
+
+
+def full_verdict(s: DataFrame, window: int, draws: int, reseeds: int, statistic: str = "burstiness", perturbation: str = "resample", plural: tuple[str, ...] = ("shuffle",), seed: int = 0) -> DataFrame:
+    """sid, verdict over several grounds: void without a ground, thrash where the plural grounds say otherwise, settled where reseeded grounds all
+    support too, else contested or supported.
+
+    All reseeds are one ground of more draws, cut by the number of the draw.
+    """
+    observed = STATISTICS[statistic](s, window)
+    seeds = ground(s, draws * (reseeds + 1), window, perturbation, seed, statistic).withColumn("turn", F.floor(F.col("draw") / draws))
+    said = lambda g: verdict(difference(observed, g))
+    out = said(seeds.filter("turn = 0")).withColumnRenamed("verdict", "first")
+    for k in range(1, reseeds + 1):
+        out = out.join(said(seeds.filter(F.col("turn") == k)).withColumnRenamed("verdict", f"turn_{k}"), "sid", "left")
+    for name in plural:
+        out = out.join(said(ground(s, draws, window, name, seed, statistic)).withColumnRenamed("verdict", f"by_{name}"), "sid", "left")
+    split, stable = F.lit(False), F.lit(True)
+    for name in plural:
+        split = split | ~F.col(f"by_{name}").eqNullSafe(F.col("first"))
+    for k in range(1, reseeds + 1):
+        stable = stable & F.col(f"turn_{k}").eqNullSafe("supported")
+    kind = F.when(F.col("first") == "void", "void").when(split, "thrash").when((F.col("first") == "supported") & stable & F.lit(reseeds > 0), "settled").otherwise(F.col("first"))
+    return out.select("sid", kind.alias("verdict"))
+
+
 def verdict(placed: DataFrame) -> DataFrame:
     """sid, verdict: void without a ground, contested in the tails or beyond, supported else."""
     said = F.when(F.col("gap") == "degenerate_ground", "void").when(F.col("gap").isNotNull() | (F.col("rank") < LOW) | (F.col("rank") > HIGH), "contested").otherwise("supported")

@@ -32,15 +32,17 @@ def burstiness(s: DataFrame, window: int, keys: list[str] | None = None) -> Data
     return sliding_means(s, window, keys).groupBy(*keys).agg(F.max("mean").alias("stat"))
 
 
-def window_mean(s: DataFrame, window: int) -> DataFrame:
+def window_mean(s: DataFrame, window: int, keys: list[str] | None = None) -> DataFrame:
     """The mean of the first window."""
-    return s.filter(F.col("i") < window).groupBy("sid").agg(F.avg("v").alias("stat"), F.count("*").alias("n")).filter(F.col("n") == window).select("sid", "stat")
+    keys = keys or ["sid"]
+    return s.filter(F.col("i") < window).groupBy(*keys).agg(F.avg("v").alias("stat"), F.count("*").alias("n")).filter(F.col("n") == window).select(*keys, "stat")
 
 
-def max_deviation(s: DataFrame) -> DataFrame:
-    """The greatest distance from the interpolated median."""
-    middle = s.groupBy("sid").agg(F.percentile("v", F.lit(0.5)).alias("m"))
-    return s.join(middle, "sid").groupBy("sid").agg(F.max(F.abs(F.col("v") - F.col("m"))).alias("stat"))
+def max_deviation(s: DataFrame, window: int = 0, keys: list[str] | None = None) -> DataFrame:
+    """The greatest distance from the interpolated median; no window has a part in it."""
+    keys = keys or ["sid"]
+    middle = s.groupBy(*keys).agg(F.percentile("v", F.lit(0.5)).alias("m"))
+    return s.join(middle, keys).groupBy(*keys).agg(F.max(F.abs(F.col("v") - F.col("m"))).alias("stat"))
 
 
 def ordinal_patterns(s: DataFrame, window: int, keys: list[str] | None = None) -> DataFrame:

@@ -28,17 +28,17 @@ def function_words(t: DataFrame) -> DataFrame:
 
 
 def _chunked(t: DataFrame, size: int) -> DataFrame:
-    """doc, chunk, form, n of full chunks."""
-    chunk = t.withColumn("chunk", F.floor(F.col("pos") / size))
-    last = t.groupBy("doc").agg(F.floor(F.count("*") / size).alias("full"))
-    return chunk.join(last, "doc").filter("chunk < full").groupBy("doc", "chunk", "form").agg(F.count("*").alias("n"))
+    """doc, chunk, form, n, c (of the form in the text), total (of the text) of full chunks: tokens are read once, and all sums are windows over their counts."""
+    by = Window.partitionBy("doc")
+    counts = t.groupBy("doc", F.floor(F.col("pos") / size).alias("chunk"), "form").agg(F.count("*").alias("n"))
+    summed = counts.withColumn("total", F.sum("n").over(by)).withColumn("c", F.sum("n").over(Window.partitionBy("doc", "form")))
+    return summed.filter(F.col("chunk") < F.floor(F.col("total") / size))
 
 
 def surprisal_chunks(t: DataFrame, size: int = CHUNK) -> DataFrame:
     """doc, chunk, microbits: mean surprisal of each full chunk against the whole text's frequencies."""
-    table = t.groupBy("doc", "form").agg(F.count("*").alias("c")).withColumn("total", F.sum("c").over(Window.partitionBy("doc")))
     bits = -F.log2((F.col("c") + 1) / (F.col("total") + 1))
-    return _chunked(t, size).join(table, ["doc", "form"]).groupBy("doc", "chunk").agg((F.sum(F.col("n") * bits) / size * 1e6).alias("microbits"))
+    return _chunked(t, size).groupBy("doc", "chunk").agg((F.sum(F.col("n") * bits) / size * 1e6).alias("microbits"))
 
 
 def causal_surprisal(t: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -66,14 +66,20 @@ def chunk_spans(docs: DataFrame, size: int = 2000, least: int = 20, doc: str = "
     return kept.groupBy("doc", F.md5(F.col("part").cast("binary")).alias("hash")).agg(F.min("start").alias("start"), F.max(F.octet_length("part")).cast("long").alias("bytes"))
 
 
-def search(t: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+def forms(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, forms: the distinct forms of each text that has any."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}']+)"), F.lit(1)))
+    return docs.select(F.col(doc).alias("doc"), found.alias("forms")).filter(F.size("forms") > 0)
+
+
+def search(have: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """query, doc, score, rank: documents by the summed rarity of the query's forms that they have.
 
-    queries has query, form. Each document's forms are counted once before the join on the form, so it holds one row a document
-    and form; frequent forms are summed on the map side.
+    have is forms() of documents with distinct ids, queries has query, form. A document's forms are distinct before they're rows, so the join
+    on the form holds one row a document and form with no shuffle before it; frequent forms are summed on the map side.
     """
-    have = t.select("doc", "form").distinct()
-    n = t.agg(F.count_distinct("doc").alias("docs"))  # one row
+    n = have.agg(F.count("*").alias("docs"))  # one row
+    have = have.select("doc", F.explode("forms").alias("form"))
     wanted = queries.select("query", "form").distinct()
     hits = have.join(wanted.select("form").distinct(), "form", "left_semi")
     rarity = hits.groupBy("form").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("form", F.ln((F.col("docs") + 1) / (F.col("df") + 1)).alias("idf"))

@@ -124,7 +124,7 @@ ORACLE_SQL: dict[str, str] = {
     "irreversibility": f"""WITH {_SERIES}, {_PATTERNS}, j AS (SELECT coalesce(a.sid, b.sid) AS sid, coalesce(a.p, 0) AS p, coalesce(b.p, 0) AS q FROM r a FULL JOIN (SELECT sid, translate(key, '012', '210') AS key, p FROM r) b ON a.sid = b.sid AND a.key = b.key)
 SELECT sid, round(0.5 * sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END) + 0.5 * sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END), 9) AS stat FROM j GROUP BY sid""",
     "coarsen": f"WITH {_SERIES} SELECT sid, i, round(m, 9) AS v FROM (SELECT sid, i, avg(v) OVER w AS m, count(*) OVER w AS k FROM s WINDOW w AS (PARTITION BY sid ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) WHERE k = 4",
-    "hop_windows": f"WITH {_SERIES} SELECT sid, k * 4 AS start, count(*) AS n, round(avg(v), 9) AS mean FROM s, generate_series(0, 1000) AS t(k) WHERE i >= k * 4 AND i < k * 4 + {WINDOW} GROUP BY sid, k HAVING count(*) = {WINDOW}",
+    "hop_windows": f"WITH {_SERIES} SELECT sid, k * 4 AS start, count(*) AS n, round(avg(v), 9) AS mean FROM s, generate_series(0, (SELECT max(i) FROM s) // 4) AS t(k) WHERE i >= k * 4 AND i < k * 4 + {WINDOW} GROUP BY sid, k HAVING count(*) = {WINDOW}",
     "wave_islands": f"WITH {_SERIES} SELECT sid, min(i) AS start, max(i) AS \"end\", count(*) AS length FROM (SELECT sid, i, i - row_number() OVER (PARTITION BY sid ORDER BY i) AS run FROM s WHERE v > 60.0) GROUP BY sid, run",
     "resample_ground": f"WITH {_SERIES}, {_ground('resample')} SELECT sid, draw, round(stat, 9) AS stat FROM g",
     "rank_shuffle_ground": f"WITH {_SERIES}, {_ground('shuffle')} SELECT sid, draw, round(stat, 9) AS stat FROM g",

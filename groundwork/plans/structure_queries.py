@@ -89,8 +89,7 @@ def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that one customer gave in one month, as chains."""
     from pyspark.sql import Window
 
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or "/tmp/groundwork-checkpoints")
+    components.ready(spark)
     w = Window.partitionBy("o_custkey", F.date_format("o_orderdate", "yyyy-MM")).orderBy("o_orderkey")
     links = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.lag("o_orderkey").over(w).alias("b")).filter("b is not null")
     return components.components(links)

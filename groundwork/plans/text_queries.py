@@ -20,7 +20,7 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = T.tokens(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id")
-    return T.search(_tokens(spark, sf_dir), items.select(F.col("doc").alias("query"), "form"))
+    return T.search(T.forms(_docs(spark, sf_dir)), items.select(F.col("doc").alias("query"), "form"))
 
 
 def _fold(spark: SparkSession, sf_dir: str) -> DataFrame:
