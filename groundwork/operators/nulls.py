@@ -174,3 +174,27 @@ def temporality(s: DataFrame, draws: int, window: int, seed: int = 0) -> DataFra
     arrow = placed("irreversibility", seed + draws).select("sid", F.col("re_zero").alias("arrow"))
     kind = F.when(F.col("gap") == "degenerate_ground", "void").when(F.col("above"), "unstable").when(F.col("gap").isNull(), "exchangeable").when(F.col("arrow"), "arrowed").otherwise("reversible")
     return order.join(arrow, "sid").select("sid", kind.alias("temporality"))
+
+
+def level(s: DataFrame, window: int, draws: int, reseeds: int, statistic: str = "burstiness", own: str = "resample", target: str = "shuffle", seed: int = 0) -> DataFrame:
+    """sid, relationship, displacement, threshold, gap: whether a series stands above, below or beside its own ground as another ground sees it.
+
+    The displacement is the difference of the two ranks; under the resolution of the draws, or the widest change of rank under reseeded grounds of its own, it's a peer. What
+    its own ground can't place keeps that gap; if the other ground or a reseeded one can't place it, it's unstable.
+    """
+    observed = STATISTICS[statistic](s, window)
+    seeds = ground(s, draws * (reseeds + 1), window, own, seed, statistic).withColumn("turn", F.floor(F.col("draw") / draws))
+    placed = difference(observed, seeds.filter("turn = 0")).select("sid", "rank", "gap")
+    out = placed.join(difference(observed, ground(s, draws, window, target, seed, statistic)).select("sid", F.col("rank").alias("cross")), "sid", "left")
+    for k in range(1, reseeds + 1):
+        out = out.join(difference(observed, seeds.filter(F.col("turn") == k)).select("sid", F.col("rank").alias(f"rank_{k}")), "sid", "left")
+    ranks = [F.col(f"rank_{k}") for k in range(1, reseeds + 1)]
+    lost = F.col("cross").isNull()
+    for r in ranks:
+        lost = lost | r.isNull()
+    gap = F.coalesce("gap", F.when(lost, "unstable"))
+    threshold = F.greatest(F.lit(2.0 / draws), *(F.abs(r - F.col("rank")) for r in ranks)) if ranks else F.lit(2.0 / draws)
+    moved = F.col("cross") - F.col("rank")
+    kind = F.when(F.abs(moved) <= threshold, "peer").when(moved > 0, "above").otherwise("below")
+    said = lambda c: F.when(gap.isNull(), c)
+    return out.select("sid", said(kind).alias("relationship"), said(moved).alias("displacement"), said(threshold).alias("threshold"), gap.alias("gap"))

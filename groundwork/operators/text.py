@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Share of all tokens from which a form is a function word.
@@ -123,3 +123,67 @@ def sequence_loss(t: DataFrame, belief: DataFrame, unseen: float) -> DataFrame:
     steps = t.withColumn("context", F.lag("form").over(w)).filter("context is not null")
     said = steps.join(belief.select("context", "form", "p"), ["context", "form"], "left")
     return said.groupBy("doc").agg(F.count("*").alias("n"), F.sum(-F.ln(F.coalesce("p", F.lit(unseen)))).alias("loss"))
+
+
+def content_words(t: DataFrame) -> DataFrame:
+    """doc, n, content: tokens of each text, and those whose form isn't a function word of all texts."""
+    common = function_words(t).select("form", F.lit(True).alias("function"))  # at most 1 / FUNCTION_SHARE forms
+    counted = t.groupBy("doc", "form").agg(F.count("*").alias("k")).join(F.broadcast(common), "form", "left")
+    return counted.groupBy("doc").agg(F.sum("k").alias("n"), F.coalesce(F.sum(F.when(F.col("function").isNull(), F.col("k"))), F.lit(0)).alias("content"))
+
+
+#: Scripts that are told apart, by Unicode name.
+SCRIPTS = ["Latin", "Han", "Cyrillic", "Greek"]
+
+
+def script_profile(docs: DataFrame, doc: str = "doc_id", by: str = "source", text: str = "text") -> DataFrame:
+    """doc, script, share, switched: the script of most letters of a text, the first as listed of equal ones (Other last), and whether it's another than that of
+    most texts of its group. Texts without letters have no script and don't count."""
+    left = lambda pattern: F.char_length(F.regexp_replace("t", pattern, ""))
+    counts = {name: left(rf"\P{{Is{name}}}") for name in SCRIPTS}
+    rows = docs.select(F.col(doc).alias("doc"), F.col(by).alias("by"), F.col(text).alias("t")).select("doc", "by", left(r"\P{L}").alias("letters"), *(c.alias(n) for n, c in counts.items()))
+    other = F.greatest(F.col("letters") - sum((F.col(n) for n in SCRIPTS), F.lit(0)), F.lit(0))
+    ranked = F.array(*(F.struct(F.col(n).alias("n"), F.lit(-i).alias("place"), F.lit(n).alias("script")) for i, n in enumerate(SCRIPTS)), F.struct(other.alias("n"), F.lit(-len(SCRIPTS)).alias("place"), F.lit("Other").alias("script")))
+    each = rows.withColumn("best", F.array_max(ranked)).select("doc", "by", F.when(F.col("best.n") > 0, F.col("best.script")).alias("script"), (F.col("best.n") / F.col("letters")).alias("share"))
+    votes = each.filter("script is not null").groupBy("by", "script").agg(F.count("*").alias("k"))
+    most = votes.groupBy("by").agg(F.max_by("script", F.struct("k", "script")).alias("most"))
+    return each.join(most, each["by"].eqNullSafe(most["by"]), "left").select("doc", "script", F.when(F.col("script").isNotNull(), F.col("share")).alias("share"), (F.col("script") != F.col("most")).alias("switched"))
+
+
+def row_shape(row: Column) -> Column:
+    """The kinds of a row's signs, one letter a run: _ white space, d digits, U and l letters with case, w other letters, p the rest."""
+    marked = F.regexp_replace(row, r"[^\s\p{L}\p{Nd}]+", "\u0001")
+    for pattern, sign in ((r"\s+", "\u0002"), (r"\p{Nd}+", "\u0003"), (r"\p{Lu}+", "\u0004"), (r"\p{Ll}+", "\u0005"), (r"\p{L}+", "\u0006")):
+        marked = F.regexp_replace(marked, pattern, sign)
+    return F.translate(marked, "\u0001\u0002\u0003\u0004\u0005\u0006", "p_dUlw")
+
+
+def row_form_distances(rows: DataFrame) -> DataFrame:
+    """by, shape, n, distance: mean edit distance, over the longer length, of a row's shape to those of its group's other rows. rows: by, row.
+
+    Rows of one shape are one class, so groups meet by their few shapes.
+    """
+    shapes = rows.groupBy("by", row_shape(F.col("row")).alias("shape")).agg(F.count("*").alias("n"))
+    size = shapes.groupBy("by").agg(F.sum("n").alias("size")).filter("size > 2")
+    other = shapes.select("by", F.col("shape").alias("o"), F.col("n").alias("m"))
+    far = F.levenshtein("shape", "o") / F.greatest(F.char_length("shape"), F.char_length("o"), F.lit(1))
+    return shapes.join(other, "by").join(size, "by").groupBy("by", "shape", "n", "size").agg(F.sum(far * F.col("m")).alias("s")).select("by", "shape", "n", (F.col("s") / (F.col("size") - 1)).alias("distance"))
+
+
+def containment(spans: DataFrame, queries: DataFrame, by: list[str]) -> DataFrame:
+    """by, doc, containment: how much of its group's query n-grams a span has, no gram counting more often than in the query. spans: by, doc, gram, n; queries: by, gram, n."""
+    q = queries.select(*by, "gram", F.col("n").alias("q"))
+    norm = q.groupBy(*by).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"))
+    capped = F.least("n", "q")
+    hits = spans.join(q, [*by, "gram"]).groupBy(*by, "doc").agg(F.sum(F.col("q") * capped).alias("dot"), F.sqrt(F.sum(capped * capped)).alias("own"))
+    return hits.join(norm, by).select(*by, "doc", (F.col("dot") / (F.col("norm") * F.col("own"))).alias("containment"))
+
+
+def sequence_baselines(t: DataFrame, horizon: int = 1, alpha: float = 1.0) -> DataFrame:
+    """doc, n, unigram, uniform, repeats: mean loss of each form by the counts before it and by the number of forms before it, each with one place for a new form, and the
+    share of forms that stood `horizon` places before."""
+    own, place = Window.partitionBy("doc", "form").orderBy("pos"), Window.partitionBy("doc").orderBy("pos")
+    c = t.withColumn("c", F.row_number().over(own) - 1).withColumn("before", F.lag("form", horizon).over(place))
+    c = c.withColumn("met", F.coalesce(F.sum((F.col("c") == 0).cast("int")).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    unigram = -F.ln((F.col("c") + alpha) / (F.col("pos") + alpha * (F.col("met") + 1)))
+    return c.groupBy("doc").agg(F.count("*").alias("n"), F.avg(unigram).alias("unigram"), F.avg(F.ln(F.col("met") + 1.0)).alias("uniform"), F.avg(F.when(F.col("before") == F.col("form"), 1.0).otherwise(0.0)).alias("repeats"))

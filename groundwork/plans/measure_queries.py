@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from groundwork.functions.rng import uniform_sql
 from groundwork.operators import agreement, nulls, scoring, segmentation
 from groundwork.operators import series as S
-from groundwork.plans.series_queries import _B, _SERIES, DRAWS, WINDOW, _burst, _ground, _place, events
+from groundwork.operators import text as T
+from groundwork.plans.series_queries import _B, _SERIES, DRAWS, WINDOW, _ground, _place, events
+from groundwork.plans.text_queries import _T
 
 #: Previous values that make an ensemble, forms of a predicted sequence, and the quantiles that are judged.
 ENSEMBLE, HORIZON, TAUS = 8, 4, (0.1, 0.5, 0.9)
+#: Tokens of a frame.
+FRAME = 40
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,14 +33,6 @@ def _rounded(df: DataFrame, *names: str, to: int = 9) -> DataFrame:
     return df.withColumns({n: F.round(n, to) for n in names})
 
 
-def _segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of the event's type against values that cross the middle."""
-    w = Window.partitionBy("sid").orderBy("i")
-    flags = _steps(spark, sf_dir).filter("v is not null").withColumn("i", (F.row_number().over(w) - 1).cast("long"))
-    changes = lambda c: F.coalesce(c != F.lag(c).over(w), F.lit(False))
-    return _rounded(segmentation.boundary_errors(flags.select("sid", "i", changes(F.col("form")).alias("r"), changes(F.col("v") > 50).alias("h"))), "pk", "window_diff")
-
-
 def _categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event's type as predicted by the user's earlier ones, every type counted once more."""
     steps = _steps(spark, sf_dir)
@@ -81,12 +77,49 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, "observed", "low", "high", "rank")
 
 
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of the event's type against values that cross the middle."""
+    w = Window.partitionBy("sid").orderBy("i")
+    flags = _steps(spark, sf_dir).filter("v is not null").withColumn("i", (F.row_number().over(w) - 1).cast("long"))
+    changes = lambda c: F.coalesce(c != F.lag(c).over(w), F.lit(False))
+    return flags.select("sid", "i", changes(F.col("form")).alias("r"), changes(F.col("v") > 50).alias("h"))
+
+
+def _tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.tokens(_read(spark, sf_dir, "documents"))
+    frames = t.groupBy("doc", F.floor(F.col("pos") / FRAME).alias("frame"), "form").agg(F.count("*").alias("n"))
+    return _rounded(segmentation.tiling(frames, 2), "similarity")
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' addresses by host."""
+    rows = _read(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("by"), F.col("url").alias("row"))
+    return _rounded(T.row_form_distances(rows), "distance")
+
+
+def _containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the later turns of a conversation have of its first one's trigrams."""
+    turns = _read(spark, sf_dir, "conversations")
+    grams = T.ngrams(turns.select(F.struct("conv_id", "turn").alias("id"), "text"), 3, "id").select(F.col("doc.conv_id").alias("conv_id"), F.col("doc.turn").alias("doc"), "gram", "n")
+    first = turns.groupBy("conv_id").agg(F.min("turn").alias("first"))
+    grams = grams.join(first, "conv_id")
+    return _rounded(T.containment(grams.filter("doc > first"), grams.filter("doc = first"), ["conv_id"]), "containment")
+
+
 def _max_deviation_ground(perturbation: str, to: int) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _rounded(nulls.ground(events(spark, sf_dir), DRAWS, WINDOW, perturbation, statistic="max_deviation"), "stat", to=to)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "segmentation_errors": _segmentation,
+    "segmentation_errors": lambda spark, sf_dir: _rounded(segmentation.boundary_errors(_flags(spark, sf_dir)), "pk", "window_diff"),
+    "boundary_hits": lambda spark, sf_dir: segmentation.boundary_hits(_flags(spark, sf_dir), 1, 2),
+    "tiling_similarity": _tiling,
+    "script_profile": lambda spark, sf_dir: _rounded(T.script_profile(_read(spark, sf_dir, "documents")), "share"),
+    "row_form_distances": _shapes,
+    "query_containment": _containment,
+    "content_words": lambda spark, sf_dir: T.content_words(T.tokens(_read(spark, sf_dir, "documents"))),
+    "sequence_baselines": lambda spark, sf_dir: _rounded(T.sequence_baselines(T.tokens(_read(spark, sf_dir, "documents"))), "unigram", "uniform", "repeats"),
+    "level": lambda spark, sf_dir: _rounded(nulls.level(events(spark, sf_dir), WINDOW, DRAWS, 2), "displacement", "threshold"),
     "categorical_scores": _categorical,
     "ensemble_scores": _ensemble,
     "sequence_scores": _sequences,
@@ -109,7 +142,33 @@ def _turn(k: int) -> str:
     return _ground("resample", DRAWS, f"g{k}").replace(uniform_sql("draw", "i"), uniform_sql(f"(draw + {k * DRAWS})", "i"))
 
 
+_FLAGS = f"""{_FORMS}, e AS (SELECT sid, row_number() OVER o - 1 AS i, coalesce(form <> lag(form) OVER o, false) AS r, coalesce((v > 50) <> lag(v > 50) OVER o, false) AS h FROM f WHERE v IS NOT NULL WINDOW o AS (PARTITION BY sid ORDER BY i))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "boundary_hits": f"""WITH {_FLAGS} SELECT sid, count_if(r) AS boundaries, count_if(h) AS found,
+  count_if(r AND EXISTS (SELECT 1 FROM e x WHERE x.sid = e.sid AND x.h AND x.i BETWEEN e.i - 1 AND e.i + 2)) AS hits,
+  count_if(h AND EXISTS (SELECT 1 FROM e x WHERE x.sid = e.sid AND x.r AND x.i BETWEEN e.i - 2 AND e.i + 1)) AS "right" FROM e GROUP BY sid""",
+    "tiling_similarity": f"""WITH {_T}, c AS (SELECT doc, pos // {FRAME} AS frame, form, count(*) AS n FROM t GROUP BY ALL), g AS (SELECT doc, unnest(generate_series(1, max(frame))) AS gap FROM c GROUP BY doc),
+v AS (SELECT doc, gap, form, sum(CASE WHEN frame < gap THEN n END) AS x, sum(CASE WHEN frame >= gap THEN n END) AS y FROM g JOIN c USING (doc) WHERE frame BETWEEN gap - 2 AND gap + 1 GROUP BY doc, gap, form)
+SELECT doc, gap, round(coalesce(coalesce(sum(x * y), 0) / sqrt(sum(x * x) * sum(y * y)), 0), 9) AS similarity FROM v GROUP BY doc, gap""",
+    "script_profile": r"""WITH l AS (SELECT doc_id AS doc, source, length(regexp_replace(text, '\P{L}', '', 'g')) AS letters, [length(regexp_replace(text, '\P{Latin}', '', 'g')), length(regexp_replace(text, '\P{Han}', '', 'g')), length(regexp_replace(text, '\P{Cyrillic}', '', 'g')), length(regexp_replace(text, '\P{Greek}', '', 'g'))] AS k FROM documents),
+m AS (SELECT doc, source, letters, list_append(k, greatest(letters - list_sum(k), 0)) AS k FROM l),
+p AS (SELECT doc, source, CASE WHEN list_max(k) > 0 THEN ['Latin', 'Han', 'Cyrillic', 'Greek', 'Other'][list_position(k, list_max(k))] END AS script, CASE WHEN list_max(k) > 0 THEN list_max(k) / letters END AS share FROM m),
+b AS (SELECT source, script AS most FROM (SELECT source, script, count(*) AS n FROM p WHERE script IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, script DESC) = 1)
+SELECT doc, script, round(share, 9) AS share, script <> most AS switched FROM p LEFT JOIN b ON p.source IS NOT DISTINCT FROM b.source""",
+    "row_form_distances": r"""WITH r AS (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS "by", regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[^\s\p{L}\p{Nd}]+', chr(1), 'g'), '\s+', chr(2), 'g'), '\p{Nd}+', chr(3), 'g'), '\p{Lu}+', chr(4), 'g'), '\p{Ll}+', chr(5), 'g'), '\p{L}+', chr(6), 'g') AS u FROM pages),
+q AS (SELECT "by", translate(u, chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6), 'p_dUlw') AS shape FROM r), k AS (SELECT "by", shape, count(*) AS n FROM q GROUP BY "by", shape), s AS (SELECT *, sum(n) OVER (PARTITION BY "by") AS size FROM k)
+SELECT a."by", a.shape, a.n, round(sum(b.n * levenshtein(a.shape, b.shape) / greatest(length(a.shape), length(b.shape), 1)) / (a.size - 1), 9) AS distance FROM s a JOIN s b ON a."by" = b."by" WHERE a.size > 2 GROUP BY a."by", a.shape, a.n, a.size""",
+    "query_containment": """WITH g AS (SELECT conv_id, turn, gram, count(*) AS n FROM (SELECT conv_id, turn, unnest(list_transform(generate_series(1, length(text) - 2), lambda i: substring(lower(text), i, 3))) AS gram FROM conversations WHERE length(text) >= 3) GROUP BY ALL),
+f AS (SELECT conv_id, min(turn) AS first FROM conversations GROUP BY conv_id), q AS (SELECT g.conv_id, gram, n FROM g JOIN f ON g.conv_id = f.conv_id AND turn = first), z AS (SELECT conv_id, sqrt(sum(n * n)) AS norm FROM q GROUP BY conv_id)
+SELECT g.conv_id, g.turn AS doc, round(sum(q.n * least(g.n, q.n)) / (any_value(norm) * sqrt(sum(least(g.n, q.n) ** 2))), 9) AS containment FROM g JOIN f ON g.conv_id = f.conv_id AND turn > first JOIN q ON q.conv_id = g.conv_id AND q.gram = g.gram JOIN z ON z.conv_id = g.conv_id GROUP BY g.conv_id, g.turn""",
+    "content_words": f"""WITH {_T}, w AS (SELECT form FROM t GROUP BY form HAVING count(*) / (SELECT count(*) FROM t) >= 0.006) SELECT doc, count(*) AS n, count_if(form NOT IN (SELECT form FROM w)) AS content FROM t GROUP BY doc""",
+    "sequence_baselines": f"""WITH {_T}, c AS (SELECT *, row_number() OVER (PARTITION BY doc, form ORDER BY pos) - 1 AS c, lag(form) OVER (PARTITION BY doc ORDER BY pos) AS b FROM t), m AS (SELECT *, coalesce(count_if(c = 0) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS met FROM c)
+SELECT doc, count(*) AS n, round(avg(-ln((c + 1) / (pos + met + 1))), 9) AS unigram, round(avg(ln(met + 1)), 9) AS uniform, round(avg(CASE WHEN b = form THEN 1.0 ELSE 0.0 END), 9) AS repeats FROM m GROUP BY doc""",
+    "level": f"""WITH {_SERIES}, {_B}, {_turn(0)}, {_turn(1)}, {_turn(2)}, {_ground('shuffle', name='h')},
+a AS ({_place('g0')}), r1 AS ({_place('g1')}), r2 AS ({_place('g2')}), c AS ({_place('h')}),
+j AS (SELECT a.sid, a.rank, c.rank - a.rank AS moved, greatest(2.0 / {DRAWS}, abs(r1.rank - a.rank), abs(r2.rank - a.rank)) AS threshold, coalesce(a.gap, CASE WHEN c.rank IS NULL OR r1.rank IS NULL OR r2.rank IS NULL THEN 'unstable' END) AS gap FROM a LEFT JOIN r1 USING (sid) LEFT JOIN r2 USING (sid) LEFT JOIN c USING (sid))
+SELECT sid, CASE WHEN gap IS NULL THEN CASE WHEN abs(moved) <= threshold THEN 'peer' WHEN moved > 0 THEN 'above' ELSE 'below' END END AS relationship, CASE WHEN gap IS NULL THEN round(moved, 9) END AS displacement, CASE WHEN gap IS NULL THEN round(threshold, 9) END AS threshold, gap FROM j""",
     "segmentation_errors": f"""WITH {_FORMS}, e AS (SELECT sid, row_number() OVER o - 1 AS i, coalesce(form <> lag(form) OVER o, false) AS r, coalesce((v > 50) <> lag(v > 50) OVER o, false) AS h FROM f WHERE v IS NOT NULL WINDOW o AS (PARTITION BY sid ORDER BY i)),
 z AS (SELECT sid, count(*) AS n, CAST(greatest(1, floor(count(*) / (count_if(r) + 1) / 2 + 0.5)) AS BIGINT) AS k FROM e GROUP BY sid),
 p AS (SELECT a.sid, a.i, any_value(n) AS n, any_value(k) AS k, count_if(b.r) AS x, count_if(b.h) AS y FROM e a JOIN z USING (sid) JOIN e b ON b.sid = a.sid AND b.i > a.i AND b.i <= a.i + k WHERE a.i < n - k GROUP BY a.sid, a.i)
