@@ -176,7 +176,7 @@ def _rows(shared):
     return run
 
 
-def _step(w: np.ndarray):
+def _step(w: np.ndarray, penalty: float):
     """A partition's share of the gradient and curvature at w (the intercept last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +197,8 @@ def _step(w: np.ndarray):
                 g += x.T @ (p - y)
                 h += (x * (p * (1 - p))[:, None]).T @ x
                 d = d[np.any(d != 0, axis=1)]
-                g += 2 * COUNTERFACTUAL * d.T @ (d @ w)
-                h += 2 * COUNTERFACTUAL * d.T @ d
+                g += 2 * penalty * d.T @ (d @ w)
+                h += 2 * penalty * d.T @ d
         yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()]), pa.array([h.tobytes()])], ["g", "h"])
 
     return run
@@ -213,7 +213,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()]), pa.array([h.tobytes()])], ["g", "h"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, features: int = FEATURES):
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, features: int = FEATURES, penalty: float = COUNTERFACTUAL):
     """A broadcast Classifier of the texts that labels names."""
     spark = docs.sparkSession
     own = labels.select(F.col(id_col).alias("d"), F.col(label).cast("int").alias("y")).filter("d is not null and y is not null").groupBy("d").agg(F.max("y").alias("y"))
@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     w = np.zeros(len(keys) + 1)
     w[-1] = np.log(pos / (n - pos))
     for _ in range(STEPS):
-        parts = sparse.mapInArrow(_step(w), "g binary, h binary")
+        parts = sparse.mapInArrow(_step(w, penalty), "g binary, h binary")
         g, h = 0, 0
         for x in parts.repartition(4).mapInArrow(_added, "g binary, h binary").collect():
             g, h = g + np.frombuffer(x["g"]), h + np.frombuffer(x["h"]).reshape(len(w), len(w))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -367,3 +368,80 @@ def test_blocks_cover_all_rows():
     rows = [(lo, hi, bytes(data), offsets.tolist()) for lo, hi, data, offsets in kernels.blocks(column.slice(7), 500)]
     assert rows[0][0] == 0 and rows[-1][1] == 193 and all(a[1] == b[0] for a, b in zip(rows, rows[1:], strict=False))
     assert b"".join(r[2] for r in rows).decode() == "".join(x or "" for x in column.slice(7).to_pylist())
+
+
+# --- texts whose polynomial hashes are equal modulo 2**64, pages of odd markup, lost pages, long contexts
+
+_TURNS = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_no_operator_takes_one_text_for_its_complement(spark, size):
+    a = _TURNS[:size]
+    b = a.translate(str.maketrans("ab", "ba"))
+    t = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.bpe for r in bpe.round_trip(t, queries.vocabulary(spark)).collect()}
+    assert got[1].decoded_sha256 == hashlib.sha256(a.encode()).hexdigest() and got[2].decoded_sha256 == hashlib.sha256(b.encode()).hexdigest()
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(t).collect()} == {1: 1, 2: 2}
+    leaks = decontaminate.decontaminate(t, spark.createDataFrame([("x", a)], "item_id string, text string"))
+    assert {r.doc_id: r.leak.contaminated for r in leaks.collect()} == {1: True, 2: False}
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p data-t=it's>Hello, this isn't gone.</p><p>Second one, here.</p>", ["Hello, this isn't gone.", "Second one, here."]),
+        ('<p title="a > b">Hello, there.</p><p title="odd>Still, here.</p><a href="x">', ["Hello, there.", "Still, here."]),
+        ("<p>Hello, there <b cla", ["Hello, there"]),
+        ("<article><h1>T</h1><p class='legal'>The court said, it is so.</p><p class=\"search results\">Results, were found.</p><div class='share-price'>Shares fell, again.</div><div class=share><a>x</a></div></article>", ["T", "The court said, it is so.", "Results, were found.", "Shares fell, again."]),
+    ],
+)
+def test_html_of_odd_markup(page, want):
+    assert html.main_text(page).split("\n") == want
+
+
+def test_html_takes_time_in_proportion():
+    for sign in ("<a '", "<a x='", "<a x=\"'", "<!-", "<"):
+        t = time.perf_counter()
+        html.main_text(sign * 20_000)
+        assert time.perf_counter() - t < 3
+
+
+def test_ogg_counts_a_lost_page_and_gives_times():
+    sound = media.store(bytes(range(256)) * 600)
+    pages = sound.split(b"OggS")[1:]
+    whole = media.load(sound)
+    assert whole["bad_pages"] == 0 and len(whole["times"]) == -(-256 * 600 // media.PACKET) and whole["times"][0] == media.PACKET / media.RATE and whole["times"][-1] == whole["seconds"] == 256 * 600 / media.RATE
+    s = media.Stream(5, [(b"h", 0), (b"q" * 200_000, 1), (b"x", 2)])
+    data = media.mux([s]).split(b"OggS")[1:]
+    cut = b"".join(b"OggS" + p for i, p in enumerate(data) if i != 2)
+    streams, bad = media.demux(cut)
+    assert bad == 1 and [p for p, _ in streams[0].packets] == [b"h", b"x"] and len(pages) > 3
+
+
+def test_pii_contexts_are_whole_words_and_numbers_may_have_spaces(spark):
+    odd = "w" * 200
+    rows = [(i, f"my {odd} line +49 30 12345{i:02d} today") for i in range(9)] + [(20, f"my {odd} line 030 123 4567 today"), (21, f"my {odd[:-1]}x other 030 123 4568 today")]
+    got = {r.doc_id: r.pii for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_phone == 1 and got[20].n_phone == 0 and got[20].spans == "phone:209:221" and got[21].spans == ""
+
+
+def test_toxicity_penalty_spares_a_neutral_mention(spark):
+    r = random.Random(4)
+    words = [f"word{chr(97 + i)}" for i in range(20)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(12)) + (" muslims" if i % 4 == 0 else "") + (" vilest" if i % 8 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    probe = spark.createDataFrame([(1, "worda vilest wordb"), (2, "worda wordb muslims")], "doc_id long, text string")
+    seen = []
+    for penalty in (0.0, toxicity.COUNTERFACTUAL):
+        model = toxicity.fit(t.select("doc_id", "text"), t.select("doc_id", "toxic"), penalty=penalty)
+        seen.append({x.doc_id: x.score for x in toxicity.score(probe, model).collect()})
+    assert seen[0][2] > 0.7 and seen[1][2] < 0.5 < seen[1][1]
+
+
+def test_columns_of_the_operators_names_do_no_harm(spark):
+    t = spark.createDataFrame([(1, "some words of a text", 7)], "doc_id long, text string, n_bytes long")
+    assert media.digests(media.read_media(media.with_media(t))).first().n_bytes == 20
+    seen = spark.createDataFrame([(1, ("en", 1.0, 2.0), 3)], "doc_id long, language struct<lang: string, score: double, nats: double>, limit long")
+    out = language.reject(seen, spark.createDataFrame([("en", 2.5)], "lang string, limit double")).first()
+    assert (out["limit"], out.rejected) == (3, False)
