@@ -182,23 +182,39 @@ def _poster(shared, buckets: int):
 _POSTS = "bucket int, token binary, owner binary, cls binary"
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """For each class of a bucket, how many of its posted shingles another class has posted too."""
-    parts = []
-    for token, owner, cls in zip(*(table[c].to_pylist() for c in ("token", "owner", "cls")), strict=True):
-        cls = np.frombuffer(cls, np.int64)
-        parts.append((np.cumsum(_large(token, np.uint32), dtype=np.uint32), cls[_large(owner, np.uint16 if len(cls) < 65536 else np.uint32)]))
-    token, cls = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((cls, token))
-    token, cls = token[order], cls[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-    token, cls = token[new], cls[new]
-    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    size = np.diff(np.r_[first, len(token)])
-    some = np.repeat(size > 1, size)
-    names, k = np.unique(cls[some], return_counts=True)
-    return pa.table({"cls": names, "k": k.astype(np.int64)})
+def _sharer(parts: int):
+    def shared(table: pa.Table) -> pa.Table:
+        """For each class of a bucket, how many of its posted shingles another class has posted too: packed by part of the classes."""
+        held = []
+        for token, owner, cls in zip(*(table[c].to_pylist() for c in ("token", "owner", "cls")), strict=True):
+            cls = np.frombuffer(cls, np.int64)
+            held.append((np.cumsum(_large(token, np.uint32), dtype=np.uint32), cls[_large(owner, np.uint16 if len(cls) < 65536 else np.uint32)]))
+        token, cls = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((cls, token))
+        token, cls = token[order], cls[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+        token, cls = token[new], cls[new]
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        size = np.diff(np.r_[first, len(token)])
+        some = np.repeat(size > 1, size)
+        names, k = np.unique(cls[some], return_counts=True)
+        part = names % parts
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [order[cuts[p] : cuts[p + 1]] for p in range(parts)]
+        full = [p for p in range(parts) if len(rows[p])]
+        return pa.table({"part": pa.array(full, pa.int32()), "cls": pa.array([names[rows[p]].tobytes() for p in full], pa.binary()), "k": pa.array([_small(k[rows[p]], np.uint32) for p in full], pa.binary())})
+
+    return shared
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """cls, k over all buckets."""
+    cls = np.concatenate([np.frombuffer(x, np.int64) for x in table["cls"].to_pylist()])
+    k = np.concatenate([_large(x, np.uint32) for x in table["k"].to_pylist()])
+    names, which = np.unique(cls, return_inverse=True)
+    return pa.table({"cls": names, "k": np.bincount(which, weights=k).astype(np.int64)})
 
 
 def _small(x: np.ndarray, kind) -> bytes:
@@ -327,9 +343,9 @@ def _able(spark: SparkSession, rows: DataFrame, classes: DataFrame) -> DataFrame
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(frequency_levels(rows))
     posts = rows.select("t").mapInArrow(_poster(shared, buckets), _POSTS)
-    found = posts.groupBy("bucket").applyInArrow(_shared, "cls long, k long")
+    found = posts.groupBy("bucket").applyInArrow(_sharer(buckets), "part int, cls binary, k binary").groupBy("part").applyInArrow(_summed, "cls long, k long")
     enough = 1 + F.floor(F.col("n") * PERCENT / 100 / STEP)
-    return written(found.groupBy("cls").agg(F.sum("k").alias("k")).join(classes.select("cls", "n"), "cls").filter(F.col("k") >= enough).select("cls", "n"), "able")
+    return written(found.join(classes.select("cls", "n"), "cls").filter(F.col("k") >= enough).select("cls", "n"), "able")
 
 
 def _components(rows: DataFrame, classes: DataFrame) -> DataFrame:
