@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import written
+from .store import dropped, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -219,6 +219,7 @@ def discover(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rounds
     known = edges.filter("seed").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     lexical = edges.filter("pattern <> ''")
     spread = lexical.groupBy("pattern").agg(F.count_distinct("instance").alias("instances")).filter(F.col("instances") >= SUPPORT)
+    tables = [seen, edges]
     for _ in range(rounds):
         good = lexical.join(known, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("support"))
         all_kinds = good.groupBy("pattern").agg(F.sum("mass").alias("known_mass"), F.sum("support").alias("known"))
@@ -226,11 +227,14 @@ def discover(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rounds
         good = good.filter(F.col("support") >= SUPPORT).join(all_kinds, "pattern").join(spread, "pattern").withColumn("trust", F.col("mass") / against).filter(F.col("trust") >= ACCEPT)
         found = lexical.filter("not seed").join(good.select("pattern", "kind", "trust"), ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.0000001 - F.col("trust"))))).alias("score"))
         known = written(known.unionByName(found.filter(F.col("score") >= ACCEPT)).groupBy("instance", "kind").agg(F.max("score").alias("score")), "known")
+        tables.append(known)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     best = known.groupBy("instance").agg(F.max_by("kind", F.struct("score", -order)).alias("kind"))
     hits = seen.filter("not seed and pattern = ''").join(best, ["instance", "kind"]).select("d", "h", "kind", "s", "e").distinct()
     added = hits.groupBy("d", "h").agg(F.collect_list(F.struct(F.col("kind"), F.col("s").alias("start"), F.col("e").alias("end"))).alias("added"))  # bounded by the text
-    return written(added, "added")  # of a known size: Spark broadcasts it where it's small, and joins by shuffle else
+    out = written(added, "added")  # of a known size: Spark broadcasts it where it's small, and joins by shuffle else
+    dropped(*tables)
+    return out
 
 
 def _told(spans: list[tuple[str, int, int]]) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import written
+from .store import dropped, written
 
 MAX_LABELLED = 20_000
 FEATURES = 384
@@ -253,6 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         w = w - move * min(1.0, 4.0 / max(1e-12, float(np.abs(move).max())))
         if np.abs(move).max() < 1e-4:
             break
+    dropped(rows, sparse)
     return spark.sparkContext.broadcast(Classifier(keys, w[:-1], float(w[-1])))
 
 

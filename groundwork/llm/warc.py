@@ -16,13 +16,14 @@ import base64
 import gzip
 import hashlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import place, written
+from .store import dropped, place, written
 
 #: Bytes of payload in an archive file, about.
 ARCHIVE_BYTES = 16 << 20
@@ -61,8 +62,9 @@ def _uri(url: Column) -> Column:
     return safe
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", payload: str = "html", date: str = "2024-01-01T00:00:00Z", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Writes a record for each row to archive files under path."""
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", payload: str = "html", date: str | None = None, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes a record for each row to archive files under path. date: of the records, the time of writing if there's none."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("body"), F.octet_length(body).cast("long").alias("size"), base32_sha1(body.cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("rid"))
     rows = written(rows, "warc-rows")  # a row's number must stay the same for what follows
@@ -96,6 +98,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: st
         F.lit("\r\n"),
     )
     both.select(F.concat(head, block).alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    dropped(rows)
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
