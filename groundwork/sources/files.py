@@ -70,7 +70,7 @@ def pajek_edges(spark: SparkSession, path: str) -> DataFrame:
     lines = texts(spark, path).select("path", F.split("text", r"(?i)\*(?:edges|arcs)[^\n]*\n").alias("p"))
     names = lines.select("path", F.explode(F.regexp_extract_all(F.col("p")[0], F.lit(r'(\d+ +"[^"]*")'), F.lit(1))).alias("x"))
     names = names.select("path", F.regexp_extract("x", r"^(\d+)", 1).alias("k"), F.regexp_extract("x", r'"([^"]*)"', 1).alias("name"))
-    edges = lines.select("path", F.explode(F.split(F.array_join(F.slice("p", 2, 100), "\n"), "\n")).alias("x")).select("path", F.split(F.trim("x"), r"\s+").alias("e")).filter(F.size("e") >= 2)
+    edges = lines.select("path", F.explode(F.split(F.array_join(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), "\n"), "\n")).alias("x")).select("path", F.split(F.trim("x"), r"\s+").alias("e")).filter(F.size("e") >= 2)
     edges = edges.select("path", F.col("e")[0].alias("s"), F.col("e")[1].alias("t"), F.coalesce(F.try_element_at("e", F.lit(3)).try_cast("double"), F.lit(1.0)).alias("weight"))
     a = names.select("path", F.col("k").alias("s"), F.col("name").alias("source"))
     b = names.select("path", F.col("k").alias("t"), F.col("name").alias("target"))

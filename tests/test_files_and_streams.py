@@ -52,3 +52,16 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = regimes(spark.createDataFrame(rows, "sid long, i long, v double"), reach=6.0)
     key = lambda df: sorted(map(tuple, df.select("sid", "i", "regime", F.col("fresh").cast("int")).collect()))
     assert key(spark.table("tracked")) == key(batch)
+
+
+def test_stream_leaves_late_rows_out(spark, tmp_path):
+    rows = [(1, i, float(i % 5) + (40.0 if i > 30 else 0.0)) for i in range(60)]
+    parts = [rows[:20], rows[25:40], rows[20:25] + rows[40:]]
+    for part in parts:
+        spark.createDataFrame(part, "sid long, i long, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("sid long, i long, v double").parquet(str(tmp_path / "in"))
+        q = track(stream, reach=6.0, forget_ms=3_600_000).writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(120)
+    got = {r.i: (r.regime, r.fresh) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    in_time = spark.createDataFrame(rows[:20] + rows[25:], "sid long, i long, v double")
+    assert got == {r.i: (r.regime, r.fresh) for r in regimes(in_time, reach=6.0).collect()} and len(got) == 55
