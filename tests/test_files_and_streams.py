@@ -60,7 +60,7 @@ def test_stream_leaves_late_rows_out(spark, tmp_path):
     for part in parts:
         spark.createDataFrame(part, "sid long, i long, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema("sid long, i long, v double").parquet(str(tmp_path / "in"))
-        q = track(stream, reach=6.0, forget_ms=3_600_000).writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q = track(stream, reach=6.0).writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
         q.awaitTermination(120)
     got = {r.i: (r.regime, r.fresh) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     in_time = spark.createDataFrame(rows[:20] + rows[25:], "sid long, i long, v double")
