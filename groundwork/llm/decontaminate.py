@@ -134,7 +134,7 @@ def _without(text: pa.Array, ranges: pa.Array) -> pa.Array:
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, name: str = "leak") -> DataFrame:
-    """df with a struct column `name`: n_words, n_hit, n_items, items, items_sha256, ranges, contaminated.
+    """df with a struct column `name` (in the place of one of that name): n_words, n_hit, n_items, items, items_sha256, ranges, contaminated.
 
     ranges holds, four numbers each, the first word, the word after the last, the first byte and the byte after
     the last of every maximal hit. remove_spans() cuts them out; filtering on contaminated removes whole texts.
@@ -152,13 +152,13 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
         if n == 1:
             out = out.withColumn(name, scanned)
         else:
-            out = out.withColumn(f"{name}_next", scanned)
-            found = F.col(f"{name}_next") if k == 0 else F.struct(F.col(f"{name}_next.n_words").alias("n_words"), F.concat(f"{name}.ranges", f"{name}_next.ranges").alias("ranges"), F.array_union(f"{name}.items", f"{name}_next.items").alias("items"))
-            out = out.withColumn(name, found).drop(f"{name}_next").checkpoint()
-    out = out.withColumn(f"{name}_digest", _digest(F.col(f"{name}.ranges"), F.col(f"{name}.items")))
+            out = out.withColumn(f"_{name}_next", scanned)
+            found = F.col(f"_{name}_next") if k == 0 else F.struct(F.col(f"_{name}_next.n_words").alias("n_words"), F.concat(f"{name}.ranges", f"_{name}_next.ranges").alias("ranges"), F.array_union(f"{name}.items", f"_{name}_next.items").alias("items"))
+            out = out.withColumn(name, found).drop(f"_{name}_next").checkpoint()
+    out = out.withColumn(f"_{name}_digest", _digest(F.col(f"{name}.ranges"), F.col(f"{name}.items")))
     at = lambda c: F.col(f"{name}.{c}").alias(c)
-    made = F.struct(at("n_words"), F.col(f"{name}_digest.n_hit").alias("n_hit"), F.size(f"{name}.items").cast("long").alias("n_items"), at("items"), F.col(f"{name}_digest.items_sha256").alias("items_sha256"), at("ranges"), (F.size(f"{name}.ranges") > 0).alias("contaminated"))
-    return out.withColumn(name, made).drop(f"{name}_digest")
+    made = F.struct(at("n_words"), F.col(f"_{name}_digest.n_hit").alias("n_hit"), F.size(f"{name}.items").cast("long").alias("n_items"), at("items"), F.col(f"_{name}_digest.items_sha256").alias("items_sha256"), at("ranges"), (F.size(f"{name}.ranges") > 0).alias("contaminated"))
+    return out.withColumn(name, made).drop(f"_{name}_digest")
 
 
 def remove_spans(df: DataFrame, text: str = "text", name: str = "leak") -> DataFrame:
