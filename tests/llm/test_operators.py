@@ -177,6 +177,9 @@ def test_warc_revisits(spark):
 
 # --- repeated byte strings
 
+#: No length of it repeats three times in a row; it and its complement have equal polynomial hashes modulo 2**64.
+_TURNS = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+
 
 def _brute_repeats(rows):
     first = {}
@@ -205,6 +208,18 @@ def test_repeated_strings_equal_brute_force(spark, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_a_passage_that_every_text_has(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HELD", 4_000)  # more blocks than partitions, so copies of the passage meet over blocks
+    r = random.Random(8)
+    passage = " ".join(r.choice(["one", "two", "three", "four"]) for _ in range(40))
+    own = lambda: "".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 300)))
+    rows = [(i, own() + passage[: r.randint(60, len(passage))] + own()) for i in range(90)]
+    rows += [(90 + i, _TURNS[i * 64 : i * 64 + 900]) for i in range(6)] + [(100, "x" * 3_000), (101, "x" * 2_000 + passage + "x" * 900), (102, None)]
+    r.shuffle(rows)
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).drop("kept").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(_brute_repeats(rows), key=str)
+
+
 def test_sorted_runs_are_in_byte_order():
     data = np.frombuffer(b"banana" * 20, np.uint8)
     at = np.arange(len(data) - 50)
@@ -372,9 +387,6 @@ def test_blocks_cover_all_rows():
 
 # --- texts whose polynomial hashes are equal modulo 2**64, pages of odd markup, lost pages, long contexts
 
-_TURNS = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
-
-
 @pytest.mark.parametrize("size", [1024, 2048, 4096])
 def test_no_operator_takes_one_text_for_its_complement(spark, size):
     a = _TURNS[:size]
