@@ -36,8 +36,8 @@ from . import kernels as K
 
 LENGTH = 50
 GRAM = 20
-#: Bytes of texts in a block.
-HELD = 16_000_000
+#: Bytes of texts in a block at most (but for a longer text), and at least where there are fewer than partitions; bytes of texts whose dictionary makes a bucket at least.
+HELD, LEAST, BUCKET = 10_000_000, 1_000_000, 4_000_000
 
 
 def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,11 +291,11 @@ def _rows_cut(data: np.ndarray, offsets: np.ndarray, d: np.ndarray, a: np.ndarra
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256 for each row."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text).alias("t"))
     able = F.coalesce(F.expr(f"d is not null and octet_length(t) >= {LENGTH}"), F.lit(False))
     size = rows.filter(able).agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("d", "t"), F.lit(max(parts, size // HELD + 1))).cast("int").alias("block")
+    blocks, buckets = max(size // HELD, min(parts, size // LEAST)) + 1, min(4 * parts, size // BUCKET + 1)  # a row for each pair of them that has phrases
+    block = F.pmod(F.xxhash64("d", "t"), F.lit(blocks)).cast("int").alias("block")
     texts = rows.filter(able).select(block, "d", K.packed(F.col("t")).alias("t"))
     replies = texts.groupBy("block").applyInArrow(_sender(buckets), _SENT).groupBy("bucket").applyInArrow(_merged, _REPLY)
     asked = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_byte_sender(buckets), _ASKED)
