@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, jaccard, language, media, pii, substrings, toxicity, warc
+from . import anchors, bpe, decontaminate, html, jaccard, language, media, pii, substrings, toxicity, warc
 from .store import ready, written
 
 #: Where the public tokenizer's file lies; another place can be named in the session.
@@ -87,6 +87,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col(f"leak.{c}").alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.remove_windows(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_media": op9_media,
     "op10_decontaminate": op10_decontaminate,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -150,5 +155,16 @@ WITH words AS (
 SELECT words.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   coalesce(ids, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+""",
+    "op13_substring_dedup": r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, hash(array_to_string(w[i:i + 34], ' ')) AS x, md5(array_to_string(w[i:i + 34], ' ')) AS y
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM words WHERE len(w) >= 35)
+), repeated AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY x, y) > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS j FROM repeated
+), each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM words
+), kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text FROM each ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT words.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)
 """,
 }
