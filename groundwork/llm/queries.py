@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, bpe, decontaminate, html, jaccard, language, media, pii, substrings, toxicity, warc
+from . import anchors, bpe, decontaminate, html, jaccard, language, manifest, media, periods, pii, substrings, toxicity, warc
 from .store import ready, written
 
 #: Where the public tokenizer's file lies; another place can be named in the session.
@@ -87,6 +87,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col(f"leak.{c}").alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
 
 
+def _repeating(docs: DataFrame) -> DataFrame:
+    """Where crc32(doc_id) % 10 is 0, the words from one on repeat with a period; both derive from the id. Other texts stay."""
+    docs = docs.withColumn("_h", F.crc32(F.col("doc_id").cast("string").cast("binary"))).withColumn("_w", F.when(F.col("_h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")))
+    docs = docs.withColumn("_n", F.size("_w")).withColumn("_a", F.expr("if(_n > 0, (_h div 10) % _n, 0)")).withColumn("_p", F.expr("1 + (_n - _a) div (3 + (_h div 10) % 8)"))
+    said = F.expr("array_join(slice(concat(slice(_w, 1, int(_a)), flatten(array_repeat(slice(_w, int(_a) + 1, int(_p)), int((_n - _a) div _p + 1)))), 1, _n), ' ')")
+    return docs.select("doc_id", F.when(F.col("_n") > 0, said).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _repeating(table(spark, sf_dir, "documents"))
+    return periods.digests(periods.find(docs)).drop("text")
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    first = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.col("text"))
+    made = manifest.build(docs, manifest.leaf(*first, F.col("text")), claim=manifest.leaf(*first, changed))
+    return manifest.prove(made).withColumnRenamed("id", "doc_id").drop("proof")
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.remove_windows(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -102,6 +123,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_media": op9_media,
     "op10_decontaminate": op10_decontaminate,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_manifest": op12_manifest,
     "op13_substring_dedup": op13_substring_dedup,
 }
 
@@ -155,6 +178,41 @@ WITH words AS (
 SELECT words.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   coalesce(ids, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+""",
+    "op12_manifest": """
+WITH RECURSIVE said AS (
+  SELECT doc_id, source, list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')) AS v,
+    text, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda x, y:
+      list_reduce(list_prepend(xor(x, y), generate_series(1::BIGINT, 8::BIGINT)), lambda p, q: CASE WHEN p & 1 = 1 THEN xor(p >> 1, 3988292384) ELSE p >> 1 END)) AS crc
+  FROM documents
+), changed AS (SELECT *, CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM said
+), hashed AS (
+  SELECT doc_id, source, sha256(array_to_string(v, '') || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    sha256(array_to_string(v, '') || coalesce(octet_length(encode(other)) || ':' || other, '-')) AS claim FROM changed
+), leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY source) AS size FROM hashed
+), nodes(tree, level, i, size, digest) AS (
+  SELECT tree, 0, i, size, leaf FROM leaves
+  UNION ALL
+  SELECT tree, max(level) + 1, i // 16, (max(size) + 15) // 16, sha256(string_agg(digest, '' ORDER BY i)) FROM nodes WHERE size > 1 GROUP BY tree, i // 16
+), subroots AS (SELECT tree, digest, level FROM nodes WHERE size = 1
+), above(tree, level, i, size, digest) AS (
+  SELECT -1, 0, tree, count(*) OVER (), digest FROM subroots
+  UNION ALL
+  SELECT tree, max(level) + 1, i // 16, (max(size) + 15) // 16, sha256(string_agg(digest, '' ORDER BY i)) FROM above WHERE size > 1 GROUP BY tree, i // 16
+), every AS (SELECT * FROM nodes UNION ALL SELECT * FROM above
+), beside AS (
+  SELECT a.tree, a.level, a.i, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM every a JOIN every b ON a.tree = b.tree AND a.level = b.level AND a.i // 16 = b.i // 16 WHERE a.size > 1 GROUP BY a.tree, a.level, a.i
+), fold(doc_id, source, home, leaf, subroot, tree, level, i, folded, proof) AS (
+  SELECT doc_id, source, l.tree, leaf, s.digest, l.tree, 0, l.i, claim, '' FROM leaves l JOIN subroots s ON s.tree = l.tree
+  UNION ALL
+  SELECT f.doc_id, f.source, f.home, f.leaf, f.subroot, CASE WHEN b.tree IS NULL THEN -1 ELSE f.tree END, CASE WHEN b.tree IS NULL THEN 0 ELSE f.level + 1 END,
+    CASE WHEN b.tree IS NULL THEN f.home ELSE f.i // 16 END, CASE WHEN b.tree IS NULL THEN f.folded ELSE sha256(b.l || f.folded || b.r) END, f.proof || coalesce(b.l || b.r, '')
+  FROM fold f LEFT JOIN beside b ON b.tree = f.tree AND b.level = f.level AND b.i = f.i WHERE f.tree >= 0 OR b.tree IS NOT NULL
+), root AS (SELECT digest AS root, level FROM above WHERE size = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM fold JOIN root ON fold.tree = -1 AND fold.level = root.level
 """,
     "op13_substring_dedup": r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
