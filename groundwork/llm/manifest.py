@@ -232,9 +232,9 @@ def prove(manifest: Manifest, rows: DataFrame | None = None, whole: bool = False
 
 
 def _nodes(manifest: Manifest, levels: list[int]) -> DataFrame:
-    """The node tables of some levels: with all leaves at hand, none of the lowest is asked for."""
+    """The node tables of some levels, with columns of their own: with all leaves at hand, none of the lowest is asked for."""
     out = None
     for k in levels or [0]:
-        level = manifest.levels[k].select(F.col("tree").alias("node_tree"), F.lit(k).alias("level"), "at", "digest")
+        level = manifest.levels[k].select(F.col("tree").alias("node_tree"), F.lit(k).alias("level"), F.col("at").alias("at"), F.col("digest").alias("digest"))
         out = level if out is None else out.unionByName(level)
     return out
