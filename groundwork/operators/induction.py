@@ -12,20 +12,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwork.functions.rng import uniform
 from groundwork.functions.store import dropped, written
 
 #: Records that trade fields in one task; classes of a field that are compared with each other in one block; rows that one task ranks.
 GROUP, BLOCK, RANKED = 2048, 1024, 4096
-#: Pairs of classes that one task clusters at most.
-HERE = 200_000
+#: Classes of a population that one task clusters at most.
+HERE = 1500
 #: Steps of likeness by which nulls are counted.
 STEPS = 1024
 #: Deals of the records into new groups, where they are more than one group.
-ROUNDS = 8
+ROUNDS = 4
 
 
 def admitted_profiles(records: DataFrame, min_share: float) -> DataFrame:
@@ -39,7 +39,7 @@ def admitted_profiles(records: DataFrame, min_share: float) -> DataFrame:
 
 def chance(seed: Column, id: Column) -> Column:
     """A number in [0, 1) of a record in a draw."""
-    return uniform(seed, F.crc32(id.cast("string").cast("binary")))
+    return F.pmod(F.xxhash64(seed, id), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
 # --- trading fields
@@ -167,11 +167,27 @@ def _draws(rows: DataFrame, draws: int, seed: int) -> DataFrame:
     return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("u", u)
 
 
+def halves(rows: DataFrame, by: list[str], n: int, k: int) -> DataFrame:
+    """The k rows (id, u) of least u, ties by id, of each group of `by`; n: rows of a group.
+
+    Counts by steps of u tell the step in which the k-th lies; only the rows of that one are ranked.
+    """
+    buckets = n // RANKED + 1
+    dealt = rows.withColumn("bucket", F.floor(F.col("u") * buckets))
+    order = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*by, "bucket").agg(F.count("*").alias("in")).withColumn("before", F.coalesce(F.sum("in").over(order), F.lit(0)))
+    cut = counts.filter((F.col("before") < k) & (F.col("before") + F.col("in") >= k)).select(*by, F.col("bucket").alias("cut"), (F.lit(k) - F.col("before")).alias("rest"))
+    placed = dealt.join(F.broadcast(cut), by)  # a row a group, of which there are draws times populations
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("u", "id"))
+    last = placed.filter("bucket = cut").withColumn("rank", rank).filter("rank <= rest").select(*rows.columns)
+    return placed.filter("bucket < cut").select(*rows.columns).unionByName(last)
+
+
 def cohesion_thresholds(members: DataFrame, pairs: DataFrame, n: int, draws: int, quantile: float, seed: int) -> DataFrame:
     """r, threshold: the quantile of the mean likeness in random halves of the population. No row where all draws agree, or of fewer than 3 records.
 
     members: r, id, name; n: records of a population."""
-    half = ranked(_draws(members, draws, seed), ["r", "draw"], n).filter(F.col("rank") <= max(2, n // 2)).withColumn("label", F.lit(""))
+    half = halves(_draws(members, draws, seed), ["r", "draw"], n, max(2, n // 2)).withColumn("label", F.lit(""))
     means = drawn_cohesion(half, pairs, draws)
     out = means.groupBy("r").agg(F.expr(f"percentile(mean, {quantile}D)").alias("threshold"), F.min("mean").alias("low"), F.max("mean").alias("high"))
     return out.filter("low < high").filter(F.lit(n >= 3)).select("r", "threshold")
@@ -202,57 +218,53 @@ def shared_placement(observed: DataFrame, samples: DataFrame) -> DataFrame:
 # --- clusters
 
 
-def _merges(sums: dict[tuple, float], size: dict, threshold: float) -> dict:
-    """The cluster of each class that has merged; sums: of likeness over all pairs of records, by pair of classes, which it uses up."""
-    into: dict = {}
-    while True:
-        best: dict = {}
-        for (a, b), s in sums.items():
-            if (mean := round(s / (size[a] * size[b]), 12)) >= threshold:
-                worth = (mean, zlib.crc32(f"{a}|{b}".encode()), a, b)
-                for x in (a, b):
-                    if x not in best or best[x] < worth:
-                        best[x] = worth
-        gone = {w[3]: w[2] for w in best.values() if best[w[2]] == best[w[3]]}
-        if not gone:
-            break
-        for b, a in gone.items():
-            size[a] += size[b]
-        into.update(gone)
-        left: dict[tuple, float] = {}
-        for (a, b), s in sums.items():
-            x, y = gone.get(a, a), gone.get(b, b)
-            if x != y:
-                key = (x, y) if x < y else (y, x)
-                left[key] = left.get(key, 0.0) + s
-        sums = left
-    for x in into:
-        y = x
-        while y in into:
-            y = into[y]
-        into[x] = y
+def _merges(a: np.ndarray, b: np.ndarray, s: np.ndarray, size: np.ndarray, threshold: float, names: list[str]) -> np.ndarray:
+    """The cluster (its least class) of each class: the best pair merges first. a, b: numbers of classes; s: likeness summed over all pairs of their records."""
+    n, size = len(names), size.astype(float)
+    sums = np.zeros((n, n))
+    sums[a, b] = sums[b, a] = s
+    mean = np.round(sums / np.outer(size, size), 12)
+    np.fill_diagonal(mean, -1)
+    into, best = np.arange(n), mean.max(axis=1, initial=-1)
+    while n and (top := best.max()) >= threshold and top > -1:
+        pairs = [(x, int(y)) for x in np.flatnonzero(best == top).tolist() for y in np.flatnonzero(mean[x] == top) if x < y]
+        x, y = max(pairs, key=lambda p: (zlib.crc32(f"{names[p[0]]}|{names[p[1]]}".encode()), p))
+        sums[x] += sums[y]
+        sums[:, x] = sums[x]
+        size[x] += size[y]
+        into[into == y] = x
+        mean[y] = mean[:, y] = -1
+        live = mean[x] >= 0
+        mean[x] = np.where(live, np.round(sums[x] / (size[x] * size), 12), -1)
+        mean[:, x] = mean[x]
+        best = mean.max(axis=1)
     return into
 
 
 def _merge_here(table: pa.Table) -> pa.Table:
-    rows = table.sort_by([("a", "ascending"), ("b", "ascending")]).to_pydict()
-    size = dict(zip(rows["a"], rows["na"], strict=True)) | dict(zip(rows["b"], rows["nb"], strict=True))
-    into = _merges(dict(zip(zip(rows["a"], rows["b"], strict=True), rows["s"], strict=True)), size, rows["threshold"][0])
-    names = table.schema.field("a").type
-    return pa.table({"r": pa.array([rows["r"][0]] * len(into), pa.int32()), "name": pa.array(list(into), names), "cluster": pa.array(list(into.values()), names)})
+    both = pa.chunked_array([*table["a"].chunks, *table["b"].chunks], table["a"].type)
+    n = np.concatenate([table["na"].to_numpy(), table["nb"].to_numpy()])
+    names = both.unique().take(pc.sort_indices(both.unique()))
+    at = pc.index_in(both, names).to_numpy()
+    size = np.empty(len(names))
+    size[at] = n
+    into = _merges(at[: len(table)], at[len(table) :], table["s"].to_numpy(), size, table["threshold"][0].as_py(), [str(x) for x in names.to_pylist()])
+    moved = np.flatnonzero(into != np.arange(len(into)))
+    return pa.table({"r": pa.array(np.full(len(moved), table["r"][0].as_py(), np.int32)), "name": names.take(pa.array(moved)), "cluster": names.take(pa.array(into[moved]))})
 
 
 def agglomerate(classes: DataFrame, pairs: DataFrame, thresholds: DataFrame) -> DataFrame:
     """r, name, cluster (its least class): average linkage down to the threshold of r.
 
     In a round, each cluster looks for its nearest one, by mean likeness over all pairs of records, then by a hash of both names; pairs that
-    chose each other merge. A population of up to HERE pairs is clustered so in one task; one of more in rounds of Spark jobs, each of
-    which writes its edges as a table and removes the one before.
+    chose each other merge; a round is some Spark jobs, writes its edges as a table and removes the one before. A population of up to HERE classes is
+    clustered in one task, the best pair first. Both give the same clusters where no two likenesses are equal; of equal ones the hash decides, whose
+    order among later merges may differ.
     """
     size = classes.select("r", "name", "n")
     edges = pairs.join(size.withColumnsRenamed({"name": "a", "n": "na"}), ["r", "a"]).join(size.withColumnsRenamed({"name": "b", "n": "nb"}), ["r", "b"])
     edges = written(edges.join(F.broadcast(thresholds), "r").select("r", "a", "b", (F.col("j") * F.col("na") * F.col("nb")).alias("s"), "na", "nb", "threshold"), "edges")
-    many = [x.r for x in edges.groupBy("r").count().filter(F.col("count") > HERE).collect()]  # numbers of populations
+    many = [x.r for x in classes.groupBy("r").count().filter(F.col("count") > HERE).collect()]  # numbers of populations
     kind = classes.schema["name"].dataType.simpleString()
     into = edges.filter(~F.col("r").isin(many)).groupBy("r").applyInArrow(_merge_here, f"r int, name {kind}, cluster {kind}")
     if many:
