@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +32,12 @@ def uniform_sql(seed: str, k: str) -> str:
     t1 = f"((xor({t0}, {t0} >> 15) * ({t0} | 1::HUGEINT)) % {m})"
     t2 = f"xor({t1}, ({t1} + (xor({t1}, {t1} >> 7) * ({t1} | 61::HUGEINT)) % {m}) % {m})"
     return f"(xor({t2}, {t2} >> 14)::DOUBLE / 4294967296.0)"
+
+
+def uniform_values(seed: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The same numbers of arrays that broadcast."""
+    low, word = np.uint64(_M - 1), np.uint64
+    t = (np.asarray(seed).astype(np.int64).astype(word) + (np.asarray(k).astype(word) + word(2)) * word(STEP)) & low
+    t = ((t ^ (t >> word(15))) * (t | word(1))) & low
+    t = t ^ ((t + (((t ^ (t >> word(7))) * (t | word(61))) & low)) & low)
+    return (t ^ (t >> word(14))) / float(_M)
