@@ -6,7 +6,7 @@ A ground has sid, draw, stat. Draws are rows: they are made by joins and windows
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions.rng import uniform
@@ -16,28 +16,28 @@ from groundwork.operators.series import burstiness, irreversibility, max_deviati
 LOW, HIGH = 0.1, 0.9
 
 
-def _draws(s: DataFrame, draws: int, seed: int) -> DataFrame:
+def _draws(s: DataFrame, draws: int, seed: int | Column) -> DataFrame:
     if draws < 2:
         raise Refused("undeclared", "two draws at least")
     each = s.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     return each.withColumn("u", uniform(F.col("draw") + seed, F.col("i")))
 
 
-def resampled(s: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+def resampled(s: DataFrame, draws: int, seed: int | Column = 0) -> DataFrame:
     """sid, draw, i, v: each series drawn from itself with replacement."""
     n = s.groupBy("sid").agg(F.count("*").alias("n"))
     picks = _draws(s.select("sid", "i"), draws, seed).join(n, "sid").select("sid", "draw", F.col("i").alias("to"), F.floor(F.col("u") * F.col("n")).alias("i"))
     return picks.join(s, ["sid", "i"]).select("sid", "draw", F.col("to").alias("i"), "v")
 
 
-def shuffled(s: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+def shuffled(s: DataFrame, draws: int, seed: int | Column = 0) -> DataFrame:
     """sid, draw, i, v: each series in the order of its uniform numbers, the place deciding ties."""
     w = Window.partitionBy("sid", "draw").orderBy("u", "i")
     drawn = _draws(s, draws, seed)
     return drawn.select("sid", "draw", (F.row_number().over(w) - 1).cast("long").alias("i"), "v")
 
 
-def phased(s: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+def phased(s: DataFrame, draws: int, seed: int | Column = 0) -> DataFrame:
     """sid, draw, i, v: each series with the strength of every frequency kept and its phase drawn; series under four values stay as they are."""
 
     def turn(rows: pd.DataFrame) -> pd.DataFrame:
@@ -77,8 +77,8 @@ def licensed(statistic: str, perturbation: str) -> bool:
     return (statistic, perturbation) in LICENSED
 
 
-def ground(s: DataFrame, draws: int, window: int, perturbation: str = "shuffle", seed: int = 0, statistic: str = "burstiness") -> DataFrame:
-    """A statistic of every draw."""
+def ground(s: DataFrame, draws: int, window: int, perturbation: str = "shuffle", seed: int | Column = 0, statistic: str = "burstiness") -> DataFrame:
+    """A statistic of every draw; the seed may be a column of sid."""
     if window < 2:
         raise Refused("undeclared", "a window of two places at least")
     if perturbation not in PERTURBATIONS or statistic not in STATISTICS:
