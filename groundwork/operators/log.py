@@ -11,6 +11,12 @@ def as_of(log: DataFrame, cursor: int) -> DataFrame:
     return log.filter(F.col("tick") < cursor)
 
 
+def as_of_each(log: DataFrame, mark: str) -> DataFrame:
+    """What the log held of each task before the task's last entry of the type `mark`; tasks without one have nothing."""
+    last = log.filter(F.col("type") == mark).groupBy("task").agg(F.max("tick").alias("cursor"))
+    return log.join(last, "task").filter("tick < cursor").select(log.columns)
+
+
 def cursor_at(log: DataFrame, parts: int, of: int) -> int:
     """The tick at parts / of of the span of the log's ticks; 0 of an empty log."""
     first, last = log.agg(F.min("tick"), F.max("tick")).first()

@@ -126,10 +126,10 @@ def sequence_loss(t: DataFrame, belief: DataFrame, unseen: float) -> DataFrame:
 
 
 def content_words(t: DataFrame) -> DataFrame:
-    """doc, n, content: tokens of each text, and those whose form isn't a function word of all texts."""
-    common = function_words(t).select("form", F.lit(True).alias("function"))  # at most 1 / FUNCTION_SHARE forms
-    counted = t.groupBy("doc", "form").agg(F.count("*").alias("k")).join(F.broadcast(common), "form", "left")
-    return counted.groupBy("doc").agg(F.sum("k").alias("n"), F.coalesce(F.sum(F.when(F.col("function").isNull(), F.col("k"))), F.lit(0)).alias("content"))
+    """doc, n, content: tokens of each text, and those whose form has under FUNCTION_SHARE of the text's own tokens."""
+    counted = t.groupBy("doc", "form").agg(F.count("*").alias("k")).withColumn("n", F.sum("k").over(Window.partitionBy("doc")))
+    own = F.when(F.col("k") / F.col("n") < FUNCTION_SHARE, F.col("k")).otherwise(0)
+    return counted.groupBy("doc").agg(F.first("n").alias("n"), F.sum(own).alias("content"))
 
 
 #: Scripts that are told apart, by Unicode name.
@@ -181,9 +181,9 @@ def containment(spans: DataFrame, queries: DataFrame, by: list[str]) -> DataFram
 
 def sequence_baselines(t: DataFrame, horizon: int = 1, alpha: float = 1.0) -> DataFrame:
     """doc, n, unigram, uniform, repeats: mean loss of each form by the counts before it and by the number of forms before it, each with one place for a new form, and the
-    share of forms that stood `horizon` places before."""
+    share, of the forms with one `horizon` places before, that equal it; null without any."""
     own, place = Window.partitionBy("doc", "form").orderBy("pos"), Window.partitionBy("doc").orderBy("pos")
     c = t.withColumn("c", F.row_number().over(own) - 1).withColumn("before", F.lag("form", horizon).over(place))
     c = c.withColumn("met", F.coalesce(F.sum((F.col("c") == 0).cast("int")).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     unigram = -F.ln((F.col("c") + alpha) / (F.col("pos") + alpha * (F.col("met") + 1)))
-    return c.groupBy("doc").agg(F.count("*").alias("n"), F.avg(unigram).alias("unigram"), F.avg(F.ln(F.col("met") + 1.0)).alias("uniform"), F.avg(F.when(F.col("before") == F.col("form"), 1.0).otherwise(0.0)).alias("repeats"))
+    return c.groupBy("doc").agg(F.count("*").alias("n"), F.avg(unigram).alias("unigram"), F.avg(F.ln(F.col("met") + 1.0)).alias("uniform"), F.avg((F.col("before") == F.col("form")).cast("double")).alias("repeats"))

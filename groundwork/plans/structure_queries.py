@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from groundwork.operators import agreement, components, kinds, log, reason
 from groundwork.operators import graph as G
 
-GAMMA, CURSOR, READS = 0.95, 5000, ["click", "view"]
+GAMMA, MARK, READS = 0.95, "purchase", ["click", "view"]
 #: Place of the cursor in the log, of which it then reads so large a share at every size.
 SHARE = (4, 5)
 
@@ -116,9 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "two_by_two": lambda spark, sf_dir: agreement.two_by_two(_read(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))).withColumns({c: F.round(c, 6) for c in ("agreement", "chi_square", "phi")}),
     "leading_digits": lambda spark, sf_dir: agreement.leading_digits(_read(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice").withColumn("chi_square", F.round("chi_square", 4)),
     "correlations": lambda spark, sf_dir: agreement.correlations(_read(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice", "l_discount").withColumns({c: F.round(c, 6) for c in ("pearson", "partial")}),
-    "as_of": lambda spark, sf_dir: log.as_of(_log(spark, sf_dir), CURSOR),
-    "lens_view": lambda spark, sf_dir: log.lens(_log(spark, sf_dir), READS, CURSOR),
-    "discarded_types": lambda spark, sf_dir: log.discarded_types(_log(spark, sf_dir), READS, CURSOR),
+    "as_of": lambda spark, sf_dir: log.as_of_each(_log(spark, sf_dir), MARK),
+    "lens_view": lambda spark, sf_dir: log.as_of_each(_log(spark, sf_dir), MARK).filter(F.col("type").isin(READS)),
+    "discarded_types": lambda spark, sf_dir: log.as_of_each(_log(spark, sf_dir), MARK).filter(~F.col("type").isin(READS)).groupBy("type").agg(F.count("*").alias("n")),
     "as_of_share": lambda spark, sf_dir: log.as_of(*_at_share(spark, sf_dir)),
     "lens_view_share": _lens_share,
     "discarded_types_share": _discarded_share,
@@ -139,6 +139,8 @@ _ATTR = "a AS (SELECT DISTINCT p_brand AS id, p_type || ':' || (p_size % 5) AS f
 _PROP = "p AS (SELECT o_orderkey AS id, o_custkey AS subject, o_orderpriority AS predicate, o_orderstatus AS object, CASE WHEN o_totalprice > 150000 THEN 1 ELSE -1 END AS polarity, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS s FROM orders), m AS (SELECT x.*, y.id AS id_b, y.object AS object_b, y.polarity AS polarity_b, x.s <= y.s + 90 AND y.s <= x.s + 90 AS meet FROM p x JOIN p y USING (subject, predicate) WHERE x.id < y.id)"
 _TASKS = "k AS (SELECT task, arg_max(type, tick) AS last_type, arg_max(value, tick) FILTER (value IS NOT NULL) AS last_value, min(tick) AS first_tick, count(DISTINCT type) AS evidence, count(*) AS entries FROM g GROUP BY task)"
 
+_EACH = "SELECT g.* FROM g JOIN (SELECT task, max(tick) AS last FROM g WHERE type = 'purchase' GROUP BY task) USING (task) WHERE tick < last"
+
 ORACLE_SQL: dict[str, str] = {
     "decayed_edges": f"WITH {_EDGES} SELECT subject, verb, object, round(weight, 6) AS weight FROM e",
     "node_weights": f"WITH {_EDGES} SELECT node, round(sum(weight), 6) AS weight FROM (SELECT subject AS node, weight FROM e UNION ALL SELECT object, weight FROM e WHERE subject <> object) GROUP BY node",
@@ -172,9 +174,9 @@ SELECT n::BIGINT AS n, round((p + s) / n, 6) AS agreement, round(n * phi * phi,
 SELECT o_orderpriority, sum(k) AS n, round(sum(k * k / log10(1 + 1 / digit)) / sum(k) - sum(k), 4) AS chi_square FROM d GROUP BY o_orderpriority""",
     "correlations": """WITH r AS (SELECT l_returnflag, corr(l_quantity, l_extendedprice) AS xy, corr(l_quantity, l_discount) AS xz, corr(l_extendedprice, l_discount) AS yz FROM lineitem GROUP BY l_returnflag)
 SELECT l_returnflag, round(xy, 6) AS pearson, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS partial FROM r""",
-    "as_of": f"WITH {_LOG} SELECT * FROM g WHERE tick < {CURSOR}",
-    "lens_view": f"WITH {_LOG} SELECT * FROM g WHERE tick < {CURSOR} AND type IN ('click', 'view')",
-    "discarded_types": f"WITH {_LOG} SELECT type, count(*) AS n FROM g WHERE tick < {CURSOR} AND type NOT IN ('click', 'view') GROUP BY type",
+    "as_of": f"WITH {_LOG} {_EACH}",
+    "lens_view": f"WITH {_LOG} {_EACH} AND type IN ('click', 'view')",
+    "discarded_types": f"WITH {_LOG} SELECT type, count(*) AS n FROM ({_EACH} AND type NOT IN ('click', 'view')) GROUP BY type",
     "as_of_share": f"WITH {_SHARED} SELECT * FROM v",
     "lens_view_share": f"WITH {_SHARED} SELECT * FROM v WHERE type IN ('click', 'view')",
     "discarded_types_share": f"WITH {_SHARED} SELECT type, count(*) AS n FROM v WHERE type NOT IN ('click', 'view') GROUP BY type",

@@ -33,13 +33,13 @@ def _micro(df: DataFrame) -> DataFrame:
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the turns of conversations, a text each."""
-    return T.tokens(spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "id")
+    return T.tokens(spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.struct("conv_id", "turn").alias("id"), "text"), "id")
 
 
 def _loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir)
-    belief = T.continuations(t.filter("doc % 1000 < 2"))
-    return T.sequence_loss(t.filter("doc % 1000 >= 2"), belief, 1e-5).withColumn("loss", F.round("loss", 6))
+    belief = T.continuations(t.filter("doc.turn < 2"))
+    return T.sequence_loss(t.filter("doc.turn >= 2"), belief, 1e-5).select("doc.*", "n", F.round("loss", 6).alias("loss"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -65,7 +65,7 @@ i AS (SELECT form, ln(((SELECT count(DISTINCT doc) FROM t) + 1) / (count(*) + 1)
 r AS (SELECT query, doc, round(sum(idf), 9) AS score FROM h JOIN q USING (form) JOIN i USING (form) GROUP BY query, doc),
 k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM r QUALIFY rank <= 10)"""
 
-_U = _T.replace("doc_id AS doc", "conv_id * 1000 + turn AS doc").replace("FROM documents", "FROM conversations")
+_U = _T.replace("doc_id AS doc", "{'conv_id': conv_id, 'turn': turn} AS doc").replace("FROM documents", "FROM conversations")
 _BELIEF = "SELECT context, form, n, (n + 1) / (sum(n) OVER (PARTITION BY context) + (SELECT count(DISTINCT form) FROM {0})) AS p FROM (SELECT context, form, count(*) AS n FROM (SELECT form, lag(form) OVER (PARTITION BY doc ORDER BY pos) AS context FROM {0}) WHERE context IS NOT NULL GROUP BY ALL)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -77,8 +77,8 @@ SELECT doc, chunk, round(sum(n * CASE WHEN chunk = 0 THEN -log2(n / 40) ELSE -lo
     "frequency_bands": f"WITH {_T} SELECT form, count(*) AS n, CASE WHEN count(*) < 5 THEN 'rare' WHEN count(*) > 500 THEN 'function' ELSE 'content' END AS band FROM t GROUP BY form",
     "first_recurrence": f"WITH {_T} SELECT doc, form, first, pos AS again FROM (SELECT *, row_number() OVER w AS k, first_value(pos) OVER w AS first FROM t WINDOW w AS (PARTITION BY doc, form ORDER BY pos)) WHERE k = 2 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY pos) = 1",
     "continuations": f"WITH {_U} SELECT context, form, n, round(p, 9) AS p FROM ({_BELIEF.format('t')})",
-    "sequence_loss": f"""WITH {_U}, early AS (SELECT * FROM t WHERE doc % 1000 < 2), b AS ({_BELIEF.format('early')})
-SELECT doc, count(*) AS n, round(sum(-ln(coalesce(p, 1e-5))), 6) AS loss FROM (SELECT doc, form, lag(form) OVER (PARTITION BY doc ORDER BY pos) AS context FROM t WHERE doc % 1000 >= 2) s LEFT JOIN b USING (context, form) WHERE s.context IS NOT NULL GROUP BY doc""",
+    "sequence_loss": f"""WITH {_U}, early AS (SELECT * FROM t WHERE doc.turn < 2), b AS ({_BELIEF.format('early')})
+SELECT doc.conv_id AS conv_id, doc.turn AS turn, count(*) AS n, round(sum(-ln(coalesce(p, 1e-5))), 6) AS loss FROM (SELECT doc, form, lag(form) OVER (PARTITION BY doc ORDER BY pos) AS context FROM t WHERE doc.turn >= 2) s LEFT JOIN b USING (context, form) WHERE s.context IS NOT NULL GROUP BY doc""",
     "trigram_profile": "SELECT doc, gram, count(*) AS n FROM (SELECT item_id AS doc, unnest(list_transform(generate_series(1, length(text) - 2), lambda i: substring(lower(text), i, 3))) AS gram FROM benchmark WHERE length(text) >= 3) GROUP BY doc, gram",
     "chunk_spans": """SELECT doc, hash, min(start) AS start, max(strlen(part)) AS bytes FROM (
   SELECT doc, strlen(substring(text, 1, k * 2000)) AS start, substring(text, k * 2000 + 1, 2000) AS part, md5(substring(text, k * 2000 + 1, 2000)) AS hash

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from groundwork.operators import nulls, scoring
 from groundwork.operators import series as S
+from groundwork.operators import text as T
 
 
 def test_categorical_losses(spark):
@@ -60,3 +61,15 @@ def test_refusals(spark):
     gaps = {r.sid: r.gap for r in nulls.typed_difference(s, S.burstiness(s, 3), nulls.ground(s, 8, 3), 8).collect()}
     assert gaps[2] == "unknown_spec" and gaps[3] == "degenerate_ground"
     assert nulls.licensed("irreversibility", "phase") and not nulls.licensed("burstiness", "phase")
+
+
+def test_repeats_and_content_words_are_of_the_text(spark):
+    docs = spark.createDataFrame([(1, "a a"), (2, "b"), (3, " ".join(["the"] * 2 + [f"w{i}" for i in range(398)])), (4, "x y x x")], "doc_id long, text string")
+    t = T.tokens(docs)
+    got = {r.doc: r for r in T.sequence_baselines(t).collect()}
+    assert got[1].repeats == 1.0 and got[2].repeats is None and abs(got[4].repeats - 1 / 3) < 1e-12
+    assert {r.doc: r.repeats for r in T.sequence_baselines(t, 2).collect()}[4] == 0.5
+    content = {r.doc: (r.n, r.content) for r in T.content_words(t).collect()}
+    assert content == {1: (2, 0), 2: (1, 0), 3: (400, 400), 4: (4, 0)}
+    many = T.content_words(T.tokens(spark.createDataFrame([(1, " ".join(["the"] * 4 + [f"w{i}" for i in range(396)]))], "doc_id long, text string"))).first()
+    assert (many.n, many.content) == (400, 396)
