@@ -91,6 +91,11 @@ def _tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(segmentation.tiling(frames, 2), "similarity")
 
 
+def _boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = segmentation.content_frames(T.tokens(_read(spark, sf_dir, "documents")), FRAME, T.FUNCTION_SHARE)
+    return _rounded(segmentation.boundaries(frames), "weight")
+
+
 def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages' addresses by host."""
     rows = _read(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("by"), F.col("url").alias("row"))
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "segmentation_errors": lambda spark, sf_dir: _rounded(segmentation.boundary_errors(_flags(spark, sf_dir)), "pk", "window_diff"),
     "boundary_hits": lambda spark, sf_dir: segmentation.boundary_hits(_flags(spark, sf_dir), 1, 2),
     "tiling_similarity": _tiling,
+    "text_boundaries": _boundaries,
     "script_profile": lambda spark, sf_dir: _rounded(T.script_profile(_read(spark, sf_dir, "documents")), "share"),
     "row_form_distances": _shapes,
     "query_containment": _containment,
