@@ -5,11 +5,12 @@ and the punctuation of its nodes are added up and divided by the number of nodes
 smoothed over neighbouring nodes, multiplied, and the nodes above the threshold are content. The article is the
 outermost article or main element around nearly all of the selected text; on pages without one it's the smallest element
 that holds all selected text and the headings before it. Its text is given whole, short paragraphs included, without what
-lies in elements that are no article text by their name, role or class; of names that also stand for parts of a story (DOUBTED) the ratio decides
-inside an article.
+lies in elements that are no article text by their name, role or class. A class word alone never removes an article: an element named so that holds an article or
+main element, or over HALF of the text around it, is only in doubt, as are inside an article the names that also stand for parts of a story; of what is in doubt the ratio of the
+path decides, and where nothing else is content, all that it selects is.
 
 Defined results: a null or empty page, or one without text, gives an empty text; other columns, repeated rows and very
-long pages pass through whole.
+long pages pass through whole. The work is proportional to the page's length, however deep it nests.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +33,8 @@ REACH, SIGMA = 2, 1.0
 LEVEL = 0.5
 #: Share of the selected text by which an article or main element is found; what lies in that element is given whole.
 HELD = 0.9
+#: Share of the text of an article, or of a page, over which an element can't be told to be no text by its class.
+HALF = 0.5
 # Element names by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg select object canvas noembed noframes xmp math".split())
@@ -51,6 +53,10 @@ NAMED = re.compile(
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Of these, words that also stand in names of story parts: inside an article they count only as a whole class word.
 WHOLE = set("banner promo promotion promos rail foot share sharing social related recommend recommended recommendations tags skip copyright legal disclaimer search".split())
+#: Of these, words that inside an article leave a doubt in a longer class word, as in an eviction-notice.
+WEAK = set("notice notices alert comment comments menu foot rail tags skip respond replies banner overlay widget search".split())
+#: Beginnings of class words that say something of a page and not of the element.
+ABOUT = re.compile(r"(?:has|no|not|with|without|hide|show|is|page-has|layout)-\S*", re.IGNORECASE)
 #: Of these, words that stories are marked with too, so that the ratio of the element's path decides inside an article.
 DOUBTED = set("copyright legal disclaimer search".split())
 _QUOTE = re.compile(r"=\s*([\"'])")
@@ -62,11 +68,16 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass(slots=True)
 class Element:
+    """named: a class word says that it's no article text; path: number of the tag path; heading: it's a heading or in one; inside: it lies in an article."""
+
     name: str
     parent: int
     noise: bool
-    path: str
+    path: int
     doubt: bool = False
+    named: bool = False
+    heading: bool = False
+    inside: bool = False
 
 
 @dataclass(slots=True)
@@ -76,23 +87,24 @@ class Node:
     block: int
 
 
-def _is_noise(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element is no article text, and whether only its ratio can tell."""
+def _is_noise(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is no article text, whether its class says so, and whether only its ratio can tell."""
     if name in NOISE or name == "header" and not inside_article:
-        return True, False
+        return True, False, False
     if name in ("html", "body", "article", "main") or not attributes.strip():
-        return False, False
+        return False, False, False
     found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.IGNORECASE):
-        return True, False
+        return True, False, False
     if found.get("role", "").lower() in ROLES:
-        return True, False
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    said = {x.lower().strip("-_ \t\r\n\f") for x in NAMED.findall(names)}
+        return True, False, False
+    words = [w for w in f"{found.get('class', '')} {found.get('id', '')}".lower().split() if not ABOUT.fullmatch(w)]
+    said = {x.strip("-_ \t\r\n\f") for x in NAMED.findall(" ".join(words))}
     if not inside_article:
-        return bool(said), False
-    said = (said - WHOLE) | (said & WHOLE & set(names.lower().split()))
-    return bool(said - DOUBTED), bool(said)
+        return False, bool(said), False
+    whole = {w.strip("-_") for w in words if NAMED.fullmatch(w)}
+    sure = (whole - DOUBTED) | (said - WHOLE - WEAK - DOUBTED)
+    return False, bool(sure), bool(said & (WEAK | DOUBTED))
 
 
 class Tags:
@@ -143,17 +155,21 @@ class Tags:
 
 def parse(page: str) -> tuple[list[Element], list[Node]]:
     """Elements and text nodes of a page in order; unclosed and misplaced tags are taken as browsers do, roughly."""
-    elements, nodes = [Element("#root", -1, False, "")], []
-    stack, block, at, inside_article = [0], 0, 0, 0
+    elements, nodes = [Element("#root", -1, False, 0)], []
+    stack, block, at, inside_article, scopes = [0], 0, 0, 0, 0
+    opened: dict[str, int] = defaultdict(int)
+    paths: dict[tuple[int, str], int] = {}
 
     def text(s: str) -> None:
         if s and (not s.isspace() or nodes):
             nodes.append(Node(html.unescape(s), stack[-1], block))
 
     def pop(to: int) -> None:
-        nonlocal block, inside_article
+        nonlocal block, inside_article, scopes
         while len(stack) > to:
             name = elements[stack.pop()].name
+            opened[name] -= 1
+            scopes -= name in SCOPES
             block += name not in INLINE
             inside_article -= name in ("article", "main")
 
@@ -164,6 +180,9 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
         at = end
         if not name:
             continue
+        if slash and not opened[name]:
+            block += name not in INLINE and not (scopes and name in ("p", "li"))
+            continue
         if slash:
             for depth in range(len(stack) - 1, 0, -1):
                 own = elements[stack[depth]].name
@@ -177,7 +196,7 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
             continue
         if name in CLOSES_P or name in SIBLINGS:
             ends = SIBLINGS.get(name, set()) | ({"p"} if name in CLOSES_P else set())
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ends) else ():
                 own = elements[stack[depth]].name
                 if own in ends:
                     pop(depth)
@@ -192,22 +211,48 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
         if name in VOID or attributes.rstrip().endswith("/") and name not in CLOSES_P:
             continue
         up = elements[stack[-1]]
-        noise, doubt = _is_noise(name, attributes, inside_article > 0)
-        elements.append(Element(name, stack[-1], up.noise or noise, f"{up.path}/{name}", up.doubt or doubt))
+        noise, named, doubt = _is_noise(name, attributes, inside_article > 0)
+        path = paths.setdefault((up.path, name), len(paths) + 1)
+        elements.append(Element(name, stack[-1], up.noise or noise, path, doubt, named, up.heading or name in HEADINGS, inside_article > 0))
         if name in RAW:
             closed = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
             at = closed.end() if closed else len(page)
             block += 1
             continue
         stack.append(len(elements) - 1)
+        opened[name] += 1
+        scopes += name in SCOPES
         inside_article += name in ("article", "main")
     text(page[at:])
+    _settle(elements, nodes)
     return elements, nodes
 
 
+def _settle(elements: list[Element], nodes: list[Node]) -> None:
+    """Decides of elements that are named as no text, by what they hold; passes noise and doubt on to what lies in them."""
+    size, holds = [0] * len(elements), [False] * len(elements)
+    for n in nodes:
+        if not elements[n.element].noise:
+            size[n.element] += len(n.text.strip())
+    for i in range(len(elements) - 1, 0, -1):  # children come after their parents
+        e = elements[i]
+        size[e.parent] += size[i]
+        holds[e.parent] |= not e.noise and (holds[i] or e.name in ("article", "main"))
+    around = [size[0]] * len(elements)  # the text of the article that an element lies in, or of the page
+    for i in range(1, len(elements)):
+        e, up = elements[i], elements[i].parent
+        around[i] = size[i] if e.name in ("article", "main") and not e.inside else around[up]
+        if e.named:
+            kept = holds[i] or size[i] > HALF * around[i]
+            e.noise |= not kept
+            e.doubt |= kept and not holds[i]
+        e.noise |= elements[up].noise
+        e.doubt |= elements[up].doubt
+
+
 def content_nodes(elements: list[Element], nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
     """Which nodes are content by the smoothed, fused ratios of their tag paths: without those in doubt by their names, and those in doubt."""
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     real = [bool(n.text.strip()) and not elements[n.element].noise for n in nodes]
     for n, ok in zip(nodes, real, strict=True):
         if ok:
@@ -231,31 +276,28 @@ def content_nodes(elements: list[Element], nodes: list[Node]) -> tuple[np.ndarra
     return out & ~doubt, out & doubt
 
 
-def _up(elements: list[Element], e: int) -> Iterator[int]:
-    """An element and its ancestors."""
-    while e >= 0:
-        yield e
-        e = elements[e].parent
-
-
 def article(elements: list[Element], nodes: list[Node], content: np.ndarray) -> int:
     """The outermost article or main around HELD of the selected text; else the smallest element that holds all of it and the headings before it."""
-    weight, count = defaultdict(int), defaultdict(int)
+    weight, count = [0] * len(elements), [0] * len(elements)
     total = needed = 0
     first = int(content.argmax())
     for i, (n, ok) in enumerate(zip(nodes, content, strict=True)):
-        heading = i < first and n.text.strip() and not elements[n.element].noise and any(elements[e].name in HEADINGS for e in _up(elements, n.element))
-        if ok or heading:
+        e = elements[n.element]
+        if ok or i < first and n.text.strip() and not e.noise and e.heading:
             size = len(n.text.strip()) if ok else 0
             total += size
             needed += 1
-            for e in _up(elements, n.element):
-                weight[e] += size
-                count[e] += 1
-    around = [e for e in _up(elements, max((e for e, w in weight.items() if w >= HELD * total), default=0)) if elements[e].name in ("article", "main")]  # children come after their parents
-    if around:
-        return around[-1]
-    best = max((e for e, k in count.items() if k == needed), default=0)
+            weight[n.element] += size
+            count[n.element] += 1
+    for i in range(len(elements) - 1, 0, -1):  # children come after their parents
+        weight[elements[i].parent] += weight[i]
+        count[elements[i].parent] += count[i]
+    at, found = max((i for i, w in enumerate(weight) if w >= HELD * total), default=0), -1
+    while at >= 0:
+        found, at = at if elements[at].name in ("article", "main") else found, elements[at].parent
+    if found >= 0:
+        return found
+    best = max((i for i, k in enumerate(count) if k == needed), default=0)
     while elements[best].name in INLINE | HEADINGS | {"p", "li", "blockquote", "pre", "dd", "td"} and elements[best].parent >= 0:
         best = elements[best].parent
     return best
@@ -266,6 +308,8 @@ def main_text(page: str | None) -> str:
         return ""
     elements, nodes = parse(page)
     content, doubted = content_nodes(elements, nodes)
+    if not content.any():
+        content = doubted
     if not content.any():
         return ""
     root = article(elements, nodes, content)
