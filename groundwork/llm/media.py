@@ -97,12 +97,14 @@ def mux(streams: list[Stream]) -> bytes:
 def demux(data: bytes) -> tuple[list[Stream], int]:
     """The streams of a file in order of their first pages, and the number of damaged and missing pages.
 
-    A page that doesn't follow the stream's last one in number ends the packet that was open, and what continues it is left out. A packet
+    A page that doesn't follow the stream's last one in number ends the packet that was open, and what continues it is left out. A stream without a page that ends it
+    misses one at least, so a file that was cut off doesn't read as sound. A packet
     has the granule position of its page if it's the last that ends there, and -1 if others of the page come after it.
     """
     streams: dict[int, Stream] = {}
     partial: dict[int, bytearray] = {}
     follows: dict[int, int] = {}
+    ended_streams: set[int] = set()
     bad, missing, at = 0, 0, data.find(b"OggS")
     while at >= 0:
         if at + 27 > len(data):
@@ -121,6 +123,8 @@ def demux(data: bytes) -> tuple[list[Stream], int]:
             missing += max(1, number - follows.get(serial, 0))
             partial.pop(serial, None)
         follows[serial] = number + 1
+        if kind & _LAST:
+            ended_streams.add(serial)
         begun, ended = partial.pop(serial, None) if kind & _CONTINUED else None, len(s.packets)
         skip = bool(kind & _CONTINUED) and begun is None  # its beginning was on a damaged page
         packet, place = begun if begun is not None else bytearray(), at + 27 + n
@@ -136,7 +140,8 @@ def demux(data: bytes) -> tuple[list[Stream], int]:
         if n and lacing[-1] == 255 and not skip:
             partial[serial] = packet
         at = data.find(b"OggS", end)
-    return list(streams.values()), max(bad, missing)  # a damaged page is missing from its stream too
+    missing += len(streams.keys() - ended_streams)
+    return list(streams.values()), max(bad, missing)  # a damaged page is missing from its stream too, as a gap or as its end
 
 
 def ends(packets: list[tuple[bytes, int]]) -> list[int]:
@@ -177,10 +182,13 @@ def load(media: bytes) -> dict:
     sound = next((s for s in streams if s.packets and s.packets[0][0][:8] == b"PCM     "), None)
     note = next((s for s in streams if s.packets and s.packets[0][0][:4] == b"NOTE"), None)
     payload = b"".join(p for p, _ in sound.packets[1:]) if sound else b""
+    size = struct.unpack("<Q", note.packets[0][0][4:12])[0] if note else len(payload)
+    if streams and (not note or len(payload) != size + (-size % UNIT if size else UNIT)):
+        bad = max(bad, 1)  # the note is lost, or tells of more or of less than is there
     rate = _FORMAT.unpack(sound.packets[0][0])[4] if sound else RATE
     times = [g / rate for g in ends(sound.packets[1:])] if sound else []
     return {
-        "payload": payload, "n_bytes": struct.unpack("<Q", note.packets[0][0][4:12])[0] if note else len(payload),
+        "payload": payload, "n_bytes": size,
         "streams": len(streams), "packets": sum(len(s.packets) for s in streams), "bad_pages": bad,
         "seconds": max([0.0, *times]), "times": times, "feature": features(np.frombuffer(payload, dtype=np.uint8)),
     }
