@@ -284,7 +284,9 @@ def _with_added(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", name: str = "pii") -> DataFrame:
-    """docs with a struct: counts of base spans by kind, base_sha256, spans (all, as kind:start:end), n_added."""
+    """docs with a struct: counts of base spans by kind, base_sha256, spans (all, as kind:start:end), n_added.
+
+    Discovered spans are brought back by id, so rows without id have their base spans only; redact() masks no more of them."""
     return _with_added(docs, id_col, text).withColumn(name, _found(F.col(text), F.col("_pii_added"))).drop("_pii_added")
 
 
