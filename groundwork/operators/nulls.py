@@ -168,8 +168,10 @@ def disagreement(placed: DataFrame) -> DataFrame:
 
 def temporality(s: DataFrame, draws: int, window: int, seed: int = 0) -> DataFrame:
     """sid, temporality: exchangeable if the order of the values is like that of shuffles, else arrowed or reversible by whether
-    the series differs from its reversal more than shuffles do; unstable if it is less ordered than all shuffles."""
-    placed = lambda name, start: difference(STATISTICS[name](s, window), ground(s, draws, window, "shuffle", start, name))
+    the series differs from its reversal more than shuffles do; unstable if it is less ordered than all shuffles. Statistics are compared to nine places, as many
+    orders of values give the same one."""
+    even = lambda g: g.withColumn("stat", F.round("stat", 9))
+    placed = lambda name, start: difference(even(STATISTICS[name](s, window)), even(ground(s, draws, window, "shuffle", start, name)))
     order = placed("permutation_entropy", seed).select("sid", F.col("gap").alias("gap"), F.col("re_zero").alias("above"))
     arrow = placed("irreversibility", seed + draws).select("sid", F.col("re_zero").alias("arrow"))
     kind = F.when(F.col("gap") == "degenerate_ground", "void").when(F.col("above"), "unstable").when(F.col("gap").isNull(), "exchangeable").when(F.col("arrow"), "arrowed").otherwise("reversible")

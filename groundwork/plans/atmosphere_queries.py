@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions.rng import uniform_sql
 from groundwork.operators import atmosphere as A
-from groundwork.plans.series_queries import _SERIES, events
+from groundwork.operators import forecasts, predict
+from groundwork.plans.series_queries import _SERIES, WINDOW, events
 
 RESEEDS, SEED, LEVEL = 20, 5, 60.0
 SPEC = A.Spec(window=2, draws=16, tolerance=2, seed=SEED)
@@ -58,3 +59,17 @@ WITH {_SERIES}, {_REORDERED}, m AS (SELECT sid, n, greatest(2, n // 4) AS q FROM
 SELECT sid, n, s AS observed, threshold, CASE WHEN s > threshold THEN 'trending_material' END AS gap FROM seen JOIN limits USING (sid) JOIN m USING (sid)
 """,
 }
+
+
+def _forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each candidate's loss and what it gains over the moving mean, on the rows that all of them forecast."""
+    s = events(spark, sf_dir)
+    said = forecasts.regime_forecasts(A.track(s, SPEC)).unionByName(predict.baselines(s, WINDOW, 4).filter("name = 'moving_mean'"))
+    loss = said.withColumn("loss", predict.crps(F.col("mean"), F.col("sd"), F.col("v"))).filter("loss is not null")
+    shared = loss.withColumn("k", F.count("*").over(Window.partitionBy("sid", "i"))).filter("k = 3")
+    sums = shared.groupBy("name").agg(F.count("*").alias("n"), F.sum("loss").alias("loss"))
+    base = sums.filter("name = 'moving_mean'").select(F.col("loss").alias("base"))  # one row
+    return sums.crossJoin(F.broadcast(base)).select("name", "n", F.round("loss", 4).alias("loss"), F.round(F.col("base") - F.col("loss"), 4).alias("gain"))
+
+
+QUERIES["regime_forecasts"] = _forecasts

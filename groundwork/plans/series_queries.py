@@ -12,6 +12,8 @@ from groundwork.operators import nulls, predict, regimes
 from groundwork.operators import series as S
 
 WINDOW, DRAWS = 8, 16
+#: Draws by which the order of a series is judged.
+ORDERED = 12
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "place_observation": lambda spark, sf_dir: _rounded(place(spark, sf_dir), "observed", "rank"),
     "apertures": _apertures,
     "disagreement": _disagreement,
-    "temporality": lambda spark, sf_dir: nulls.temporality(events(spark, sf_dir), 12, 3),
+    "temporality": lambda spark, sf_dir: nulls.temporality(events(spark, sf_dir), ORDERED, 3),
     "hop_windows": lambda spark, sf_dir: _rounded(S.hop_windows(events(spark, sf_dir), WINDOW, 4), "mean"),
     "regimes": lambda spark, sf_dir: _rounded(regimes.segments(regimes.regimes(events(spark, sf_dir))), "mean"),
     "baselines": lambda spark, sf_dir: _rounded(_predicted(spark, sf_dir), "v", "mean", "sd"),
@@ -115,6 +117,32 @@ _ERF = "(1 - (((((1.061405429 * k - 1.453152027) * k + 1.421413741) * k - 0.2844
 _CRPS = f"""c AS (SELECT *, CASE WHEN sd > 0 THEN sd * (z * (2 * (CASE WHEN z >= 0 THEN (1 + {_ERF}) / 2 ELSE (1 - {_ERF}) / 2 END) - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi())) ELSE abs(v - mean) END AS crps
   FROM (SELECT *, 1 / (1 + 0.3275911 * x) AS k FROM (SELECT *, abs(z) / sqrt(2) AS x FROM (SELECT *, CASE WHEN sd > 0 THEN (v - mean) / sd END AS z FROM t))))"""
 
+
+def _orders(name: str, table: str, by: str) -> str:
+    """Shares of the orders of three values in each series of a table, of those with as many windows as there are orders."""
+    return f"""{name}k AS (SELECT {by}, key, count(*) AS n FROM (
+  SELECT {by}, lead(i, 2) OVER w AS last, array_to_string(list_transform(list_sort([{{'v': v, 'j': 0}}, {{'v': lead(v, 1) OVER w, 'j': 1}}, {{'v': lead(v, 2) OVER w, 'j': 2}}]), lambda x: x.j), '') AS key
+  FROM {table} WINDOW w AS (PARTITION BY {by} ORDER BY i)) WHERE last IS NOT NULL GROUP BY {by}, key),
+{name}p AS (SELECT {by}, key, n / sum(n) OVER (PARTITION BY {by}) AS p FROM {name}k QUALIFY sum(n) OVER (PARTITION BY {by}) >= 6)"""
+
+
+def _entropies(name: str, by: str) -> str:
+    return f"SELECT {by}, round(-sum(p * ln(p)) / ln(6), 9) AS stat FROM {name}p GROUP BY {by}"
+
+
+def _arrows(name: str, by: str) -> str:
+    both = f"SELECT {by}, sum(p) AS p, sum(q) AS q FROM (SELECT {by}, key, p, 0 AS q FROM {name}p UNION ALL SELECT {by}, translate(key, '012', '210'), 0, p FROM {name}p) GROUP BY {by}, key"
+    return f"SELECT {by}, round(0.5 * sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END) + 0.5 * sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END), 9) AS stat FROM ({both}) GROUP BY {by}"
+
+
+def _shuffled(name: str, first: int) -> str:
+    return f"{name} AS (SELECT sid, draw, row_number() OVER (PARTITION BY sid, draw ORDER BY {uniform_sql(f'(draw + {first})', 'i')}, i) - 1 AS i, v FROM s, range({ORDERED}) AS t(draw))"
+
+
+def _placed(observed: str, samples: str) -> str:
+    return f"SELECT o.sid, any_value(o.stat) AS o, min(g.stat) AS low, max(g.stat) AS high FROM ({observed}) o JOIN ({samples}) g ON g.sid = o.sid GROUP BY o.sid"
+
+
 ORACLE_SQL: dict[str, str] = {
     "verdict": f"WITH {_SERIES}, {_B}, {_ground('resample')} SELECT sid, CASE WHEN gap = 'degenerate_ground' THEN 'void' WHEN gap IS NOT NULL OR rank < 0.1 OR rank > 0.9 THEN 'contested' ELSE 'supported' END AS verdict FROM ({_place()})",
     "burstiness": f"WITH {_SERIES} SELECT sid, round(stat, 9) AS stat FROM ({_burst('s', 'sid')})",
@@ -133,6 +161,10 @@ SELECT sid, round(0.5 * sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE
     "apertures": f"WITH {_SERIES}, {_ground('resample')} SELECT sid, round(quantile_cont(stat, 0.75) - quantile_cont(stat, 0.25), 9) AS volume, round(quantile_cont(stat, 0.95) - quantile_cont(stat, 0.05), 9) AS tail_span FROM g GROUP BY sid",
     "disagreement": f"""WITH {_SERIES}, {_B}, {_ground('resample')}, {_ground('shuffle', name='h')}
 SELECT sid, count(*) AS n, count(gap) AS censored, count(gap) > 0 AND count(rank) > 0 AS split, round(max(rank) - min(rank), 9) AS spread FROM ({_place()} UNION ALL {_place('h')}) GROUP BY sid""",
+    "temporality": f"""WITH {_SERIES}, {_shuffled('d', 0)}, {_shuffled('e', ORDERED)}, {_orders('s', 's', 'sid')}, {_orders('d', 'd', 'sid, draw')}, {_orders('e', 'e', 'sid, draw')},
+a AS ({_placed(_entropies('s', 'sid'), _entropies('d', 'sid, draw'))}), b AS ({_placed(_arrows('s', 'sid'), _arrows('e', 'sid, draw'))})
+SELECT a.sid, CASE WHEN a.low = a.high THEN 'void' WHEN a.o > a.high THEN 'unstable' WHEN a.o >= a.low THEN 'exchangeable' WHEN b.low < b.high AND b.o > b.high THEN 'arrowed' ELSE 'reversible' END AS temporality
+FROM a JOIN b USING (sid)""",
     "baselines": f"WITH {_SERIES}, {_PREDICTED} SELECT sid, i, round(v, 9) AS v, name, round(mean, 9) AS mean, round(sd, 9) AS sd FROM t",
     "scores": f"""WITH {_SERIES}, {_PREDICTED}, {_CRPS} SELECT name, count(*) AS n, round(avg(crps), 6) AS crps, round(avg(CASE WHEN sd > 0 THEN ln(sd) + 0.5 * ln(2 * pi()) + z * z / 2 END), 6) AS log_loss,
   round(avg((v - mean) * (v - mean)), 6) AS squared, round(avg(abs(v - mean)), 6) AS absolute, round(avg(CASE WHEN v >= mean THEN 0.9 * (v - mean) ELSE 0.1 * (mean - v) END), 6) AS pinball FROM c GROUP BY name""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from groundwork.functions.rng import uniform, uniform_values
 from groundwork.operators import atmosphere as A
+from groundwork.operators import forecasts as F_
 from groundwork.streaming.atmosphere import track as stream_track
 
 
@@ -118,3 +119,21 @@ def test_declared_and_nothing_else():
     for bad in ({"window": 1}, {"draws": 1}, {"tolerance": 0}, {"statistic": "mean"}, {"regularity": True}):
         with pytest.raises(ValueError):
             A.Spec(**{"window": 2, "draws": 2, "tolerance": 1} | bad)
+
+
+def test_forecasts_see_the_past_alone(spark):
+    spec = A.Spec(window=2, draws=9, tolerance=2)
+    series = {1: _planted(1, (0, 20), 40), 2: [5.0] * 6, 3: [1.0]}
+    tracked = A.track(spark.createDataFrame([(sid, i, v) for sid, s in series.items() for i, v in enumerate(s)], "sid long, i long, v double"), spec)
+    state = {(x.sid, x.i): x for x in tracked.collect()}
+    got = {(x.sid, x.i, x.name): x for x in F_.regime_forecasts(tracked).collect()}
+    assert len(got) == 2 * sum(len(s) - 1 for s in series.values())
+    for (sid, i, name), x in got.items():
+        s, own = series[sid][:i], series[sid][state[sid, i - 1].start : i]
+        mean, values = (np.mean(own), own) if len(own) >= 2 else (s[-1], np.diff(s))
+        sd = np.std(values, ddof=1) if len(values) > 1 else None
+        widths = [state[sid, k].volume for k in range(i) if state[sid, k].volume is not None]
+        if name == "regime_aperture" and sd is not None and state[sid, i - 1].volume and np.mean(widths) > 0:
+            sd *= state[sid, i - 1].volume / np.mean(widths)
+        assert x.mean == pytest.approx(mean, abs=1e-9) and (x.sd is None) == (sd is None) and (sd is None or x.sd == pytest.approx(sd, abs=1e-6))
+    assert got[1, 60, "regime_mean"].mean > 15  # the fall of the old regime left no trace
