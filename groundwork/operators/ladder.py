@@ -146,3 +146,57 @@ def ladders(steps: DataFrame) -> DataFrame:
     """sid, laddered (steps that constrain, either way), terminates_at (the coarse side of the first peer), broken (steps with a gap) of a cascade."""
     peer = F.min(F.when(F.col("relationship") == "peer", F.struct("fine", "coarse")))["coarse"]
     return steps.groupBy("sid").agg(F.count_if(F.col("relationship").isin("above", "below")).alias("laddered"), peer.alias("terminates_at"), F.count("gap").alias("broken"))
+
+#: Where the numbers begin that place a window elsewhere, for either test; share of the null that a test must exceed.
+PLACES, PART = {"existence": 999, "constraint": 8888}, 0.95
+
+
+def _elsewhere(regimes: DataFrame, reseeds: int, test: str) -> DataFrame:
+    """sid, start, turn (from 1), lo, hi: windows as long as the regime that don't overlap it, by chance; none where there is no room."""
+    long = F.col("end") - F.col("start")
+    left, right = F.greatest(F.lit(0), F.col("start") - long + 1), F.greatest(F.lit(0), F.col("n") - long - F.col("end") + 1)
+    each = regimes.withColumn("left", left).withColumn("total", left + right).filter("total > 0").withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(reseeds))))
+    k = F.least(F.col("total") - 1, F.floor(uniform(F.lit(PLACES[test] - 1) + F.col("turn"), F.lit(0)) * F.col("total")))
+    at = each.withColumn("k", k).withColumn("lo", F.when(F.col("k") < F.col("left"), F.col("k")).otherwise(F.col("end") + F.col("k") - F.col("left")).cast("long"))
+    return at.select("sid", "start", "turn", "lo", (F.col("lo") + long).alias("hi"))
+
+
+def _upper(values: Column) -> Column:
+    """The value of a list at PART of the way up, of two at least."""
+    return F.when(F.size(values) >= 2, F.sort_array(values)[F.floor(F.size(values) * PART).cast("int")])
+
+
+def holon_levels(s: DataFrame, regimes: DataFrame, window: int, draws: int, reseeds: int, seed: int = 0) -> DataFrame:
+    """For regimes (sid, start, end: places [start, end) of a series): existence (how far the width of the series' ground moves when the regime is cut out),
+    existence_limit, exists; shift (of the mean inside and outside), shift_limit, constrains; relation: above if both hold, peer if neither does, else
+    unstable, also where a test has no answer.
+
+    The limits are what as long windows give that are placed elsewhere by chance. A test has no answer, and nulls, for regimes that aren't places of the series or leave
+    fewer than two values on either side, where a ground can't be formed or has no width, and where fewer than two windows can be placed.
+    """
+    _checked("burstiness", "shuffle", window, draws, reseeds)
+    kind = s.schema["sid"].dataType.simpleString()
+    size = s.groupBy("sid").agg(F.count("*").alias("n"))
+    asked = regimes.select("sid", "start", "end").distinct()
+    good = asked.join(size, "sid").filter("start >= 0 and end <= n and end > start and n >= 2")
+    own = good.select("sid", "start", F.lit(0).alias("turn"), F.col("start").alias("lo"), F.col("end").alias("hi"))
+    cuts = own.unionByName(_elsewhere(good, reseeds, "existence")).unionByName(good.select("sid").distinct().select("sid", F.lit(-1).cast("long").alias("start"), F.lit(-1).alias("turn"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi")))
+    left = s.join(cuts, "sid").filter("i < lo or i >= hi")
+    material = left.select(_coded(F.col("turn"), F.col("start"), F.col("sid")).alias("sid"), F.when(F.col("i") < F.col("lo"), F.col("i")).otherwise(F.col("i") - F.col("hi") + F.col("lo")).alias("i"), "v")
+    g = ground(material, draws, window, "shuffle", (_part(0) + 1) * draws + seed)
+    q = F.percentile("stat", F.array(F.lit(0.25), F.lit(0.75)))
+    width = g.groupBy("sid").agg(q.alias("q"), F.min("stat").alias("low"), F.max("stat").alias("high")).filter("low < high").withColumn("volume", F.col("q")[1] - F.col("q")[0])
+    width = width.select(_own(2, kind).alias("sid"), _part(1).alias("start"), _part(0).alias("turn"), "volume")
+    full = width.filter("turn = -1").select("sid", F.col("volume").alias("whole"))
+    moved = width.filter("turn >= 0").join(full, "sid").withColumn("d", F.round(F.abs(F.col("whole") - F.col("volume")), 9))
+    existence = moved.groupBy("sid", "start").agg(F.max(F.when(F.col("turn") == 0, F.col("d"))).alias("existence"), _upper(F.collect_list(F.when(F.col("turn") > 0, F.col("d")))).alias("existence_limit"))  # of reseeds
+    windows = s.join(own.unionByName(_elsewhere(good, reseeds, "constraint")), "sid").withColumn("in", (F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi")))
+    means = windows.groupBy("sid", "start", "turn").agg(F.avg(F.when(F.col("in"), F.col("v"))).alias("a"), F.avg(F.when(~F.col("in"), F.col("v"))).alias("b"), F.count_if("in").alias("x"), F.count_if(~F.col("in")).alias("y"))
+    means = means.filter("y >= 2 and (turn > 0 or x >= 2)").withColumn("d", F.round(F.abs(F.col("a") - F.col("b")), 9))
+    shift = means.groupBy("sid", "start").agg(F.max(F.when(F.col("turn") == 0, F.col("d"))).alias("shift"), _upper(F.collect_list(F.when(F.col("turn") > 0, F.col("d")))).alias("shift_limit"))  # of reseeds
+    out = asked.join(good.select("sid", "start", "end", F.lit(True).alias("good")), ["sid", "start", "end"], "left").join(existence, ["sid", "start"], "left").join(shift, ["sid", "start"], "left")
+    said = lambda a, b: F.when(F.col("good") & F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a) > F.col(b))
+    out = out.withColumn("exists", said("existence", "existence_limit")).withColumn("constrains", said("shift", "shift_limit"))
+    relation = F.when(F.col("exists") & F.col("constrains"), "above").when(~F.col("exists") & ~F.col("constrains"), "peer").otherwise("unstable")
+    told = lambda c, of: F.when(F.col(of).isNotNull(), F.col(c)).alias(c)
+    return out.select("sid", "start", "end", told("existence", "exists"), told("existence_limit", "exists"), "exists", told("shift", "constrains"), told("shift_limit", "constrains"), "constrains", relation.alias("relation"))
