@@ -98,16 +98,16 @@ def apertures(g: DataFrame) -> DataFrame:
     return g.groupBy("sid").agg(q.alias("q")).select("sid", (F.col("q")[2] - F.col("q")[1]).alias("volume"), (F.col("q")[3] - F.col("q")[0]).alias("tail_span"))
 
 
-def difference(observed: DataFrame, g: DataFrame) -> DataFrame:
-    """sid, observed, rank (share of samples at or over it), gap.
+def difference(observed: DataFrame, g: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """sid, by (which ground it is, of several), observed, rank (share of samples at or over it), gap.
 
     Beyond the samples there is no rank but the gap exceeds_witness, with re_zero above; a ground without width is refused.
     """
     both = g.join(observed.select("sid", F.col("stat").alias("observed")), "sid")
-    out = both.groupBy("sid").agg(F.first("observed").alias("observed"), F.min("stat").alias("low"), F.max("stat").alias("high"), F.avg(F.when(F.col("stat") >= F.col("observed"), 1.0).otherwise(0.0)).alias("share"))
+    out = both.groupBy("sid", *by).agg(F.first("observed").alias("observed"), F.min("stat").alias("low"), F.max("stat").alias("high"), F.avg(F.when(F.col("stat") >= F.col("observed"), 1.0).otherwise(0.0)).alias("share"))
     outside = (F.col("observed") > F.col("high")) | (F.col("observed") < F.col("low"))
     gap = F.when(F.col("low") == F.col("high"), "degenerate_ground").when(outside, "exceeds_witness")
-    return out.select("sid", "observed", F.when(gap.isNull(), F.col("share")).alias("rank"), gap.alias("gap"), (gap.eqNullSafe("exceeds_witness") & (F.col("observed") > F.col("high"))).alias("re_zero"))
+    return out.select("sid", *by, "observed", F.when(gap.isNull(), F.col("share")).alias("rank"), gap.alias("gap"), (gap.eqNullSafe("exceeds_witness") & (F.col("observed") > F.col("high"))).alias("re_zero"))
 
 
 def typed_difference(s: DataFrame, observed: DataFrame, g: DataFrame, draws: int) -> DataFrame:
@@ -131,29 +131,36 @@ def full_verdict(s: DataFrame, window: int, draws: int, reseeds: int, statistic:
     """sid, verdict over several grounds: void without a ground, thrash where the plural grounds say otherwise, settled where reseeded grounds all
     support too, else contested or supported.
 
-    All reseeds are one ground of more draws, cut by the number of the draw.
+    All reseeds are one ground of more draws, cut by the number of the draw; all grounds are placed in one grouping.
     """
     observed = STATISTICS[statistic](s, window)
-    seeds = ground(s, draws * (reseeds + 1), window, perturbation, seed, statistic).withColumn("turn", F.floor(F.col("draw") / draws))
-    said = lambda g: verdict(difference(observed, g))
-    out = said(seeds.filter("turn = 0")).withColumnRenamed("verdict", "first")
-    for k in range(1, reseeds + 1):
-        out = out.join(said(seeds.filter(F.col("turn") == k)).withColumnRenamed("verdict", f"turn_{k}"), "sid", "left")
+    grounds = _turned(s, draws, reseeds, window, perturbation, seed, statistic)
     for name in plural:
-        out = out.join(said(ground(s, draws, window, name, seed, statistic)).withColumnRenamed("verdict", f"by_{name}"), "sid", "left")
-    split, stable = F.lit(False), F.lit(True)
+        grounds = grounds.unionByName(ground(s, draws, window, name, seed, statistic).select("sid", F.lit(name).alias("of"), "stat"))
+    placed = difference(observed, grounds, ("of",)).select("sid", F.struct("of", _said().alias("verdict")).alias("e"))
+    out = placed.groupBy("sid").agg(F.map_from_entries(F.collect_list("e")).alias("by"))  # an entry a ground
+    first, split, stable = F.col("by")["0"], F.lit(False), F.lit(True)
     for name in plural:
-        split = split | ~F.col(f"by_{name}").eqNullSafe(F.col("first"))
+        split = split | ~F.col("by")[name].eqNullSafe(first)
     for k in range(1, reseeds + 1):
-        stable = stable & F.col(f"turn_{k}").eqNullSafe("supported")
-    kind = F.when(F.col("first") == "void", "void").when(split, "thrash").when((F.col("first") == "supported") & stable & F.lit(reseeds > 0), "settled").otherwise(F.col("first"))
+        stable = stable & F.col("by")[str(k)].eqNullSafe("supported")
+    kind = F.when(first == "void", "void").when(split, "thrash").when((first == "supported") & stable & F.lit(reseeds > 0), "settled").otherwise(first)
     return out.select("sid", kind.alias("verdict"))
 
 
+def _turned(s: DataFrame, draws: int, reseeds: int, window: int, perturbation: str, seed: int, statistic: str) -> DataFrame:
+    """sid, of (0, and 1 to reseeds, as text), stat: a ground and its reseedings, as one ground of more draws."""
+    g = ground(s, draws * (reseeds + 1), window, perturbation, seed, statistic)
+    return g.select("sid", F.floor(F.col("draw") / draws).cast("string").alias("of"), "stat")
+
+
+def _said() -> Column:
+    return F.when(F.col("gap") == "degenerate_ground", "void").when(F.col("gap").isNotNull() | (F.col("rank") < LOW) | (F.col("rank") > HIGH), "contested").otherwise("supported")
+
+
 def verdict(placed: DataFrame) -> DataFrame:
     """sid, verdict: void without a ground, contested in the tails or beyond, supported else."""
-    said = F.when(F.col("gap") == "degenerate_ground", "void").when(F.col("gap").isNotNull() | (F.col("rank") < LOW) | (F.col("rank") > HIGH), "contested").otherwise("supported")
-    return placed.select("sid", said.alias("verdict"))
+    return placed.select("sid", _said().alias("verdict"))
 
 
 def disagreement(placed: DataFrame) -> DataFrame:
@@ -185,12 +192,11 @@ def level(s: DataFrame, window: int, draws: int, reseeds: int, statistic: str =
     its own ground can't place keeps that gap; if the other ground or a reseeded one can't place it, it's unstable.
     """
     observed = STATISTICS[statistic](s, window)
-    seeds = ground(s, draws * (reseeds + 1), window, own, seed, statistic).withColumn("turn", F.floor(F.col("draw") / draws))
-    placed = difference(observed, seeds.filter("turn = 0")).select("sid", "rank", "gap")
-    out = placed.join(difference(observed, ground(s, draws, window, target, seed, statistic)).select("sid", F.col("rank").alias("cross")), "sid", "left")
-    for k in range(1, reseeds + 1):
-        out = out.join(difference(observed, seeds.filter(F.col("turn") == k)).select("sid", F.col("rank").alias(f"rank_{k}")), "sid", "left")
-    ranks = [F.col(f"rank_{k}") for k in range(1, reseeds + 1)]
+    grounds = _turned(s, draws, reseeds, window, own, seed, statistic).unionByName(ground(s, draws, window, target, seed, statistic).select("sid", F.lit("target").alias("of"), "stat"))
+    placed = difference(observed, grounds, ("of",)).select("sid", F.struct("of", F.struct("rank", "gap").alias("at")).alias("e"))
+    by = placed.groupBy("sid").agg(F.map_from_entries(F.collect_list("e")).alias("by"))  # an entry a ground
+    out = by.filter(F.col("by")["0"].isNotNull()).select("sid", "by", F.col("by")["0"]["rank"].alias("rank"), F.col("by")["0"]["gap"].alias("gap"), F.col("by")["target"]["rank"].alias("cross"))
+    ranks = [F.col("by")[str(k)]["rank"] for k in range(1, reseeds + 1)]
     lost = F.col("cross").isNull()
     for r in ranks:
         lost = lost | r.isNull()
