@@ -17,9 +17,14 @@ def lines_of(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
+def _by_doc(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """doc, t: the texts dealt by doc once, so that what is made of their words is grouped, ordered and joined by doc where it is, without going through a shuffle."""
+    return docs.select(F.col(doc).alias("doc"), F.col(text).alias("t")).repartition("doc").select("doc", lines_of(F.col("t")).alias("t"))
+
+
 def abbreviations(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, token: tokens that stand before a full stop at every occurrence, two at least, and are no longer than the tenth of the text's tokens by length."""
-    t = docs.select(F.col(doc).alias("doc"), lines_of(F.col(text)).alias("t"))
+    t = _by_doc(docs, doc, text)
     each = t.select("doc", F.explode(F.regexp_extract_all("t", F.lit(rf"({_WORD}\.?)"))).alias("m"))
     counted = each.groupBy("doc", F.rtrim(F.col("m"), F.lit(".")).alias("token")).agg(F.count("*").alias("n"), F.count_if(F.col("m").endswith(".")).alias("dotted"))
     size = counted.withColumn("len", F.char_length("token"))
@@ -38,7 +43,7 @@ def sentences(docs: DataFrame, known: DataFrame | None = None, doc: str = "doc_i
     white space. start counts characters of lines_of(text), which has the sentence there; a text without other signs than white space has none.
     Null texts have none either. Offsets come from the lengths of the pieces that a text is cut into, so a text is read once.
     """
-    t = docs.select(F.col(doc).alias("doc"), lines_of(F.col(text)).alias("t")).filter("t is not null")
+    t = _by_doc(docs, doc, text).filter("t is not null")
     # pieces: up to each end of a sentence or of a paragraph, none left out
     signs, closers = "[" + TERMINATORS + "]", "[" + "".join("\\" + c if c in "]" else c for c in CLOSERS) + "]"
     cut = rf"(?sU)(.*?(?:{signs}{closers}*(?=\s|\z)|\n\s*\n+|\z))"
@@ -48,8 +53,8 @@ def sentences(docs: DataFrame, known: DataFrame | None = None, doc: str = "doc_i
     token = F.regexp_extract("piece", rf"([\p{{L}}\p{{M}}]+)\.{closers}*\z", 1)
     stop = sized.withColumn("token", F.nullif(token, F.lit("")))
     if known is None:
-        marks = abbreviations(docs, doc, text).withColumn("abbreviated", F.lit(True))
-        stop = stop.join(marks, ["doc", "token"], "left")
+        marks = abbreviations(docs, doc, text).groupBy("doc").agg(F.collect_set("token").alias("short"))  # of one text
+        stop = stop.join(marks, "doc", "left").withColumn("abbreviated", F.array_contains("short", F.col("token"))).drop("short")
     else:
         stop = stop.join(known.select("token").distinct().withColumn("abbreviated", F.lit(True)), "token", "left")
     # a piece behind an abbreviation goes on; a blank line ends the piece before it and itself

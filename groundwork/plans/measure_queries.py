@@ -91,8 +91,13 @@ def _tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(segmentation.tiling(frames, 2), "similarity")
 
 
+def _dealt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of texts that were dealt by doc: what goes by doc and form from then on stays where it is."""
+    return T.tokens(_read(spark, sf_dir, "documents").repartition("doc_id"))
+
+
 def _boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = segmentation.content_frames(T.tokens(_read(spark, sf_dir, "documents")), FRAME, T.FUNCTION_SHARE)
+    frames = segmentation.content_frames(_dealt_tokens(spark, sf_dir), FRAME, T.FUNCTION_SHARE)
     return _rounded(segmentation.boundaries(frames), "weight")
 
 
@@ -123,8 +128,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "script_profile": lambda spark, sf_dir: _rounded(T.script_profile(_read(spark, sf_dir, "documents")), "share"),
     "row_form_distances": _shapes,
     "query_containment": _containment,
-    "content_words": lambda spark, sf_dir: T.content_words(T.tokens(_read(spark, sf_dir, "documents"))),
-    "sequence_baselines": lambda spark, sf_dir: _rounded(T.sequence_baselines(T.tokens(_read(spark, sf_dir, "documents"))), "unigram", "uniform", "repeats"),
+    "content_words": lambda spark, sf_dir: T.content_words(_dealt_tokens(spark, sf_dir)),
+    "sequence_baselines": lambda spark, sf_dir: _rounded(T.sequence_baselines(_dealt_tokens(spark, sf_dir)), "unigram", "uniform", "repeats"),
     "level": lambda spark, sf_dir: _rounded(nulls.level(events(spark, sf_dir), WINDOW, DRAWS, 2), "displacement", "threshold"),
     "categorical_scores": _categorical,
     "ensemble_scores": _ensemble,
