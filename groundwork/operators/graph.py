@@ -34,6 +34,15 @@ def compose(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.select("subject", "object").join(b, "object").groupBy("subject", F.col("far").alias("object")).agg(F.count("*").alias("ways"))
 
 
+def compose_edges(edges: DataFrame) -> DataFrame:
+    """subject, verb, object, via, weight (the lesser of both): chains of two edges of one verb whose ends differ and aren't bound by that verb yet. A chain for each way."""
+    one = edges.groupBy("subject", "verb", "object").agg(F.max("weight").alias("weight"))
+    first = one.select("subject", "verb", F.col("object").alias("via"), F.col("weight").alias("w1"))
+    second = one.select(F.col("subject").alias("via"), "verb", "object", F.col("weight").alias("w2"))
+    chains = first.join(second, ["verb", "via"]).filter((F.col("via") != F.col("object")) & (F.col("subject") != F.col("object")) & (F.col("subject") != F.col("via")))
+    return chains.join(one.select("subject", "verb", "object"), ["subject", "verb", "object"], "left_anti").select("subject", "verb", "object", "via", F.least("w1", "w2").alias("weight"))
+
+
 def cooccurrence(members: DataFrame) -> DataFrame:
     """a, b, n: frames that hold both. Repeats in a frame count once; the join is on the frame, so a frame costs its own pairs."""
     m = members.select("frame", "id").distinct()

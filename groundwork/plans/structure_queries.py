@@ -39,6 +39,16 @@ def _compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.compose(first, second)
 
 
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in nations, nations in regions, and customers of one segment in regions already."""
+    read = lambda name: _read(spark, sf_dir, name)
+    edge = lambda df, a, b, w: df.select(a.alias("subject"), F.lit("in").alias("verb"), b.alias("object"), w.alias("weight"))
+    c, n, r = (lambda k: F.concat(F.lit("c"), k)), (lambda k: F.concat(F.lit("n"), k)), (lambda k: F.concat(F.lit("r"), k))
+    whole = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).filter("c_mktsegment = 'BUILDING'")
+    own = edge(read("customer"), c("c_custkey"), n("c_nationkey"), F.round("c_acctbal", 2))
+    return own.unionByName(edge(read("nation"), n("n_nationkey"), r("n_regionkey"), F.lit(1000.0))).unionByName(edge(whole, c("c_custkey"), r("n_regionkey"), F.lit(1.0)))
+
+
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -104,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "node_weights": lambda spark, sf_dir: _weight(G.node_weights(_edges(spark, sf_dir))),
     "strongest_edges": lambda spark, sf_dir: _weight(G.strongest_edges(_edges(spark, sf_dir))),
     "compose_transitive": _compose,
+    "compose_edges": lambda spark, sf_dir: G.compose_edges(_places(spark, sf_dir)),
     "cooccurrence": lambda spark, sf_dir: G.cooccurrence(_read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_suppkey").alias("id"))),
     "coarrival_band": lambda spark, sf_dir: G.coarrivals(_steps(spark, sf_dir), 3),
     "transfer_entropy": lambda spark, sf_dir: G.transfer_entropy(_steps(spark, sf_dir)).withColumn("bits", F.round("bits", 9)),
@@ -142,6 +153,10 @@ _TASKS = "k AS (SELECT task, arg_max(type, tick) AS last_type, arg_max(value, ti
 _EACH = "SELECT g.* FROM g JOIN (SELECT task, max(tick) AS last FROM g WHERE type = 'purchase' GROUP BY task) USING (task) WHERE tick < last"
 
 ORACLE_SQL: dict[str, str] = {
+    "compose_edges": """
+SELECT 'c' || c_custkey AS subject, 'in' AS verb, 'r' || n_regionkey AS object, 'n' || n_nationkey AS via, least(round(c_acctbal, 2), 1000.0) AS weight
+FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING'
+""",
     "decayed_edges": f"WITH {_EDGES} SELECT subject, verb, object, round(weight, 6) AS weight FROM e",
     "node_weights": f"WITH {_EDGES} SELECT node, round(sum(weight), 6) AS weight FROM (SELECT subject AS node, weight FROM e UNION ALL SELECT object, weight FROM e WHERE subject <> object) GROUP BY node",
     "strongest_edges": f"WITH {_EDGES} SELECT subject, verb, object, round(weight, 6) AS weight FROM e ORDER BY e.weight DESC, subject, verb, object LIMIT 10",

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundwork.operators import binding as B
+from groundwork.operators import graph as G
 
 
 def _plain_communities(nodes, edges, limit):
@@ -93,3 +94,9 @@ def test_asymmetry_is_of_both_transfers(spark):
         x, y = [int(v[0]) for v in series[row.k]], [int(v[1]) for v in series[row.k]]
         assert row.fwd == pytest.approx(_transfer(x, y), abs=1e-9) and row.rev == pytest.approx(_transfer(y, x), abs=1e-9)
         assert row.s == pytest.approx(row.fwd - row.rev, abs=1e-9)
+
+
+def test_chains_bind_what_is_not_bound_yet(spark):
+    rows = [("a", "x", "b", 3.0), ("b", "x", "c", 2.0), ("b", "y", "d", 1.0), ("b", "x", "a", 1.0), ("c", "x", "c", 9.0), ("a", "x", "e", 1.0), ("e", "x", "c", 5.0), ("e", "x", "b", 4.0), ("a", "x", "b", 1.0)]
+    got = {tuple(x) for x in G.compose_edges(spark.createDataFrame(rows, "subject string, verb string, object string, weight double")).collect()}
+    assert got == {("a", "x", "c", "b", 2.0), ("a", "x", "c", "e", 1.0), ("e", "x", "a", "b", 1.0), ("b", "x", "e", "a", 1.0)}
