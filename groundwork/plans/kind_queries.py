@@ -33,7 +33,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = written(I.admitted_profiles(customers(spark, sf_dir), SHARE), "profiles")
-    swapped = I.field_swaps(profiles, POPULATIONS, SEED)
+    swapped = I.field_swaps(profiles, POPULATIONS, SEED).withColumn("r", F.col("r").cast("long"))
     rows = swapped.select("r", F.lit("record").alias("side"), F.col("id").cast("string").alias("name"), F.size("profile").cast("long").alias("n"))
     fields = swapped.select("r", F.explode("profile").alias("name")).groupBy("r", "name").agg(F.count("*").alias("n"))
     return rows.unionByName(fields.select("r", F.lit("field").alias("side"), "name", "n"))
