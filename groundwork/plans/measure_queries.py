@@ -128,7 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "script_profile": lambda spark, sf_dir: _rounded(T.script_profile(_read(spark, sf_dir, "documents")), "share"),
     "row_form_distances": _shapes,
     "query_containment": _containment,
-    "content_words": lambda spark, sf_dir: T.content_words(_dealt_tokens(spark, sf_dir)),
+    "content_words": lambda spark, sf_dir: T.content_words(_dealt_tokens(spark, sf_dir), T.function_words(T.tokens(_read(spark, sf_dir, "documents")))),
     "sequence_baselines": lambda spark, sf_dir: _rounded(T.sequence_baselines(_dealt_tokens(spark, sf_dir)), "unigram", "uniform", "repeats"),
     "level": lambda spark, sf_dir: _rounded(nulls.level(events(spark, sf_dir), WINDOW, DRAWS, 2), "displacement", "threshold"),
     "categorical_scores": _categorical,
@@ -173,7 +173,8 @@ SELECT a."by", a.shape, a.n, round(sum(b.n * levenshtein(a.shape, b.shape) / gre
     "query_containment": """WITH g AS (SELECT conv_id, turn, gram, count(*) AS n FROM (SELECT conv_id, turn, unnest(list_transform(generate_series(1, length(text) - 2), lambda i: substring(lower(text), i, 3))) AS gram FROM conversations WHERE length(text) >= 3) GROUP BY ALL),
 f AS (SELECT conv_id, min(turn) AS first FROM conversations GROUP BY conv_id), q AS (SELECT g.conv_id, gram, n FROM g JOIN f ON g.conv_id = f.conv_id AND turn = first), z AS (SELECT conv_id, sqrt(sum(n * n)) AS norm FROM q GROUP BY conv_id)
 SELECT g.conv_id, g.turn AS doc, round(sum(q.n * least(g.n, q.n)) / (any_value(norm) * sqrt(sum(least(g.n, q.n) ** 2))), 9) AS containment FROM g JOIN f ON g.conv_id = f.conv_id AND turn > first JOIN q ON q.conv_id = g.conv_id AND q.gram = g.gram JOIN z ON z.conv_id = g.conv_id GROUP BY g.conv_id, g.turn""",
-    "content_words": f"""WITH {_T}, w AS (SELECT doc, form, count(*) AS k, sum(count(*)) OVER (PARTITION BY doc) AS n FROM t GROUP BY doc, form) SELECT doc, CAST(any_value(n) AS BIGINT) AS n, CAST(sum(CASE WHEN k / n < 0.006 THEN k ELSE 0 END) AS BIGINT) AS content FROM w GROUP BY doc""",
+    "content_words": f"""WITH {_T}, w AS (SELECT doc, form, count(*) AS k, sum(count(*)) OVER (PARTITION BY doc) AS n FROM t GROUP BY doc, form), f AS (SELECT form FROM t GROUP BY form HAVING count(*) / (SELECT count(*) FROM t) >= 0.006)
+SELECT doc, CAST(any_value(n) AS BIGINT) AS n, CAST(sum(CASE WHEN k / n < 0.006 THEN k ELSE 0 END) AS BIGINT) AS content, CAST(sum(CASE WHEN form NOT IN (SELECT form FROM f) THEN k ELSE 0 END) AS BIGINT) AS content_of_all FROM w GROUP BY doc""",
     "sequence_baselines": f"""WITH {_T}, c AS (SELECT *, row_number() OVER (PARTITION BY doc, form ORDER BY pos) - 1 AS c, lag(form) OVER (PARTITION BY doc ORDER BY pos) AS b FROM t), m AS (SELECT *, coalesce(count_if(c = 0) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS met FROM c)
 SELECT doc, count(*) AS n, round(avg(-ln((c + 1) / (pos + met + 1))), 9) AS unigram, round(avg(ln(met + 1)), 9) AS uniform, round(avg(CASE WHEN b = form THEN 1.0 WHEN b IS NOT NULL THEN 0.0 END), 9) AS repeats FROM m GROUP BY doc""",
     "level": f"""WITH {_SERIES}, {_B}, {_turn(0)}, {_turn(1)}, {_turn(2)}, {_ground('shuffle', name='h')},

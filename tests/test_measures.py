@@ -73,3 +73,20 @@ def test_repeats_and_content_words_are_of_the_text(spark):
     assert content == {1: (2, 0), 2: (1, 0), 3: (400, 400), 4: (4, 0)}
     many = T.content_words(T.tokens(spark.createDataFrame([(1, " ".join(["the"] * 4 + [f"w{i}" for i in range(396)]))], "doc_id long, text string"))).first()
     assert (many.n, many.content) == (400, 396)
+
+
+def test_content_words_count_function_words_of_all_texts(spark):
+    t = T.tokens(spark.createDataFrame([(1, " ".join(["the"] * 40 + [f"w{i}" for i in range(360)])), (2, "the cat the"), (3, "the"), (4, None), (5, "--")], "doc_id long, text string"))
+    got = {r.doc: (r.n, r.content, r.content_of_all) for r in T.content_words(t).collect()}
+    assert got == {1: (400, 360, 360), 2: (3, 0, 1), 3: (1, 0, 0)}
+    given = T.content_words(t, spark.createDataFrame([("cat",)], "form string"))
+    assert {r.doc: r.content_of_all for r in given.collect()} == {1: 400, 2: 2, 3: 1}
+
+
+def test_content_words_of_the_query_cover_all_texts(spark, sf_dir):
+    from groundwork.plans import QUERIES
+
+    sums = QUERIES["content_words"](spark, sf_dir).agg(F.sum("n"), F.sum("content_of_all")).first()
+    t = T.tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    total, function = t.count(), T.function_words(t).agg(F.sum("n")).first()[0]
+    assert sums[0] == total and sums[1] == total - function
