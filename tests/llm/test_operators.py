@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import pathlib
 import random
 import re
 import time
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from groundwork.llm import bpe, decontaminate, html, jaccard, kernels, language, media, pii, queries, substrings, toxicity, warc
+from groundwork.llm import bpe, decontaminate, html, jaccard, kernels, language, media, pii, queries, store, substrings, toxicity, warc
 from groundwork.llm.store import ready
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -137,6 +138,17 @@ def test_language_blocks_equal_the_whole_model(spark, edges):
         assert np.allclose(np.log(r.p), whole._look(5, np.frombuffer(r.gram.encode("utf-32-le"), np.uint32)[None])[0], atol=1e-4)
 
 
+def test_language_writes_few_files(spark, tmp_path):
+    rows = [(i, f"{'the and with this' if i % 2 else 'der und mit das'} {i}", "en" if i % 2 else "de", "web", 9) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(12).write.parquet(f"{tmp_path}/documents.parquet")
+    shared = lambda: {p for p in pathlib.Path(store.shared_dir(spark).removeprefix("file:")).iterdir() if p.is_dir()}
+    before = shared()
+    out = {r.doc_id: r.lang_pred for r in queries.op3_language_id(spark, str(tmp_path)).collect()}
+    assert out == {i: lang for i, _, lang, _, _ in rows}
+    files = {p.name: len(list(p.glob("part-*.parquet"))) for p in shared() - before}
+    assert len(files) <= 7 and set(files.values()) == {1}, files
+
+
 # --- BPE
 
 
