@@ -88,6 +88,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(names) > FLUSH:
                     yield flush()
     yield flush()
+    K.trim()
 
 
 def gram_counts(labelled: DataFrame, text: str, lang: str) -> DataFrame:
@@ -122,6 +123,8 @@ def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             said = text[begin[where][:, None] + np.arange(ORDER)].tobytes().decode("utf-32-le")
             out += [said[i : i + ORDER] for i in range(0, len(said), ORDER)]
         yield pa.RecordBatch.from_arrays([K.strings(out)], ["gram"])
+    words, grams = set(), set()
+    K.trim()
 
 
 def grams_of(df: DataFrame, text: str) -> DataFrame:
@@ -129,9 +132,10 @@ def grams_of(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.col(text).alias("t")).filter("t is not null").mapInArrow(_needed, "gram string").distinct()
 
 
-def _gathered(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table whose small partitions share files: each file that an executor writes to a local folder takes processes of its own."""
-    return written(df.hint("rebalance"), name)
+def gathered(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table of a file a core at most, by tasks that take one partition after another: each file that an executor writes to a local folder
+    takes processes of its own."""
+    return written(df.coalesce(df.sparkSession.sparkContext.defaultParallelism), name)
 
 
 def statistics(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,12 +144,12 @@ def statistics(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The highest order has the counts; below, a gram counts once for each character that is seen before it.
     """
-    counts = _gathered(counts.withColumn("k", F.lit(ORDER)), "grams")
+    counts = gathered(counts.withColumn("k", F.lit(ORDER)), "grams")
     every = level = counts
     for k in range(ORDER - 1, 0, -1):
         level = level.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")).withColumn("k", F.lit(k))
         every = every.unionByName(level)
-    every = _gathered(every, "orders")
+    every = gathered(every, "orders")
     ones = F.sum(F.when(F.col("n") == 1, 1).otherwise(0))
     twos = F.sum(F.when(F.col("n") == 2, 1).otherwise(0))
     discount = every.groupBy("lang", "k").agg(F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.coalesce(F.try_divide(ones, ones + 2 * twos), F.lit(0.5)))).alias("d"))
@@ -224,8 +228,8 @@ class Trained:
         self.grams, self.contexts = grams, contexts
         self.langs = sorted(r.lang for r in self.grams.filter("k = 1").select("lang").distinct().collect())
         if self.langs:
-            self.own = _gathered(self._wide(self.grams, "gram", "own", 0.0), "own")
-            self.left = _gathered(self._wide(self.contexts, "h", "bow", 1.0), "left")
+            self.own = gathered(self._wide(self.grams, "gram", "own", 0.0), "own")
+            self.left = gathered(self._wide(self.contexts, "h", "bow", 1.0), "left")
 
     @cached_property
     def value(self) -> Model:
@@ -239,7 +243,7 @@ class Trained:
     def probabilities(self, needed: DataFrame) -> DataFrame:
         """gram, p: the probability in each language of the last character of each five-gram after the others."""
         every = needed.select("gram", F.explode(F.sequence(F.lit(1), F.lit(ORDER))).alias("k")).select("k", F.expr(f"substring(gram, {ORDER + 1} - k, k)").alias("gram"))
-        every = _gathered(every.distinct(), "needed")
+        every = gathered(every.distinct(), "needed")
         letters = self.own.filter("k = 1").count()
         lower = self.left.filter("k = 1").select(F.transform("bow", lambda x: x / (letters + 1)).alias("below"))
         out = every.filter("k = 1").select("gram").crossJoin(F.broadcast(lower))  # one row
@@ -332,7 +336,7 @@ def _summer(shared):
 
 def _sums(df: DataFrame, model: Trained, text: str, cells: int) -> DataFrame:
     """df with _sums: characters, and the log probability in each language, of each text."""
-    table = _gathered(model.probabilities(grams_of(df, text)), "probabilities")
+    table = gathered(model.probabilities(grams_of(df, text)), "probabilities")
     n, width = max(1, math.ceil(table.count() * (len(model.langs) + 2) / cells)), len(model.langs)
     parts = None
     for k in range(n):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors, bpe, decontaminate, html, jaccard, language, manifest, media, periods, pii, substrings, toxicity, warc
-from .store import ready, written
+from .store import ready
 
 #: Where the public tokenizer's file lies; another place can be named in the session.
 VOCABULARY_CONF = "groundwork.vocabulary"
@@ -49,7 +49,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a tenth of what may be learnt from is kept out of the model: its entropies set the limits of rejection
     docs = docs.withColumn("measured", ~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0))
     model = language.train(docs.filter("not held_out and not measured"))
-    seen = written(language.identify(docs, model).drop("text").hint("rebalance"), "identified")
+    seen = language.gathered(language.identify(docs, model).drop("text").hint("rebalance"), "identified")
     out = language.reject(seen, language.entropy_limits(seen.filter("measured and lang = language.lang")))
     return out.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.nats").alias("nats"), "rejected")
 
