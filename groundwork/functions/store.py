@@ -15,10 +15,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found or "/tmp/groundwork-checkpoints"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table that is computed once; checkpoint() computes its rows twice."""
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """df as a table that is computed once; checkpoint() computes its rows twice. Many small files want no codec, as each file's takes a buffer of a page."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from groundwork.functions.store import dropped as discarded
 from groundwork.operators.components import components
 from .store import dropped, written
 
@@ -110,13 +111,22 @@ def _chunks(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack.compress(x.astype(np.int64).tobytes()) for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
     unpack, sums = zstandard.ZstdDecompressor(), {}
     for batch in batches:
         for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x = np.frombuffer(unpack.decompress(counts), np.int64)
             sums[chunk] = sums[chunk] + x if chunk in sums else x
-    yield _chunks(sums)
+    return sums
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield _chunks(_sums(batches))
+
+
+def _as_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = _sums(batches)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_small(2 * np.log2(x + 1), np.uint8) for x in sums.values()], pa.binary())], ["chunk", "levels"])
 
 
 def frequency_levels(docs: DataFrame) -> np.ndarray:
@@ -124,11 +134,11 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
     kind = "chunk int, counts binary"
     parts = docs.select("t").mapInArrow(_sketch, kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
     parts = parts.repartition("chunk", "salt").select("chunk", "counts").mapInArrow(_added, kind)
-    whole = parts.repartition("chunk").mapInArrow(_added, kind)
-    out = np.zeros(COUNTERS, dtype=np.int64)
-    for row in whole.toLocalIterator():
-        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), np.int64)
-    return (2 * np.log2(out + 1)).astype(np.uint8)
+    whole = parts.repartition("chunk").mapInArrow(_as_levels, "chunk int, levels binary")
+    out = np.zeros(COUNTERS, dtype=np.uint8)
+    for row in whole.collect():  # in one job: COUNTERS bytes at most, as levels are made in the tasks
+        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = _large(row["levels"], np.uint8)
+    return out
 
 
 def _poster(shared, buckets: int):
@@ -307,7 +317,7 @@ def _compared(pairs: pa.Table, sets: pa.Table) -> pa.Table:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, o (overlap), linked of pairs (a, b, n, m); a: the pivot, b: its partners.
+    """a, b, o (overlap), linked of written pairs (a, b, n, m), which are removed; a: the pivot, b: its partners.
 
     A pivot's pairs go to one block, or to several if they're many, so a set goes once to each block that has a pair of it.
     The blocks' number follows the pairs' bytes.
@@ -315,12 +325,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(parts, (pairs.agg(F.sum(8 * (F.col("n") + F.col("m")))).first()[0] or 0) // HELD + 1)
     shares = pairs.groupBy("a").agg(F.ceil(F.sum(8 * F.col("m")) / (HELD // 4)).alias("shares"))
-    placed = pairs.join(shares, "a").withColumn("block", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), "shares")), F.lit(blocks))).select("block", "a", "b").checkpoint()
+    placed = written(pairs.join(shares, "a").withColumn("block", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), "shares")), F.lit(blocks))).select("block", "a", "b"), "placed", "uncompressed")
     block = (F.col("block") + 0).alias("of_block")
-    needed = placed.select(block, F.col("a").alias("cls")).unionByName(placed.select(block, F.col("b").alias("cls"))).distinct().checkpoint()
-    needed = F.broadcast(needed) if needed.count() <= BROADCAST else needed
-    needed = sets.select("cls", "s").join(needed, "cls")
-    return placed.groupBy("block").cogroup(needed.groupBy("of_block")).applyInArrow(_compared, "a long, b long, o long, linked boolean").checkpoint()
+    wanted = written(placed.select(block, F.col("a").alias("cls")).unionByName(placed.select(block, F.col("b").alias("cls"))).distinct(), "wanted", "uncompressed")
+    needed = sets.select("cls", "s").join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, "cls")
+    found = written(placed.groupBy("block").cogroup(needed.groupBy("of_block")).applyInArrow(_compared, "a long, b long, o long, linked boolean"), "compared", "uncompressed")
+    dropped(pairs, placed, wanted)
+    return found
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -393,11 +404,13 @@ def _rounds(lists: DataFrame, sets: DataFrame) -> DataFrame:
     kept = ["token", "cls", "n", "place", "typ"]
     lists = lists.withColumn("component", F.col("cls")).withColumn("o", F.lit(None).cast("long"))
     done = links = None
+    compared = []
     while True:
         star = written(_starred(lists), "stars")
         able = star.filter("component <> p_component").filter(_possible("p_n", "n", "p_place", "place")).filter(_derived("p_n", "n", "p_o", "o"))
         pairs = able.select(F.col("p_cls").alias("a"), F.col("cls").alias("b"), F.col("p_n").alias("n"), F.col("n").alias("m")).distinct()
-        seen = _verified((pairs if done is None else _unknown(pairs, done)).checkpoint(), sets)
+        seen = _verified(written(pairs if done is None else _unknown(pairs, done), "candidates", "uncompressed"), sets)
+        compared.append(seen)
         new = seen.filter("linked").select("a", "b")
         more = links is None or not new.isEmpty()
         done = seen if done is None else done.unionByName(seen)
@@ -409,17 +422,24 @@ def _rounds(lists: DataFrame, sets: DataFrame) -> DataFrame:
         left = _with_components(star.join(tokens, "token", "left_semi").select(*kept, "p_cls"), links, "cls", "component")
         left = left.join(seen.select(F.col("a").alias("p_cls"), F.col("b").alias("cls"), "o"), ["p_cls", "cls"], "left")
         mixed = left.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-        lists = written(left.join(mixed, "token", "left_semi").select(*kept, "component", "o"), "open")
-        dropped(star)
+        before, lists = lists, written(left.join(mixed, "token", "left_semi").select(*kept, "component", "o"), "open")
+        dropped(star, before)
         if not more or lists.isEmpty():
             break
-    new = _verified(_unknown(_across(lists), done).checkpoint(), sets).filter("linked").select("a", "b")
-    dropped(lists)
-    return links if new.isEmpty() else _joined_components(links, new)
+    last = _verified(written(_unknown(_across(lists), done), "candidates", "uncompressed"), sets)
+    new = last.filter("linked").select("a", "b")
+    found = links if new.isEmpty() else _joined_components(links, new)
+    dropped(lists, last, *compared)
+    return found
 
 
 def _joined_components(links: DataFrame | None, new: DataFrame) -> DataFrame:
-    return components(new if links is None else links.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
+    """The components of links and new; the table of links is removed."""
+    if links is None:
+        return components(new)
+    found = components(links.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
+    discarded(links)
+    return found
 
 
 def _across(lists: DataFrame) -> DataFrame:

@@ -31,10 +31,11 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a compressed table in the shared folder: it cuts the lineage, and a lost executor loses nothing of it."""
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """df as a table in the shared folder: it cuts the lineage, and a lost executor loses nothing of it. Many small files want no codec, as
+    each file's takes a buffer of a page."""
     spark = df.sparkSession
-    df.write.option("compression", "zstd").parquet(path := place(spark, name))
+    df.write.option("compression", codec).parquet(path := place(spark, name))
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
