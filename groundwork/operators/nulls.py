@@ -1,15 +1,20 @@
 """Null distributions by perturbing the material itself, and placing observations in them.
 
-A ground has sid, draw, stat. Draws are rows: they are made by joins and windows, partitioned by series and draw.
+A ground has sid, draw, stat. The draws of a ground are made in the memory of the task that reads the series (`blocks`); `shuffled`, `resampled` and `phased` give the
+same draws as rows, by joins and windows partitioned by series and draw.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions.rng import uniform
+from groundwork.operators import blocks
 from groundwork.operators.series import burstiness, irreversibility, max_deviation, permutation_entropy, window_mean
 
 #: Shares of samples at or over an observation that make a verdict contested.
@@ -83,7 +88,44 @@ def ground(s: DataFrame, draws: int, window: int, perturbation: str = "shuffle",
         raise Refused("undeclared", "a window of two places at least")
     if perturbation not in PERTURBATIONS or statistic not in STATISTICS:
         raise Refused("unknown_spec", f"{statistic}/{perturbation}")
-    return STATISTICS[statistic](PERTURBATIONS[perturbation](s, draws, seed), window, ["sid", "draw"])
+    if draws < 2:
+        raise Refused("undeclared", "two draws at least")
+    if not blocks.can(statistic, window):
+        return STATISTICS[statistic](PERTURBATIONS[perturbation](s, draws, seed), window, ["sid", "draw"])
+
+    def samples(b: blocks.Block) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        of = np.flatnonzero(blocks.formed(statistic, b.sizes, window))
+        return blocks.by_draw(of, blocks.drawn(b, statistic, window, perturbation, range(draws))[:, of] if len(of) else np.empty((draws, 0)))
+
+    return blocks.each_block(_seeded(s, seed), samples, "draw long, stat double")
+
+
+def _seeded(s: DataFrame, seed: int | Column) -> DataFrame:
+    return s.withColumn("seed", (F.lit(seed) if isinstance(seed, int) else seed).cast("long"))
+
+
+def placements(s: DataFrame, window: int, statistic: str, grounds: list[tuple[str, str, range]], seed: int = 0) -> DataFrame:
+    """sid, of, observed, rank, gap, re_zero as `difference` has them, of grounds (name, perturbation, numbers of the draws) that are made and placed where a series is read."""
+    for _, perturbation, numbers in grounds:
+        if window < 2 or len(numbers) < 2:
+            raise Refused("undeclared", "a window of two places and two draws at least")
+        if perturbation not in PERTURBATIONS or statistic not in STATISTICS:
+            raise Refused("unknown_spec", f"{statistic}/{perturbation}")
+    if not blocks.can(statistic, window):
+        each = [STATISTICS[statistic](PERTURBATIONS[p](s, len(numbers), seed + numbers[0]), window, ["sid", "draw"]).select("sid", F.lit(name).alias("of"), "stat") for name, p, numbers in grounds]
+        return difference(STATISTICS[statistic](s, window), reduce(DataFrame.unionByName, each), ("of",))
+    names = np.array([name for name, _, _ in grounds], object)
+
+    def placed(b: blocks.Block) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        of = np.flatnonzero(blocks.formed(statistic, b.sizes, window))
+        if not len(of):
+            return of, {}
+        observed = blocks.STATISTICS[statistic](b, b.v, window)[of]
+        found = [blocks.place(observed, blocks.drawn(b, statistic, window, p, numbers)[:, of]) for _, p, numbers in grounds]
+        columns = {k: np.stack([x[j] for x in found]).T.ravel() for j, k in enumerate(("low", "high", "share"))}
+        return np.repeat(of, len(grounds)), {"of": np.tile(names, len(of)), "observed": np.repeat(observed, len(grounds))} | columns
+
+    return _said_of(blocks.each_block(_seeded(s, seed), placed, "of string, observed double, low double, high double, share double"), ("of",))
 
 
 def extreme_ground(s: DataFrame, draws: int, window: int, n: int, direction: str = "above", seed: int = 0) -> DataFrame:
@@ -105,6 +147,11 @@ def difference(observed: DataFrame, g: DataFrame, by: tuple[str, ...] = ()) -> D
     """
     both = g.join(observed.select("sid", F.col("stat").alias("observed")), "sid")
     out = both.groupBy("sid", *by).agg(F.first("observed").alias("observed"), F.min("stat").alias("low"), F.max("stat").alias("high"), F.avg(F.when(F.col("stat") >= F.col("observed"), 1.0).otherwise(0.0)).alias("share"))
+    return _said_of(out, by)
+
+
+def _said_of(out: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """rank, gap and re_zero of observed, low, high and share."""
     outside = (F.col("observed") > F.col("high")) | (F.col("observed") < F.col("low"))
     gap = F.when(F.col("low") == F.col("high"), "degenerate_ground").when(outside, "exceeds_witness")
     return out.select("sid", *by, "observed", F.when(gap.isNull(), F.col("share")).alias("rank"), gap.alias("gap"), (gap.eqNullSafe("exceeds_witness") & (F.col("observed") > F.col("high"))).alias("re_zero"))
@@ -131,13 +178,10 @@ def full_verdict(s: DataFrame, window: int, draws: int, reseeds: int, statistic:
     """sid, verdict over several grounds: void without a ground, thrash where the plural grounds say otherwise, settled where reseeded grounds all
     support too, else contested or supported.
 
-    All reseeds are one ground of more draws, cut by the number of the draw; all grounds are placed in one grouping.
+    All reseeds are one ground of more draws, cut by the number of the draw; all grounds are placed where a series is read.
     """
-    observed = STATISTICS[statistic](s, window)
-    grounds = _turned(s, draws, reseeds, window, perturbation, seed, statistic)
-    for name in plural:
-        grounds = grounds.unionByName(ground(s, draws, window, name, seed, statistic).select("sid", F.lit(name).alias("of"), "stat"))
-    placed = difference(observed, grounds, ("of",)).select("sid", F.struct("of", _said().alias("verdict")).alias("e"))
+    grounds = [*_turns(draws, reseeds, perturbation), *((name, name, range(draws)) for name in plural)]
+    placed = placements(s, window, statistic, grounds, seed).select("sid", F.struct("of", _said().alias("verdict")).alias("e"))
     out = placed.groupBy("sid").agg(F.map_from_entries(F.collect_list("e")).alias("by"))  # an entry a ground
     first, split, stable = F.col("by")["0"], F.lit(False), F.lit(True)
     for name in plural:
@@ -148,10 +192,9 @@ def full_verdict(s: DataFrame, window: int, draws: int, reseeds: int, statistic:
     return out.select("sid", kind.alias("verdict"))
 
 
-def _turned(s: DataFrame, draws: int, reseeds: int, window: int, perturbation: str, seed: int, statistic: str) -> DataFrame:
-    """sid, of (0, and 1 to reseeds, as text), stat: a ground and its reseedings, as one ground of more draws."""
-    g = ground(s, draws * (reseeds + 1), window, perturbation, seed, statistic)
-    return g.select("sid", F.floor(F.col("draw") / draws).cast("string").alias("of"), "stat")
+def _turns(draws: int, reseeds: int, perturbation: str) -> list[tuple[str, str, range]]:
+    """A ground (0) and its reseedings (1 to reseeds), as one ground of more draws that is cut by the number of the draw."""
+    return [(str(k), perturbation, range(k * draws, (k + 1) * draws)) for k in range(reseeds + 1)]
 
 
 def _said() -> Column:
@@ -191,9 +234,8 @@ def level(s: DataFrame, window: int, draws: int, reseeds: int, statistic: str =
     The displacement is the difference of the two ranks; under the resolution of the draws, or the widest change of rank under reseeded grounds of its own, it's a peer. What
     its own ground can't place keeps that gap; if the other ground or a reseeded one can't place it, it's unstable.
     """
-    observed = STATISTICS[statistic](s, window)
-    grounds = _turned(s, draws, reseeds, window, own, seed, statistic).unionByName(ground(s, draws, window, target, seed, statistic).select("sid", F.lit("target").alias("of"), "stat"))
-    placed = difference(observed, grounds, ("of",)).select("sid", F.struct("of", F.struct("rank", "gap").alias("at")).alias("e"))
+    grounds = [*_turns(draws, reseeds, own), ("target", target, range(draws))]
+    placed = placements(s, window, statistic, grounds, seed).select("sid", F.struct("of", F.struct("rank", "gap").alias("at")).alias("e"))
     by = placed.groupBy("sid").agg(F.map_from_entries(F.collect_list("e")).alias("by"))  # an entry a ground
     out = by.filter(F.col("by")["0"].isNotNull()).select("sid", "by", F.col("by")["0"]["rank"].alias("rank"), F.col("by")["0"]["gap"].alias("gap"), F.col("by")["target"]["rank"].alias("cross"))
     ranks = [F.col("by")[str(k)]["rank"] for k in range(1, reseeds + 1)]
