@@ -40,3 +40,8 @@ def test_whole_groups_are_not_cut(monkeypatch):
         assert at[0] == 0 and at[-1] == table.num_rows
         seen += [table["sid"].to_pylist()[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
     assert seen == [[0] * 3, [1] * 30, [None] * 2, [4] * 9, [5]]
+
+
+def test_verdicts_and_levels_read_a_series_once(many):
+    for df in (nulls.full_verdict(many, 4, 8, 2), nulls.level(many, 4, 8, 2)):
+        assert not _rows_of_draws(df) and "Join" not in df._jdf.queryExecution().executedPlan().toString()
