@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions.rng import uniform, uniform_values
+from groundwork.operators import blocks
 
 #: Windows of material below which a ground is too narrow to be one; step between the seeds of two shuffles of a null.
 FLOOR, STRIDE = 10, 7919
@@ -227,12 +228,18 @@ def slack_null(s: DataFrame, above: float, reseeds: int, seed: int = 0) -> DataF
 
 def stationarity(s: DataFrame, reseeds: int, seed: int = 0) -> DataFrame:
     """sid, n, observed, threshold, gap of series with 8 values at least: how far the means of the first and last quarter lie apart, and what shuffles give; gap is trending_material beyond it."""
-    n = s.groupBy("sid").agg(F.count("*").alias("n")).filter("n >= 8").withColumn("q", F.greatest(F.lit(2), F.floor(F.col("n") / 4)))
+    at = int(reseeds * 0.95)
 
-    def split(rows: DataFrame, by: list[str]) -> DataFrame:
-        ends = rows.join(n, "sid").groupBy(*by).agg(F.avg(F.when(F.col("i") >= F.col("n") - F.col("q"), F.col("v"))).alias("b"), F.avg(F.when(F.col("i") < F.col("q"), F.col("v"))).alias("a"))
-        return ends.select(*by, F.round(F.abs(F.col("b") - F.col("a")), 9).alias("s"))
+    def apart(b: blocks.Block, v: np.ndarray) -> np.ndarray:
+        q = np.maximum(2, b.sizes // 4)
+        side = lambda own: np.add.reduceat(np.where(own, v, 0.0), b.starts) / q
+        place = np.arange(len(v)) - b.first
+        return np.abs(side(place >= np.repeat(b.sizes - q, b.sizes)) - side(place < np.repeat(q, b.sizes)))
 
-    limit = _limit(split(_reordered(s, reseeds, seed), ["sid", "draw"]), reseeds)
-    out = split(s, ["sid"]).join(limit, "sid").join(n, "sid")
-    return out.select("sid", "n", F.col("s").alias("observed"), "threshold", F.when(F.col("s") > F.col("threshold"), "trending_material").alias("gap"))
+    def limits(b: blocks.Block) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        of = np.flatnonzero(b.sizes >= 8)
+        samples = np.stack([apart(b, blocks.shuffled(b, seed + k * STRIDE))[of] for k in range(reseeds)])
+        return of, {"n": b.sizes[of], "s": apart(b, b.v)[of], "limit": np.sort(samples, axis=0)[at]}
+
+    out = blocks.each_block(s, limits, "n long, s double, limit double").select("sid", "n", F.round("s", 9).alias("observed"), F.round("limit", 9).alias("threshold"))
+    return out.withColumn("gap", F.when(F.col("observed") > F.col("threshold"), "trending_material"))

@@ -45,3 +45,8 @@ def test_whole_groups_are_not_cut(monkeypatch):
 def test_verdicts_and_levels_read_a_series_once(many):
     for df in (nulls.full_verdict(many, 4, 8, 2), nulls.level(many, 4, 8, 2)):
         assert not _rows_of_draws(df) and "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stationarity_has_no_rows_of_draws(many):
+    assert not _rows_of_draws(atmosphere.stationarity(many, 20, 5))
+    assert {x.sid for x in atmosphere.stationarity(many, 20, 5).collect()} == {5, 6, 7, 8, 9, 10}
