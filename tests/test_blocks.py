@@ -58,3 +58,8 @@ def test_scales_in_blocks_are_those_of_rows(many, monkeypatch):
     got = steps()
     monkeypatch.setattr(blocks, "can", lambda *_: False)
     assert got == steps() and {x[6] for x in got} >= {"empty_material", None}
+
+
+def test_ladders_have_no_rows_of_draws(many):
+    out = ladder.ladders(ladder.cascade(many, [1, 2], 3, 8, 2))
+    assert not _rows_of_draws(out) and out.count() == 11 and out.filter(F.col("laddered") + F.col("broken") > 1).isEmpty()
