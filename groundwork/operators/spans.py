@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from groundwork.operators import blocks
 
 #: Signs that end a sentence, and closing signs that still belong to it.
 TERMINATORS, CLOSERS = ".!?…", "\"'”’»)]"
@@ -70,23 +78,55 @@ def sentences(docs: DataFrame, known: DataFrame | None = None, doc: str = "doc_i
 def innermost(points: DataFrame, intervals: DataFrame, by: list[str]) -> DataFrame:
     """points (by, at) with id, the interval [lo, hi) of their group that holds them and is the shortest, of equal ones the one that begins last, then the least id; null without any.
 
-    Each interval is cut into dyadic pieces, at most two of each size, and a point looks at the one piece of each size that can hold it, so both meet by equal
-    keys: an interval of any length costs the logarithm of its length in rows, and no range is joined. Intervals with hi <= lo hold nothing. Repeated points are one.
+    A group is read by one task, in blocks of whole groups: the intervals come in that order, and each takes the points it holds that none has taken, so a point is
+    taken once and an interval costs no more than a look, however long it is. Intervals with hi <= lo hold nothing. Repeated points are one.
     """
-    keys = [F.col(c) for c in by]
-    whole = intervals.filter("hi > lo").select(*keys, "id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
-    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
-    each = whole.withColumn("k", level).withColumn("w", F.expr("shiftleft(1L, k)"))
-    # at size w the pieces are those between the interval's ends rounded to w, without what pieces of 2 w hold
-    first, last = F.floor((F.col("lo") + F.col("w") - 1) / F.col("w")), F.floor(F.col("hi") / F.col("w"))
-    left = F.when((first < last) & (first % 2 != 0), first)
-    right = F.when((first < last) & (last % 2 != 0), last - 1)
-    pieces = each.withColumn("piece", F.explode(F.array_distinct(F.array_compact(F.array(left, right))))).select(*by, "id", "lo", "hi", "k", "piece")
-    looks = points.select(*keys, "at").distinct().withColumn("k", level).withColumn("piece", F.expr("floor(at / shiftleft(1L, k))"))
-    met = looks.join(pieces, [*by, "k", "piece"]).filter("at >= lo and at < hi")
-    best = met.groupBy(*by, "at").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("size"), (-F.col("lo")).alias("late"), "id")).alias("b"))
-    return points.select(*keys, "at").distinct().join(best, [*by, "at"], "left").select(*by, "at", F.col("b.id").alias("id"))
-
-
-#: Sizes of pieces, as powers of two: intervals of up to 2 ** (LEVELS + 1) places.
-LEVELS = 40
+    kinds = {f.name: f.dataType for f in points.schema} | {"id": intervals.schema["id"].dataType}
+    number = kinds["at"].simpleString() if kinds["at"].simpleString() in ("float", "double") else "bigint"
+    spans = intervals.filter("hi > lo").dropna(subset=by).select(*by, "id", F.col("lo").cast(number).alias("lo"), F.col("hi").cast(number).alias("hi"))
+    rows = spans.unionByName(points.select(*by, F.col("at").cast(number).alias("lo")), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in blocks.whole_groups(batches, *by):
+            point, taken = held(table, begins)
+            flat = table.take(pa.array(point))
+            ids = pa.concat_arrays(table["id"].chunks).take(pa.array(taken, mask=taken < 0))
+            yield from blocks.batches_of({c: flat[c] for c in by} | {"at": flat["lo"], "id": ids})
+
+    out = blocks.ordered(rows, by).mapInArrow(run, StructType([*(StructField(c, kinds[c]) for c in by), StructField("at", rows.schema["lo"].dataType), StructField("id", kinds["id"])]))
+    return out.select(*by, F.col("at").cast(kinds["at"]).alias("at"), "id")
+
+
+def held(table: pa.Table, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the distinct points (hi is null) of some groups, and for each the row of the interval that innermost() gives it, or -1."""
+    group, interval = np.repeat(np.arange(len(begins) - 1), np.diff(begins)), table["hi"].is_valid().to_numpy()
+    ids = pc.dictionary_encode(pa.concat_arrays(table["id"].chunks))
+    rank = np.empty(len(ids.dictionary), np.int64)
+    rank[pc.sort_indices(ids.dictionary).to_numpy()] = np.arange(len(rank))
+    known = ids.indices.is_valid().to_numpy(zero_copy_only=False)
+    name = np.full(table.num_rows, -1, np.int64)
+    name[known] = rank[ids.indices.drop_null().to_numpy()]
+    has = table["lo"].is_valid().to_numpy()
+    lo, hi = table["lo"].fill_null(0).to_numpy(), table["hi"].fill_null(0).to_numpy()
+    # places as their ranks, so that group and place are one number
+    values, places = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    low, high = group * (len(values) + 1) + places[: len(lo)], group * (len(values) + 1) + places[len(lo) :]
+    at, rows = np.unique(low[~interval & has], return_index=True)
+    rows = np.flatnonzero(~interval & has)[rows]
+    spans = np.flatnonzero(interval)
+    spans = spans[np.lexsort((name[spans], -lo[spans], hi[spans] - lo[spans]))]
+    taken, free = [-1] * len(at), list(range(len(at) + 1))  # free: the next point from each on that isn't taken, when followed to its end
+    for row, j, end in zip(spans.tolist(), np.searchsorted(at, low[spans]).tolist(), np.searchsorted(at, high[spans]).tolist(), strict=True):
+        while j < end:
+            root = j
+            while free[root] != root:
+                root = free[root]
+            while free[j] != root:
+                free[j], j = root, free[j]
+            if (j := root) >= end:
+                break
+            taken[j] = row
+            free[j] = j + 1
+    lost = np.flatnonzero(~interval & ~has)
+    lost = lost[np.unique(group[lost], return_index=True)[1]]
+    return np.concatenate([rows, lost]), np.concatenate([np.array(taken, np.int64), np.full(len(lost), -1, np.int64)])

@@ -63,3 +63,17 @@ def test_scales_in_blocks_are_those_of_rows(many, monkeypatch):
 def test_ladders_have_no_rows_of_draws(many):
     out = ladder.ladders(ladder.cascade(many, [1, 2], 3, 8, 2))
     assert not _rows_of_draws(out) and out.count() == 11 and out.filter(F.col("laddered") + F.col("broken") > 1).isEmpty()
+
+
+def test_innermost_has_no_rows_for_levels_and_keeps_points_without_an_interval(spark):
+    from groundwork.operators import spans
+
+    r = np.random.default_rng(2)
+    held = [(g, k, int(lo), int(lo + n)) for g in (0, 1, None) for k, (lo, n) in enumerate(zip(r.integers(-20, 60, 30), r.integers(-2, 40, 30), strict=True))] + [(1, 99, -(10**12), 10**12)]
+    asked = [(g, int(at)) for g in (0, 1, 2, None) for at in r.integers(-30, 90, 60)] + [(0, None), (0, None), (1, -(10**12)), (1, 10**12)]
+    points, intervals = spark.createDataFrame(asked, "g int, at long"), spark.createDataFrame(held, "g int, id int, lo long, hi long")
+    out = spans.innermost(points, intervals, ["g"])
+    assert not _rows_of_draws(out) and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(x) for x in out.collect()]
+    best = lambda g, at: min(((hi - lo, -lo, k) for h, k, lo, hi in held if g is not None and at is not None and h == g and lo <= at < hi), default=(0, 0, None))[2]
+    assert len(got) == len(set(asked)) and set(got) == {(g, at, best(g, at)) for g, at in asked}
