@@ -100,3 +100,15 @@ def test_chains_bind_what_is_not_bound_yet(spark):
     rows = [("a", "x", "b", 3.0), ("b", "x", "c", 2.0), ("b", "y", "d", 1.0), ("b", "x", "a", 1.0), ("c", "x", "c", 9.0), ("a", "x", "e", 1.0), ("e", "x", "c", 5.0), ("e", "x", "b", 4.0), ("a", "x", "b", 1.0)]
     got = {tuple(x) for x in G.compose_edges(spark.createDataFrame(rows, "subject string, verb string, object string, weight double")).collect()}
     assert got == {("a", "x", "c", "b", 2.0), ("a", "x", "c", "e", 1.0), ("e", "x", "a", "b", 1.0), ("b", "x", "e", "a", 1.0)}
+
+
+def _no_rows_of_draws(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Generate" not in plan and "row_number" not in plan
+
+
+def test_reversal_has_no_rows_for_draws(spark):
+    arrivals = _arrivals(spark, [(1, "a", 0), (1, "b", 1), (1, "a", 2), (2, "a", 0), (2, "b", 0)])
+    length = spark.createDataFrame([(1, 4), (2, 1)], "seq long, n long")
+    out = B.reversal_null(arrivals, B.met_pairs(arrivals, 1), length, 9, 3)
+    assert _no_rows_of_draws(out) and [(x.seq, x.a, x.b, x.overlap) for x in out.collect()] == [(1, "a", "b", 2)]  # a single place has no next one
